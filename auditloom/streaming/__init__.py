@@ -1,0 +1 @@
+"""Empty on purpose: every input of these audits is a closed file or table, read whole."""
