@@ -183,3 +183,229 @@ add("latest_scope_date", DEC, f" SELECT * FROM ({LATEST}) WHERE latest_scope IS
 add("earliest_scope_date", DEC, f"""
 SELECT project_id, min({strip('decided_date')}) AS earliest_scope FROM fx_decisions
 WHERE decision_id IN ('S1','S2','S3','S4','S5') AND NOT {blank('decided_date')} GROUP BY project_id""")
+
+
+# ---- source registers and the derivation graph --------------------------------------------------
+
+def url_ok(c: str) -> str:
+    s = strip(c)
+    host_port = f"string_split(regexp_extract({s}, '(?i)^https?://([^/?#]*)', 1), '@')[-1]"
+    host = f"string_split({host_port}, ':')[1]"
+    port = f"substr({host_port}, length({host}) + 2)"
+    return (f"(regexp_full_match({s}, '[A-Za-z0-9\\-._~:/?#\\[\\]@!$&''()*+,;=%]+') "
+            f"AND len(regexp_extract_all({s}, '%')) = len(regexp_extract_all({s}, '%[0-9A-Fa-f]{{2}}')) "
+            f"AND regexp_matches({s}, '(?i)^https?://') AND regexp_matches({host}, '[A-Za-z0-9]') "
+            f"AND ({port} = '' OR (regexp_full_match({port}, '[0-9]+') "
+            f"AND TRY_CAST({port} AS HUGEINT) BETWEEN 1 AND 65535)))")
+
+
+def findings(arm: str, rules: list[tuple[str, str, str]], subject: str, source: str,
+             notes: tuple = ()) -> str:
+    """UNION ALL of (rule, condition, detail) over one source table."""
+    return "\nUNION ALL ".join(
+        f"SELECT project_id, '{arm}' AS arm, '{rule}' AS rule, "
+        f"'{'note' if rule in notes else 'error'}' AS severity, {subject} AS subject_id, row_no, "
+        f"CAST({detail} AS VARCHAR) AS detail FROM {source} WHERE {when}"
+        for rule, when, detail in rules)
+
+
+SRC = ["fx_sources"]
+add("usable_urls", SRC, f""", u AS (SELECT source_id, url FROM fx_sources
+ UNION ALL SELECT 'page' || page_id, url FROM pages)
+SELECT source_id, url, {url_ok('url')} AS usable FROM u""")
+
+
+def source_rules(name: str) -> list[tuple[str, str, str]]:
+    v03 = name == "v0.3"
+    dated = "retrieval_status <> 'retrieved'"  # the derived register holds no paths
+    late = f"{dated} AND NOT {blank('accessed_date')}"
+    rules = [("tier_invalid", "motive_tier NOT IN ('1','2','3','4','5')", "motive_tier"),
+             ("retrieved_without_path", "retrieval_status = 'retrieved'", "''"),
+             ("unretrieved_without_reason", "retrieval_status = 'registered_not_retrieved' AND "
+              + (unusable("notes") if v03 else blank("notes")), "''"),
+             ("date_missing", f"{dated} AND {blank('accessed_date')}", "''"),
+             ("date_not_iso", f"{late} AND ({iso('accessed_date')}) IS NULL", "accessed_date"),
+             ("date_before_scope", f"{late} AND ({iso('accessed_date')}) < latest_scope",
+              "accessed_date")]
+    if v03:
+        rules += [("role_empty", "true", "''"), ("title_empty", unusable("title"), "''"),
+                  ("publisher_empty", unusable("publisher"), "''"),
+                  ("url_unusable", f"NOT {url_ok('url')}", "url"),
+                  ("locator_missing", f"NOT {url_ok('url')}", "''")]
+    return rules
+
+
+for _name in ("v0.3", "v0.2"):
+    add("source_findings_" + _name.replace(".", ""), SRC + DEC, f""",
+l AS ({LATEST}), s AS (SELECT x.*, l.latest_scope FROM fx_sources x LEFT JOIN l USING (project_id))
+{findings('SOURCES', source_rules(_name), 'source_id', 's')}""")
+
+add("scope_order_violations", SRC + DEC, f""", l AS ({LATEST}),
+e AS (SELECT project_id, min({strip('decided_date')}) AS earliest_scope FROM fx_decisions
+ WHERE decision_id IN ('S1','S2','S3','S4','S5') AND NOT {blank('decided_date')} GROUP BY project_id)
+SELECT 'latest' AS boundary, s.project_id, source_id AS subject_id, row_no
+FROM fx_sources s JOIN l USING (project_id)
+WHERE retrieval_status <> 'retrieved' AND ({iso('accessed_date')}) < latest_scope
+UNION ALL SELECT 'earliest', s.project_id, source_id, row_no FROM fx_sources s JOIN e USING (project_id)
+WHERE retrieval_status <> 'retrieved' AND NOT {blank('accessed_date')}
+ AND {strip('accessed_date')} < earliest_scope""")
+
+add("source_coverage", SRC, """, c AS (SELECT project_id, count(DISTINCT source_id) AS sources,
+ 0::BIGINT AS held, count(*) FILTER (retrieval_status = 'registered_not_retrieved') AS unretrieved
+ FROM fx_sources GROUP BY project_id)
+SELECT *, CAST(round_even(100.0 * unretrieved / sources, 0) AS BIGINT) AS unretrieved_pct FROM c""")
+
+add("source_custody", [], """WITH s AS (SELECT doc_id AS row_no, 'd' || doc_id AS subject_id,
+ CASE doc_id % 7 WHEN 0 THEN '../' || source || '/' || doc_id WHEN 1 THEN ''
+  WHEN 2 THEN 'texts/lost/' || doc_id ELSE './texts/' || source || '//' || doc_id END AS path,
+ sha256(text) AS file, CASE doc_id % 5 WHEN 0 THEN sha256(text || '!') WHEN 1 THEN 'none'
+  ELSE sha256(text) END AS recorded, doc_id % 7 > 2 AS held FROM documents),
+r AS (SELECT *, 'locator_missing' AS rule, '' AS detail FROM s WHERE NOT held
+ UNION ALL SELECT *, 'retrieved_without_path', '' FROM s WHERE path = ''
+ UNION ALL SELECT *, 'retrieved_not_held', path FROM s WHERE path <> '' AND NOT held
+ UNION ALL SELECT *, 'held_not_hashed', file FROM s WHERE held AND recorded = 'none'
+ UNION ALL SELECT *, 'hash_mismatch', file FROM s WHERE held AND recorded <> 'none' AND recorded <> file)
+SELECT 'all' AS project_id, 'SOURCES' AS arm, rule, 'error' AS severity, subject_id, row_no, detail FROM r""")
+
+WALK = """par AS (SELECT source_id AS sid, derived_from AS origin FROM fx_sources),
+walk(sid, ancestor, hop, seen) AS (
+ SELECT sid, origin, 1::BIGINT, [sid, origin] FROM par WHERE origin <> '' AND origin <> sid
+ UNION ALL SELECT w.sid, p.origin, hop + 1, list_append(seen, p.origin)
+ FROM walk w JOIN par p ON p.sid = w.ancestor WHERE p.origin <> '' AND NOT list_contains(seen, p.origin))"""
+add("derivation_closure", SRC, f", {WALK} SELECT sid, hop, ancestor FROM walk")
+add("derivation_loops", SRC, f""", {WALK}
+SELECT p.sid FROM par p JOIN walk w ON w.sid = p.origin AND w.ancestor = p.sid WHERE p.origin <> p.sid""")
+add("derivation_paths", SRC, f""", {WALK}
+SELECT sid, ancestor AS target, array_to_string(seen, ' derives from ') AS path FROM walk
+QUALIFY row_number() OVER (PARTITION BY sid ORDER BY hop DESC) = 1""")
+INDEPENDENCE = """reach AS (SELECT sid, ancestor, hop FROM walk UNION ALL
+ SELECT DISTINCT sid, sid, 0::BIGINT FROM (SELECT sid, other FROM pairs UNION ALL SELECT other, sid FROM pairs)),
+met AS (SELECT p.sid, p.other, arg_min(a.ancestor, a.hop) AS near FROM pairs p
+ JOIN reach a ON a.sid = p.sid JOIN reach b ON b.sid = p.other AND b.ancestor = a.ancestor
+ GROUP BY p.sid, p.other),
+defects AS (SELECT m.sid, m.other,
+ CASE WHEN u.hop IS NOT NULL THEN 'origin' WHEN d.hop IS NOT NULL THEN 'derivative' ELSE 'shared' END AS relation,
+ CASE WHEN u.hop IS NOT NULL THEN m.other WHEN d.hop IS NOT NULL THEN m.sid ELSE near END AS shared
+ FROM met m LEFT JOIN walk u ON u.sid = m.sid AND u.ancestor = m.other
+ LEFT JOIN walk d ON d.sid = m.other AND d.ancestor = m.sid)"""
+add("independence_defects", SRC, f""", {WALK},
+pairs AS (SELECT DISTINCT sid, other FROM (
+ SELECT source_id AS sid, second_source_id AS other FROM fx_sources
+ UNION ALL SELECT source_id, 's' || (row_no + 2) FROM fx_sources
+ UNION ALL SELECT source_id, 's' || (row_no * 3) FROM fx_sources) WHERE sid <> other),
+{INDEPENDENCE} SELECT sid, other, relation, shared FROM defects""")
+add("source_derivation_findings", SRC, f""", {WALK},
+pairs AS (SELECT DISTINCT s.source_id AS sid, t.source_id AS other FROM fx_sources s
+ JOIN fx_sources t ON t.source_id = s.second_source_id WHERE t.source_id <> s.source_id),
+{INDEPENDENCE},
+s AS (SELECT 'all' AS project_id, x.* EXCLUDE (project_id), o.source_id IS NOT NULL AS origin_known,
+ t.source_id IS NOT NULL AS second_known, EXISTS (SELECT 1 FROM walk w WHERE w.sid = x.derived_from
+  AND w.ancestor = x.source_id) AND x.derived_from <> x.source_id AS looped, d.relation, d.shared
+ FROM fx_sources x LEFT JOIN fx_sources o ON o.source_id = x.derived_from
+ LEFT JOIN fx_sources t ON t.source_id = x.second_source_id
+ LEFT JOIN defects d ON d.sid = x.source_id AND d.other = x.second_source_id)
+{findings('SOURCES', [
+    ('origin_unregistered', "derived_from <> '' AND NOT origin_known", 'derived_from'),
+    ('derives_from_itself', "derived_from = source_id", 'derived_from'),
+    ('derivation_loop', "looped", 'derived_from'),
+    ('second_unregistered', "second_source_id <> '' AND NOT second_known", 'second_source_id'),
+    ('second_is_itself', "second_known AND second_source_id = source_id", "''"),
+    ('second_not_independent', "relation IS NOT NULL",
+     "relation || ' ' || second_source_id || ' ' || shared"),
+], 'source_id', 's')}""")
+
+# ---- claims and vocabulary ----------------------------------------------------------------------
+
+CLM = ["fx_sources", "fx_claims"]
+add("claims_unregistered", CLM, """
+SELECT claim_id, source_id FROM fx_claims WHERE source_id NOT IN (SELECT source_id FROM fx_sources)""")
+add("claims_material_unbacked", CLM, f""", s AS (SELECT source_id AS sid, motive_tier,
+ CASE WHEN row_no % 3 = 0 THEN 'n/a' ELSE second_source_id END AS second FROM fx_sources),
+c AS (SELECT 'all' AS project_id, c.*, s.* FROM fx_claims c LEFT JOIN s ON s.sid = c.source_id)
+{findings('CLAIMS', [
+    ('cites_unregistered', 'sid IS NULL', 'source_id'),
+    ('uncertainty_empty', f"sid IS NOT NULL AND {blank('uncertainty')}", "''"),
+    ('second_source_missing', "material_to_conclusion = 'yes' AND motive_tier IN ('4', '5') AND "
+     + blank('second'), 'source_id'),
+], 'claim_id', 'c')}""")
+_need = "material_to_conclusion = 'yes' AND tier IN ('4', '5')"
+_pair = f"{_need} AND NOT {blank('cor')} AND cor_tier IS NOT NULL AND cor <> source_id"
+add("claim_findings_v03", CLM, f""", {WALK},
+s AS (SELECT source_id AS sid, motive_tier AS tier, retrieval_status AS status, {url_ok('url')} AS reach
+ FROM fx_sources),
+pairs AS (SELECT DISTINCT c.source_id AS sid, c.corroborating_source_id AS other FROM fx_claims c
+ JOIN s a ON a.sid = c.source_id JOIN s b ON b.sid = c.corroborating_source_id
+ WHERE c.source_id <> c.corroborating_source_id),
+{INDEPENDENCE},
+c AS (SELECT 'all' AS project_id, c.*, c.corroborating_source_id AS cor, a.tier, a.status,
+ b.tier AS cor_tier, b.status AS cor_status, b.reach AS cor_reach, d.relation, d.shared
+ FROM fx_claims c LEFT JOIN s a ON a.sid = c.source_id
+ LEFT JOIN s b ON b.sid = c.corroborating_source_id
+ LEFT JOIN defects d ON d.sid = c.source_id AND d.other = c.corroborating_source_id)
+{findings('CLAIMS', [
+    ('cites_unregistered', 'tier IS NULL', 'source_id'),
+    ('uncertainty_empty', f"tier IS NOT NULL AND {unusable('uncertainty')}", "''"),
+    ('source_not_obtained', "status = 'registered_not_retrieved'", 'source_id'),
+    ('corroboration_missing', f"{_need} AND {blank('cor')}", 'source_id'),
+    ('corroborator_unregistered', f"{_need} AND NOT {blank('cor')} AND cor_tier IS NULL", 'cor'),
+    ('corroborated_by_itself', f"{_need} AND cor = source_id", 'source_id'),
+    ('corroborator_not_obtained', f"{_pair} AND cor_status = 'registered_not_retrieved'", 'cor'),
+    ('corroborator_interested', f"{_pair} AND cor_tier IN ('4', '5')", 'cor'),
+    ('corroborator_unreachable', f"{_pair} AND NOT cor_reach", 'cor'),
+    ('corroborator_not_independent', f"{_pair} AND relation IS NOT NULL",
+     "relation || ' ' || cor || ' ' || shared"),
+], 'claim_id', 'c')}
+UNION ALL SELECT 'all', 'CLAIMS', 'counts', 'note', '', 0, 'claims=' || count(*) || ' material='
+ || count(*) FILTER (tier IS NOT NULL AND material_to_conclusion = 'yes') FROM c""")
+_vocab = """v(col, val) AS (VALUES ('claim_basis', 'reported'), ('claim_basis', 'derived'),
+ ('claim_basis', 'inferred'), ('retrieval_status', 'retrieved'),
+ ('retrieval_status', 'registered_not_retrieved'), ('retrieval_status', 'cited_not_held'),
+ ('material_to_conclusion', 'yes'), ('material_to_conclusion', 'no')),
+f AS (SELECT 'claims.csv' AS register, row_no, 'claim_basis' AS col, claim_basis AS val FROM fx_claims
+ UNION ALL SELECT 'claims.csv', row_no, 'material_to_conclusion', material_to_conclusion FROM fx_claims
+ UNION ALL SELECT 'sources.csv', row_no, 'retrieval_status', retrieval_status FROM fx_sources)"""
+add("vocab_undeclared", CLM, f""", {_vocab}
+SELECT register, row_no, col AS "column", val AS value FROM f
+WHERE (col, val) NOT IN (SELECT col, val FROM v)""")
+add("vocab_counts", CLM, f""", {_vocab}
+SELECT 'all' AS project_id, count(*) AS checked,
+ 'claim_basis, material_to_conclusion, retrieval_status' AS columns FROM f""")
+
+# ---- feasibility probes -------------------------------------------------------------------------
+
+PRB = ["fx_probes"]
+add("probe_findings", PRB + DEC, f""", l AS ({LATEST}),
+p AS (SELECT x.*, l.latest_scope FROM fx_probes x LEFT JOIN l USING (project_id))
+{findings('FEASIBILITY', [
+    ('source_name_empty', 'true', "''"), ('actor_not_comparable', 'true', "''"),
+    ('locator_missing', 'true', "''"),
+    ('result_not_permitted', "result = '37 outages'", 'result'),
+    ('result_without_reason', f"result NOT IN ('37 outages', 'available') AND {unusable('notes')}", 'result'),
+    ('date_missing', blank('access_date'), "''"),
+    ('date_not_iso', f"NOT {blank('access_date')} AND ({iso('access_date')}) IS NULL", 'access_date'),
+    ('date_after_scope', f"({iso('access_date')}) > latest_scope", 'access_date'),
+    ('retrievable_without_path', "question = 'bytes_retrievable' AND result = 'available'", "''"),
+    ('period_empty', "question = 'period_and_retention'", "''"),
+    ('retention_empty', "question = 'period_and_retention'", "''"),
+    ('derivation_unanswered', "question = 'derivation_independence'", "''"),
+    ('coverage_unanswered', "question = 'population_coverage'", "''"),
+], 'probe_id', 'p')}""")
+add("probe_coverage", PRB, """, q(question) AS (VALUES ('bytes_retrievable'), ('derivation_independence'),
+ ('period_and_retention'), ('population_coverage'), ('source_exists')),
+a AS (SELECT DISTINCT project_id, question FROM fx_probes)
+SELECT project_id, count(*) AS probes, CAST(count(DISTINCT question) AS INTEGER) AS questions,
+ coalesce((SELECT string_agg(q.question, ', ' ORDER BY q.question) FROM q WHERE NOT EXISTS
+  (SELECT 1 FROM a WHERE a.project_id = fx_probes.project_id AND a.question = q.question)), '') AS missing,
+ bool_and(result = 'unknown') AS all_unknown FROM fx_probes GROUP BY project_id""")
+# RE2 has no look-behind, so separators are doubled and consumed instead
+_tokens = r"""regexp_extract_all(regexp_replace(notes, '([^\w./,-])', '\1\1', 'g'),
+ '(?:^|[^\w./-])(\d[\d,]*(?:\.\d+)?)(?:$|[^\w./-])', 1)"""
+_notes = f"""t AS (SELECT project_id, probe_id AS pid, row_no, u.place, u.token FROM fx_probes,
+ (SELECT generate_subscripts(x, 1) AS place, unnest(x) AS token FROM (SELECT {_tokens} AS x)) u
+ WHERE length(replace(u.token, ',', '')) >= 2)"""
+add("probe_numeric_notes", PRB, f""", {_notes} SELECT project_id, pid, token FROM t""")
+add("probe_numeric_preview", PRB, f""", {_notes},
+r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY row_no, place) AS rn FROM t)
+SELECT project_id, count(*) AS tokens, string_agg(pid || ':' || token, ', ' ORDER BY rn)
+ FILTER (rn <= 8) || CASE WHEN count(*) > 8 THEN ' ...' ELSE '' END AS preview
+FROM r GROUP BY project_id""")

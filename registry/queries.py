@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.functions.actors import actor_identity
+from auditloom.functions.routes import usable_url
 from auditloom.functions.text import strip
+from auditloom.operators import claims as clm
 from auditloom.operators import decisions as dec
-from auditloom.operators import diff
+from auditloom.operators import derivation, diff
+from auditloom.operators import feasibility as fea
 from auditloom.operators import registers as reg
+from auditloom.operators import sources as src
+from auditloom.operators import vocabulary as voc
 from auditloom.session import configure
 from registry.views import view
 
@@ -34,7 +39,7 @@ def query(function):
 def _decisions(spark, sf_dir, contract="v0.3") -> DataFrame:
     """The derived decision register with stage and question from the contract."""
     rows = view(spark, sf_dir, "fx_decisions")
-    dim = reg.contract_decisions(spark).filter(F.col("contract") == contract)
+    dim = reg.contract_decisions(spark).filter(F.col("contract") == "v0.3")
     rows = rows.join(dim.select("decision_id", "stage", "question"), "decision_id")
     return reg.stamp(rows.withColumn("revisit_trigger", F.lit("")), contract)
 
@@ -152,3 +157,215 @@ def latest_scope_date(spark, sf_dir):
 @query
 def earliest_scope_date(spark, sf_dir):
     return dec.earliest_scope_dates(view(spark, sf_dir, "fx_decisions"))
+
+
+# ---- source registers and the derivation graph --------------------------------------------------
+
+def _one_project(rows: DataFrame, contract: str = "v0.3") -> DataFrame:
+    """The whole table as a single project, as the derivation and claim checks need it."""
+    return reg.stamp(rows.withColumn("project_id", F.lit("all")), contract)
+
+
+def _sources(spark, sf_dir, contract="v0.3") -> DataFrame:
+    return _one_project(view(spark, sf_dir, "fx_sources"), contract)
+
+
+def _forest(spark, sf_dir) -> derivation.Forest:
+    return derivation.forest(derivation.parents_of(_sources(spark, sf_dir)))
+
+
+@query
+def usable_urls(spark, sf_dir):
+    """The address rule over the registered addresses and over every crawled page."""
+    registered = view(spark, sf_dir, "fx_sources").select("source_id", "url")
+    pages = view(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page"), "page_id").alias("source_id"), "url")
+    return registered.unionByName(pages).select(
+        "source_id", "url", usable_url(F.col("url")).alias("usable"))
+
+
+@query
+def source_findings_v03(spark, sf_dir):
+    rows = reg.stamp(view(spark, sf_dir, "fx_sources"), "v0.3")
+    scope = dec.latest_scope_dates(view(spark, sf_dir, "fx_decisions"))
+    return _flat(src.source_row_findings(src.prepared(rows), scope))
+
+
+@query
+def source_findings_v02(spark, sf_dir):
+    rows = reg.stamp(view(spark, sf_dir, "fx_sources"), "v0.2")
+    scope = dec.latest_scope_dates(view(spark, sf_dir, "fx_decisions"))
+    return _flat(src.source_row_findings(src.prepared(rows), scope))
+
+
+@query
+def scope_order_violations(spark, sf_dir):
+    """Only the date-order rule, under both the current and the first-version boundary."""
+    rows = src.prepared(reg.stamp(view(spark, sf_dir, "fx_sources"), "v0.2"))
+    decisions = view(spark, sf_dir, "fx_decisions")
+    found = src.source_row_findings(rows, dec.latest_scope_dates(decisions)).withColumn(
+        "boundary", F.lit("latest"))
+    first = src.source_row_findings(rows, dec.earliest_scope_dates(decisions),
+                                    scope="earliest_lexical").withColumn(
+        "boundary", F.lit("earliest"))
+    return found.unionByName(first).filter("rule = 'date_before_scope'").select(
+        "boundary", "project_id", "subject_id", "row_no")
+
+
+@query
+def source_coverage(spark, sf_dir):
+    rows = reg.stamp(view(spark, sf_dir, "fx_sources"), "v0.3")
+    return src.source_coverage(src.prepared(rows))
+
+
+@query
+def source_custody(spark, sf_dir):
+    """Held bytes against registered digests: the files are the documents, one in five altered."""
+    documents = view(spark, sf_dir, "documents")
+    held = documents.select(F.lit("all").alias("project_id"),
+                            F.concat_ws("/", F.lit("texts"), "source", "doc_id").alias("rel_path"),
+                            F.sha2("text", 256).alias("file_sha256"))
+    doc = F.col("doc_id")
+    rows = documents.select(
+        F.lit("all").alias("project_id"), doc.alias("row_no"),
+        F.concat(F.lit("d"), doc).alias("source_id"), F.lit("t").alias("title"),
+        F.lit("p").alias("publisher"), F.lit("1").alias("motive_tier"),
+        F.lit("r").alias("source_role"), F.lit("").alias("url"),
+        F.when(doc % 7 == 0, F.concat_ws("/", F.lit(".."), "source", "doc_id"))
+        .when(doc % 7 == 1, "").when(doc % 7 == 2, F.concat_ws("/", F.lit("texts"), F.lit("lost"),
+                                                               "doc_id"))
+        .otherwise(F.concat_ws("/", F.lit("./texts"), "source", F.lit(""), "doc_id"))
+        .alias("local_path"),
+        F.when(doc % 5 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).when(doc % 5 == 1, "none")
+        .otherwise(F.sha2("text", 256)).alias("sha256"),
+        F.lit("retrieved").alias("retrieval_status"), F.lit("2026-08-14").alias("accessed_date"),
+        F.lit("").alias("second_source_id"), F.lit("").alias("derived_from"),
+        F.lit("").alias("notes"))
+    prepared = src.prepared(reg.stamp(rows, "v0.3"), held)
+    return _flat(src.source_row_findings(prepared))
+
+
+@query
+def derivation_closure(spark, sf_dir):
+    graph = _forest(spark, sf_dir)
+    return derivation.ancestors(graph, graph.parents).select("sid", "hop", "ancestor")
+
+
+@query
+def derivation_loops(spark, sf_dir):
+    graph = _forest(spark, sf_dir)
+    return derivation.loop_members(graph).select("sid")
+
+
+@query
+def derivation_paths(spark, sf_dir):
+    """The hops from every source to its farthest origin."""
+    graph = _forest(spark, sf_dir)
+    walk = derivation.ancestors(graph, graph.parents)
+    far = walk.groupBy("project_id", "sid").agg(F.max_by("ancestor", "hop").alias("target"))
+    return derivation.derivation_paths(far, graph).select("sid", "target", "path")
+
+
+@query
+def independence_defects(spark, sf_dir):
+    """The registered second sources and, to cover every relation, each source's next-but-one."""
+    graph = _forest(spark, sf_dir)
+    rows = view(spark, sf_dir, "fx_sources")
+    pairs = rows.select("source_id", F.col("second_source_id").alias("other")).unionByName(
+        rows.select("source_id", F.concat(F.lit("s"), F.col("row_no") + 2).alias("other"))
+    ).unionByName(rows.select("source_id", F.concat(F.lit("s"), F.col("row_no") * 3)
+                              .alias("other")))
+    pairs = pairs.filter("other <> source_id").select(
+        F.lit("all").alias("project_id"), F.col("source_id").alias("sid"), "other")
+    return derivation.independence_defects(pairs, graph).select(
+        "sid", "other", "relation", "shared")
+
+
+@query
+def source_derivation_findings(spark, sf_dir):
+    rows = src.prepared(_sources(spark, sf_dir))
+    graph = derivation.forest(derivation.parents_of(_sources(spark, sf_dir)))
+    return _flat(src.derivation_findings(rows, graph))
+
+
+# ---- claims and vocabulary ----------------------------------------------------------------------
+
+@query
+def claims_unregistered(spark, sf_dir):
+    attributes = clm.source_attributes(_sources(spark, sf_dir))
+    rows = clm.resolved(_one_project(view(spark, sf_dir, "fx_claims")), attributes)
+    return rows.filter("registered IS NULL").select("claim_id", F.col("sid").alias("source_id"))
+
+
+@query
+def claims_material_unbacked(spark, sf_dir):
+    """v0.2: material claims on interested sources that name no second source.
+
+    Every third source is given an empty second source so that the rule has something to find.
+    """
+    sources = _sources(spark, sf_dir, "v0.2").withColumn(
+        "second_source_id", F.when(F.col("row_no") % 3 == 0, "n/a").otherwise(
+            F.col("second_source_id")))
+    found = clm.claim_findings(_one_project(view(spark, sf_dir, "fx_claims"), "v0.2"), sources)
+    return _flat(found.filter("severity = 'error'"))
+
+
+@query
+def claim_findings_v03(spark, sf_dir):
+    sources = _sources(spark, sf_dir)
+    graph = derivation.forest(derivation.parents_of(sources))
+    claims = _one_project(view(spark, sf_dir, "fx_claims"))
+    return _flat(clm.claim_findings(claims, sources, graph=graph))
+
+
+def _vocabulary(spark) -> DataFrame:
+    rows = [("claim_basis", "reported"), ("claim_basis", "derived"), ("claim_basis", "inferred"),
+            ("retrieval_status", "retrieved"), ("retrieval_status", "registered_not_retrieved"),
+            ("retrieval_status", "cited_not_held"), ("material_to_conclusion", "yes"),
+            ("material_to_conclusion", "no")]
+    return reg.stamp(spark.createDataFrame(
+        [("all", a, b, "") for a, b in rows],
+        "project_id string, column string, value string, definition string"), "v0.3")
+
+
+@query
+def vocab_undeclared(spark, sf_dir):
+    registers = {"sources.csv": _sources(spark, sf_dir),
+                 "claims.csv": _one_project(view(spark, sf_dir, "fx_claims"))}
+    return voc.undeclared_values(_vocabulary(spark), registers).select(
+        "register", "row_no", "column", "value")
+
+
+@query
+def vocab_counts(spark, sf_dir):
+    registers = {"sources.csv": _sources(spark, sf_dir),
+                 "claims.csv": _one_project(view(spark, sf_dir, "fx_claims"))}
+    return voc.checked_counts(_vocabulary(spark), registers)
+
+
+# ---- feasibility probes -------------------------------------------------------------------------
+
+def _probes(spark, sf_dir) -> DataFrame:
+    return reg.stamp(view(spark, sf_dir, "fx_probes"), "v0.3")
+
+
+@query
+def probe_findings(spark, sf_dir):
+    scope = dec.latest_scope_dates(view(spark, sf_dir, "fx_decisions"))
+    return _flat(fea.probe_row_findings(fea.prepared(_probes(spark, sf_dir)), scope))
+
+
+@query
+def probe_coverage(spark, sf_dir):
+    return fea.probe_coverage(fea.prepared(_probes(spark, sf_dir))).drop("through_ord")
+
+
+@query
+def probe_numeric_notes(spark, sf_dir):
+    return fea.note_numbers(fea.prepared(_probes(spark, sf_dir))).select(
+        "project_id", "pid", "token")
+
+
+@query
+def probe_numeric_preview(spark, sf_dir):
+    return fea.note_number_preview(fea.prepared(_probes(spark, sf_dir)))
