@@ -409,3 +409,155 @@ r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY row_no, plac
 SELECT project_id, count(*) AS tokens, string_agg(pid || ':' || token, ', ' ORDER BY rn)
  FILTER (rn <= 8) || CASE WHEN count(*) > 8 THEN ' ...' ELSE '' END AS preview
 FROM r GROUP BY project_id""")
+
+
+# ---- grounding audit ----------------------------------------------------------------------------
+# RE2's \b knows ASCII words only, so letters and digits of other scripts are read as underscores:
+# a word character no name pattern can contain. Names are ASCII, so what is found is unchanged.
+
+PROSE = ["fx_drafts"]
+TEXTS = """texts AS (SELECT 'doc' || doc_id AS draft_id, text FROM documents
+ UNION ALL SELECT 'talk-' || conv_id || '-' || turn, text FROM conversations
+ UNION ALL SELECT 'item' || item_id, text FROM benchmark
+ UNION ALL SELECT 'draft' || draft_id, text FROM fx_drafts)"""
+
+
+def plain(c: str) -> str:
+    return f"regexp_replace({c}, '[^\\x00-\\x7F\\p{{Z}}\\p{{P}}\\p{{S}}\\p{{M}}\\p{{C}}]', '_', 'g')"
+
+
+def nums(c: str) -> str:
+    """These texts hold no grouped figures, so after dropping digests the short form is the rule."""
+    bare = (f"regexp_replace({plain(c)}, '\\b[0-9a-fA-F]{{40}}(?:[0-9a-fA-F]{{24}})?\\b', ' ', 'g')")
+    return f"list_distinct(regexp_extract_all({bare}, '[0-9]+(?:\\.[0-9]+)?'))"
+
+
+NAME = r"[A-Z][a-zA-Z.&/-]+"
+ENT = rf"\b({NAME}(?:{W}+{NAME}){{0,3}})\b"
+
+
+def sent(source: str) -> str:
+    """sents(draft_id, sent_no, sentence, plain, names, figures) of a (draft_id, text) table."""
+    pieces = (f"string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?]){W}+', "
+              "'\\1' || chr(1), 'g'), chr(1))")
+    return f"""cut AS (SELECT draft_id, list_filter(list_transform({pieces},
+ lambda s: trim(s, '{BLANKS}')), lambda s: s <> '') AS parts FROM {source}),
+flat AS (SELECT draft_id, unnest(range(0, len(parts))) AS n, unnest(parts) AS sentence FROM cut),
+marked AS (SELECT draft_id, CAST(n AS INTEGER) AS sent_no, sentence, {plain('sentence')} AS plain,
+ {nums('sentence')} AS figures FROM flat),
+named AS (SELECT *, regexp_extract_all(plain, '{ENT}', 1) AS found FROM marked),
+sents AS (SELECT *, CASE WHEN regexp_matches(plain, '^{ENT}') AND NOT contains(found[1], ' ')
+ THEN found[2:] ELSE found END AS names FROM named)"""
+
+
+_hedge = rf"(?i)\b(?:{'|'.join(fixed.HEDGES)})\b"
+_dense = "(len(names) > 1 OR len(figures) > 0)"
+TRIAGED = rf"""flagged AS (SELECT *, regexp_matches(plain, '{_hedge}') AS hedged,
+ regexp_matches(plain, 'https?://') OR regexp_matches(plain, '\[[^\]]+\]') OR regexp_matches(plain,
+ '\((?:[^)]*\b(?:19|20)\d{{2}}\b|[^)]*[A-Z][a-z]+)[^)]*\)') AS cited,
+ regexp_matches(plain, '\b(?:19|20)\d{{2}}\b|\b\d{{1,2}}{W}+\w+{W}+\d{{4}}\b') AS dated FROM sents),
+triaged AS (SELECT * FROM (SELECT *, concat_ws('+',
+ CASE WHEN len(names) > 2 OR len(figures) > 0 OR dated THEN 'density' END,
+ CASE WHEN hedged AND {_dense} THEN 'hedged' END,
+ CASE WHEN NOT hedged AND NOT cited AND {_dense} THEN 'uncited' END) AS reasons FROM flagged)
+ WHERE reasons <> '')"""
+
+add("sentences", PROSE, f", {TEXTS}, {sent('texts')} SELECT draft_id, sent_no, sentence FROM sents")
+add("sentence_names", PROSE, f""", {TEXTS}, {sent('texts')}
+SELECT draft_id, sent_no, CAST(unnest(range(0, len(names))) AS INTEGER) AS place,
+ unnest(names) AS entity FROM sents""")
+add("text_numbers", PROSE, f""", {TEXTS}
+SELECT draft_id, unnest({nums('text')}) AS num FROM texts""")
+add("triage", PROSE, f""", {TEXTS}, {sent('texts')}, {TRIAGED}
+SELECT draft_id, sent_no, substr(sentence, 1, 140) AS opening, reasons FROM triaged""")
+CONTRA = """pairs AS (SELECT DISTINCT draft_id, entity, unnest(figures) AS num FROM
+ (SELECT draft_id, unnest(list_distinct(names)) AS entity, figures FROM sents)),
+contra AS (SELECT draft_id, entity, list(num ORDER BY num COLLATE "C") AS nums FROM pairs
+ GROUP BY draft_id, entity HAVING count(*) > 1)"""
+CONTRA = CONTRA.replace(' COLLATE "C"', "")
+add("entity_contradictions", PROSE, f""", {TEXTS}, {sent('texts')}, {CONTRA}
+SELECT draft_id, entity, array_to_string(nums, ',') AS nums FROM contra""")
+GND = ["fx_drafts", "fx_evidence"]
+GROUNDED = f"""want AS (SELECT draft_id, unnest({nums('text')}) AS num FROM fx_drafts),
+give AS (SELECT draft_id, num, min(tier) AS best_tier FROM (SELECT draft_id, tier,
+ unnest({nums('text')}) AS num FROM fx_evidence) GROUP BY draft_id, num),
+grounded AS (SELECT w.draft_id, w.num, g.best_tier FROM want w LEFT JOIN give g
+ ON g.draft_id = w.draft_id AND g.num = w.num WHERE length(w.num) >= 2)"""
+add("ungrounded_numbers", GND, f", {GROUNDED} SELECT draft_id, num FROM grounded WHERE best_tier IS NULL")
+add("tier_only_numbers", GND, f", {GROUNDED} SELECT draft_id, num, best_tier FROM grounded WHERE best_tier >= 4")
+add("document_number_grounding", [], f"""WITH want AS (SELECT doc_id AS draft_id, unnest({nums('text')}) AS num
+ FROM documents), give AS (SELECT DISTINCT doc_id // 2 AS draft_id, unnest({nums('text')}) AS num FROM documents)
+SELECT w.draft_id, w.num, g.num IS NOT NULL AS grounded FROM want w LEFT JOIN give g
+ ON g.draft_id = w.draft_id AND g.num = w.num WHERE length(w.num) >= 2""")
+MISSING = """names AS (SELECT DISTINCT draft_id, unnest(names) AS entity FROM triaged),
+missing AS (SELECT draft_id, entity FROM names n WHERE NOT EXISTS (SELECT 1 FROM {evidence} e
+ WHERE e.draft_id = n.draft_id AND contains(lower(e.text), lower(n.entity))))"""
+add("missing_entities", GND, f""", {sent('fx_drafts')}, {TRIAGED}, {MISSING.format(evidence='fx_evidence')}
+SELECT draft_id, entity FROM missing""")
+add("document_missing_entities", [], f"""WITH d AS (SELECT doc_id AS draft_id, text FROM documents),
+n AS (SELECT doc_id - 1 AS draft_id, text FROM documents), {sent('d')}, {TRIAGED},
+{MISSING.format(evidence='n')} SELECT draft_id, entity FROM missing""")
+# The agent class of attributions admits every word character, so the plain form would change the
+# text of a subject. These texts attribute to ASCII subjects only; others would show as a mismatch.
+_agent = r"[A-Z][\w.&''-]+"
+_agents = rf"({_agent}(?:{W}+{_agent}){{0,3}})"
+_by = [rf"\b{_agents}{W}+(?:{'|'.join(fixed.ATTRIBUTION_VERBS)})\b",
+       rf"\b(?:{'|'.join(fixed.ATTRIBUTION_LEADS)}){W}+{_agents}\b",
+       rf"\b{_agents}''s{W}+(?:{'|'.join(fixed.ATTRIBUTION_WORKS)})\b"]
+_stop = ", ".join(f"'{s}'" for s in fixed.ATTRIBUTION_STOP_SUBJECTS)
+_spans = "\n UNION ALL ".join(
+    f"SELECT draft_id, sent_no, sentence, {i} AS pattern, unnest(range(0, len(x))) AS match, unnest(x) AS subject "
+    f"FROM (SELECT *, regexp_extract_all(plain, '{p}', 1) AS x FROM sents)" for i, p in enumerate(_by))
+ATTRIBUTED = f"""spans AS ({_spans}),
+said AS (SELECT draft_id, lower(subject) AS key, subject, sentence FROM spans
+ WHERE lower(subject) NOT IN ({_stop})
+ QUALIFY row_number() OVER (PARTITION BY draft_id, lower(subject) ORDER BY sent_no, pattern, match) = 1)"""
+add("attributions", PROSE + ["fx_said"], f""", {TEXTS}, every AS (SELECT * FROM texts
+ UNION ALL SELECT 'said' || draft_id, text FROM fx_said), {sent('every')}, {ATTRIBUTED}
+SELECT draft_id, key, subject, sentence FROM said""")
+_cues = "(" + "|".join(c.replace("'", "''") for c in fixed.NEGATION_CUES) + ")"
+BOUND = f"""joined AS (SELECT draft_id, lower(string_agg(text, chr(10) ORDER BY source_ord)) AS src
+ FROM heard GROUP BY draft_id),
+cutup AS (SELECT s.draft_id, s.key, s.subject, string_split(src, s.key) AS parts
+ FROM said s LEFT JOIN joined j ON j.draft_id = s.draft_id),
+pieces AS (SELECT *, CASE WHEN i = 1 THEN '' ELSE key END AS lead FROM (SELECT draft_id, key, subject,
+ len(parts) AS n, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM cutup)),
+seen AS (SELECT *, right(string_agg(lead || right(part, 70), '') OVER (PARTITION BY draft_id, key
+  ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 70) || left(string_agg(lead || left(part, 70), '')
+  OVER (PARTITION BY draft_id, key ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), length(key) + 70) AS view
+ FROM pieces),
+status AS (SELECT s.draft_id, s.subject, CASE WHEN coalesce(max(v.n), 1) = 1 THEN 'ABSENT'
+ WHEN bool_or(v.i < v.n AND NOT regexp_matches(v.view, '(?i){_cues}')) THEN 'PRESENT' ELSE 'NEGATED' END AS status
+ FROM said s LEFT JOIN seen v ON v.draft_id = s.draft_id AND v.key = s.key GROUP BY s.draft_id, s.key, s.subject)"""
+add("attribution_binding", ["fx_said", "fx_heard"], f""", heard AS (SELECT * FROM fx_heard),
+{sent('fx_said')}, {ATTRIBUTED}, {BOUND} SELECT draft_id, subject, status FROM status""")
+add("attribution_binding_one_draft", ["fx_heard"], f""", heard AS (SELECT 0::BIGINT AS draft_id,
+ draft_id * 3 + source_ord AS source_ord, text FROM fx_heard),
+one AS (SELECT 0::BIGINT AS draft_id, 'Acme Power Grid said so. It was covered by Promotional Desk, per '
+ || 'Filing Office. Nobody Known denied it; Building Board announced more.' AS text),
+{sent('one')}, {ATTRIBUTED},
+{BOUND}
+SELECT draft_id, subject, status FROM status""")
+AUDIT = f"""{sent('fx_drafts')}, {TRIAGED}, {GROUNDED}, {MISSING.format(evidence='fx_evidence')},
+{CONTRA}, {ATTRIBUTED}"""
+add("audit_verdict", GND, f""", {AUDIT}, flags AS (
+ SELECT draft_id FROM grounded WHERE best_tier IS NULL OR best_tier >= 4
+ UNION ALL SELECT draft_id FROM missing UNION ALL SELECT draft_id FROM contra
+ UNION ALL SELECT draft_id FROM said)
+SELECT d.draft_id, count(f.draft_id) AS hard_flags, count(f.draft_id) = 0 AS clean
+FROM fx_drafts d LEFT JOIN flags f USING (draft_id) GROUP BY d.draft_id""")
+add("audit_report", GND, f""", {AUDIT},
+a AS (SELECT draft_id, string_agg(num, ',' ORDER BY -length(num), num) FILTER (best_tier IS NULL) AS nm,
+ string_agg(num || '@' || best_tier, ',' ORDER BY -length(num), num) FILTER (best_tier >= 4) AS lt,
+ count(*) FILTER (best_tier IS NULL OR best_tier >= 4) AS n FROM grounded GROUP BY draft_id),
+b AS (SELECT draft_id, string_agg(entity, ',' ORDER BY entity) AS em, count(*) AS n FROM missing GROUP BY draft_id),
+c AS (SELECT draft_id, string_agg(entity || ':' || array_to_string(nums, '/'), ',' ORDER BY entity) AS co,
+ count(*) AS n FROM contra GROUP BY draft_id),
+t AS (SELECT draft_id, count(*) AS n FROM triaged GROUP BY draft_id)
+SELECT d.draft_id, coalesce(nm, '') AS numbers_missing, coalesce(em, '') AS entities_missing,
+ coalesce(co, '') AS contradictions, coalesce(lt, '') AS low_trust, 0 AS attributions,
+ CAST(coalesce(t.n, 0) AS INTEGER) AS triage,
+ CAST(coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0) AS INTEGER) AS hard_flags,
+ coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0) = 0 AS clean
+FROM fx_drafts d LEFT JOIN a USING (draft_id) LEFT JOIN b USING (draft_id) LEFT JOIN c USING (draft_id)
+LEFT JOIN t USING (draft_id)""")

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.functions.actors import actor_identity
+from auditloom.functions import prose
 from auditloom.functions.routes import usable_url
 from auditloom.functions.text import strip
+from auditloom.operators import attribution as attr
 from auditloom.operators import claims as clm
 from auditloom.operators import decisions as dec
 from auditloom.operators import derivation, diff
 from auditloom.operators import feasibility as fea
+from auditloom.operators import grounding as gro
 from auditloom.operators import registers as reg
 from auditloom.operators import sources as src
 from auditloom.operators import vocabulary as voc
+from auditloom.plans import audit
 from auditloom.session import configure
 from registry.views import view
 
@@ -369,3 +373,142 @@ def probe_numeric_notes(spark, sf_dir):
 @query
 def probe_numeric_preview(spark, sf_dir):
     return fea.note_number_preview(fea.prepared(_probes(spark, sf_dir)))
+
+
+# ---- grounding audit ----------------------------------------------------------------------------
+
+def _prose(spark, sf_dir) -> DataFrame:
+    """Every running text of the given tables and of the derived drafts, as drafts of one audit."""
+    documents = view(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc"), "doc_id").alias("draft_id"), "text")
+    talks = view(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.lit("talk"), "conv_id", "turn").alias("draft_id"), "text")
+    items = view(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("item"), "item_id").alias("draft_id"), "text")
+    drafts = view(spark, sf_dir, "fx_drafts").select(
+        F.concat(F.lit("draft"), "draft_id").alias("draft_id"), "text")
+    return documents.unionByName(talks).unionByName(items).unionByName(drafts)
+
+
+@query
+def sentences(spark, sf_dir):
+    return gro.sentence_table(_prose(spark, sf_dir)).select("draft_id", "sent_no", "sentence")
+
+
+@query
+def sentence_names(spark, sf_dir):
+    rows = gro.sentence_table(_prose(spark, sf_dir))
+    return rows.select("draft_id", "sent_no",
+                       F.posexplode("names").alias("place", "entity"))
+
+
+@query
+def text_numbers(spark, sf_dir):
+    return _prose(spark, sf_dir).select(
+        "draft_id", F.explode(prose.numbers(F.col("text"))).alias("num"))
+
+
+@query
+def triage(spark, sf_dir):
+    rows = gro.triaged(gro.sentence_table(_prose(spark, sf_dir)))
+    return rows.select("draft_id", "sent_no", F.substring("sentence", 1, 140).alias("opening"),
+                       F.array_join("reasons", "+").alias("reasons"))
+
+
+@query
+def entity_contradictions(spark, sf_dir):
+    rows = gro.contradictions(gro.sentence_table(_prose(spark, sf_dir)))
+    return rows.select("draft_id", "entity", F.array_join("nums", ",").alias("nums"))
+
+
+def _drafts(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "fx_drafts")
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "fx_evidence")
+
+
+@query
+def ungrounded_numbers(spark, sf_dir):
+    grounding = gro.number_grounding(_drafts(spark, sf_dir), _evidence(spark, sf_dir))
+    return gro.ungrounded_numbers(grounding)
+
+
+@query
+def tier_only_numbers(spark, sf_dir):
+    grounding = gro.number_grounding(_drafts(spark, sf_dir), _evidence(spark, sf_dir))
+    return gro.low_trust_numbers(grounding)
+
+
+@query
+def document_number_grounding(spark, sf_dir):
+    """Figures of every document against the two documents numbered twice as high."""
+    documents = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), "text")
+    items = view(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / 2).alias("draft_id"), F.lit(1).alias("tier"), "text")
+    return gro.number_grounding(documents, items).select(
+        "draft_id", "num", F.col("best_tier").isNotNull().alias("grounded"))
+
+
+@query
+def missing_entities(spark, sf_dir):
+    sentences = gro.sentence_table(_drafts(spark, sf_dir))
+    return gro.missing_entities(sentences, _evidence(spark, sf_dir))
+
+
+@query
+def document_missing_entities(spark, sf_dir):
+    """Names of each document against the next document as its only source, whole texts."""
+    documents = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), "text")
+    sources = documents.select((F.col("draft_id") - 1).alias("draft_id"),
+                               F.lit(1).alias("source_ord"), "text")
+    return gro.missing_entities(gro.sentence_table(documents), sources)
+
+
+@query
+def attributions(spark, sf_dir):
+    drafts = view(spark, sf_dir, "fx_said").select(
+        F.concat(F.lit("said"), "draft_id").alias("draft_id"), "text")
+    return attr.attributions(_prose(spark, sf_dir).unionByName(drafts))
+
+
+@query
+def attribution_binding(spark, sf_dir):
+    return attr.attribution_binding(
+        view(spark, sf_dir, "fx_said"), view(spark, sf_dir, "fx_heard")
+    ).select("draft_id", "subject", "status")
+
+
+@query
+def attribution_binding_one_draft(spark, sf_dir):
+    """The same evidence as one draft with one long source list: a single hot group."""
+    drafts = view(spark, sf_dir, "customer").groupBy().agg(F.count("*").alias("n")).select(
+        F.lit(0).cast("bigint").alias("draft_id"),
+        F.lit("Acme Power Grid said so. It was covered by Promotional Desk, per Filing Office. "
+              "Nobody Known denied it; Building Board announced more.").alias("text"))
+    heard = view(spark, sf_dir, "fx_heard").select(
+        F.lit(0).cast("bigint").alias("draft_id"),
+        (F.col("draft_id") * 3 + F.col("source_ord")).alias("source_ord"), "text")
+    return attr.attribution_binding(drafts, heard).select("draft_id", "subject", "status")
+
+
+@query
+def audit_verdict(spark, sf_dir):
+    drafts, evidence = _drafts(spark, sf_dir), _evidence(spark, sf_dir)
+    flags = audit.hard_flags(audit.audit_sections(drafts, evidence))
+    return audit.audit_verdict(drafts, flags)
+
+
+@query
+def audit_report(spark, sf_dir):
+    shown = audit.audit_report(_drafts(spark, sf_dir), _evidence(spark, sf_dir))
+    pairs = F.transform("contradictions", lambda c: F.concat(
+        c["entity"], F.lit(":"), F.array_join(c["nums"], "/")))
+    low = F.transform("low_trust", lambda t: F.concat(t["num"], F.lit("@"), t["best_tier"]))
+    return shown.select(
+        "draft_id", F.array_join("numbers_missing", ",").alias("numbers_missing"),
+        F.array_join("entities_missing", ",").alias("entities_missing"),
+        F.array_join(pairs, ",").alias("contradictions"), F.array_join(low, ",").alias("low_trust"),
+        F.size("attributions").alias("attributions"), F.size("triage").alias("triage"),
+        "hard_flags", "clean")

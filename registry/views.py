@@ -72,3 +72,14 @@ def with_views(names: list[str], body: str) -> str:
     """SQL text: the named derived registers as WITH entries in front of ``body``."""
     wanted = [n for n in VIEWS if n in names or (n == "decision_ids" and "fx_decisions" in names)]
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted) + body
+
+
+# Drafts that attribute, and evidence that agrees, denies, is silent or cuts a denial at its edge.
+VIEWS["fx_said"] = """
+SELECT o_orderkey AS draft_id, 'Acme Power Grid announced ' || CAST(o_orderkey % 500 AS STRING) || ' MW. The plan was covered by Promotional Desk, per Filing Office. Later ' || c_mktsegment || ' Board''s report agreed. Acme Power Grid said it again.' AS text FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+VIEWS["fx_heard"] = """
+SELECT o_orderkey AS draft_id, CAST(1 AS INT) AS source_ord, 'Filing for ' || c_name || (CASE WHEN o_orderkey % 3 = 0 THEN '. There is no evidence that Acme Power Grid agreed.' WHEN o_orderkey % 3 = 1 THEN '. The customer did not' ELSE '.' END) AS text FROM orders JOIN customer ON o_custkey = c_custkey
+ UNION ALL SELECT o_orderkey, CAST(2 AS INT), CASE WHEN o_orderkey % 4 = 0 THEN 'acme power grid wrote ' || o_orderstatus ELSE 'Promotional desk: ' || CAST(o_orderkey % 500 AS STRING) || ' MW planned.' END FROM orders
+ UNION ALL SELECT o_orderkey, CAST(3 AS INT), CASE WHEN o_orderkey % 5 = 0 THEN 'The filing office and the promotional desk rest here for a long while, with nothing said against either of them at all. ' || c_mktsegment || ' BOARD' ELSE 'isn''t known' END FROM orders JOIN customer ON o_custkey = c_custkey
+"""
