@@ -10,17 +10,11 @@ from auditloom.functions.routes import held_path, usable_url
 from auditloom.functions.text import blank, empty_under, iso_date, strip, unusable
 from auditloom.operators import derivation
 from auditloom.operators.findings import Rule, apply_rules, union_all
-from auditloom.operators.registers import projects_of, repeats, with_columns
+from auditloom.operators.registers import repeats, with_columns
 
 ARM = "SOURCES"
 
 
-def nothing_held(rows: DataFrame) -> DataFrame:
-    """An empty held-file listing, for registers checked without files."""
-    return rows.sparkSession.createDataFrame(
-        [], "project_id string, rel_path string, file_sha256 string")
-
-
 def prepared(sources: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Stripped keys and the digest of the held file, if the row's path names one."""
     rows = with_columns(sources, fixed.SOURCE_COLUMNS_V03).withColumns({
@@ -169,6 +163,3 @@ def premature_rows(rows: DataFrame, arm: str, before: str) -> DataFrame:
     early = F.col("through_ord") < fixed.STAGES.index(before)
     return apply_rules(counts, arm, [Rule("filled_too_early", early, F.col("n"))])
 
-
-__all__ = ["derivation_findings", "nothing_held", "premature_rows", "prepared", "projects_of",
-           "source_coverage", "source_findings", "source_row_findings"]
