@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import stage_order
+from auditloom.session import written
 from auditloom.sources.paths import below, project_of
 
 MAX_COLUMNS = 64
@@ -20,24 +21,24 @@ def scan_cells(spark: SparkSession, root: str, name: str) -> DataFrame:
 
     The header counts as record 1. A file with quoted line breaks cannot be split, so one task
     reads it from the start and the running id of its records has no gaps: the record number is the
-    distance from the file's first id. No sort and no window over a file is needed.
+    distance from the file's first id. No sort and no window over a file is needed. The text is
+    parsed once and landed; later steps read the landed copy.
     """
     cells = [f"_c{i}" for i in range(MAX_COLUMNS)]
     raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).options(**CSV_OPTIONS)
            .csv(f"{root.rstrip('/')}/*/{name}"))
-    rows = raw.select(F.col("_metadata.file_path").alias("file"),
-                      F.monotonically_increasing_id().alias("id"),
-                      F.array(*cells).alias("cells"))
+    rows = written(raw.select(F.col("_metadata.file_path").alias("file"),
+                              F.monotonically_increasing_id().alias("id"),
+                              F.array(*cells).alias("cells")))[0]
     starts = rows.groupBy("file").agg(F.min("id").alias("first_id"))
     numbered = rows.join(starts, "file").select(
-        project_of(below(root, F.col("file"))).alias("project_id"),
-        (F.col("id") - F.col("first_id") + 1).alias("row_no"), "cells")
+        "file", (F.col("id") - F.col("first_id") + 1).alias("row_no"), "cells")
     width = F.array_max(F.transform(F.col("cells"), lambda c, i: F.when(c.isNotNull(), i + 1)))
-    headers = numbered.filter("row_no = 1").select("project_id", F.transform(
+    headers = numbered.filter("row_no = 1").select("file", F.transform(
         F.slice("cells", F.lit(1), F.coalesce(width, F.lit(0))),
         lambda c: F.coalesce(c, F.lit(""))).alias("header"))
-    return numbered.filter("row_no > 1").join(headers, "project_id").select(
-        "project_id", "row_no", "header", "cells")
+    return numbered.filter("row_no > 1").join(headers, "file").select(
+        project_of(below(root, F.col("file"))).alias("project_id"), "row_no", "header", "cells")
 
 
 def expected_headers(spark: SparkSession) -> DataFrame:

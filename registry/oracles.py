@@ -561,3 +561,193 @@ SELECT d.draft_id, coalesce(nm, '') AS numbers_missing, coalesce(em, '') AS enti
  coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0) = 0 AS clean
 FROM fx_drafts d LEFT JOIN a USING (draft_id) LEFT JOIN b USING (draft_id) LEFT JOIN c USING (draft_id)
 LEFT JOIN t USING (draft_id)""")
+
+
+# ---- drafts of projects -------------------------------------------------------------------------
+
+def sections(text: str) -> dict[str, str]:
+    p = plain(text)
+    low = f"lower({p})"
+    head, neg = rf"^{W}*\*?\*?", r"\bnegative\b[^\n]*\bresults?\b"
+    return {
+        "has_falsifier": f"regexp_matches({low}, 'falsif|would prove .{{0,20}}wrong|kill(s|ed)? the claim')",
+        "has_verification": (f"(regexp_matches({p}, '(?im)^#{{1,6}}{W}*(?:\\d+(?:\\.\\d+)*[.)]?{W}+)?verification\\b')"
+                             f" OR regexp_matches({p}, '(?im){head}verification:'))"),
+        "has_coi": f"(contains({low}, 'conflict of interest') OR regexp_matches({low}, '\\bcoi\\b'))",
+        "has_negative_results": (
+            f"(regexp_matches({p}, '(?im)^#{{1,6}}[^\\n]*(?:{neg}|\\bnull results?\\b|\\blimitations?\\b"
+            f"|\\bretained limits?\\b|\\bcaveats?\\b)') OR regexp_matches({p}, "
+            f"'(?im){head}(?:negative results?|limitations?)\\b{W}*:'))"),
+        "names_baseline": f"regexp_matches({low}, '\\bbaselines?\\b|\\bbase rates?\\b|\\bnull model\\b')",
+        "exit_without_censoring": (
+            f"(regexp_matches({low}, '\\battrition\\b|\\bsurviv\\w*|\\bdisappear\\w*|\\bdepart(?:ed|ure|ures)\\b"
+            f"|\\bdelist\\w*|\\bchurn\\b|\\bdrop(?:ped)?[ -]off\\b') AND NOT regexp_matches({low}, "
+            "'\\bcensor\\w*|\\bsurvivorship\\b|\\bselection bias\\b'))"),
+    }
+
+
+FLAGS = ", ".join(f"{expr} AS {name}" for name, expr in sections("text").items())
+add("draft_sections", ["fx_reports"], f""", t AS (SELECT name, text FROM fx_reports
+ UNION ALL SELECT 'doc' || doc_id, text FROM documents UNION ALL SELECT 'page' || page_id, html FROM pages)
+SELECT name, {FLAGS} FROM t""")
+LOOSE = f"""said AS (SELECT project_id, string_agg(claim_text || ' ' || uncertainty, ' ') AS said
+ FROM fx_project_claims GROUP BY project_id),
+tokens AS (SELECT project_id, name, unnest(list_distinct(list_filter(regexp_extract_all(
+ regexp_replace(text, '`[^`]*`|https?://[^{W[1:-1]}]+', ' ', 'g'), '\\b[0-9][0-9,]*\\.?[0-9]*\\b'),
+ lambda t: length(t) > 2))) AS token FROM fx_reports),
+loose AS (SELECT t.* FROM tokens t JOIN said s USING (project_id) WHERE NOT contains(said, token))"""
+DRF = ["fx_reports", "fx_project_claims"]
+add("loose_numbers", DRF, f", {LOOSE} SELECT project_id, name, token FROM loose")
+_missing = [("no_falsifier", "NOT has_falsifier", "''"), ("no_verification", "NOT has_verification", "''"),
+            ("no_conflict_note", "NOT has_coi", "''"),
+            ("no_negative_results", "NOT has_negative_results", "''"),
+            ("no_baseline", "NOT names_baseline", "''"),
+            ("exit_without_censoring", "exit_without_censoring", "''")]
+add("draft_findings", DRF, f""", {LOOSE}, f AS (SELECT project_id, name, 0::BIGINT AS row_no, {FLAGS} FROM fx_reports),
+o AS (SELECT DISTINCT 'p' || c_custkey % 20 AS project_id FROM customer),
+n AS (SELECT project_id, name, count(*) AS n, array_to_string(list(token ORDER BY token)[1:8], ', ')
+ || CASE WHEN count(*) > 8 THEN ' ...' ELSE '' END AS shown FROM loose GROUP BY project_id, name)
+{findings('DRAFT', _missing, 'name', 'f', notes=('no_baseline', 'exit_without_censoring'))}
+UNION ALL SELECT project_id, 'DRAFT', 'no_draft', 'error', '', 0, '' FROM o
+ WHERE project_id NOT IN (SELECT project_id FROM fx_reports)
+UNION ALL SELECT project_id, 'DRAFT', 'loose_numbers', 'note', name, 0, n || ': ' || shown FROM n""")
+
+# ---- bindings, reviews and approvals ------------------------------------------------------------
+
+BND = ["fx_bindings"]
+BOUND_STATE = """b AS (SELECT project_id, requested, 0::BIGINT AS row_no, substr(project_id, 2)::BIGINT AS n,
+ value IS NOT NULL AND json_valid(value) AS valid, value FROM fx_bindings),
+s AS (SELECT *, CASE WHEN value IS NULL THEN 'missing' WHEN NOT valid THEN 'malformed'
+ WHEN json_type(value) <> 'OBJECT' THEN 'not_object'
+ WHEN value ->> '$.manifest_type' <> 'project_binding' THEN 'wrong_type' ELSE 'ok' END AS state,
+ CASE WHEN valid THEN lower(trim(value ->> '$.contract')) ELSE '' END AS bound, lower(trim(requested)) AS asked FROM b),
+r AS (SELECT *, coalesce(bound IN ('v0.1', 'v0.2', 'v0.3'), false) AS bound_known,
+ coalesce(asked IN ('v0.1', 'v0.2', 'v0.3'), false) AS asked_known FROM s),
+c AS (SELECT *, CASE WHEN asked_known THEN asked ELSE 'v0.2' END AS in_force,
+ CASE WHEN state = 'ok' AND bound_known THEN bound WHEN asked_known THEN asked ELSE 'v0.2' END AS contract FROM r)"""
+add("contract_resolution", BND, f", {BOUND_STATE} SELECT project_id, state, contract FROM c")
+add("contract_resolution_findings", BND, f""", {BOUND_STATE}
+{findings('MANIFEST', [
+    ('requested_unknown', 'requested IS NOT NULL AND NOT asked_known', 'requested'),
+    ('binding_missing', "state = 'missing' AND coalesce(asked, '') <> 'v0.1'", "''"),
+    ('legacy_without_binding', "state = 'missing' AND asked = 'v0.1'", "''"),
+    ('binding_invalid', "state NOT IN ('ok', 'missing')", 'state'),
+    ('contract_conflict', "requested IS NOT NULL AND state = 'ok' AND bound <> in_force", 'bound'),
+    ('bound_contract_unknown', "state = 'ok' AND NOT bound_known", 'bound'),
+    ('legacy_needs_request', "requested IS NULL AND state = 'ok' AND bound = 'v0.1'", 'bound'),
+    ('binding_not_held', "state = 'missing' AND contract = 'v0.3'", "''"),
+], "''", 'c', notes=('legacy_without_binding',))}""")
+_item = "json_extract(value, '$.instruments.' || key)"
+add("binding_instruments", BND, f""", {BOUND_STATE},
+k(key, file) AS (VALUES ('gate', 'gate.bin'), ('notes', 'notes.md')),
+h AS (SELECT c.*, k.*, {_item} AS item FROM c CROSS JOIN k WHERE state = 'ok'),
+i AS (SELECT *, coalesce(json_type(item) = 'OBJECT', false) AS listed,
+ CASE WHEN json_type(item, '$.file') = 'VARCHAR' THEN item ->> '$.file' END AS f,
+ CASE WHEN json_type(item, '$.version') = 'VARCHAR' THEN item ->> '$.version' END AS v,
+ CASE WHEN json_type(item, '$.sha256') = 'VARCHAR' THEN item ->> '$.sha256' END AS sha,
+ CASE contract WHEN 'v0.1' THEN 'v0' ELSE contract END AS wanted,
+ CASE WHEN key = 'gate' AND contract = 'v0.2' THEN repeat('ab', 32)
+      WHEN key = 'gate' AND contract = 'v0.3' THEN repeat('cd', 32) END AS seen FROM h),
+j AS (SELECT *, listed AND coalesce(regexp_full_match(sha, '[0-9a-f]{{64}}'), false) AS formed FROM i)
+{findings('MANIFEST', [
+    ('instrument_missing', 'NOT listed', "''"),
+    ('instrument_file', 'listed AND f IS DISTINCT FROM file', 'f'),
+    ('instrument_version', 'listed AND v IS DISTINCT FROM wanted', 'v'),
+    ('instrument_hash_form', 'listed AND NOT formed', "''"),
+    ('instrument_hash_unrecognised',
+     "formed AND NOT (key = 'gate' AND sha IN (repeat('ab', 32), repeat('ef', 32)))", 'sha'),
+    ('instrument_bytes_missing', 'formed AND seen IS NULL', "''"),
+    ('instrument_bytes_differ', 'formed AND seen <> sha', 'seen'),
+], 'key', 'j')}
+UNION ALL {findings('MANIFEST', [
+    ('binding_schema', "value ->> '$.schema_version' <> '1.0'", "''"),
+    ('bound_date_invalid', "value ->> '$.bound_date' = 'soon'", "''"),
+], "''", "c WHERE state = 'ok' AND").replace("AND WHERE", "AND")}""")
+
+WIDE = ["fx_wide_decisions"]
+_wide_digest = ("sha256(concat_ws(chr(31), decision_id, '', '', "
+                + ", ".join(strip(c) for c in ("chosen", "alternatives", "rationale", "decided_date",
+                                               "decided_by")) + ", ''))")
+REVIEWED = f"""{FIRST.format(src='fx_wide_decisions')},
+f AS (SELECT *, substr(project_id, 2)::BIGINT AS n, {_wide_digest} AS digest,
+ row_no % 13 = 0 AS bad FROM first WHERE decision_id IN ({_review})),
+p AS (SELECT DISTINCT project_id, substr(project_id, 2)::BIGINT AS n, 0::BIGINT AS row_no FROM fx_wide_decisions)"""
+add("review_stale", WIDE, f""", {REVIEWED}, q AS (SELECT * REPLACE (0::BIGINT AS row_no), row_no AS r FROM f)
+{findings('SCOPE_REVIEW', [
+    ('digest_form', 'bad', "''"), ('digest_stale', 'NOT bad AND r % 5 = 0', 'digest'),
+    ('reviewer_is_maker', 'NOT bad AND n % 7 <> 0 AND n % 3 = 1 AND r % 4 = n % 5', "''"),
+    ('review_before_decision', "NOT bad AND n % 23 <> 0 AND decided_date > '1996-06-15'", 'decided_date'),
+], 'decision_id', 'q')}""")
+_checks = "u(i, name) AS (VALUES " + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(fixed.REVIEW_CHECKS)) + ")"
+CHECKED = f"""{_checks}, k AS (SELECT p.*, i, name, n % (i + 2) = 0 AS failed, n % 17 = i AS odd, n % 11 = i AS mute
+ FROM p CROSS JOIN u WHERE project_id IN (SELECT project_id FROM f)),
+e AS (SELECT project_id, n, row_no, count(*) FILTER (failed) AS fails,
+ coalesce(string_agg(name, ', ' ORDER BY name) FILTER (failed), '') AS names FROM k GROUP BY ALL),
+ids AS (SELECT project_id, n, 0::BIGINT AS row_no, count(*) AS ids, string_agg(decision_id, ', ' ORDER BY decision_id) AS seen
+ FROM f GROUP BY ALL)"""
+add("review_record_findings", WIDE, f""", {REVIEWED}, {CHECKED}
+{findings('SCOPE_REVIEW', [('record_missing', 'project_id NOT IN (SELECT project_id FROM f)', "''")], "''", 'p')}
+UNION ALL {findings('SCOPE_REVIEW', [
+    ('schema_invalid', 'n % 19 = 0', "''"), ('reviewer_not_comparable', 'n % 7 = 0', "''"),
+    ('date_not_iso', 'n % 23 = 0', "'later'"), ('reviewed_ids_differ', 'ids < 7', 'seen')], "''", 'ids')}
+UNION ALL {findings('SCOPE_REVIEW', [('check_result_invalid', 'odd AND NOT failed', 'name'),
+                                     ('check_note_empty', 'mute', 'name')], "''", 'k')}
+UNION ALL {findings('SCOPE_REVIEW', [('reviewed', 'true', "'exceptional=' || fails")], "''", 'e',
+                    notes=('reviewed',))}""")
+add("approval_findings", WIDE, f""", {REVIEWED}, {CHECKED},
+scope AS (SELECT project_id, count(DISTINCT decision_id) FILTER (decision_id IN ({_scope})) = 10
+ AND count(*) = count(DISTINCT decision_id) AS whole,
+ bool_or(decision_id IN ({_scope}) AND row_no % 4 = 3) AS run3 FROM fx_wide_decisions GROUP BY project_id),
+a AS (SELECT p.*, e.fails, e.names, e.project_id IS NOT NULL AS reviewed, whole, run3, p.n % 29 <> 0 AS ok,
+ CASE WHEN p.n % 5 = 0 THEN NULL WHEN e.fails > 0 THEN 'exceptions_present'
+  WHEN p.n % 31 = 0 THEN 'policy_missing' WHEN p.n % 5 = 1 AND p.n % 3 = 0 THEN 'not_delegated'
+  WHEN p.n % 5 = 1 THEN NULL WHEN p.n % 5 = 4 THEN 'approver_not_comparable'
+  WHEN e.project_id IS NULL THEN 'review_missing'
+  WHEN p.n % 5 = 3 AND p.n % 7 <> 0 THEN 'approver_is_reviewer'
+  WHEN p.n % 5 = 3 AND p.n % 3 = 1 AND run3 THEN 'approver_made_scope' END AS defect,
+ CASE WHEN p.n % 2 = 0 THEN 'q3_disconfirms_q2' ELSE '' END AS accepted
+ FROM p LEFT JOIN e USING (project_id) JOIN scope USING (project_id))
+{findings('SCOPE_APPROVAL', [
+    ('record_missing', 'NOT ok', "''"), ('approver_refused', 'ok AND defect IS NOT NULL', 'defect'),
+    ('not_proceeding', 'ok AND n % 9 = 0', "'hold'"),
+    ('reference_untraceable', 'ok AND n % 10 = 0', "'no_date'"),
+    ('bound_unresolved', 'ok AND NOT whole', "'decisions.csv#question_scope'"),
+    ('bound_stale', 'ok AND whole', "'decisions.csv#question_scope'"),
+    ('bound_stale', 'ok AND n % 6 = 0', "'feasibility.csv'"),
+    ('accepted_set_differs', 'ok AND reviewed AND names <> accepted', 'names'),
+    ('approval_before_review', 'ok AND reviewed AND n % 23 <> 0 AND n % 4 = 0', "'1996-06-01'"),
+    ('recorded', 'ok', "'decision=' || CASE WHEN n % 9 = 0 THEN 'hold' ELSE 'proceed' END || "
+     "' accepted=' || CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END"),
+], "''", 'a', notes=('recorded',))}""")
+add("project_verdict", [], f"""WITH all_findings AS (
+ SELECT project_id, severity FROM ({SQL['decision_findings_v03']})
+ UNION ALL SELECT project_id, severity FROM ({SQL['source_findings_v03']})
+ UNION ALL SELECT project_id, severity FROM ({SQL['probe_findings']}))
+SELECT project_id, count(*) FILTER (severity = 'error') AS errors,
+ count(*) FILTER (severity = 'note') AS notes, count(*) FILTER (severity = 'error') = 0 AS passed
+FROM all_findings GROUP BY project_id""")
+
+# ---- scans over files Spark derives from the tables ---------------------------------------------
+
+add("register_scan", SRC, """ SELECT project_id, 'source_id,title,publisher,notes' AS header, source_id,
+ title || chr(10) || '"x", y' AS title, publisher, notes FROM fx_sources""")
+add("source_specs", [], """WITH s AS (SELECT url || ':' || CASE WHEN page_id % 3 = 0 THEN 'x'
+  ELSE CAST(page_id % 5 AS VARCHAR) END AS spec FROM pages
+ UNION ALL SELECT source || '.txt' || CASE WHEN doc_id % 2 = 0 THEN ':' || doc_id % 6 ELSE '' END FROM documents)
+SELECT spec, CASE WHEN contains(spec, ':') THEN regexp_replace(spec, ':[^:]*$', '') ELSE spec END AS source_path,
+ CASE WHEN regexp_matches(spec, ':[0-9]+$') THEN CAST(regexp_extract(spec, ':([0-9]+)$', 1) AS INTEGER) ELSE 3 END AS tier
+FROM s""")
+add("delimited_numbers", [], """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
+n AS (SELECT 'o' || k || CASE k % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.TSV' ELSE '.txt' END AS name,
+ CASE WHEN k % 3 = 1 THEN [k::VARCHAR, c::VARCHAR]
+ -- unsplit, the comma between the last two fields groups when the key has one to three digits
+ WHEN k % 3 = 2 AND k < 1000 THEN [k::VARCHAR || (100 + c % 900), (7000 + 100 + k % 900)::VARCHAR]
+ ELSE [k::VARCHAR, (100 + c % 900)::VARCHAR, (7000 + 100 + k % 900)::VARCHAR] END AS nums FROM o)
+SELECT name, unnest(list_distinct(nums)) AS num FROM n""")
+add("exit_rates", [], """WITH l AS (SELECT event_type AS grp, user_id, max(CAST(ts AS DATE)) AS last_seen
+ FROM events GROUP BY ALL), e AS (SELECT max(CAST(ts AS DATE)) AS edge FROM events),
+c AS (SELECT grp, count(*) AS entries, count(*) FILTER (last_seen < edge) AS exits_counted,
+ count(*) FILTER (last_seen < edge - 7) AS exits_confirmed FROM l, e GROUP BY grp)
+SELECT *, round(100 * exits_counted / entries, 2) AS pct_counted,
+ round(100 * exits_confirmed / entries, 2) AS pct_confirmed FROM c""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +13,24 @@ from auditloom.functions.actors import actor_identity
 from auditloom.functions import prose
 from auditloom.functions.routes import usable_url
 from auditloom.functions.text import strip
+from auditloom.operators import approval as apr
 from auditloom.operators import attribution as attr
+from auditloom.operators import binding as bnd
 from auditloom.operators import claims as clm
 from auditloom.operators import decisions as dec
 from auditloom.operators import derivation, diff
+from auditloom.operators import drafts as drf
 from auditloom.operators import feasibility as fea
+from auditloom.operators import findings as fnd
 from auditloom.operators import grounding as gro
+from auditloom.operators import programme as prg
 from auditloom.operators import registers as reg
+from auditloom.operators import review as rvw
 from auditloom.operators import sources as src
 from auditloom.operators import vocabulary as voc
 from auditloom.plans import audit
-from auditloom.session import configure
+from auditloom.session import configure, shared_dir
+from auditloom.sources import custody, registers, texts
 from registry.views import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,3 +520,249 @@ def audit_report(spark, sf_dir):
         F.array_join(pairs, ",").alias("contradictions"), F.array_join(low, ",").alias("low_trust"),
         F.size("attributions").alias("attributions"), F.size("triage").alias("triage"),
         "hard_flags", "clean")
+
+
+# ---- drafts of projects -------------------------------------------------------------------------
+
+@query
+def draft_sections(spark, sf_dir):
+    """The six section flags over reports, documents and the markup of whole web pages."""
+    reports = view(spark, sf_dir, "fx_reports").select("name", "text")
+    documents = view(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc"), "doc_id").alias("name"), "text")
+    pages = view(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page"), "page_id").alias("name"), F.col("html").alias("text"))
+    return drf.section_flags(reports.unionByName(documents).unionByName(pages)).drop("text")
+
+
+@query
+def loose_numbers(spark, sf_dir):
+    return drf.loose_numbers(view(spark, sf_dir, "fx_reports"),
+                             view(spark, sf_dir, "fx_project_claims"))
+
+
+@query
+def draft_findings(spark, sf_dir):
+    reports = view(spark, sf_dir, "fx_reports")
+    owed = view(spark, sf_dir, "customer").select(
+        F.concat(F.lit("p"), F.col("c_custkey") % 20).alias("project_id")).distinct()
+    projects = reg.stamp(owed, "v0.2", "draft")
+    return _flat(drf.draft_findings(projects, reports, view(spark, sf_dir, "fx_project_claims")))
+
+
+# ---- bindings, reviews and approvals ------------------------------------------------------------
+
+def _bindings(spark, sf_dir) -> DataFrame:
+    rows = view(spark, sf_dir, "fx_bindings")
+    projects = rows.select("project_id", "requested", F.lit(5).alias("through_ord"))
+    return bnd.resolved(projects, rows.filter("value IS NOT NULL").select("project_id", "value"))
+
+
+@query
+def contract_resolution(spark, sf_dir):
+    return _bindings(spark, sf_dir).select("project_id", "state", "contract")
+
+
+@query
+def contract_resolution_findings(spark, sf_dir):
+    return _flat(bnd.resolution_findings(_bindings(spark, sf_dir)))
+
+
+@query
+def binding_instruments(spark, sf_dir):
+    """Two instruments per contract; the recognised and the observed bytes differ by contract."""
+    instruments = spark.createDataFrame(
+        [(c, k, f) for c in fixed.CONTRACTS for k, f in (("gate", "gate.bin"),
+                                                         ("notes", "notes.md"))],
+        "contract string, key string, file string")
+    recognised = spark.createDataFrame(
+        [(c, "gate.bin", h * 32) for c in fixed.CONTRACTS for h in ("ab", "ef")],
+        "contract string, file string, sha256 string")
+    observed = spark.createDataFrame([("v0.2", "gate.bin", "ab" * 32), ("v0.3", "gate.bin", "cd" * 32)],
+                                     "contract string, file string, file_sha256 string")
+    return _flat(bnd.instrument_findings(_bindings(spark, sf_dir), instruments, recognised, observed))
+
+
+def _reviewed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(projects, decisions, reviews): one project per customer, reviewed on a copy of its rows.
+
+    In the copy ``chosen`` differs where row_no is a multiple of five, so those digests are stale.
+    """
+    rows = view(spark, sf_dir, "fx_wide_decisions").withColumns(
+        {"stage": F.lit(""), "question": F.lit(""), "revisit_trigger": F.lit("")})
+    copy = rows.withColumn("chosen", F.when(F.col("row_no") % 5 == 0, "altered").otherwise(
+        F.col("chosen")))
+    digests = dec.decision_digests(copy).filter(F.col("did").isin(fixed.REVIEW_DECISIONS))
+    number = F.substring("project_id", 2, 18).cast("bigint")
+    bad = F.col("row_no") % 13 == 0
+    listed = digests.groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "did", F.when(bad, F.upper("digest")).otherwise(F.col("digest"))))).alias("digests"))
+    checks = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.struct(
+        F.when(number % (i + 2) == 0, "fail").when(number % 17 == i, "fine").otherwise("pass")
+        .alias("result"), F.when(number % 11 == i, "..").otherwise("read").alias("note")))
+        for i, c in enumerate(fixed.REVIEW_CHECKS)]))
+    record = F.struct(
+        F.lit(fixed.REVIEW_RECORD_TYPE).alias("record_type"),
+        F.when(number % 19 == 0, "2.0").otherwise("1.0").alias("schema_version"),
+        F.lit(" V0.3").alias("contract"),
+        F.when(number % 7 == 0, "the reviewer").otherwise(F.concat(
+            F.lit("model=m 1; harness=CLI; run=r"), number % 5, F.lit("; role=reviewer")))
+        .alias("reviewer"),
+        F.when(number % 23 == 0, "later").otherwise("1996-06-15").alias("review_date"),
+        F.col("digests").alias("reviewed_decisions"), checks.alias("checks"))
+    reviews = listed.select("project_id", F.to_json(record).alias("value"))
+    projects = rows.groupBy("project_id").agg(F.lit("v0.3").alias("contract"),
+                                              F.lit(5).alias("through_ord"))
+    return projects, rows, reviews
+
+
+@query
+def review_stale(spark, sf_dir):
+    projects, rows, reviews = _reviewed(spark, sf_dir)
+    digests = dec.decision_digests(rows).filter(F.col("did").isin(fixed.REVIEW_DECISIONS))
+    parsed = rvw.parsed(projects, reviews)
+    return _flat(rvw.reviewed_row_findings(rvw.reviewed_rows(parsed, digests)))
+
+
+@query
+def review_record_findings(spark, sf_dir):
+    projects, _, reviews = _reviewed(spark, sf_dir)
+    return _flat(rvw.record_findings(rvw.parsed(projects, reviews)))
+
+
+AUTHORITY, AUTOMATIC = "Example Review Board", "controller=opener; rule=clean"
+
+
+def _approvals(spark, sf_dir) -> tuple[DataFrame, apr.ApprovalRules]:
+    """Approval records of every customer's project, written against copies that partly differ."""
+    projects, rows, reviews = _reviewed(spark, sf_dir)
+    number = F.substring("project_id", 2, 18).cast("bigint")
+    files = projects.select("project_id", F.explode(F.array(
+        F.lit("feasibility.csv"), F.lit("scope_review.json"), F.lit("authority_policy.json")))
+        .alias("rel_path")).withColumn("file_sha256", F.sha2(
+            F.concat("project_id", F.lit("/"), "rel_path"), 256))
+    recorded = F.when(number % 6 == 0, F.sha2("project_id", 256)).otherwise(
+        F.sha2(F.concat("project_id", F.lit("/feasibility.csv")), 256))
+    bound = F.map_from_entries(F.array(
+        F.struct(F.lit(fixed.APPROVAL_BOUND[0]), F.sha2("project_id", 256)),
+        F.struct(F.lit(fixed.APPROVAL_BOUND[1]), recorded),
+        F.struct(F.lit(fixed.APPROVAL_BOUND[2]), F.sha2(
+            F.concat("project_id", F.lit("/scope_review.json")), 256))))
+    who = (F.when(number % 5 == 0, "example review-board").when(number % 5 == 1, AUTOMATIC)
+           .when(number % 5 == 2, F.concat(F.lit("model=Gamma 5; harness=cli; run=r"), number % 4))
+           .when(number % 5 == 3, "model=m 1; harness=cli; run=r3").otherwise("nobody"))
+    record = F.struct(
+        F.lit(fixed.APPROVAL_RECORD_TYPE).alias("record_type"), F.lit("1.0").alias("schema_version"),
+        F.lit("v0.3").alias("contract"), who.alias("approved_by"),
+        F.when(number % 4 == 0, "1996-06-01").otherwise("1996-07-01").alias("approval_date"),
+        F.when(number % 9 == 0, "hold").otherwise("proceed").alias("decision"),
+        F.when(number % 2 == 0, F.array(F.lit(fixed.REVIEW_CHECKS[0]))).otherwise(F.array())
+        .cast("array<string>").alias("accepted_checks"),
+        F.when(number % 10 == 0, "no date in handoff.md").otherwise("2026-08-14 handoff.md")
+        .alias("approval_reference"), bound.alias("bound_files"),
+        F.sha2(F.concat("project_id", F.lit("/authority_policy.json")), 256)
+        .alias("authority_policy_sha256"))
+    approvals = projects.filter(number % 29 != 0).select("project_id",
+                                                         F.to_json(record).alias("value"))
+    policy = F.struct(
+        F.lit(fixed.POLICY_RECORD_TYPE).alias("record_type"), F.lit("1.0").alias("schema_version"),
+        F.lit(fixed.POLICY_CONTRACT).alias("contract"), F.lit(AUTHORITY).alias("policy_owner"),
+        F.when(number % 3 == 0, F.array(F.lit(fixed.DELEGATED_PERMISSION))).otherwise(
+            F.array(F.lit(fixed.DELEGATED_PERMISSION), F.lit(fixed.AUTOMATIC_PERMISSION)))
+        .alias("delegated_permissions"),
+        F.array(F.lit("gamma"), F.lit("M")).alias("allowed_model_families"),
+        F.array(F.lit("Delta")).alias("excluded_model_families"))
+    policies = projects.filter(number % 31 != 0).select("project_id",
+                                                        F.to_json(policy).alias("value"))
+    rules = apr.ApprovalRules([AUTHORITY], AUTOMATIC)
+    return apr.parsed(projects, approvals, policies, rvw.parsed(projects, reviews), rows,
+                      apr.binding_digests(rows, files), files, rules), rules
+
+
+@query
+def approval_findings(spark, sf_dir):
+    rows, rules = _approvals(spark, sf_dir)
+    return _flat(apr.approval_findings(rows, rules))
+
+
+@query
+def project_verdict(spark, sf_dir):
+    """Errors and notes per project over the decision, source and probe arms together."""
+    decisions = _decisions(spark, sf_dir)
+    scope = dec.latest_scope_dates(decisions)
+    rows = src.prepared(reg.stamp(view(spark, sf_dir, "fx_sources"), "v0.3"))
+    found = fnd.union_all([
+        dec.decision_findings(decisions), src.source_row_findings(rows, scope),
+        fea.probe_row_findings(fea.prepared(_probes(spark, sf_dir)), scope)])
+    return fnd.verdict(decisions, found)
+
+
+# ---- scans over files Spark derives from the tables ---------------------------------------------
+
+@query
+def register_scan(spark, sf_dir):
+    """The source register written as CSV, one folder per project, with line breaks and quotes
+    inside fields, and read back by the register scan."""
+    rows = view(spark, sf_dir, "fx_sources").select(
+        "project_id", "source_id", F.concat("title", F.lit('\n"x", y')).alias("title"),
+        "publisher", "notes")
+    root = f"{shared_dir(spark)}/registers-{uuid.uuid4().hex}"
+    (rows.repartition("project_id").write.partitionBy("project_id")
+     .options(header=True, escape='"').csv(root))
+    cells = registers.scan_cells(spark, root, "part-*.csv")
+    return cells.select(
+        F.regexp_replace("project_id", "^project_id=", "").alias("project_id"),
+        F.array_join("header", ",").alias("header"),
+        F.get("cells", F.lit(0)).alias("source_id"), F.get("cells", F.lit(1)).alias("title"),
+        F.get("cells", F.lit(2)).alias("publisher"),
+        F.coalesce(F.get("cells", F.lit(3)), F.lit("")).alias("notes"))
+
+
+@query
+def held_files(spark, sf_dir):
+    """The documents written as text files and hashed by the held-file scan: digests per folder."""
+    root = f"{shared_dir(spark)}/held-{uuid.uuid4().hex}"
+    documents = view(spark, sf_dir, "documents").select(
+        F.concat(F.lit("p"), F.col("doc_id") % 16).alias("project_id"),
+        F.lit("one line").alias("value"))
+    documents.distinct().write.partitionBy("project_id").text(root)
+    return custody.scan_held(spark, root, "part-*").select(
+        F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), "file_sha256")
+
+
+@query
+def source_specs(spark, sf_dir):
+    """path:TIER specifications built from page addresses and document sources."""
+    pages = view(spark, sf_dir, "pages").select(F.concat_ws(":", "url", F.when(
+        F.col("page_id") % 3 == 0, "x").otherwise((F.col("page_id") % 5).cast("string")))
+        .alias("spec"))
+    documents = view(spark, sf_dir, "documents").select(F.concat(
+        "source", F.lit(".txt"), F.when(F.col("doc_id") % 2 == 0, F.concat(
+            F.lit(":"), F.col("doc_id") % 6)).otherwise("")).alias("spec"))
+    return texts.parse_source_spec(pages.unionByName(documents)).select(
+        "spec", "source_path", "tier")
+
+
+@query
+def delimited_numbers(spark, sf_dir):
+    """Figures of orders kept as delimited text: field commas part, quoted grouping commas stay."""
+    order = F.col("o_orderkey")
+    rows = view(spark, sf_dir, "orders").select(
+        order.alias("row_no"), F.concat(F.lit("o"), order, F.when(order % 3 == 0, ".csv").when(
+            order % 3 == 1, ".TSV").otherwise(".txt")).alias("name"),
+        F.when(order % 3 == 1, F.concat_ws("\t", F.lit("key"), "o_orderkey", "o_custkey"))
+        .otherwise(F.concat(F.lit('total,key,customer\n"7,'), F.lit(100) + order % 900, F.lit('",'),
+                            order, F.lit(","), F.lit(100) + F.col("o_custkey") % 900))
+        .alias("text"))
+    fielded = texts.normalised(rows, F.col("name"))
+    return fielded.select("name", F.explode(prose.numbers(F.col("text"))).alias("num"))
+
+
+@query
+def exit_rates(spark, sf_dir):
+    """Users last seen before the final day: counted as exits, or censored for the last week."""
+    seen = view(spark, sf_dir, "events").select(
+        "user_id", F.col("event_type").alias("grp"), F.col("ts").cast("date").alias("day"))
+    last = seen.groupBy("grp", "user_id").agg(F.max("day").alias("last_seen"))
+    edge = seen.agg(F.max("day").alias("edge")).scalar()
+    return prg.exit_rates(last, edge, F.date_sub(edge, 7), ["grp"])

@@ -56,6 +56,45 @@ SELECT o_orderkey AS draft_id, o_orderkey AS doc_no, 'Customer ' || c_name || '
 }
 
 
+# Drafts that attribute, and evidence that agrees, denies, is silent or cuts a denial at its edge.
+VIEWS["fx_said"] = """
+SELECT o_orderkey AS draft_id, 'Acme Power Grid announced ' || CAST(o_orderkey % 500 AS STRING) || ' MW. The plan was covered by Promotional Desk, per Filing Office. Later ' || c_mktsegment || ' Board''s report agreed. Acme Power Grid said it again.' AS text FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+VIEWS["fx_heard"] = """
+SELECT o_orderkey AS draft_id, CAST(1 AS INT) AS source_ord, 'Filing for ' || c_name || (CASE WHEN o_orderkey % 3 = 0 THEN '. There is no evidence that Acme Power Grid agreed.' WHEN o_orderkey % 3 = 1 THEN '. The customer did not' ELSE '.' END) AS text FROM orders JOIN customer ON o_custkey = c_custkey
+ UNION ALL SELECT o_orderkey, CAST(2 AS INT), CASE WHEN o_orderkey % 4 = 0 THEN 'acme power grid wrote ' || o_orderstatus ELSE 'Promotional desk: ' || CAST(o_orderkey % 500 AS STRING) || ' MW planned.' END FROM orders
+ UNION ALL SELECT o_orderkey, CAST(3 AS INT), CASE WHEN o_orderkey % 5 = 0 THEN 'The filing office and the promotional desk rest here for a long while, with nothing said against either of them at all. ' || c_mktsegment || ' BOARD' ELSE 'isn''t known' END FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+VIEWS["fx_wide_decisions"] = """
+SELECT 'c' || CAST(o_custkey AS STRING) AS project_id, o_orderkey AS row_no, d.did AS decision_id,
+ CASE WHEN d.idx % 3 = 0 THEN ' option A ' ELSE o_orderpriority END AS chosen, 'wider|narrower' AS alternatives,
+ 'because ' || o_orderstatus AS rationale, CAST(CAST(o_orderdate AS DATE) AS STRING) AS decided_date,
+ 'model=M-' || CAST(o_custkey % 3 AS STRING) || '; harness=cli; run=r' || CAST(o_orderkey % 4 AS STRING) AS decided_by
+ FROM orders JOIN decision_ids d ON o_orderkey % 27 = d.idx
+"""
+VIEWS["fx_reports"] = """
+SELECT 'p' || CAST(o_custkey % 16 AS STRING) AS project_id, 'r' || CAST(o_orderkey AS STRING) || '.md' AS name,
+ '# Order ' || CAST(o_orderkey AS STRING) || chr(10) || chr(10) || 'Total ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || ' in `9999`, see https://x.example/8888.' || chr(10)
+ || (CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN '## Falsifier' WHEN 1 THEN 'A low total would prove it all wrong' WHEN 2 THEN 'that KILLED the claim' ELSE 'nothing' END) || chr(10)
+ || (CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN '## 3.1 Verification of it' WHEN 1 THEN '  **Verification: traced' WHEN 2 THEN 'see verification' WHEN 3 THEN '#Verifications' ELSE '### VERIFICATION' END) || chr(10)
+ || (CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN 'COI: none' WHEN 1 THEN 'coins' ELSE 'Conflict of Interest' END) || chr(10)
+ || (CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN '## Negative and null results' WHEN 1 THEN 'Limitations :' WHEN 2 THEN '# Retained limits' WHEN 3 THEN '**negative result:' WHEN 4 THEN '# Unlimitations' WHEN 5 THEN 'caveats' ELSE '## Caveats' END) || chr(10)
+ || (CASE WHEN o_orderkey % 2 = 0 THEN 'No baseline. ' ELSE '' END) || (CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN 'Some dropped off.' WHEN 1 THEN 'Survivors, censored' WHEN 2 THEN 'delisted' WHEN 3 THEN 'departing' ELSE 'churn and selection bias' END) AS text FROM orders
+"""
+VIEWS["fx_project_claims"] = """
+SELECT 'p' || CAST(o_custkey % 16 AS STRING) AS project_id, 'Order ' || CAST(l_orderkey AS STRING) || ' ships ' || CAST(CAST(l_quantity AS INT) AS STRING) || ' units' AS claim_text,
+ CASE WHEN l_linenumber % 3 = 0 THEN 'near ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) || '.5,' ELSE '' END AS uncertainty FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+VIEWS["fx_bindings"] = """
+SELECT 'c' || CAST(c_custkey AS STRING) AS project_id, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN 'v0.1' WHEN 1 THEN ' V0.2 ' WHEN 2 THEN 'v0.3' WHEN 3 THEN 'v8' END AS requested,
+ CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '{bad' WHEN 2 THEN '[1]' WHEN 3 THEN '{"manifest_type": "other", "contract": "v0.2"}'
+ ELSE '{"manifest_type": "project_binding", "schema_version": "1.' || CAST(c_custkey % 2 AS STRING) || '", "bound_date": "' || (CASE WHEN c_custkey % 9 = 0 THEN 'soon' ELSE '2026-08-14' END) || '", "contract": "'
+ || (CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'v0.1' WHEN 1 THEN 'v9.9' WHEN 2 THEN ' V0.3' ELSE 'v0.2' END) || '", "instruments": {"gate": {"file": "' || (CASE WHEN c_custkey % 8 = 0 THEN 'other' ELSE 'gate.bin' END)
+ || '", "version": "' || (CASE WHEN c_custkey % 10 = 0 THEN 'v7' WHEN c_custkey % 5 = 0 THEN 'v0' WHEN c_custkey % 5 = 2 THEN 'v0.3' ELSE 'v0.2' END) || '", "sha256": "' || (CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN repeat('ab', 32) WHEN 1 THEN repeat('cd', 32) WHEN 2 THEN repeat('AB', 32) ELSE repeat('ef', 32) END)
+ || '"}' || (CASE WHEN c_custkey % 11 = 0 THEN ', "notes": 3' ELSE ', "notes": {"file": "notes.md", "version": "v0.2", "sha256": 5}' END) || '}}' END AS value FROM customer
+"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived register (or a given table) as a DataFrame over the Parquet files of ``sf_dir``."""
     for table in TABLES:
@@ -70,16 +109,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(names: list[str], body: str) -> str:
     """SQL text: the named derived registers as WITH entries in front of ``body``."""
-    wanted = [n for n in VIEWS if n in names or (n == "decision_ids" and "fx_decisions" in names)]
+    wanted = [n for n in VIEWS if n in names or (n == "decision_ids" and any("decisions" in x for x in names))]
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted) + body
-
-
-# Drafts that attribute, and evidence that agrees, denies, is silent or cuts a denial at its edge.
-VIEWS["fx_said"] = """
-SELECT o_orderkey AS draft_id, 'Acme Power Grid announced ' || CAST(o_orderkey % 500 AS STRING) || ' MW. The plan was covered by Promotional Desk, per Filing Office. Later ' || c_mktsegment || ' Board''s report agreed. Acme Power Grid said it again.' AS text FROM orders JOIN customer ON o_custkey = c_custkey
-"""
-VIEWS["fx_heard"] = """
-SELECT o_orderkey AS draft_id, CAST(1 AS INT) AS source_ord, 'Filing for ' || c_name || (CASE WHEN o_orderkey % 3 = 0 THEN '. There is no evidence that Acme Power Grid agreed.' WHEN o_orderkey % 3 = 1 THEN '. The customer did not' ELSE '.' END) AS text FROM orders JOIN customer ON o_custkey = c_custkey
- UNION ALL SELECT o_orderkey, CAST(2 AS INT), CASE WHEN o_orderkey % 4 = 0 THEN 'acme power grid wrote ' || o_orderstatus ELSE 'Promotional desk: ' || CAST(o_orderkey % 500 AS STRING) || ' MW planned.' END FROM orders
- UNION ALL SELECT o_orderkey, CAST(3 AS INT), CASE WHEN o_orderkey % 5 = 0 THEN 'The filing office and the promotional desk rest here for a long while, with nothing said against either of them at all. ' || c_mktsegment || ' BOARD' ELSE 'isn''t known' END FROM orders JOIN customer ON o_custkey = c_custkey
-"""
