@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditloom import fixed
-from auditloom.functions.text import strip, text, unusable
+from auditloom.functions.text import let, strip, text, unusable
 
 
 def normalise_actor(value: Column) -> Column:
@@ -24,20 +24,21 @@ def actor_identity(value: Column) -> Column:
             F.lower(strip(F.when(at > 0, F.substring(segment, F.lit(1), at - 1)))).alias("key"),
             strip(F.when(at > 0, F.substring(segment, at + 1, F.length(segment)))).alias("part"))
 
-    pairs = F.transform(F.split(text(value), ";"), pair)
-    keys = F.transform(pairs, lambda p: p["key"])
-    well_formed = (
-        F.forall(pairs, lambda p: p["key"].isin(allowed) & ~unusable(p["part"]))
-        & (F.size(F.array_distinct(keys)) == F.size(keys))
-        & F.forall(F.array(*[F.lit(k) for k in fixed.ACTOR_FIELDS]),
-                   lambda k: F.array_contains(keys, k)))
+    def identity(pairs: Column) -> Column:
+        keys = F.transform(pairs, lambda p: p["key"])
+        needed = F.array(*[F.lit(k) for k in fixed.ACTOR_FIELDS])
+        well_formed = (
+            F.forall(pairs, lambda p: p["key"].isin(allowed) & ~unusable(p["part"]))
+            & (F.size(F.array_distinct(keys)) == F.size(keys))
+            & (F.size(F.array_except(needed, keys)) == 0))
 
-    def part(key: str) -> Column:
-        hits = F.filter(pairs, lambda p: p["key"] == key)
-        return normalise_actor(F.get(hits, F.lit(0))["part"]).alias(key)
+        def part(key: str) -> Column:
+            hits = F.filter(pairs, lambda p: p["key"] == key)
+            return normalise_actor(F.get(hits, F.lit(0))["part"]).alias(key)
 
-    return F.when(~unusable(value) & well_formed,
-                  F.struct(*[part(key) for key in fixed.ACTOR_FIELDS]))
+        return F.when(well_formed, F.struct(*[part(key) for key in fixed.ACTOR_FIELDS]))
+
+    return let(F.transform(F.split(text(value), ";"), pair), identity)
 
 
 def name_tokens(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from auditloom import fixed
-from auditloom.functions.text import iso_date, punctuation_only, strip, text, unusable
+from auditloom.functions.text import iso_date, let, punctuation_only, strip, text, unusable
 
 _V4 = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}"
 _HEXTETS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*"
@@ -24,23 +24,29 @@ def _ip_literal(host: Column) -> Column:
 
 def usable_url(value: Column) -> Column:
     """An absolute http(s) address in URI characters that names a host and, if any, a real port."""
-    address = strip(value)
-    place = F.element_at(F.split(F.regexp_extract(address, fixed.URL_AUTHORITY, 1), "@"), -1)
-    bracketed = place.contains("[") | place.contains("]")
+    def judged(address: Column) -> Column:
+        authority = F.regexp_extract(address, fixed.URL_AUTHORITY, 1)
+        return (address.rlike(fixed.URL_CHARS) & ~address.rlike(fixed.BROKEN_PERCENT)
+                & let(authority, _place_ok))
+
+    return let(strip(value), judged)
+
+
+def _place_ok(authority: Column) -> Column:
+    """Whether the part between // and the path names a host; '' where there is no such part."""
+    user = F.regexp_extract(authority, r"^(.*)@", 1)
+    place = F.substring_index(authority, "@", -1)
     literal = r"^[^\[]*\[([^\]]*)\][^:]*(?::(.*))?$"
-    host = F.when(bracketed, F.regexp_extract(place, literal, 1)).otherwise(
-        F.substring_index(place, ":", 1))
+    bracketed = place.contains("[") | place.contains("]")
+    address_literal = place.rlike(literal) & let(
+        F.regexp_extract(place, literal, 1), lambda h: ~punctuation_only(h) & _ip_literal(h))
+    host = F.substring_index(place, ":", 1)
     port = F.when(bracketed, F.regexp_extract(place, literal, 2)).otherwise(
         F.regexp_extract(place, r"^[^:]*:(.*)$", 1))
-    port_ok = (port == "") | (
-        port.rlike(r"^0*[1-9][0-9]{0,4}$")
-        & (F.regexp_replace(port, "^0+", "").try_cast("int") <= 65535))
-    user = F.regexp_extract(F.regexp_extract(address, fixed.URL_AUTHORITY, 1), r"^(.*)@", 1)
-    brackets_ok = F.when(bracketed, place.rlike(literal) & _ip_literal(host)
-                         & ~user.rlike(r"[\[\]]")).otherwise(~user.rlike(r"[\[\]]"))
-    return (address.rlike(fixed.URL_CHARS) & ~address.rlike(fixed.BROKEN_PERCENT)
-            & address.rlike(fixed.URL_AUTHORITY) & (host != "") & ~punctuation_only(host)
-            & brackets_ok & port_ok)
+    return (~user.rlike(r"[\[\]]")
+            & F.when(bracketed, address_literal).otherwise(~punctuation_only(host))
+            & let(port, lambda p: (p == "") | (p.rlike(r"^0*[1-9][0-9]{0,4}$") & (
+                F.regexp_replace(p, "^0+", "").try_cast("int") <= 65535))))
 
 
 def path_unsafe(value: Column) -> Column:
@@ -58,21 +64,26 @@ def held_path(value: Column) -> Column:
 
 def usable_route(token: Column) -> Column:
     """A whitespace-free token somebody could follow: a usable URL, or a named document."""
-    cleaned = F.rtrim(strip(token), F.lit(fixed.ROUTE_TAIL))
     extension = rf"(?iu)\.(?:{'|'.join(fixed.DOCUMENT_EXTENSIONS)})$"
-    named = F.exists(F.split(cleaned, "/"), lambda part: ~punctuation_only(part))
-    return F.when(cleaned.rlike(r"(?i)^https?://"), usable_url(cleaned)).otherwise(
-        cleaned.rlike(extension) & named)
+
+    def judged(cleaned: Column) -> Column:
+        named = F.exists(F.split(cleaned, "/"), lambda part: ~punctuation_only(part))
+        return F.when(cleaned.rlike(r"(?i)^https?://"), usable_url(cleaned)).otherwise(
+            cleaned.rlike(extension) & named)
+
+    return let(F.rtrim(strip(token), F.lit(fixed.ROUTE_TAIL)), judged)
 
 
 def reference_defect(value: Column) -> Column:
     """First reason a reference cannot be traced, or null: no_reference, no_date, no_route."""
-    body = strip(value)
-    dates = F.regexp_extract_all(body, F.lit(fixed.ISO_DATE_IN_TEXT), F.lit(0))
-    tokens = F.split(body, fixed.WS + "+")
-    return (F.when(unusable(value), "no_reference")
-            .when(~F.exists(dates, lambda d: iso_date(d).isNotNull()), "no_date")
-            .when(~F.exists(tokens, usable_route), "no_route"))
+    def defect(body: Column) -> Column:
+        dates = F.regexp_extract_all(body, F.lit(fixed.ISO_DATE_IN_TEXT), F.lit(0))
+        tokens = F.split(body, fixed.WS + "+")
+        return (F.when(unusable(body), "no_reference")
+                .when(~F.exists(dates, lambda d: iso_date(d).isNotNull()), "no_date")
+                .when(~F.exists(tokens, usable_route), "no_route"))
+
+    return let(strip(value), defect)
 
 
 def file_extension(name: Column) -> Column:

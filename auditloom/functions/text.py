@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 
 
+def let(value: Column, then) -> Column:
+    """Bind ``value`` once for an expression that uses it many times."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def text(value: Column) -> Column:
     """A register field as a string that is never null."""
     return F.coalesce(value.cast("string"), F.lit(""))
@@ -51,7 +56,10 @@ def iso_date(value: Column) -> Column:
 
     Accepted: 2026-08-14, 20260814, 2026-W33, 2026W33, 2026-W33-5, 2026W335.
     """
-    raw = strip(value)
+    return let(strip(value), _iso_date)
+
+
+def _iso_date(raw: Column) -> Column:
     calendar = F.when(raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), raw).when(
         raw.rlike(r"^[0-9]{8}$"),
         F.regexp_replace(raw, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.functions import prose
+from auditloom.functions.text import let
 from auditloom.operators.grounding import folded_evidence
 
 MARK = "\x01"
@@ -34,33 +35,40 @@ def _occurrences(low: Column, key: Column) -> Column:
     the nearest pieces, trimmed to the reach, so the cost is linear in the text. ``short_*`` says
     how many characters of the window lie outside this source.
     """
-    pieces = F.split(F.replace(low, key, F.concat(F.lit(MARK), key)), MARK)
     size = F.length(key)
     near = F.ceil(F.lit(REACH) / size).cast("int") + 1
-    tails = F.transform(pieces, lambda p: F.right(p, F.lit(REACH)))
-    heads = F.transform(pieces, lambda p: F.left(p, size + REACH))
 
-    def window(i: Column) -> Column:
-        start = F.greatest(i - near + 1, F.lit(1))
-        before = F.right(F.array_join(F.slice(tails, start, i - start + 1), ""), F.lit(REACH))
-        after = F.left(F.array_join(F.slice(heads, i + 1, near), ""), size + REACH)
-        return F.struct(before.alias("before"), after.alias("after"))
+    def judged(ends: Column) -> Column:
+        tails, heads = ends["tails"], ends["heads"]
+
+        def window(i: Column) -> Column:
+            start = F.greatest(i - near + 1, F.lit(1))
+            before = F.right(F.array_join(F.slice(tails, start, i - start + 1), ""), F.lit(REACH))
+            after = F.left(F.array_join(F.slice(heads, i + 1, near), ""), size + REACH)
+            return F.struct(before.alias("before"), after.alias("after"))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), window)
-    return F.transform(windows, lambda w: F.struct(
-        F.concat(w["before"], w["after"]).rlike(fixed.NEGATION).alias("negated"),
-        (REACH - F.length(w["before"])).alias("short_left"),
-        (size + REACH - F.length(w["after"])).alias("short_right")))
+        windows = F.transform(F.sequence(F.lit(1), F.size(tails) - 1), window)
+        return F.transform(windows, lambda w: F.struct(
+            F.concat(w["before"], w["after"]).rlike(fixed.NEGATION).alias("negated"),
+            (REACH - F.length(w["before"])).alias("short_left"),
+            (size + REACH - F.length(w["after"])).alias("short_right")))
+
+    pieces = F.split(F.replace(low, key, F.concat(F.lit(MARK), key)), MARK)
+    return let(let(pieces, lambda ps: F.struct(
+        F.transform(ps, lambda p: F.right(p, F.lit(REACH))).alias("tails"),
+        F.transform(ps, lambda p: F.left(p, size + REACH)).alias("heads"))), judged)
 
 
 def _cue_distance(chars: Column, from_end: bool) -> Column:
     """Fewest characters, counted from one end, that hold a whole negation cue; else null."""
-    body = F.translate(chars, "ſı", "si")
-    found = []
-    for cue in fixed.NEGATION_CUES:
-        at = F.instr(F.reverse(body), cue[::-1]) if from_end else F.instr(body, cue)
-        found.append(F.when(at > 0, at - 1 + len(cue)))
-    return F.least(*found)
+    def nearest(body: Column) -> Column:
+        ends = [(cue[::-1] if from_end else cue) for cue in fixed.NEGATION_CUES]
+        return F.least(*[F.when(F.instr(body, end) > 0, F.instr(body, end) - 1 + len(end))
+                         for end in ends])
+
+    folded = F.translate(chars, "ſı", "si")
+    return F.when(chars.rlike(fixed.NEGATION),
+                  let(F.reverse(folded) if from_end else folded, nearest))
 
 
 def negation_nearby(evidence: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -79,7 +87,9 @@ def negation_nearby(evidence: DataFrame, block: int = BLOCK) -> DataFrame:
         _cue_distance(F.left(low, F.lit(REACH)), False).alias("from_start"))
     inner = Window.partitionBy("draft_id", "block").orderBy("source_ord")
     before = inner.rowsBetween(Window.unboundedPreceding, -1)
-    after = inner.rowsBetween(1, Window.unboundedFollowing)
+    # read backwards, so that the frame grows row by row instead of being rebuilt for each row
+    after = (Window.partitionBy("draft_id", "block").orderBy(F.desc("source_ord"))
+             .rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.withColumn("at", F.coalesce(F.sum(F.col("len") + 1).over(before),
                                               F.lit(0).cast("bigint")))
     placed = placed.withColumns({"cue_start": F.col("at") + F.col("len") - F.col("from_end"),
@@ -91,7 +101,8 @@ def negation_nearby(evidence: DataFrame, block: int = BLOCK) -> DataFrame:
         F.min("cue_end").alias("first_cue"))
     outer = Window.partitionBy("draft_id").orderBy("block")
     earlier = outer.rowsBetween(Window.unboundedPreceding, -1)
-    later = outer.rowsBetween(1, Window.unboundedFollowing)
+    later = (Window.partitionBy("draft_id").orderBy(F.desc("block"))
+             .rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.withColumn("base", F.coalesce(F.sum("width").over(earlier),
                                                   F.lit(0).cast("bigint")))
     blocks = blocks.withColumns({

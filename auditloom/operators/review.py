@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.functions.actors import actor_identity
-from auditloom.functions.text import blank, iso_date, sha256_form, strip, unusable
+from auditloom.functions.text import blank, iso_date, let, sha256_form, strip, unusable
 from auditloom.operators.decisions import decision_digests
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import stage_order
@@ -22,16 +22,19 @@ def _listed(names: list[str]) -> Column:
 
 def _check(entries: Column, name: Column) -> Column:
     """struct of one required check: its result, note and any in-record acceptance."""
-    item = F.try_element_at(entries, name)
-    result = F.lower(strip(rec.string_part(item, "result")))
-    note, accepted = rec.string_part(item, "note"), rec.string_part(item, "exception_accepted_by")
-    is_object = rec.is_object(item)
-    return F.struct(
-        name.alias("check"), is_object.alias("is_object"), result.alias("result"),
-        (is_object & ~result.isin(fixed.REVIEW_RESULTS)).alias("bad_result"),
-        (is_object & (note.isNull() | unusable(note))).alias("no_note"),
-        (is_object & result.isin("fail", "unresolved")).alias("exceptional"),
-        (is_object & accepted.isNotNull() & ~blank(accepted)).alias("accepted"))
+    def judged(item: Column) -> Column:
+        result = F.lower(strip(rec.string_part(item, "result")))
+        note = rec.string_part(item, "note")
+        accepted = rec.string_part(item, "exception_accepted_by")
+        is_object = rec.is_object(item)
+        return F.struct(
+            name.alias("check"), is_object.alias("is_object"),
+            (is_object & ~result.isin(fixed.REVIEW_RESULTS)).alias("bad_result"),
+            (is_object & (note.isNull() | unusable(note))).alias("no_note"),
+            (is_object & result.isin("fail", "unresolved")).alias("exceptional"),
+            (is_object & accepted.isNotNull() & ~blank(accepted)).alias("accepted"))
+
+    return let(F.try_element_at(entries, name), judged)
 
 
 def parsed(projects: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -51,12 +54,11 @@ def parsed(projects: DataFrame, reviews: DataFrame) -> DataFrame:
         "project_id", "state", rec.string_part(v, "record_type").alias("record_type"),
         rec.string_part(v, "schema_version").alias("schema_version"),
         F.lower(strip(rec.string_part(v, "contract"))).alias("record_contract"),
-        F.when(actor_identity(reviewer).isNotNull(), reviewer).alias("reviewer"),
-        actor_identity(reviewer).alias("reviewer_key"),
+        reviewer.alias("reviewer"), actor_identity(reviewer).alias("reviewer_key"),
         rec.string_part(v, "review_date").alias("raw_date"),
         rec.entries(rec.part(v, "reviewed_decisions")).alias("reviewed"),
         F.map_keys(checks).alias("check_names"),
-        F.when(checks.isNotNull(), F.transform(required, lambda n: _check(checks, n)))
+        let(checks, lambda c: F.when(c.isNotNull(), F.transform(required, lambda n: _check(c, n))))
         .alias("checks"))
     exceptional = F.transform(F.filter("checks", lambda c: c["exceptional"]), lambda c: c["check"])
     return rows.withColumns({"review_date": iso_date(F.col("raw_date")),
@@ -80,7 +82,7 @@ def record_findings(reviews: DataFrame) -> DataFrame:
         Rule("schema_invalid",
              ok & ~F.col("schema_version").eqNullSafe(fixed.REVIEW_SCHEMA_VERSION)),
         Rule("contract_invalid", ok & (F.col("record_contract") != "v0.3")),
-        Rule("reviewer_not_comparable", ok & F.col("reviewer").isNull()),
+        Rule("reviewer_not_comparable", ok & F.col("reviewer_key").isNull()),
         Rule("date_missing", ok & ~dated),
         Rule("date_not_iso", ok & dated & F.col("review_date").isNull(), F.col("raw_date")),
         Rule("reviewed_not_object", ok & F.col("reviewed").isNull()),
