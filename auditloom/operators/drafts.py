@@ -14,6 +14,7 @@ from auditloom.operators.registers import stage_order
 
 ARM = "DRAFT"
 KEY = 3  # a checked figure has more than two characters
+LISTED = 48  # runs up to this length are listed piece by piece
 
 
 def section_flags(drafts: DataFrame) -> DataFrame:
@@ -29,28 +30,43 @@ def section_flags(drafts: DataFrame) -> DataFrame:
     })
 
 
+def _pieces(runs: DataFrame) -> DataFrame:
+    """Every piece of at least three characters of short runs, as (project_id, token)."""
+    run, last = F.col("run"), F.length("run")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), last - KEY + 1), lambda i: F.transform(
+        F.sequence(F.lit(KEY), last - i + 1), lambda n: F.substring(run, i, n))))
+    return runs.select("project_id", F.explode(F.array_distinct(pieces)).alias("token")).distinct()
+
+
+def _tails(runs: DataFrame) -> DataFrame:
+    """Every place of a long run where a figure may start, keyed by its first characters."""
+    run, last = F.col("run"), F.length("run")
+    tails = F.transform(F.sequence(F.lit(1), last - KEY + 1), lambda i: F.substring(run, i, last))
+    return runs.select("project_id", F.explode(tails).alias("tail")).withColumn(
+        "head", F.substring("tail", 1, KEY))
+
+
 def loose_numbers(drafts: DataFrame, claims: DataFrame) -> DataFrame:
     """(project_id, name, token): draft figures contained in no claim text or uncertainty.
 
     A figure can only sit inside a run of digits, commas and dots. Claims are reduced to their
-    distinct runs, each run is listed by where a figure may start, and both sides meet on the
-    first three characters; texts are never compared with texts.
+    distinct runs and the runs to their pieces, so containment becomes one equality. Runs too long
+    to list all pieces of are matched from each place a figure may start.
     """
     tokens = drafts.select("project_id", "name", F.explode(prose_numbers(F.col("text")))
                            .alias("token"))
     said = F.concat_ws(" ", text(F.col("claim_text")), text(F.col("uncertainty")))
     runs = claims.select("project_id", F.explode(digit_runs(said)).alias("run")).filter(
         F.length("run") >= KEY).distinct()
-    starts = runs.select("project_id", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("run") - KEY + 1),
-        lambda i: F.substring(F.col("run"), i, F.length("run")))).alias("tail")).distinct()
-    starts = starts.withColumn("head", F.substring("tail", 1, KEY))
-    wanted = tokens.select("project_id", "token").distinct().withColumn(
-        "head", F.substring("token", 1, KEY))
-    found = wanted.alias("w").join(
-        starts.alias("s"), (F.col("w.project_id") == F.col("s.project_id"))
-        & (F.col("w.head") == F.col("s.head")) & F.startswith(F.col("s.tail"), F.col("w.token")),
-        "left_semi").select("project_id", "token")
+    wanted = tokens.select("project_id", "token").distinct()
+    whole = wanted.join(_pieces(runs.filter(F.length("run") <= LISTED)), ["project_id", "token"],
+                        "left_semi")
+    heads = wanted.withColumn("head", F.substring("token", 1, KEY)).alias("w")
+    tails = _tails(runs.filter(F.length("run") > LISTED)).alias("t")
+    inside = heads.join(tails, (F.col("w.project_id") == F.col("t.project_id"))
+                        & (F.col("w.head") == F.col("t.head"))
+                        & F.startswith(F.col("t.tail"), F.col("w.token")), "left_semi")
+    found = whole.unionByName(inside.select("project_id", "token"))
     return tokens.join(found, ["project_id", "token"], "left_anti").select(
         "project_id", "name", "token")
 

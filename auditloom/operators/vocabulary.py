@@ -13,15 +13,30 @@ ARM = "VOCAB"
 KEYS = ["project_id", "row_no", "contract", "through_ord"]
 
 
-def melted(registers: dict[str, DataFrame]) -> DataFrame:
-    """(project_id, register, row_no, column, value) for every field of every register."""
+def controlled_columns(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> list[str]:
+    """The register columns any project controls; at most as many as the registers have columns.
+
+    Read ahead of the main job so that free-text columns are never melted.
+    """
+    known = sorted({c for rows in registers.values() for c in rows.columns if c not in KEYS})
+    named = declared(vocabulary).filter(F.col("column").isin(known)).select("column").distinct()
+    return sorted(r.column for r in named.collect())
+
+
+def melted(registers: dict[str, DataFrame], controlled: list[str]) -> DataFrame:
+    """(project_id, register, row_no, column, value) for every field of a controlled column."""
     frames = []
     for name, rows in registers.items():
-        columns = [c for c in rows.columns if c not in KEYS]
+        columns = [c for c in rows.columns if c in controlled]
         fields = rows.select("project_id", "row_no", *[text(F.col(c)).alias(c) for c in columns])
-        frames.append(fields.unpivot(["project_id", "row_no"], columns, "column", "value").select(
-            "project_id", F.lit(name).alias("register"), "row_no", "column",
-            strip(F.col("value")).alias("value")))
+        if columns:
+            frames.append(fields.unpivot(["project_id", "row_no"], columns, "column", "value")
+                          .select("project_id", F.lit(name).alias("register"), "row_no", "column",
+                                  strip(F.col("value")).alias("value")))
+    if not frames:
+        rows = next(iter(registers.values()))
+        frames = [rows.limit(0).select("project_id", F.lit("").alias("register"), "row_no",
+                                       F.lit("").alias("column"), F.lit("").alias("value"))]
     return union_all(frames)
 
 
@@ -35,7 +50,8 @@ def undeclared_values(vocabulary: DataFrame, registers: dict[str, DataFrame]) ->
     """Register fields in a controlled column whose value the project does not declare."""
     allowed = declared(vocabulary)
     controlled = allowed.select("project_id", "column").distinct()
-    return (melted(registers).join(controlled, ["project_id", "column"], "left_semi")
+    fields = melted(registers, controlled_columns(vocabulary, registers))
+    return (fields.join(controlled, ["project_id", "column"], "left_semi")
             .join(allowed, ["project_id", "column", "value"], "left_anti"))
 
 
@@ -46,7 +62,8 @@ def checked_counts(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> Da
     reaches the list.
     """
     controlled = declared(vocabulary).select("project_id", "column").distinct()
-    per_column = melted(registers).groupBy("project_id", "column").agg(F.count("*").alias("n"))
+    fields = melted(registers, controlled_columns(vocabulary, registers))
+    per_column = fields.groupBy("project_id", "column").agg(F.count("*").alias("n"))
     return (controlled.join(per_column, ["project_id", "column"], "left")
             .groupBy("project_id")
             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"),

@@ -174,8 +174,12 @@ def earliest_scope_date(spark, sf_dir):
 # ---- source registers and the derivation graph --------------------------------------------------
 
 def _one_project(rows: DataFrame, contract: str = "v0.3") -> DataFrame:
-    """The whole table as a single project, as the derivation and claim checks need it."""
-    return reg.stamp(rows.withColumn("project_id", F.lit("all")), contract)
+    """The whole table as a single project, as the derivation and claim checks need it.
+
+    The id is computed from a column, because joins on a literal key would lose their key.
+    """
+    name = F.concat(F.lit("all"), F.substring(F.col("source_id"), 1, 0))
+    return reg.stamp(rows.withColumn("project_id", name), contract)
 
 
 def _sources(spark, sf_dir, contract="v0.3") -> DataFrame:
@@ -492,11 +496,11 @@ def attribution_binding(spark, sf_dir):
 def attribution_binding_one_draft(spark, sf_dir):
     """The same evidence as one draft with one long source list: a single hot group."""
     drafts = view(spark, sf_dir, "customer").groupBy().agg(F.count("*").alias("n")).select(
-        F.lit(0).cast("bigint").alias("draft_id"),
+        (F.col("n") - F.col("n")).alias("draft_id"),
         F.lit("Acme Power Grid said so. It was covered by Promotional Desk, per Filing Office. "
               "Nobody Known denied it; Building Board announced more.").alias("text"))
     heard = view(spark, sf_dir, "fx_heard").select(
-        F.lit(0).cast("bigint").alias("draft_id"),
+        (F.col("draft_id") - F.col("draft_id")).alias("draft_id"),
         (F.col("draft_id") * 3 + F.col("source_ord")).alias("source_ord"), "text")
     return attr.attribution_binding(drafts, heard).select("draft_id", "subject", "status")
 
