@@ -751,3 +751,54 @@ c AS (SELECT grp, count(*) AS entries, count(*) FILTER (last_seen < edge) AS exi
  count(*) FILTER (last_seen < edge - 7) AS exits_confirmed FROM l, e GROUP BY grp)
 SELECT *, round(100 * exits_counted / entries, 2) AS pct_counted,
  round(100 * exits_confirmed / entries, 2) AS pct_confirmed FROM c""")
+
+# ---- repeated keys, whole arms and report texts -------------------------------------------------
+
+FOLDED = "s AS (SELECT *, 's' || (row_no % 40) AS sid FROM fx_sources)"
+add("source_repeats", SRC, f""", {FOLDED}
+SELECT 'all' AS project_id, 'SOURCES' AS arm, 'registered_twice' AS rule, 'error' AS severity,
+ sid AS subject_id, row_no, '' AS detail FROM s QUALIFY row_number() OVER (PARTITION BY sid ORDER BY row_no) > 1""")
+add("source_last_wins", SRC, f""", {FOLDED}
+SELECT sid, motive_tier AS tier, retrieval_status AS status, second_source_id AS second, {url_ok('url')} AS reachable
+FROM s QUALIFY row_number() OVER (PARTITION BY sid ORDER BY row_no DESC) = 1""")
+add("claim_id_repeats", CLM, """, c AS (SELECT string_split(claim_id, '-')[1] AS short,
+ string_split(claim_id, '-')[2]::BIGINT AS line, row_no FROM fx_claims),
+d AS (SELECT CASE WHEN line % 2 = 0 THEN upper(short) ELSE short END AS id, row_no * 100 + line AS row_no FROM c)
+SELECT 'all' AS project_id, 'CLAIMS' AS arm, 'id_used_twice' AS rule, 'error' AS severity, id AS subject_id,
+ row_no, '' AS detail FROM d
+QUALIFY row_no > min(row_no) OVER (PARTITION BY lower(id))""")
+add("probe_repeats", PRB, """, p AS (SELECT project_id, row_no, CASE WHEN row_no % 3 = 0 THEN 'n/a'
+ ELSE 'U' || (row_no % 97 + substr(project_id, 2)::BIGINT) END AS id FROM fx_probes),
+q AS (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY row_no) AS rn FROM p)
+SELECT project_id, 'FEASIBILITY' AS arm, CASE WHEN id = 'n/a' THEN 'id_unusable' ELSE 'recorded_twice' END AS rule,
+ 'error' AS severity, id AS subject_id, row_no, CASE WHEN id = 'n/a' THEN id ELSE '' END AS detail
+FROM q WHERE id = 'n/a' OR rn > 1""")
+add("feasibility_findings", [], f"""SELECT * FROM ({SQL['probe_findings']})
+UNION ALL SELECT project_id, 'FEASIBILITY', 'no_probes', 'error', '', 0, '' FROM
+ (SELECT DISTINCT 'p' || c_custkey % 20 AS project_id FROM customer)
+ WHERE project_id NOT IN (SELECT 'p' || user_id % 16 FROM events)
+UNION ALL SELECT project_id, 'FEASIBILITY', u.rule, u.severity, '', 0, u.detail FROM ({SQL['probe_coverage']}) c,
+ LATERAL (SELECT 'question_not_probed' AS rule, 'error' AS severity, missing AS detail WHERE missing <> ''
+  UNION ALL SELECT 'coverage', 'note', 'probes=' || probes || ' questions=' || questions
+  UNION ALL SELECT 'all_unknown', 'note', probes::VARCHAR WHERE all_unknown) u
+UNION ALL SELECT project_id, 'FEASIBILITY', 'numbers_in_notes', 'note', '', 0, tokens || ': ' || preview
+ FROM ({SQL['probe_numeric_preview']})""")
+add("approval_digest_block", DEC, f""", {DIGESTS}, s AS ({SCOPE_DIGEST})
+SELECT project_id, CASE WHEN scope_digest IS NOT NULL THEN
+ '{{"bound_files":{{"decisions.csv#question_scope":"' || scope_digest || '","feasibility.csv":"'
+ || sha256(project_id || 'feasibility.csv') || '","scope_review.json":"'
+ || sha256(project_id || 'scope_review.json') || '"}}}}' END AS block FROM s""")
+add("diff_report", DEC, f""", c AS ({contract('v0.3')}),
+last AS (SELECT * FROM fx_decisions QUALIFY row_number() OVER (PARTITION BY run_id, decision_id ORDER BY row_no DESC) = 1),
+grid AS (SELECT c.*, r.run_id, l.chosen, l.decided_by, l.alternatives, l.rationale
+ FROM c CROSS JOIN (SELECT DISTINCT run_id FROM fx_decisions) r
+ LEFT JOIN last l ON l.run_id = r.run_id AND l.decision_id = c.decision_id),
+text AS (SELECT *, '- **' || run_id || '** (`' || coalesce(decided_by, 'unspecified') || '`):' || chr(10)
+ || '  - *Chosen:* ' || coalesce(chosen, '[empty]')
+ || CASE WHEN coalesce(alternatives, '') <> '' THEN chr(10) || '  - *Alternatives:* ' || alternatives ELSE '' END
+ || CASE WHEN coalesce(rationale, '') <> '' THEN chr(10) || '  - *Rationale:* ' || rationale ELSE '' END AS line FROM grid),
+d AS (SELECT decision_id, stage, question, CASE WHEN count(DISTINCT {strip('chosen')}) = 1 THEN 'CONSENSUS' ELSE 'DIVERGENCE' END AS status,
+ CAST(count(*) AS INTEGER) AS runs, string_agg(line, chr(10) ORDER BY run_id) AS lines
+ FROM text GROUP BY ALL HAVING bool_or({strip('chosen')} <> ''))
+SELECT decision_id, stage, question, status, runs, '## ' || decision_id || ' (' || stage || ': ' || question || ')'
+ || chr(10) || '**Status:** ' || status || chr(10) || chr(10) || lines AS markdown FROM d""")

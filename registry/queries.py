@@ -28,7 +28,7 @@ from auditloom.operators import registers as reg
 from auditloom.operators import review as rvw
 from auditloom.operators import sources as src
 from auditloom.operators import vocabulary as voc
-from auditloom.plans import audit
+from auditloom.plans import audit, reports
 from auditloom.session import configure, shared_dir
 from auditloom.sources import custody, registers, texts
 from registry.views import view
@@ -770,3 +770,74 @@ def exit_rates(spark, sf_dir):
     last = seen.groupBy("grp", "user_id").agg(F.max("day").alias("last_seen"))
     edge = seen.agg(F.max("day").alias("edge")).scalar()
     return prg.exit_rates(last, edge, F.date_sub(edge, 7), ["grp"])
+
+
+# ---- repeated keys, whole arms and report texts -------------------------------------------------
+
+def _folded_sources(spark, sf_dir) -> DataFrame:
+    """The source register with forty ids shared by all suppliers, so that ids repeat."""
+    return _sources(spark, sf_dir).withColumn(
+        "source_id", F.concat(F.lit(" s"), F.col("row_no") % 40))
+
+
+@query
+def source_repeats(spark, sf_dir):
+    found = src.source_row_findings(src.prepared(_folded_sources(spark, sf_dir)))
+    return _flat(found.filter("rule = 'registered_twice'"))
+
+
+@query
+def source_last_wins(spark, sf_dir):
+    """What claims see of a source whose id repeats: its last row."""
+    return clm.source_attributes(_folded_sources(spark, sf_dir)).select(
+        "sid", "tier", "status", "second", "reachable")
+
+
+@query
+def claim_id_repeats(spark, sf_dir):
+    """Claim ids shared by the lines of an order, spelled in two cases."""
+    short = F.substring_index("claim_id", "-", 1)
+    line = F.substring_index("claim_id", "-", -1).cast("bigint")
+    claims = _one_project(view(spark, sf_dir, "fx_claims")).withColumn(
+        "row_no", F.col("row_no") * 100 + line)
+    claims = claims.withColumn("claim_id", F.when(line % 2 == 0, F.upper(short)).otherwise(short))
+    found = clm.claim_findings(claims, _sources(spark, sf_dir))
+    return _flat(found.filter("rule = 'id_used_twice'"))
+
+
+@query
+def probe_repeats(spark, sf_dir):
+    """One probe id per user, so that ids repeat; a third of the ids are placeholders."""
+    user = F.substring("project_id", 2, 9).cast("bigint")
+    rows = _probes(spark, sf_dir).withColumn("probe_id", F.when(
+        F.col("row_no") % 3 == 0, "n/a").otherwise(F.concat(F.lit("U"), F.col("row_no") % 97 + user)))
+    found = fea.probe_row_findings(fea.prepared(rows))
+    return _flat(found.filter("rule IN ('recorded_twice', 'id_unusable')"))
+
+
+@query
+def feasibility_findings(spark, sf_dir):
+    """The whole arm, with projects that hold no probes at all."""
+    owed = view(spark, sf_dir, "customer").select(
+        F.concat(F.lit("p"), F.col("c_custkey") % 20).alias("project_id")).distinct()
+    scope = dec.latest_scope_dates(view(spark, sf_dir, "fx_decisions"))
+    return _flat(fea.feasibility_findings(reg.stamp(owed, "v0.3"), _probes(spark, sf_dir),
+                                          scope_dates=scope))
+
+
+@query
+def approval_digest_block(spark, sf_dir):
+    """The digest block of the sixteen projects, their first rows standing for the register."""
+    first = dec.first_decisions(_decisions(spark, sf_dir)).withColumn("decision_id", F.col("did"))
+    names = F.explode(F.array(*[F.lit(n) for n in fixed.APPROVAL_BOUND[1:]])).alias("rel_path")
+    files = first.select("project_id").distinct().select("project_id", names).withColumn(
+        "file_sha256", F.sha2(F.concat("project_id", "rel_path"), 256))
+    return apr.digest_block(apr.binding_digests(first.drop("did"), files))
+
+
+@query
+def diff_report(spark, sf_dir):
+    """Four runs over all projects; the Markdown text of every decision."""
+    rows = _decisions(spark, sf_dir)
+    return reports.diff_report(rows).select(
+        "decision_id", "stage", "question", "status", F.size("choices").alias("runs"), "markdown")
