@@ -63,14 +63,18 @@ def _label_loops(table: DataFrame, metrics: dict, reach: int) -> tuple[DataFrame
     return written(labelled, *_metrics())
 
 
-def _double(edges: DataFrame) -> list[DataFrame]:
-    """Pointer doubling until every walk has ended or is known to run into a loop."""
+def _double(edges: DataFrame) -> tuple[list[DataFrame], int]:
+    """Pointer doubling until every walk has ended or is known to run into a loop.
+
+    Returns the pointer tables and the number of loops that were met.
+    """
     starts = edges.select("project_id", F.col("v").alias("up"), F.lit(True).alias("goes_on"))
     first = edges.join(starts, ["project_id", "up"], "left").select(
         "project_id", "v", "up", F.lit(1).cast("bigint").alias("steps"),
         F.col("goes_on").isNull().alias("ended"), F.col("up").alias("low"),
         F.lit(None).cast("string").alias("loop"), F.lit(None).cast("int").alias("found_at"))
     table, metrics = written(first, *_metrics())
+    loops = metrics["heads"]
     table, metrics = _label_loops(table, metrics, 0)
     levels = [table]
     while metrics["open"]:
@@ -84,27 +88,24 @@ def _double(edges: DataFrame) -> list[DataFrame]:
             F.col("next_ended").alias("ended"), F.least("low", "next_low").alias("low"),
             F.col("next_loop").alias("loop"), "found_at")
         table, metrics = written(table.filter(~_is_open()).unionByName(moved), *_metrics())
+        loops += metrics["heads"]
         table, metrics = _label_loops(table, metrics, len(levels))
         levels.append(table)
-    return levels
+    return levels, loops
 
 
-def _loop_members(levels: list[DataFrame]) -> DataFrame | None:
-    """Every vertex on a loop with its place, walked from the loop's smallest vertex by doubling."""
-    heads = levels[-1].filter("found_at IS NOT NULL")
-    if heads.isEmpty():
-        return None
-    found = heads.select("project_id", F.col("v").alias("loop"), "found_at", "v",
-                         F.lit(0).cast("bigint").alias("place"))
-    for k in range(len(levels)):
-        # a loop seen closed at round r has at most 2**r members
-        jump = levels[k].filter(F.col("steps") == 2 ** k).select(
-            "project_id", "v", F.col("up").alias("to"))
-        further = (found.filter(F.col("found_at") > k).join(jump, ["project_id", "v"])
-                   .select("project_id", "loop", "found_at", F.col("to").alias("v"),
-                           (F.col("place") + 2 ** k).alias("place")))
-        found = found.unionByName(further)
-    members = found.groupBy("project_id", "loop", "v").agg(F.min("place").alias("place"))
+def _loop_members(levels: list[DataFrame]) -> DataFrame:
+    """Every vertex on a loop with its place, counted from the loop's smallest vertex.
+
+    A loop seen closed at round r has at most 2**r members, so each head is lifted by every number
+    below that; places beyond the loop's size only meet members again.
+    """
+    heads = levels[-1].filter("found_at IS NOT NULL").select(
+        "project_id", F.col("v").alias("loop"), "v",
+        F.explode(F.sequence(F.lit(0).cast("bigint"),
+                             F.pow(F.lit(2), F.col("found_at")).cast("bigint") - 1)).alias("place"))
+    members = lift(heads, levels, "v", "place").groupBy("project_id", "loop", "v").agg(
+        F.min("place").alias("place"))
     sizes = members.groupBy("project_id", "loop").agg(F.count("*").alias("size"))
     return written(members.join(sizes, ["project_id", "loop"]))[0]
 
@@ -113,12 +114,12 @@ def forest(parents: DataFrame) -> Forest:
     parents = written(parents)[0]
     edges = parents.filter("origin <> ''").select(
         "project_id", F.col("sid").alias("v"), F.col("origin").alias("up"))
-    levels = _double(edges)
-    loops = _loop_members(levels)
+    levels, met = _double(edges)
+    loops = _loop_members(levels) if met else None
     if loops is not None:
         # loop members become roots, so what is left has no cycle
-        levels = _double(edges.join(loops.select("project_id", "v"), ["project_id", "v"],
-                                    "left_anti"))
+        levels, _ = _double(edges.join(loops.select("project_id", "v"), ["project_id", "v"],
+                                       "left_anti"))
     tops = levels[-1].select("project_id", "v", F.col("up").alias("root"),
                              F.col("steps").alias("depth"))
     return Forest(parents, levels, tops, loops)
@@ -140,16 +141,16 @@ def located(rows: DataFrame, graph: Forest, name: str) -> DataFrame:
         f"{name}_top", F.coalesce(f"{name}_loop", f"{name}_root"))
 
 
-def _jump(graph: Forest, k: int, key: str, to: str) -> DataFrame:
-    return graph.levels[k].filter(F.col("steps") == 2 ** k).select(
+def _jump(levels: list[DataFrame], k: int, key: str, to: str) -> DataFrame:
+    return levels[k].filter(F.col("steps") == 2 ** k).select(
         F.col("project_id").alias("_p"), F.col("v").alias(key), F.col("up").alias(to))
 
 
-def lift(rows: DataFrame, graph: Forest, name: str, hops: str) -> DataFrame:
+def lift(rows: DataFrame, levels: list[DataFrame], name: str, hops: str) -> DataFrame:
     """Move column ``name`` up by ``hops`` steps, one join per binary digit."""
-    for k in range(len(graph.levels)):
+    for k in range(len(levels)):
         due = F.col(hops).bitwiseAND(F.lit(2 ** k).cast("bigint")) != 0
-        rows = rows.join(_jump(graph, k, "_at", "_to"), (F.col("project_id") == F.col("_p"))
+        rows = rows.join(_jump(levels, k, "_at", "_to"), (F.col("project_id") == F.col("_p"))
                          & (F.col(name) == F.col("_at")) & due, "left")
         rows = rows.withColumn(name, F.coalesce("_to", name)).drop("_p", "_at", "_to")
     return rows
@@ -164,7 +165,7 @@ def ancestors(graph: Forest, starts: DataFrame) -> DataFrame:
     tree = at.filter("sid_depth > 0").withColumns({
         "hop": F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("sid_depth"))),
         "ancestor": F.col("sid")})
-    out = lift(tree, graph, "ancestor", "hop").select("project_id", "sid", "hop", "ancestor")
+    out = lift(tree, graph.levels, "ancestor", "hop").select("project_id", "sid", "hop", "ancestor")
     if graph.loops is None:
         return out
     entry = graph.loops.select("project_id", F.col("v").alias("sid_root"), "loop",
@@ -201,14 +202,14 @@ def independence_defects(pairs: DataFrame, graph: Forest) -> DataFrame:
     met = one_tree.withColumns({"a": F.col("sid"), "b": F.col("other"),
                                 "up_a": F.greatest(gap, F.lit(0)),
                                 "up_b": F.greatest(-gap, F.lit(0))})
-    met = lift(lift(met, graph, "a", "up_a"), graph, "b", "up_b")
+    met = lift(lift(met, graph.levels, "a", "up_a"), graph.levels, "b", "up_b")
     level = met.withColumn("level_a", F.col("a")).withColumn("level_b", F.col("b"))
     for k in reversed(range(len(graph.levels))):
         apart = F.col("a") != F.col("b")
         level = (level
-                 .join(_jump(graph, k, "_a", "_ua"), (F.col("project_id") == F.col("_p"))
+                 .join(_jump(graph.levels, k, "_a", "_ua"), (F.col("project_id") == F.col("_p"))
                        & (F.col("a") == F.col("_a")) & apart, "left").drop("_p", "_a")
-                 .join(_jump(graph, k, "_b", "_ub"), (F.col("project_id") == F.col("_p"))
+                 .join(_jump(graph.levels, k, "_b", "_ub"), (F.col("project_id") == F.col("_p"))
                        & (F.col("b") == F.col("_b")) & apart, "left").drop("_p", "_b"))
         go = F.col("_ua") != F.col("_ub")
         level = level.withColumns({"a": F.when(go, F.col("_ua")).otherwise(F.col("a")),
