@@ -74,7 +74,7 @@ def evaluate(spark: SparkSession, root: str, projects: DataFrame, release: Relea
     for stage in fixed.STAGES:
         order = F.when(F.col("through") == stage, stage_order(stage)).otherwise(order)
     asked = projects.withColumn("through_ord", order).drop("through")
-    texts = scan_texts(spark, root, "*.json")
+    texts = written(scan_texts(spark, root, "*.json"))[0]
     bindings = project_records(texts, fixed.BINDING_FILE)
     bound = written(binding.resolved(asked, bindings).drop("v"))[0].withColumn(
         "v", F.try_parse_json("value"))

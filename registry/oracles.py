@@ -732,6 +732,8 @@ FROM all_findings GROUP BY project_id""")
 
 add("register_scan", SRC, """ SELECT project_id, 'source_id,title,publisher,notes' AS header, source_id,
  title || chr(10) || '"x", y' AS title, publisher, notes FROM fx_sources""")
+add("held_files", [], """SELECT source || '-' || doc_id % 8 AS project_id,
+ sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS file_sha256 FROM documents GROUP BY ALL""")
 add("source_specs", [], """WITH s AS (SELECT url || ':' || CASE WHEN page_id % 3 = 0 THEN 'x'
   ELSE CAST(page_id % 5 AS VARCHAR) END AS spec FROM pages
  UNION ALL SELECT source || '.txt' || CASE WHEN doc_id % 2 = 0 THEN ':' || doc_id % 6 ELSE '' END FROM documents)

@@ -724,12 +724,12 @@ def register_scan(spark, sf_dir):
 
 @query
 def held_files(spark, sf_dir):
-    """The documents written as text files and hashed by the held-file scan: digests per folder."""
+    """The documents written as one text file per project and hashed by the held-file scan."""
     root = f"{shared_dir(spark)}/held-{uuid.uuid4().hex}"
     documents = view(spark, sf_dir, "documents").select(
-        F.concat(F.lit("p"), F.col("doc_id") % 16).alias("project_id"),
-        F.lit("one line").alias("value"))
-    documents.distinct().write.partitionBy("project_id").text(root)
+        F.concat_ws("-", "source", F.col("doc_id") % 8).alias("project_id"), "doc_id", "text")
+    (documents.repartition("project_id").sortWithinPartitions("project_id", "doc_id")
+     .drop("doc_id").write.partitionBy("project_id").text(root))
     return custody.scan_held(spark, root, "part-*").select(
         F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), "file_sha256")
 
