@@ -24,25 +24,31 @@ def source_attributes(sources: DataFrame, held: DataFrame | None = None) -> Data
     return last_rows(rows, ["project_id", "sid"]).drop("row_no")
 
 
-def resolved(claims: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Each claim with the attributes of its source and of its corroborating source.
-
-    Both lookups are left joins against one row per source, so a source cited by a large share of
-    all claims is split by the adaptive skew join.
-    """
+def prepared(claims: DataFrame) -> DataFrame:
     material = F.when(F.col("contract") == "v0.1", F.col("load_bearing")).otherwise(
         F.col("material_to_conclusion"))
-    rows = with_columns(claims, fixed.CLAIM_COLUMNS_V03 + ["load_bearing"]).withColumns({
+    return with_columns(claims, fixed.CLAIM_COLUMNS_V03 + ["load_bearing"]).withColumns({
         "cid": strip(F.col("claim_id")), "sid": strip(F.col("source_id")),
         "cor": strip(F.col("corroborating_source_id")),
         "material": F.lower(strip(material)) == "yes"})
-    cited = attributes.withColumn("registered", F.lit(True))
+
+
+def cited(rows: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Each claim with the attributes of its source, if registered.
+
+    A left join against one row per source: a source cited by a large share of all claims is split
+    by the adaptive skew join.
+    """
+    return rows.join(attributes.withColumn("registered", F.lit(True)), ["project_id", "sid"], "left")
+
+
+def backed(rows: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Add the attributes of the corroborating source, by the same kind of join."""
     backing = attributes.select("project_id", F.col("sid").alias("cor"),
                                 F.col("tier").alias("cor_tier"), F.col("status").alias("cor_status"),
                                 F.col("reachable").alias("cor_reachable"),
                                 F.lit(True).alias("cor_registered"))
-    return rows.join(cited, ["project_id", "sid"], "left").join(
-        backing, ["project_id", "cor"], "left")
+    return rows.join(backing, ["project_id", "cor"], "left")
 
 
 def needs_corroboration():
@@ -98,8 +104,10 @@ def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None
                    graph: derivation.Forest | None = None) -> DataFrame:
     """All claim rules, for the projects that have both claims and sources."""
     with_sources = sources.select("project_id").distinct()
-    rows = resolved(claims.join(with_sources, "project_id", "left_semi"),
-                    source_attributes(sources, held))
+    attributes = source_attributes(sources, held)
+    base = prepared(claims.join(with_sources, "project_id", "left_semi"))
+    on_source = cited(base, attributes)
+    rows = backed(on_source, attributes)
     if graph is None:
         judged = rows.withColumns({"relation": F.lit(None).cast("string"),
                                    "shared": F.lit(None).cast("string")})
@@ -107,7 +115,7 @@ def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None
         defects = derivation.independence_defects(corroborating_pairs(rows), graph)
         judged = rows.join(defects.withColumnRenamed("other", "cor"),
                            ["project_id", "sid", "cor"], "left")
-    folded = rows.withColumn("key", F.lower("cid"))
+    folded = base.withColumn("key", F.lower("cid"))
     again = repeats(folded.select("project_id", "row_no", "cid", "key", "contract"),
                     ["project_id", "key"],
                     among=(F.col("contract") == "v0.3") & ~unusable(F.col("cid")))
@@ -116,5 +124,5 @@ def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None
         apply_rules(judged, ARM, _rules(), F.col("cid"), F.col("row_no")),
         apply_rules(again, ARM, [Rule("id_used_twice", F.lit(True))], F.col("cid"),
                     F.col("row_no")),
-        apply_rules(claim_counts(rows), ARM, [Rule("counts", F.lit(True), note, "note")]),
+        apply_rules(claim_counts(on_source), ARM, [Rule("counts", F.lit(True), note, "note")]),
     ])

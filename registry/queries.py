@@ -309,7 +309,7 @@ def source_derivation_findings(spark, sf_dir):
 @query
 def claims_unregistered(spark, sf_dir):
     attributes = clm.source_attributes(_sources(spark, sf_dir))
-    rows = clm.resolved(_one_project(view(spark, sf_dir, "fx_claims")), attributes)
+    rows = clm.cited(clm.prepared(_one_project(view(spark, sf_dir, "fx_claims"))), attributes)
     return rows.filter("registered IS NULL").select("claim_id", F.col("sid").alias("source_id"))
 
 
