@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import packing, quality, secrets_scan, sharding
+from auditloom.llm import packing, quality, secrets_scan, sharding, simhash, substrings
 from auditloom.llm.words import table
 
 SHARDS = 16
@@ -40,6 +40,16 @@ def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def op6_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -63,6 +73,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
     "op2_secret_spans": op2_secret_spans,
+    "op6_anchor_dedup": op6_anchor_dedup,
+    "op7_simhash": op7_simhash,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
 }
