@@ -12,8 +12,12 @@ ids are packed like any others; an empty table gives no pieces; other columns ar
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,15 +28,17 @@ from auditloom.session import written
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "open boolean")
-CACHED_WORDS, CACHED_BYTES = 300_000, 64
+CACHED_WORDS, CACHED_BYTES, CODED_AT_ONCE = 800_000, 64, 1 << 18
+MARKED = re.compile(rb"[A-Za-z]+[.,]")
 MERGED_PARTITIONS = 32  # partitions whose open windows are merged by one task
 
 
 class WordTokenizer:
     """Token ids of whole texts as packed little-endian 32-bit integers.
 
-    The tokenizer drops white space and never joins characters across it, so a text is the
-    concatenation of its words' ids. Ids of recent words are kept; the limit bounds memory only.
+    The tokenizer drops white space, lower-cases, and never joins a letter with a full stop or comma
+    after it, so a text is the concatenation of its words' ids, and a word ending so is that of its
+    letters and the mark. Ids of words are kept between texts; the limit bounds memory only.
     """
 
     def __init__(self, path: str):
@@ -40,21 +46,43 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode().split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > CACHED_WORDS:
+        self.marks = {mark: self._encoded([mark])[0] for mark in (b".", b",")}
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def _learn(self, words: set[bytes]) -> None:
+        marked = [w for w in words if MARKED.fullmatch(w)]
+        plain = {w[:-1].lower() for w in marked}.union(words.difference(marked)).difference(self.known)
+        new = list(plain)
+        self.known.update(zip(new, self._encoded(new), strict=True))
+        for w in marked:
+            self.known[w] = self.known[w[:-1].lower()] + self.marks[w[-1:]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode().split() for t in texts]
+        new = set()
+        for words in split:
+            new.update(set(words).difference(self.known))
+        if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-        new = list(set(words).difference(self.known))
-        coded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: b"".join(i.to_bytes(4, "little") for i in c.ids) for w, c in zip(new, coded, strict=True)}
-        known = self.known | fresh if len(fresh) > CACHED_WORDS else self.known
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHED_BYTES)
-        return b"".join([fresh.get(w) or known[w] if w in fresh else known[w] for w in words])
+            new = set().union(*split)
+        self._learn(new)
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, words)) for words in split]
+        for w in new:
+            if len(w) > CACHED_BYTES:
+                del self.known[w]
+        return out
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker, kept between tasks."""
+    kept = sys.modules.setdefault("__kept_tokenizers__", types.ModuleType("__kept_tokenizers__")).__dict__
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 class Window:
@@ -68,7 +96,7 @@ class Window:
         self.used += length
 
 
-def _packer(encoder: Callable[[], Callable[[str], bytes]], size: int, windows: int, end_id: int) -> Callable:
+def _packer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], size: int, windows: int, end_id: int) -> Callable:
     end = end_id.to_bytes(4, "little")
     names = [part.split()[0] for part in PIECES.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -78,13 +106,24 @@ def _packer(encoder: Callable[[], Callable[[str], bytes]], size: int, windows: i
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    def coded(batch: pa.RecordBatch, encode: Callable) -> Iterator[tuple[int | None, bytes]]:
+        doc_ids, texts, length = [], [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            doc_ids.append(doc_id)
+            texts.append(text.as_py() or "")
+            length += len(texts[-1])
+            if length > CODED_AT_ONCE:
+                yield from zip(doc_ids, encode(texts), strict=True)
+                doc_ids, texts, length = [], [], 0
+        yield from zip(doc_ids, encode(texts), strict=True)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, opened, made = encoder(), [], TaskContext.get().partitionId() << 33
         for batch in batches:
             closed: list[Window] = []
             waiting = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for doc_id, ids in coded(batch, encode):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start:4 * (start + size)]
@@ -119,8 +158,8 @@ def _packer(encoder: Callable[[], Callable[[str], bytes]], size: int, windows: i
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: int = 64, end_id: int = 1) -> DataFrame:
     """One row per piece with its token ids; ``open`` marks windows to be merged."""
-    def encoder() -> Callable[[str], bytes]:
-        return WordTokenizer(tokenizer_path).encode
+    def encoder() -> Callable[[list[str]], list[bytes]]:
+        return worker_tokenizer(tokenizer_path).encode
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return narrow.mapInArrow(_packer(encoder, size, windows, end_id), PIECES)
