@@ -59,7 +59,7 @@ class Words:
         sizes = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.place = np.arange(len(starts)) - np.repeat(self.first[:-1], sizes)
-        self.data, self.ends = data, ends
+        self.data, self.starts, self.ends = data, starts, ends
 
 
 def dealt(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import packing, quality, secrets_scan, sharding, simhash, substrings
+from auditloom.llm import (licenses, maxent, mixing, packing, quality, secrets_scan, sharding, simhash, substrings, topk)
 from auditloom.llm.words import table
 
 SHARDS = 16
@@ -40,6 +40,19 @@ def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "size", "before", "block", "slot")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_table(table(spark, sf_dir, "embeddings"))
+
+
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op6_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -70,11 +83,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "base_failed", "kept")
 
 
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
     "op2_secret_spans": op2_secret_spans,
+    "op3_pfair_mix": op3_pfair_mix,
+    "op4_exact_topk": op4_exact_topk,
+    "op5_license_digests": op5_license_digests,
     "op6_anchor_dedup": op6_anchor_dedup,
     "op7_simhash": op7_simhash,
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
+    "op10_maxent": op10_maxent,
 }
