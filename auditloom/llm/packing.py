@@ -2,8 +2,8 @@
 
 Every partition keeps a fixed number of open windows. Whole windows are cut off a long document as
 they are; the rest of it goes to the open window it fills best. If it fits none and all are open,
-the fullest is closed. What is still open at the end of a partition is merged with the open windows
-of its neighbours. No task holds more than its open windows and one batch of documents.
+the fullest is closed. What is still open at the end of a partition is laid end to end with the open
+windows of its neighbours. No task holds more than its open windows and one batch of documents.
 
 Defined cases: a null text is an empty one (its only token is the end mark); repeated rows and null
 ids are packed like any others; an empty table gives no pieces; other columns are not carried.
@@ -28,9 +28,10 @@ from auditloom.session import written
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "open boolean")
-CACHED_WORDS, CACHED_BYTES, CODED_AT_ONCE = 800_000, 64, 1 << 18
-MARKED = re.compile(rb"[A-Za-z]+[.,]")
+CACHED_WORDS, CACHED_BYTES, CODED_AT_ONCE = 1_200_000, 64, 1 << 18
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 MERGED_PARTITIONS = 32  # partitions whose open windows are merged by one task
+NEARLY_FULL, HELD = 0.99, "__held"
 
 
 class WordTokenizer:
@@ -38,43 +39,57 @@ class WordTokenizer:
 
     The tokenizer drops white space, lower-cases, and never joins a letter with a full stop or comma
     after it, so a text is the concatenation of its words' ids, and a word ending so is that of its
-    letters and the mark. Ids of words are kept between texts; the limit bounds memory only.
+    letters and the mark. For words of Latin letters its normal form is the lower case and its
+    pieces are the whole word, so those steps, the dearest, are skipped. Ids of words are kept
+    between texts; the limit bounds memory only.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.marks = {mark: self._encoded([mark])[0] for mark in (b".", b",")}
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.marks = {mark: self._coded(self.tokenizer, [mark])[0] for mark in (".", ",")}
 
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+    @staticmethod
+    def _coded(tokenizer, words: list[str]) -> list[bytes]:
+        coded = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [b"".join([i.to_bytes(4, "little") for i in c.ids]) for c in coded]
 
     def _learn(self, words: set[bytes]) -> None:
-        marked = [w for w in words if MARKED.fullmatch(w)]
-        plain = {w[:-1].lower() for w in marked}.union(words.difference(marked)).difference(self.known)
-        new = list(plain)
-        self.known.update(zip(new, self._encoded(new), strict=True))
-        for w in marked:
-            self.known[w] = self.known[w[:-1].lower()] + self.marks[w[-1:]]
+        stems, others = {}, {}
+        for w in words:
+            text = w.decode()
+            mark = text[-1] if text[-1] in ".," else ""
+            core = text[:-1] if mark else text
+            if LATIN.fullmatch(core):
+                stems[w] = (core.lower().encode(), mark)
+            else:
+                others[w] = text
+        fresh = list({stem for stem, _ in stems.values()}.difference(self.known))
+        self.known.update(zip(fresh, self._coded(self.letters, [s.decode() for s in fresh]), strict=True))
+        self.known.update(zip(others, self._coded(self.tokenizer, list(others.values())), strict=True))
+        for w, (stem, mark) in stems.items():
+            self.known[w] = self.known[stem] + self.marks[mark] if mark else self.known[stem]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        new = set()
-        for words in split:
-            new.update(set(words).difference(self.known))
+        coded = [list(map(self.known.get, words)) for words in split]
+        gaps = [[k for k, ids in enumerate(c) if ids is None] if None in c else () for c in coded]
+        new = {words[k] for words, at in zip(split, gaps, strict=True) for k in at}
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-            new = set().union(*split)
         self._learn(new)
-        ids = self.known.__getitem__
-        out = [b"".join(map(ids, words)) for words in split]
+        for words, c, at in zip(split, coded, gaps, strict=True):
+            for k in at:
+                c[k] = self.known[words[k]]
         for w in new:
             if len(w) > CACHED_BYTES:
                 del self.known[w]
-        return out
+        return [b"".join(c) for c in coded]
 
 
 def worker_tokenizer(path: str) -> WordTokenizer:
@@ -165,33 +180,37 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: i
     return narrow.mapInArrow(_packer(encoder, size, windows, end_id), PIECES)
 
 
-def merge_open(pieces: DataFrame, size: int) -> DataFrame:
-    """Move open windows into one another, fullest first, each into the fullest that has room."""
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["used", "sequence_id"], ascending=[False, True])
-        targets: list[list[int]] = []  # sequence, used
-        moved = []
-        for sequence, used in zip(group["sequence_id"].tolist(), group["used"].tolist(), strict=True):
-            best = max((t for t in targets if t[1] + used <= size), key=lambda t: t[1], default=None)
-            if best is None:
-                targets.append([sequence, used])
-            else:
-                moved.append((sequence, best[0], best[1]))
-                best[1] += used
-        return pd.DataFrame(moved, columns=["sequence_id", "into", "base"])
+def merge_open(opened: DataFrame, size: int) -> DataFrame:
+    """Open windows of neighbouring partitions laid end to end, cut where a sequence is full.
 
+    A task gets the open windows of 32 partitions, a fixed number. Nearly full ones stay as they are.
+    """
+    def lay(group: pd.DataFrame) -> pd.DataFrame:
+        used = group.groupby("sequence_id")["length"].transform("sum")
+        ready = group[used >= NEARLY_FULL * size]
+        rest = group[used < NEARLY_FULL * size].sort_values(["sequence_id", "offset"])
+        numbers = sorted(set(rest["sequence_id"].tolist()))
+        rows, at = [], 0
+        for r in rest.itertuples(index=False):
+            done = 0
+            while done < r.length:
+                part = min(r.length - done, size - at % size)
+                rows.append((r.doc_id, r.start + done, part, r.ids[4 * done:4 * (done + part)], r.doc_tokens,
+                             numbers[at // size], at % size))
+                done, at = done + part, at + part
+        laid = pd.DataFrame(rows, columns=[c for c in group.columns if c != "near"])
+        return pd.concat([ready.drop(columns="near"), laid]).astype({"doc_id": "Int64"})
+
+    columns = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     near = F.shiftright(F.col("sequence_id"), 33 + MERGED_PARTITIONS.bit_length() - 1)
-    opened = pieces.where("open").groupBy("sequence_id").agg(F.sum("length").alias("used"))
-    moves = (opened.withColumn("near", near).groupBy("near")
-             .applyInPandas(merge, "sequence_id long, into long, base long"))
-    rows = pieces.join(moves, "sequence_id", "left")
-    return rows.select(*[c for c in pieces.columns if c not in ("sequence_id", "offset", "open")],
-                       F.coalesce("into", "sequence_id").alias("sequence_id"),
-                       (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+    rows = opened.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", near.alias("near"))
+    return rows.groupBy("near").applyInPandas(lay, columns)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: int = 64, end_id: int = 1,
          keep: Callable[[DataFrame], DataFrame] = lambda pieces: pieces) -> DataFrame:
-    """Pieces with their final sequence. ``keep`` may trim the pieces before they are written."""
-    held, _ = written(keep(pieces_of(docs, tokenizer_path, size, windows, end_id)))
-    return merge_open(held, size)
+    """Pieces with their final sequence. ``keep`` may put other columns in the place of ``ids``."""
+    pieces = pieces_of(docs, tokenizer_path, size, windows, end_id)
+    held, _ = written(keep(pieces.withColumn(HELD, F.when(F.col("open"), F.col("ids")))))
+    opened = held.where("open").withColumn("ids", F.col(HELD))
+    return held.where("not open").drop("open", HELD).unionByName(keep(merge_open(opened, size)))
