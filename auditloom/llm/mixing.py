@@ -35,9 +35,9 @@ def size_of(text: Column) -> Column:
 def tempered(sizes: DataFrame, exponent: float = 0.5, period: int = PERIOD) -> DataFrame:
     """(source, weight): shares of ``period`` in proportion to total size ** exponent, at least 1 each."""
     totals = sizes.groupBy("source").agg(F.pow(F.sum("size").cast("double"), F.lit(exponent)).alias("p"))
-    everything = totals.agg(F.sum("p").alias("all"))
-    share = F.round(F.col("p") / F.col("all") * period).cast("int")
-    return totals.join(F.broadcast(everything)).select("source", F.greatest(share, F.lit(1)).alias("weight"))  # one row
+    everything = totals.agg(F.sum("p")).scalar()
+    share = F.round(F.col("p") / everything * period).cast("int")
+    return totals.select("source", F.greatest(share, F.lit(1)).alias("weight"))
 
 
 def edf(counts: Column) -> Column:
@@ -74,11 +74,12 @@ def rounds(sources: DataFrame) -> DataFrame:
     """
     whole = F.expr("blocks div weight")
     ends = sources.select(F.explode(F.array(F.lit(0).cast("long"), whole, F.ceil(F.col("blocks") / F.col("weight")))).alias("cut"))
-    cuts = ends.distinct().select(F.col("cut").alias("first_round"),
-                                  F.lead("cut").over(Window.orderBy("cut")).alias("last_round"))  # 2 per source
+    cuts = ends.agg(F.array_sort(F.collect_set("cut"))).scalar()  # 2 per source
+    spans = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda c, i: F.struct(
+        c.alias("first_round"), F.element_at("cuts", i + 2).alias("last_round")))
     taken = F.least(F.col("weight").cast("long"), F.col("blocks") - F.col("first_round") * F.col("weight"))
-    kinds = (cuts.where("last_round is not null").join(F.broadcast(sources), F.expr("first_round * weight < blocks"))
-             .groupBy("first_round", "last_round")
+    kinds = (sources.withColumn("cuts", cuts).select("*", F.explode(spans).alias("span")).select("source", "weight", "blocks", "span.*")
+             .where("first_round * weight < blocks").groupBy("first_round", "last_round")
              .agg(F.array_sort(F.collect_list(F.struct("source", taken.cast("int").alias("n")))).alias("own")))
     kinds = kinds.withColumn("order", edf(F.col("own.n"))).withColumn("length", F.size("order").cast("long"))
     earlier = Window.orderBy("first_round").rowsBetween(Window.unboundedPreceding, -1)

@@ -134,14 +134,13 @@ def safe_cutoffs(held: DataFrame, labels: DataFrame, risk: float, error: float)
         F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(c).alias("cutoff"),
                  F.col(f"{rule}_{k}").alias("x"))
         for rule, grid in CUTOFFS.items() for k, c in enumerate(grid)])).alias("t")).select("stratum", "n", "t.*")
-    strata = held.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    level = F.log(F.lit(error / len(CUTOFFS)) / F.greatest(F.col("strata"), F.lit(1)))
+    strata = held.agg(F.count_distinct("stratum")).scalar()
+    level = F.log(F.lit(error / len(CUTOFFS)) / F.greatest(strata, F.lit(1)))
     # A count at or above its expectation cannot pass, so its long sum is not taken.
     passed = F.when(F.col("x") >= F.col("n") * per_rule, F.lit(False)).otherwise(
         log_tail(F.col("n"), F.col("x"), per_rule) <= level)
     so_far = Window.partitionBy("stratum", "rule").orderBy("k")
-    tested = tests.join(F.broadcast(strata)).withColumn("passed", passed)  # one row
-    allowed = tested.withColumn("passed", F.min("passed").over(so_far)).where("passed")
+    allowed = tests.withColumn("passed", passed).withColumn("passed", F.min("passed").over(so_far)).where("passed")
     chosen = allowed.groupBy("stratum", "rule").agg(F.max_by("cutoff", "k").alias("cutoff"))
     return chosen.groupBy("stratum").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "cutoff")))).alias("cut"))
