@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, HASHED_BYTES = 4 << 20, 2 << 20
 BASE, STEP, OTHER = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # odd 64-bit constants
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,22 +44,36 @@ def sums(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Places and hashes of the words of several UTF-8 texts."""
+    """Places and hashes of the words of several UTF-8 texts.
+
+    A word's hash is that of its bytes, a difference of running sums. Sums are taken over some
+    megabytes at a time, cut between words, so long texts need little more than their own size.
+    """
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
-        blank = SPACE[data]
-        starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-        ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-        so_far = sums((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data) - 1))
-        back = powers(inverse(BASE), len(data))
-        self.hashes = mix((so_far[ends] - so_far[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        self.data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+        blank = SPACE[self.data]
+        self.starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        self.ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
         edges = np.cumsum([1] + [len(t) + 1 for t in texts])
-        self.first = np.searchsorted(starts, edges)  # first word of each text, and the end
+        self.first = np.searchsorted(self.starts, edges)  # first word of each text, and the end
         sizes = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.place = np.arange(len(starts)) - np.repeat(self.first[:-1], sizes)
-        self.data, self.starts, self.ends = data, starts, ends
+        self.place = np.arange(len(self.starts)) - np.repeat(self.first[:-1], sizes)
+        parts, at = [np.zeros(0, np.uint64)], 0
+        while at < len(self.starts):
+            after = max(int(np.searchsorted(self.ends, self.starts[at] + HASHED_BYTES)), at + 1)
+            parts.append(self._hashed(slice(at, after)))
+            at = after
+        self.hashes = np.concatenate(parts)
+
+    def _hashed(self, some: slice) -> np.ndarray:
+        starts, ends = self.starts[some], self.ends[some]
+        base, size = starts[0], int(ends[-1] - starts[0])
+        letters = self.data[base:base + size].astype(np.uint64) + np.uint64(1)
+        so_far = sums(letters * powers(BASE, size - 1))
+        back = powers(inverse(BASE), size)
+        return mix((so_far[ends - base] - so_far[starts - base]) * back[starts - base] + (ends - starts).astype(np.uint64))
 
 
 def dealt(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
