@@ -8,11 +8,11 @@ from tests.llm.tables import documents, nothing
 
 
 def plain(text):
-    t = re.sub(licenses.COPYRIGHT_LINE, "\n", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    t = re.sub(licenses.COPYRIGHT_LINE, "\n", (text or "").lower())
     t = " " + re.sub(licenses.PUNCTUATION, " ", t) + " "
     for a, b in licenses.SPELLINGS:
         t = t.replace(a, b)
-    t = re.sub(" +", " ", t).strip(" ")
+    t = t.strip(" ")
     return hashlib.sha256(t.encode()).hexdigest() if t else None
 
 
