@@ -1,6 +1,6 @@
 """Licence scan: canonical digests of whole texts and whole lines, joined to known licences.
 
-Two texts have the same canonical form when they differ only in ASCII case, punctuation and spacing,
+Two texts have the same canonical form when they differ only in case, punctuation and spacing,
 copyright lines, and spellings that mean the same. Its SHA-256 is looked up by a hash join in the
 digests of the known licences, so nothing but an entire text, or an entire line as a notice, counts.
 
@@ -14,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.words import ascii_lower
-
 # What the canonical form removes and which spellings it unites.
+COPYRIGHT_MARKS = ("copyright", "(c)", "©", "all rights reserved")
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-/:-@\[-`{-\x7F“”‘’–—…©]+"
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
@@ -55,11 +54,15 @@ THIS SOFTWARE."""],
 
 
 def canonical(text: Column) -> Column:
-    plain = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    marked = F.lit(False)
+    for mark in COPYRIGHT_MARKS:  # a plain search spares most texts the pattern
+        marked = marked | F.contains(lower, F.lit(mark))
+    plain = F.when(marked, F.regexp_replace(lower, COPYRIGHT_LINE, "\n")).otherwise(lower)
     plain = F.concat(F.lit(" "), F.regexp_replace(plain, PUNCTUATION, " "), F.lit(" "))
     for one, other in SPELLINGS:
         plain = F.replace(plain, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(plain, " +", " "))
+    return F.trim(plain)
 
 
 def digest(text: Column) -> Column:
