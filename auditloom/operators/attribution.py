@@ -117,39 +117,51 @@ def negation_nearby(evidence: DataFrame, block: int = BLOCK) -> DataFrame:
         .alias("right_at"))
 
 
-def subject_hits(subjects: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(draft_id, source_ord, key, clean, edges) for every source that names a subject.
+def evidence_hits(wanted: DataFrame, evidence: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(draft_id, source_ord, kind, key, clean, edges): which sources contain which folded keys.
 
-    ``clean`` is decided inside the source; ``edges`` lists occurrences whose window leaves it.
+    ``wanted`` has draft_id, kind ('name' or 'subject') and key. Evidence texts move once, on draft
+    and block of its sources, so a draft with a long list is searched by many tasks; the list of
+    keys, bounded by the draft's own text, is repeated per block. For subjects ``clean`` is decided
+    inside the source and ``edges`` lists occurrences whose window leaves it.
     """
-    wanted = subjects.groupBy("draft_id").agg(F.collect_set("key").alias("keys"))
+    lists = wanted.groupBy("draft_id").agg(F.collect_set(F.struct("kind", "key")).alias("keys"))
+    place = F.floor(F.col("source_ord") / block).alias("block")
+    blocks = evidence.select("draft_id", place).distinct().join(lists, "draft_id")
     folded = folded_evidence(evidence).withColumn("low", F.translate("low", MARK, "\x02"))
-    hits = folded.join(wanted, "draft_id").select(
+    met = folded.select("*", place).join(blocks, ["draft_id", "block"]).select(
         "draft_id", "source_ord", "low", F.explode(F.filter(
-            "keys", lambda k: F.contains(F.col("low"), k))).alias("key"))
-    seen = hits.select("draft_id", "source_ord", "key",
-                       _occurrences(F.col("low"), F.col("key")).alias("seen"))
-    inside = (F.lit(0), F.lit(0))
+            "keys", lambda k: F.contains(F.col("low"), k["key"]))).alias("k"))
+    subject = F.col("k.kind") == "subject"
+    seen = met.select("draft_id", "source_ord", "k.kind", "k.key",
+                      F.when(subject, _occurrences(F.col("low"), F.col("k.key"))).alias("seen"))
+    inside = lambda o: (o["short_left"] == 0) & (o["short_right"] == 0)
     return seen.select(
-        "draft_id", "source_ord", "key",
-        F.exists("seen", lambda o: ~o["negated"] & (o["short_left"] == inside[0])
-                 & (o["short_right"] == inside[1])).alias("clean"),
+        "draft_id", "source_ord", "kind", "key",
+        F.exists("seen", lambda o: ~o["negated"] & inside(o)).alias("clean"),
         F.array_distinct(F.transform(
-            F.filter("seen", lambda o: ~o["negated"] & ((o["short_left"] > 0)
-                                                        | (o["short_right"] > 0))),
+            F.filter("seen", lambda o: ~o["negated"] & ~inside(o)),
             lambda o: F.struct(o["short_left"].alias("l"), o["short_right"].alias("r"))))
         .alias("edges"))
 
 
+def wanted_subjects(subjects: DataFrame) -> DataFrame:
+    return subjects.select("draft_id", F.lit("subject").alias("kind"), "key")
+
+
 def attribution_binding(drafts: DataFrame, evidence: DataFrame,
                         block: int = BLOCK) -> DataFrame:
     """(draft_id, key, subject, sentence, status): ABSENT, NEGATED or PRESENT per attribution."""
     subjects = attributions(drafts)
-    hits = subject_hits(subjects, evidence)
+    return bound(subjects, evidence_hits(wanted_subjects(subjects), evidence, block), evidence, block)
+
+
+def bound(subjects: DataFrame, hits: DataFrame, evidence: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The status of every subject, given the places where sources name it."""
     nearby = negation_nearby(evidence, block)
     free = (lambda e: (F.col("left_at").isNull() | (e["l"] < F.col("left_at")))
             & (F.col("right_at").isNull() | (e["r"] < F.col("right_at"))))
-    judged = hits.join(nearby, ["draft_id", "source_ord"], "left").select(
+    judged = hits.filter("kind = 'subject'").join(nearby, ["draft_id", "source_ord"], "left").select(
         "draft_id", "key", (F.col("clean") | F.exists("edges", free)).alias("clean"))
     found = judged.groupBy("draft_id", "key").agg(F.max("clean").alias("clean"))
     status = (F.when(F.col("clean").isNull(), "ABSENT").when(F.col("clean"), "PRESENT")

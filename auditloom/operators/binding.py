@@ -71,7 +71,7 @@ def instrument_findings(rows: DataFrame, instruments: DataFrame, recognised: Dat
         Rule("bound_date_invalid", date.isNull() | iso_date(date).isNull()),
         Rule("instruments_missing", metadata.isNull()),
     ])
-    each = (bound.filter(metadata.isNotNull()).join(F.broadcast(instruments), "contract")
+    each = (bound.filter(metadata.isNotNull()).join(instruments, "contract")
             .withColumn("item", F.try_element_at(metadata, F.col("key")))
             .withColumns({"item_file": rec.string_part(F.col("item"), "file"),
                           "item_version": rec.string_part(F.col("item"), "version"),

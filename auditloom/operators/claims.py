@@ -12,6 +12,7 @@ from auditloom.operators import derivation
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import last_rows, repeats, with_columns
 from auditloom.operators.sources import prepared as prepared_sources
+from auditloom.session import written
 
 ARM = "CLAIMS"
 
@@ -102,12 +103,16 @@ def claim_counts(rows: DataFrame) -> DataFrame:
 
 def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None = None,
                    graph: derivation.Forest | None = None) -> DataFrame:
-    """All claim rules, for the projects that have both claims and sources."""
+    """All claim rules, for the projects that have both claims and sources.
+
+    Claims meet their sources once; the joined rows are landed, since pairs, counts, repeats and
+    rules all read them.
+    """
     with_sources = sources.select("project_id").distinct()
     attributes = source_attributes(sources, held)
     base = prepared(claims.join(with_sources, "project_id", "left_semi"))
-    on_source = cited(base, attributes)
-    rows = backed(on_source, attributes)
+    needed = ["project_id", "row_no", "contract", "cid", "sid", "cor", "material", "claim_text", "uncertainty"]
+    rows, _ = written(backed(cited(base.select(*needed), attributes), attributes))
     if graph is None:
         judged = rows.withColumns({"relation": F.lit(None).cast("string"),
                                    "shared": F.lit(None).cast("string")})
@@ -115,7 +120,7 @@ def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None
         defects = derivation.independence_defects(corroborating_pairs(rows), graph)
         judged = rows.join(defects.withColumnRenamed("other", "cor"),
                            ["project_id", "sid", "cor"], "left")
-    folded = base.withColumn("key", F.lower("cid"))
+    folded = rows.withColumn("key", F.lower("cid"))
     again = repeats(folded.select("project_id", "row_no", "cid", "key", "contract"),
                     ["project_id", "key"],
                     among=(F.col("contract") == "v0.3") & ~unusable(F.col("cid")))
@@ -124,5 +129,5 @@ def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None
         apply_rules(judged, ARM, _rules(), F.col("cid"), F.col("row_no")),
         apply_rules(again, ARM, [Rule("id_used_twice", F.lit(True))], F.col("cid"),
                     F.col("row_no")),
-        apply_rules(claim_counts(on_source), ARM, [Rule("counts", F.lit(True), note, "note")]),
+        apply_rules(claim_counts(rows), ARM, [Rule("counts", F.lit(True), note, "note")]),
     ])

@@ -66,27 +66,30 @@ def _row_rules() -> tuple[list[Rule], Column]:
 
 
 def decision_findings(decisions: DataFrame) -> DataFrame:
-    """All decision rules for every project that logged at least one row."""
+    """All decision rules for every project that logged at least one row.
+
+    The register is reduced once to a row per (project, id). What a project owes and what it logged
+    then meet in one full join, and every rule reads the joined row.
+    """
     rows = keyed(decisions)
     first = first_rows(rows, ["project_id", "did"])
-    required = required_decisions(projects_of(first))
-    logged = required.drop("contract", "through_ord", "question", "stage").join(
-        first, ["project_id", "did"])
+    required = required_decisions(projects_of(first)).drop("through_ord", "question").withColumn("owed", F.lit(True))
+    logged = first.drop("contract", "through_ord", "question", "stage").withColumn("logged", F.lit(True))
+    met = required.join(logged, ["project_id", "did"], "full")
     rules, per_token = _row_rules()
-    did = F.col("did")
-    owed = required.groupBy("project_id").agg(F.count("*").alias("required"))
-    seen = first.groupBy("project_id").agg(F.count("*").alias("logged"))
+    both = F.col("owed") & F.col("logged")
+    did, none = F.col("did"), F.array().cast("array<struct<rule:string,severity:string,detail:string>>")
+    owed = [Rule("not_logged", F.col("logged").isNull(), F.col("stage")),
+            Rule("extra_decision", F.col("owed").isNull() & (did != ""), severity="note"),
+            *[rule._replace(when=both & rule.when) for rule in rules]]
+    counts = met.groupBy("project_id").agg(F.count("owed").alias("required"), F.count("logged").alias("n"))
     return union_all([
         apply_rules(repeats(rows, ["project_id", "did"]), ARM,
                     [Rule("logged_twice", F.lit(True))], did, F.col("row_no")),
-        apply_rules(missing_decisions(required, first), ARM,
-                    [Rule("not_logged", F.lit(True), F.col("stage"))], did),
-        apply_rules(logged, ARM, rules, did, F.col("row_no"), more=per_token),
-        apply_rules(extra_decisions(required, first), ARM,
-                    [Rule("extra_decision", F.lit(True), severity="note")], did, F.col("row_no")),
-        apply_rules(owed.join(seen, "project_id"), ARM,
-                    [Rule("decision_counts", F.lit(True),
-                          F.format_string("required=%d logged=%d", "required", "logged"), "note")]),
+        apply_rules(met, ARM, owed, did, F.col("row_no"),
+                    more=F.when(both, F.coalesce(per_token, none)).otherwise(none)),
+        apply_rules(counts, ARM, [Rule("decision_counts", F.lit(True), F.format_string(
+            "required=%d logged=%d", "required", "n"), "note")]),
     ])
 
 

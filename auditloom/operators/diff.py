@@ -23,7 +23,9 @@ def decision_diff(decisions: DataFrame, by: list[str] | None = None,
     by = by or []
     # Only an absent or empty id is skipped; a blank-but-present one folds to the empty id below.
     rows = decisions.withColumn("did", F.upper(strip(F.col("decision_id")))).filter("did <> ''")
-    latest = last_rows(rows, [*by, "run_id", "did"])
+    # The last row of an id is compared; the id stands where the run named it first.
+    first = rows.groupBy(*by, "run_id", "did").agg(F.min("row_no").alias("first_row"))
+    latest = last_rows(rows, [*by, "run_id", "did"]).join(first, [*by, "run_id", "did"])
     if runs is None:
         runs = decisions.groupBy(*by, "run_id").agg(F.lit(1).alias("one")).select(*by, "run_id")
         latest = latest.withColumn("run_ord", F.col("run_id"))
@@ -36,7 +38,7 @@ def decision_diff(decisions: DataFrame, by: list[str] | None = None,
     per_decision = latest.groupBy(*by, "did").agg(
         F.count("*").alias("present"), F.min(chosen).alias("low"), F.max(chosen).alias("high"),
         said("question").alias("question"), said("stage").alias("stage"),
-        F.min(F.struct("run_ord", "row_no")).alias("first_seen"))
+        F.min(F.struct("run_ord", "first_row")).alias("first_seen"))
     if by:
         joined = per_decision.join(compared, by)
     else:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom import fixed
@@ -14,7 +14,6 @@ from auditloom.operators.registers import stage_order
 
 ARM = "DRAFT"
 KEY = 3  # a checked figure has more than two characters
-LISTED = 48  # runs up to this length are listed piece by piece
 
 
 def section_flags(drafts: DataFrame) -> DataFrame:
@@ -30,43 +29,29 @@ def section_flags(drafts: DataFrame) -> DataFrame:
     })
 
 
-def _pieces(runs: DataFrame) -> DataFrame:
-    """Every piece of at least three characters of short runs, as (project_id, token)."""
-    run, last = F.col("run"), F.length("run")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), last - KEY + 1), lambda i: F.transform(
-        F.sequence(F.lit(KEY), last - i + 1), lambda n: F.substring(run, i, n))))
-    return runs.select("project_id", F.explode(F.array_distinct(pieces)).alias("token")).distinct()
-
-
-def _tails(runs: DataFrame) -> DataFrame:
-    """Every place of a long run where a figure may start, keyed by its first characters."""
-    run, last = F.col("run"), F.length("run")
-    tails = F.transform(F.sequence(F.lit(1), last - KEY + 1), lambda i: F.substring(run, i, last))
-    return runs.select("project_id", F.explode(tails).alias("tail")).withColumn(
-        "head", F.substring("tail", 1, KEY))
+def _heads(runs: DataFrame) -> DataFrame:
+    """The distinct first three characters of all pieces of a run: at most 12 ** 3, however long."""
+    places = F.sequence(F.lit(1), F.length("run") - KEY + 1)
+    heads = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("run"), i, KEY)))
+    return runs.select("project_id", "run", F.explode(heads).alias("head"))
 
 
 def loose_numbers(drafts: DataFrame, claims: DataFrame) -> DataFrame:
     """(project_id, name, token): draft figures contained in no claim text or uncertainty.
 
     A figure can only sit inside a run of digits, commas and dots. Claims are reduced to their
-    distinct runs and the runs to their pieces, so containment becomes one equality. Runs too long
-    to list all pieces of are matched from each place a figure may start.
+    distinct runs; a run meets the figures that begin with three characters it holds, and is
+    searched for each. The same for runs of every length.
     """
     tokens = drafts.select("project_id", "name", F.explode(prose_numbers(F.col("text")))
                            .alias("token"))
     said = F.concat_ws(" ", text(F.col("claim_text")), text(F.col("uncertainty")))
     runs = claims.select("project_id", F.explode(digit_runs(said)).alias("run")).filter(
         F.length("run") >= KEY).distinct()
-    wanted = tokens.select("project_id", "token").distinct()
-    whole = wanted.join(_pieces(runs.filter(F.length("run") <= LISTED)), ["project_id", "token"],
-                        "left_semi")
-    heads = wanted.withColumn("head", F.substring("token", 1, KEY)).alias("w")
-    tails = _tails(runs.filter(F.length("run") > LISTED)).alias("t")
-    inside = heads.join(tails, (F.col("w.project_id") == F.col("t.project_id"))
-                        & (F.col("w.head") == F.col("t.head"))
-                        & F.startswith(F.col("t.tail"), F.col("w.token")), "left_semi")
-    found = whole.unionByName(inside.select("project_id", "token"))
+    wanted = tokens.select("project_id", "token").distinct().withColumn(
+        "head", F.substring("token", 1, KEY))
+    found = (wanted.join(_heads(runs), ["project_id", "head"]).filter(F.contains("run", "token"))
+             .select("project_id", "token").distinct())
     return tokens.join(found, ["project_id", "token"], "left_anti").select(
         "project_id", "name", "token")
 
@@ -74,12 +59,16 @@ def loose_numbers(drafts: DataFrame, claims: DataFrame) -> DataFrame:
 def loose_preview(loose: DataFrame) -> DataFrame:
     """Per draft: how many figures are loose, and the first eight in text order.
 
-    The list is bounded by the distinct figures of one draft.
+    Figures are counted and, apart from that, cut by rank before they move, so a draft's list never
+    holds more than it shows.
     """
-    shown = F.slice(F.array_sort(F.collect_list("token")), 1, fixed.PREVIEW_TOKENS)
-    more = F.when(F.count("*") > fixed.PREVIEW_TOKENS, " ...").otherwise("")
-    return loose.groupBy("project_id", "name").agg(
-        F.count("*").alias("tokens"), F.concat(F.array_join(shown, ", "), more).alias("preview"))
+    draft = ["project_id", "name"]
+    place = Window.partitionBy(*draft).orderBy("token")
+    first = (loose.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= fixed.PREVIEW_TOKENS)
+             .groupBy(*draft).agg(F.array_join(F.array_sort(F.collect_list("token")), ", ").alias("shown")))
+    counts = loose.groupBy(*draft).agg(F.count("*").alias("tokens"))
+    more = F.when(F.col("tokens") > fixed.PREVIEW_TOKENS, " ...").otherwise("")
+    return counts.join(first, draft).select(*draft, "tokens", F.concat("shown", more).alias("preview"))
 
 
 def draft_findings(projects: DataFrame, drafts: DataFrame, claims: DataFrame) -> DataFrame:

@@ -67,19 +67,19 @@ def folded_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.select("draft_id", "source_ord", F.lower(text(F.col("text"))).alias("low"))
 
 
-def missing_entities(sentences: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(draft_id, entity): names of triaged sentences that no source of the draft contains.
+def checked_names(sentences: DataFrame) -> DataFrame:
+    """(draft_id, entity): the names of triaged sentences."""
+    return triaged(sentences).select("draft_id", F.explode(F.array_distinct("names"))
+                                     .alias("entity")).distinct()
 
-    Each source row is tested once against its draft's list of names and reports the names it
-    contains, so no source-name pairs are formed. A draft with very many sources stays spread: the
-    join repeats its one list of names over the pieces of the skewed side.
-    """
-    names = triaged(sentences).select("draft_id", F.explode(F.array_distinct("names"))
-                                      .alias("entity")).distinct()
-    wanted = names.groupBy("draft_id").agg(F.collect_set(F.lower("entity")).alias("wanted"))
-    met = folded_evidence(evidence).join(wanted, "draft_id").select(
-        "draft_id", F.explode(F.filter("wanted", lambda name: F.contains(F.col("low"), name)))
-        .alias("folded")).distinct()
+
+def wanted_names(names: DataFrame) -> DataFrame:
+    return names.select("draft_id", F.lit("name").alias("kind"), F.lower("entity").alias("key")).distinct()
+
+
+def unmet_names(names: DataFrame, hits: DataFrame) -> DataFrame:
+    """(draft_id, entity): names that no source of the draft contains, given the hits."""
+    met = hits.filter("kind = 'name'").select("draft_id", F.col("key").alias("folded")).distinct()
     return names.withColumn("folded", F.lower("entity")).join(
         met, ["draft_id", "folded"], "left_anti").select("draft_id", "entity")
 

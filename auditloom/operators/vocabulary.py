@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import strip, text
@@ -10,33 +10,35 @@ from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import projects_of
 
 ARM = "VOCAB"
-KEYS = ["project_id", "row_no", "contract", "through_ord"]
+KEYS = ["project_id", "row_no", "contract", "through_ord", "named", "extra"]
 
 
-def controlled_columns(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> list[str]:
-    """The register columns any project controls; at most as many as the registers have columns.
+def _fields(rows: DataFrame) -> Column:
+    """All fields of a row as (column, value), those its file does not have left out."""
+    columns = [c for c in rows.columns if c not in KEYS]
+    fields = F.array(*[F.struct(F.lit(c).alias("column"), text(F.col(c)).alias("value")) for c in columns])
+    if "named" in rows.columns:
+        fields = F.filter(fields, lambda f: F.array_contains("named", f["column"]))
+    if "extra" in rows.columns:
+        more = F.transform(F.map_entries("extra"), lambda e: F.struct(
+            e["key"].alias("column"), text(e["value"]).alias("value")))
+        fields = F.concat(fields, F.coalesce(more, F.array().cast("array<struct<column:string,value:string>>")))
+    return fields
 
-    Read ahead of the main job so that free-text columns are never melted.
-    """
-    known = sorted({c for rows in registers.values() for c in rows.columns if c not in KEYS})
-    named = declared(vocabulary).filter(F.col("column").isin(known)).select("column").distinct()
-    return sorted(r.column for r in named.collect())
 
+def melted(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:
+    """(project_id, register, row_no, column, value) for every field its project controls.
 
-def melted(registers: dict[str, DataFrame], controlled: list[str]) -> DataFrame:
-    """(project_id, register, row_no, column, value) for every field of a controlled column."""
+    A row meets the list of its project's controlled columns, at most as many as it has columns,
+    and is cut to them before its fields become rows, so free text is never melted.
+    """
+    lists = declared(vocabulary).groupBy("project_id").agg(F.collect_set("column").alias("controlled"))
     frames = []
     for name, rows in registers.items():
-        columns = [c for c in rows.columns if c in controlled]
-        fields = rows.select("project_id", "row_no", *[text(F.col(c)).alias(c) for c in columns])
-        if columns:
-            frames.append(fields.unpivot(["project_id", "row_no"], columns, "column", "value")
-                          .select("project_id", F.lit(name).alias("register"), "row_no", "column",
-                                  strip(F.col("value")).alias("value")))
-    if not frames:
-        rows = next(iter(registers.values()))
-        frames = [rows.limit(0).select("project_id", F.lit("").alias("register"), "row_no",
-                                       F.lit("").alias("column"), F.lit("").alias("value"))]
+        met = rows.join(lists, "project_id")
+        wanted = F.filter(_fields(rows), lambda f: F.array_contains("controlled", f["column"]))
+        frames.append(met.select("project_id", F.lit(name).alias("register"), "row_no", F.explode(wanted).alias("f"))
+                      .select("project_id", "register", "row_no", "f.column", strip(F.col("f.value")).alias("value")))
     return union_all(frames)
 
 
@@ -49,10 +51,7 @@ def declared(vocabulary: DataFrame) -> DataFrame:
 def undeclared_values(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:
     """Register fields in a controlled column whose value the project does not declare."""
     allowed = declared(vocabulary)
-    controlled = allowed.select("project_id", "column").distinct()
-    fields = melted(registers, controlled_columns(vocabulary, registers))
-    return (fields.join(controlled, ["project_id", "column"], "left_semi")
-            .join(allowed, ["project_id", "column", "value"], "left_anti"))
+    return melted(vocabulary, registers).join(allowed, ["project_id", "column", "value"], "left_anti")
 
 
 def checked_counts(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:
@@ -62,7 +61,7 @@ def checked_counts(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> Da
     reaches the list.
     """
     controlled = declared(vocabulary).select("project_id", "column").distinct()
-    fields = melted(registers, controlled_columns(vocabulary, registers))
+    fields = melted(vocabulary, registers)
     per_column = fields.groupBy("project_id", "column").agg(F.count("*").alias("n"))
     return (controlled.join(per_column, ["project_id", "column"], "left")
             .groupBy("project_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.operators import attribution, grounding
+from auditloom.session import written
 
 
 class Sections(NamedTuple):
@@ -21,17 +22,29 @@ class Sections(NamedTuple):
 
 
 def audit_sections(drafts: DataFrame, evidence: DataFrame) -> Sections:
-    sentences = grounding.sentence_table(drafts)
-    numbers = grounding.number_grounding(drafts, evidence)
+    """The six sections. Sentences, grounded numbers and what evidence contains are landed, since
+    several sections read each; evidence texts are searched for names and subjects in one pass.
+    """
+    sentences, _ = written(grounding.sentence_table(drafts))
+    numbers, _ = written(grounding.number_grounding(drafts, evidence))
+    names, subjects = grounding.checked_names(sentences), attribution.attributions(drafts)
+    wanted = grounding.wanted_names(names).unionByName(attribution.wanted_subjects(subjects))
+    hits, _ = written(attribution.evidence_hits(wanted, evidence))
     return Sections(
         grounding.ungrounded_numbers(numbers),
-        grounding.missing_entities(sentences, evidence),
+        grounding.unmet_names(names, hits),
         grounding.contradictions(sentences),
         grounding.low_trust_numbers(numbers),
-        attribution.attribution_binding(drafts, evidence),
+        attribution.bound(subjects, hits, evidence),
         grounding.triaged(sentences))
 
 
+def missing_entities(sentences: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(draft_id, entity): names of triaged sentences that no source of the draft contains."""
+    names = grounding.checked_names(sentences)
+    return grounding.unmet_names(names, attribution.evidence_hits(grounding.wanted_names(names), evidence))
+
+
 def hard_flags(sections: Sections) -> DataFrame:
     """(draft_id, section, item, value): every flag that counts against a draft."""
     def flags(rows: DataFrame, section: str, item: str, value) -> DataFrame:

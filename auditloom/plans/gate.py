@@ -54,7 +54,7 @@ def register_findings(projects: DataFrame, registers: Registers, held: DataFrame
     scope = decisions.latest_scope_dates(registers.decisions)
     graph = derivation.forest(derivation.parents_of(registers.sources))
     controlled = {"sources.csv": registers.sources,
-                  "claims.csv": registers.claims.drop("extra")}
+                  "claims.csv": registers.claims}
     return union_all([
         decisions.decision_findings(registers.decisions),
         sources.premature_rows(registers.sources, "SOURCES", "data"),
@@ -74,7 +74,8 @@ def evaluate(spark: SparkSession, root: str, projects: DataFrame, release: Relea
     for stage in fixed.STAGES:
         order = F.when(F.col("through") == stage, stage_order(stage)).otherwise(order)
     asked = projects.withColumn("through_ord", order).drop("through")
-    texts = written(scan_texts(spark, root, "*.json"))[0]
+    names = (fixed.BINDING_FILE, fixed.REVIEW_FILE, fixed.APPROVAL_FILE, fixed.POLICY_FILE)
+    texts = written(scan_texts(spark, root, f"{{{','.join(names)}}}").filter(F.col("rel_path").isin(*names)))[0]
     bindings = project_records(texts, fixed.BINDING_FILE)
     bound = written(binding.resolved(asked, bindings).drop("v"))[0].withColumn(
         "v", F.try_parse_json("value"))

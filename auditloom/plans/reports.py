@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions.text import strip, text
 from auditloom.operators.diff import decision_diff
 from auditloom.operators.registers import last_rows
-from auditloom.sources.registers import read_decision_runs
+from auditloom.sources.registers import list_runs, read_decision_runs
 
 
 def _or_else(value: Column, other: str) -> Column:
@@ -51,6 +51,32 @@ def diff_report(decisions: DataFrame) -> DataFrame:
                          .alias("markdown")).orderBy("first_seen")
 
 
+def diff_lines(decisions: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """The report as one row per decision and compared run, absent runs included.
+
+    ``runs`` is the list (run_id, run_ord) in the order of comparison, by default the runs of
+    ``decisions`` by name: of those only the ids are gathered. Every row holds the text of one run,
+    so no row grows with their number; the rows are what the report prints.
+    """
+    if runs is None:
+        runs = decisions.select("run_id").distinct().withColumn("run_ord", F.col("run_id"))
+    rows = decisions.withColumn("did", F.upper(strip(F.col("decision_id")))).filter("did <> ''")
+    said = last_rows(rows, ["run_id", "did"]).select(
+        "run_id", F.col("did").alias("decision_id"), F.lit(True).alias("here"), "decided_by", "chosen",
+        "alternatives", "rationale")
+    labelled = decision_diff(decisions, runs=runs).select("decision_id", "stage", "question", "status", "first_seen")
+    listed = runs.agg(F.array_sort(F.collect_list(F.struct("run_ord", "run_id")))).scalar()
+    lines = labelled.withColumn("run", listed).withColumn("run", F.explode("run")).select(
+        *labelled.columns, "run.run_ord", "run.run_id")
+    told = lines.join(said, ["run_id", "decision_id"], "left")
+    return told.select("decision_id", "stage", "question", "status", "first_seen", "run_ord", "run_id",
+                       _or_else(F.col("decided_by"), "unspecified").alias("decided_by"),
+                       F.when(F.col("here"), text(F.col("chosen"))).otherwise("[empty]").alias("chosen"),
+                       text(F.col("alternatives")).alias("alternatives"),
+                       text(F.col("rationale")).alias("rationale"))
+
+
 def diff_folders(spark: SparkSession, root: str) -> DataFrame:
-    """The report over one folder per run below ``root``."""
-    return diff_report(read_decision_runs(spark, root))
+    """The report, line by line, over one folder per run below ``root``; empty registers count."""
+    runs = list_runs(spark, root, "decisions.csv")
+    return diff_lines(read_decision_runs(spark, root), runs).orderBy("first_seen", "run_ord")

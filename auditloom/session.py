@@ -16,6 +16,7 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",  # of equal keys in a JSON record the last counts
 }
 
 
@@ -51,13 +52,3 @@ def written(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
     seen = Observation()
     (df.observe(seen, *metrics) if metrics else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), (seen.get if metrics else {})
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a frame that arrives in fewer partitions than there are cores one partition per core.
-
-    Text rules cost far more than moving the rows, and a small file is read by one task. Inputs of
-    many files already have more partitions than cores and pass through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)

@@ -75,7 +75,7 @@ def catalogue_findings(catalogue: DataFrame, instruments: DataFrame, roots: Data
     ])
     parts = _contract_parts(catalogue).withColumn("project_id", F.lit(""))
     joined = (parts.join(expected_stages(catalogue.sparkSession), "contract")
-              .join(F.broadcast(roots), "contract", "left"))  # one row per contract
+              .join(roots, "contract", "left"))
     part, listed = F.col("part"), rec.is_object(F.col("part"))
     version = F.lit(None).cast("string")
     for contract, key in fixed.CONTRACT_VERSION_FIELDS.items():
@@ -93,7 +93,7 @@ def catalogue_findings(catalogue: DataFrame, instruments: DataFrame, roots: Data
         Rule("contract_hashes", listed & rec.entries(rec.part(part, "hashes")).isNull()),
     ], F.col("contract"))
     lists = rec.entries(rec.part(part, "hashes"))
-    files = (parts.filter(listed & lists.isNotNull()).join(F.broadcast(instruments), "contract")
+    files = (parts.filter(listed & lists.isNotNull()).join(instruments, "contract")
              .withColumn("allowed", F.try_element_at(lists, F.col("file"))))
     if observed is None:
         files = files.withColumn("file_sha256", F.lit(None).cast("string"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+import sys
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import fixed
@@ -11,34 +16,61 @@ from auditloom.operators.registers import stage_order
 from auditloom.session import written
 from auditloom.sources.paths import below, project_of
 
-MAX_COLUMNS = 64
-CSV_OPTIONS = {"header": "false", "multiLine": "true", "escape": '"', "quote": '"',
-               "encoding": "UTF-8", "maxCharsPerColumn": "-1"}
+RECORD = "_record"
+CSV_OPTIONS = {"header": "false", "multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
+               "maxCharsPerColumn": "-1", "maxColumns": str(1 << 20)}
 
 
-def scan_cells(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(project_id, row_no, header, cells) of one register file name over all projects.
+def _cells(first: Column, record: Column) -> Column:
+    """All cells of one record; one of a single cell comes parsed."""
+    @F.pandas_udf("array<string>")
+    def split(records: pd.Series) -> pd.Series:
+        csv.field_size_limit(sys.maxsize)
+        return pd.Series([None if r is None else next(csv.reader(io.StringIO(r, newline="")), []) for r in records])
+
+    return F.coalesce(split(record), F.array(F.coalesce(first, F.lit(""))))
+
 
-    The header counts as record 1. A file with quoted line breaks cannot be split, so one task
-    reads it from the start and the running id of its records has no gaps: the record number is the
-    distance from the file's first id. No sort and no window over a file is needed. The text is
-    parsed once and landed; later steps read the landed copy.
+def scan_cells(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(project_id, row_no, header, cells, surplus) of one register file name over all projects.
+
+    The header counts as record 1. Spark's reader cuts files to records, which a record with more
+    cells than its one-column schema hands over as it stands; the cells are then split without any
+    limit on their number. A file with quoted line breaks cannot be cut before it is read, so one
+    task reads it from the start and the running id of its records has no gaps: the record number is
+    the distance from the file's first id. No sort and no window over a file is needed. The text is
+    parsed once and landed; later steps read the landed copy. ``surplus`` marks files whose first
+    row has more cells than the header.
     """
-    cells = [f"_c{i}" for i in range(MAX_COLUMNS)]
-    raw = (spark.read.schema(", ".join(f"{c} string" for c in cells)).options(**CSV_OPTIONS)
+    raw = (spark.read.schema(f"first string, {RECORD} string")
+           .options(**CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
            .csv(f"{root.rstrip('/')}/*/{name}"))
     rows = written(raw.select(F.col("_metadata.file_path").alias("file"),
                               F.monotonically_increasing_id().alias("id"),
-                              F.array(*cells).alias("cells")))[0]
+                              _cells(F.col("first"), F.col(RECORD)).alias("cells")))[0]
     starts = rows.groupBy("file").agg(F.min("id").alias("first_id"))
     numbered = rows.join(starts, "file").select(
         "file", (F.col("id") - F.col("first_id") + 1).alias("row_no"), "cells")
-    width = F.array_max(F.transform(F.col("cells"), lambda c, i: F.when(c.isNotNull(), i + 1)))
-    headers = numbered.filter("row_no = 1").select("file", F.transform(
-        F.slice("cells", F.lit(1), F.coalesce(width, F.lit(0))),
-        lambda c: F.coalesce(c, F.lit(""))).alias("header"))
-    return numbered.filter("row_no > 1").join(headers, "file").select(
-        project_of(below(root, F.col("file"))).alias("project_id"), "row_no", "header", "cells")
+    top = numbered.filter("row_no <= 2").groupBy("file").agg(
+        F.max(F.when(F.col("row_no") == 1, F.col("cells"))).alias("header"),
+        F.max(F.when(F.col("row_no") == 2, F.size("cells"))).alias("width"))
+    heads = top.select("file", "header", (F.coalesce("width", F.lit(0)) > F.size("header")).alias("surplus"))
+    return numbered.filter("row_no > 1").join(heads, "file").select(
+        project_of(below(root, F.col("file"))).alias("project_id"), "row_no", "header", "cells", "surplus")
+
+
+def value_of(column: Column | str) -> Column:
+    """The cell of a named column: of columns of one name the last; null if the file has none."""
+    name = F.lit(column) if isinstance(column, str) else column
+    place = F.array_position(F.reverse("header"), name).cast("int")
+    return F.when(place > 0, F.coalesce(F.get("cells", F.size("header") - place), F.lit("")))
+
+
+def list_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(run_id, run_ord) of every folder that has the file, with or without rows, in name order."""
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/{name}")
+    run = project_of(below(root, F.col("path"))).alias("run_id")
+    return files.select(run).distinct().withColumn("run_ord", F.col("run_id"))
 
 
 def expected_headers(spark: SparkSession) -> DataFrame:
@@ -52,14 +84,18 @@ def expected_headers(spark: SparkSession) -> DataFrame:
 def _judged(cells: DataFrame, projects: DataFrame, name: str) -> DataFrame:
     dim = expected_headers(cells.sparkSession).filter(F.col("register") == name).drop("register")
     legacy = F.array(*[F.lit(c) for c in fixed.DECISION_COLUMNS_LEGACY])
-    exact = F.col("header") == F.col("expected")
+    # Columns of one name are one column to a reader by name; a first row that is longer than the
+    # header fits no contract.
+    named = F.array_distinct("header")
+    exact = named == F.col("expected")
     if name == "decisions.csv":
-        fits = exact | ((F.col("contract") != "v0.3") & (F.col("header") == legacy))
+        fits = exact | ((F.col("contract") != "v0.3") & (named == legacy))
     elif name == "claims.csv":
         fits = F.size(F.array_except("expected", "header")) == 0
     else:
         fits = exact
-    return cells.join(projects, "project_id").join(dim, "contract").withColumn("fits", fits)
+    return cells.join(projects, "project_id").join(dim, "contract").withColumn(
+        "fits", fits & ~F.col("surplus"))
 
 
 def header_findings(judged: DataFrame, name: str) -> DataFrame:
@@ -77,24 +113,21 @@ def header_findings(judged: DataFrame, name: str) -> DataFrame:
 
 
 def register_rows(judged: DataFrame, name: str) -> DataFrame:
-    """The rows of fitting files as named string columns, never null; extras in a map."""
+    """The rows of fitting files as named string columns, never null; extras in a map.
+
+    ``named`` lists the columns the file itself has; the others are filled with ''.
+    """
     columns = []
     for (register, _), header in fixed.REGISTER_HEADERS.items():
         if register == name:
             columns += [c for c in header if c not in columns]
 
-    def field(column: str):
-        place = F.array_position("header", F.lit(column)).cast("int")
-        return F.coalesce(F.when(place > 0, F.get("cells", place - 1)), F.lit("")).alias(column)
-
-    fields = [field(c) for c in columns]
+    fields = [F.coalesce(value_of(c), F.lit("")).alias(c) for c in columns]
+    fields.append(F.array_distinct("header").alias("named"))
     if name == "claims.csv":
         known = F.array(*[F.lit(c) for c in columns])
-        pairs = F.arrays_zip(F.col("header").alias("k"), F.slice(
-            "cells", F.lit(1), F.size("header")).alias("v"))
-        fields.append(F.map_from_entries(F.transform(
-            F.filter(pairs, lambda p: ~F.array_contains(known, p["k"])),
-            lambda p: F.struct(p["k"], F.coalesce(p["v"], F.lit(""))))).alias("extra"))
+        extra = F.filter(F.array_distinct("header"), lambda c: ~F.array_contains(known, c))
+        fields.append(F.map_from_entries(F.transform(extra, lambda c: F.struct(c, value_of(c)))).alias("extra"))
     return judged.filter("fits").select("project_id", "row_no", "contract", "through_ord", *fields)
 
 
@@ -140,15 +173,13 @@ def presence_findings(projects: DataFrame, rows: dict[str, DataFrame], refused:
 
 
 def read_decision_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Decision registers of several runs, one folder per run, for the diff: any header fits."""
-    cells = scan_cells(spark, root, "decisions.csv")
-
-    def field(column: str):
-        place = F.array_position("header", F.lit(column)).cast("int")
-        return F.coalesce(F.when(place > 0, F.get("cells", place - 1)), F.lit("")).alias(column)
+    """Decision registers of several runs, one folder per run, for the diff: any header fits.
 
+    A column the register does not have is null, unlike an empty cell.
+    """
+    cells = scan_cells(spark, root, "decisions.csv")
     return cells.select(F.col("project_id").alias("run_id"), "row_no",
-                        *[field(c) for c in fixed.DECISION_COLUMNS])
+                        *[value_of(c).alias(c) for c in fixed.DECISION_COLUMNS])
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:

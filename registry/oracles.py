@@ -74,7 +74,8 @@ FROM grid GROUP BY project_id, decision_id HAVING bool_or(chosen <> '')""")
 
 add("decision_diff_all_projects", DEC, f"""
 , d AS (SELECT *, project_id || '/' || run_id AS run FROM fx_decisions),
-last AS (SELECT run, decision_id, {strip('chosen')} AS chosen, decided_by, row_no FROM d
+last AS (SELECT run, decision_id, {strip('chosen')} AS chosen, decided_by,
+  min(row_no) OVER (PARTITION BY run, decision_id) AS row_no FROM d
   QUALIFY row_number() OVER (PARTITION BY run, decision_id ORDER BY row_no DESC) = 1),
 runs AS (SELECT DISTINCT run FROM d), ids AS (SELECT DISTINCT decision_id FROM d),
 grid AS (SELECT i.decision_id, r.run, coalesce(l.chosen, '') AS chosen, l.decided_by, l.row_no
@@ -87,6 +88,20 @@ SELECT decision_id, count(*) AS runs, count(row_no) AS present,
        arg_min(row_no, run) FILTER (row_no IS NOT NULL) AS first_row
 FROM grid GROUP BY decision_id HAVING bool_or(chosen <> '')""")
 
+add("decision_diff_listed_runs", DEC, f"""
+, d AS (SELECT *, project_id || '/' || run_id AS run FROM fx_decisions),
+runs AS (SELECT DISTINCT run FROM d WHERE run < 'p5' UNION ALL SELECT 'p0/none'),
+last AS (SELECT run, decision_id, {strip('chosen')} AS chosen, min(row_no) OVER (PARTITION BY run, decision_id) AS row_no
+  FROM d SEMI JOIN runs USING (run) QUALIFY row_number() OVER (PARTITION BY run, decision_id ORDER BY d.row_no DESC) = 1),
+grid AS (SELECT i.decision_id, r.run, coalesce(l.chosen, '') AS chosen, l.row_no
+         FROM (SELECT DISTINCT decision_id FROM last) i CROSS JOIN runs r
+         LEFT JOIN last l ON l.run = r.run AND l.decision_id = i.decision_id)
+SELECT decision_id, count(*) AS runs, count(row_no) AS present,
+       CASE WHEN count(DISTINCT chosen) = 1 THEN 'CONSENSUS' ELSE 'DIVERGENCE' END AS status,
+       min(reverse(run)) FILTER (row_no IS NOT NULL) AS first_ord,
+       arg_min(row_no, reverse(run)) FILTER (row_no IS NOT NULL) AS first_row
+FROM grid GROUP BY decision_id HAVING bool_or(chosen <> '')""")
+
 FIRST = """first AS (SELECT * FROM {src}
   QUALIFY row_number() OVER (PARTITION BY project_id, decision_id ORDER BY row_no) = 1)"""
 
@@ -367,6 +382,22 @@ f AS (SELECT 'claims.csv' AS register, row_no, 'claim_basis' AS col, claim_basis
 add("vocab_undeclared", CLM, f""", {_vocab}
 SELECT register, row_no, col AS "column", val AS value FROM f
 WHERE (col, val) NOT IN (SELECT col, val FROM v)""")
+add("vocabulary_findings", CLM, """, v(project_id, col, val) AS (VALUES ('p0', 'stance', 'for'),
+ ('p0', 'load_bearing', 'yes'), ('p0', 'claim_basis', 'reported'), ('p1', 'stance', 'against'),
+ ('p1', 'retrieval_status', 'retrieved'), ('p1', 'nowhere', 'x')),
+cells AS (SELECT 'p' || row_no % 3 AS project_id, 'claims.csv' AS register, row_no, unnest([
+  {'col': 'claim_id', 'val': claim_id}, {'col': 'claim_basis', 'val': claim_basis},
+  {'col': 'material_to_conclusion', 'val': material_to_conclusion},
+  {'col': 'stance', 'val': CASE WHEN row_no % 7 = 0 THEN 'BOGUS' ELSE 'for' END}]) AS f FROM fx_claims
+ UNION ALL SELECT 'p' || row_no % 3, 'sources.csv', row_no, unnest([{'col': 'source_id', 'val': source_id},
+  {'col': 'retrieval_status', 'val': retrieval_status}]) FROM fx_sources),
+met AS (SELECT c.project_id, register, row_no, f.col AS col, f.val AS val FROM cells c
+ WHERE EXISTS (SELECT 1 FROM v WHERE v.project_id = c.project_id AND v.col = c.f.col))
+SELECT project_id, 'VOCAB' AS arm, 'undeclared_value' AS rule, 'error' AS severity, register AS subject_id, row_no,
+ col || ' ' || val AS detail FROM met ANTI JOIN v USING (project_id, col, val)
+UNION ALL SELECT 'p2', 'VOCAB', 'no_controlled_column', 'error', '', 0, ''
+UNION ALL SELECT v.project_id, 'VOCAB', 'checked', 'note', '', 0, 'checked=' || (SELECT count(*) FROM met m
+  WHERE m.project_id = v.project_id) || ' columns=' || string_agg(DISTINCT col, ', ' ORDER BY col) FROM v GROUP BY v.project_id""")
 add("vocab_counts", CLM, f""", {_vocab}
 SELECT 'all' AS project_id, count(*) AS checked,
  'claim_basis, material_to_conclusion, retrieval_status' AS columns FROM f""")
@@ -730,9 +761,13 @@ FROM all_findings GROUP BY project_id""")
 
 # ---- scans over files Spark derives from the tables ---------------------------------------------
 
-add("register_scan", SRC, """ SELECT project_id, 'source_id,title,publisher,notes' AS header, source_id,
+SHELF = """'p' || CAST(floor(row_no / 25) AS BIGINT) AS project_id,
+ 1 + row_number() OVER (PARTITION BY floor(row_no / 25) ORDER BY row_no) AS row_no"""
+add("register_scan", SRC, f""" SELECT {SHELF}, 'source_id,title,publisher,notes' AS header, source_id,
  title || chr(10) || '"x", y' AS title, publisher, notes FROM fx_sources""")
-add("held_files", [], """SELECT source || '-' || doc_id % 8 AS project_id,
+add("register_rows_wide", SRC, f""" SELECT {SHELF}, CAST(90 AS INTEGER) AS columns, CAST(90 AS INTEGER) AS cells,
+ 'v0,' || row_no AS c0, 'v89,' || (row_no + 89) AS c89 FROM fx_sources""")
+add("held_files", [], """SELECT source || '-' || CAST(floor(doc_id / 400) AS BIGINT) AS project_id,
  sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS file_sha256 FROM documents GROUP BY ALL""")
 add("source_specs", [], """WITH s AS (SELECT url || ':' || CASE WHEN page_id % 3 = 0 THEN 'x'
   ELSE CAST(page_id % 5 AS VARCHAR) END AS spec FROM pages
@@ -804,3 +839,32 @@ d AS (SELECT decision_id, stage, question, CASE WHEN count(DISTINCT {strip('chos
  FROM text GROUP BY ALL HAVING bool_or({strip('chosen')} <> ''))
 SELECT decision_id, stage, question, status, runs, '## ' || decision_id || ' (' || stage || ': ' || question || ')'
  || chr(10) || '**Status:** ' || status || chr(10) || chr(10) || lines AS markdown FROM d""")
+add("diff_lines", DEC, f""", c AS ({contract('v0.3')}), d AS (SELECT *, project_id || '/' || run_id AS run FROM fx_decisions),
+last AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY run, decision_id ORDER BY row_no DESC) = 1),
+grid AS (SELECT c.decision_id, r.run, l.chosen, l.decided_by, l.alternatives, l.rationale
+ FROM c CROSS JOIN (SELECT DISTINCT run FROM d) r LEFT JOIN last l ON l.run = r.run AND l.decision_id = c.decision_id),
+s AS (SELECT *, min({strip('chosen')}) OVER same AS low, max({strip('chosen')}) OVER same AS high FROM grid
+ WINDOW same AS (PARTITION BY decision_id))
+SELECT decision_id, CASE WHEN low = high THEN 'CONSENSUS' ELSE 'DIVERGENCE' END AS status, run AS run_id,
+ coalesce(decided_by, 'unspecified') AS decided_by, coalesce(chosen, '[empty]') AS chosen,
+ coalesce(alternatives, '') AS alternatives, coalesce(rationale, '') AS rationale FROM s WHERE high <> ''""")
+
+# ---- rules about whole registers, candidates and runs -------------------------------------------
+
+_early = """SELECT project_id, '{arm}' AS arm, 'filled_too_early' AS rule, 'error' AS severity, '' AS subject_id, 0::BIGINT AS row_no,
+ CAST(count(*) AS VARCHAR) AS detail FROM {rows} WHERE CAST(substr(project_id, 2) AS INTEGER) % 6 < {ord} GROUP BY project_id"""
+EARLY = _early.format(arm="SOURCES", rows="fx_sources", ord=2)
+add("premature_rows", CLM, f" {EARLY} UNION ALL " + _early.format(
+    arm="CLAIMS", rows="(SELECT 'p' || row_no % 16 AS project_id FROM fx_claims)", ord=3))
+add("register_presence", SRC, """, p AS (SELECT DISTINCT c_custkey % 40 AS n, 'p' || c_custkey % 40 AS project_id FROM customer),
+s AS (SELECT *, n % 3 = 2 AS missing, n % 3 < 2 AND n % 9 <> 1 AND project_id NOT IN (SELECT project_id FROM fx_sources) AS empty FROM p)
+SELECT project_id, CASE WHEN missing AND n % 2 = 1 THEN 'SOURCES' ELSE 'MANIFEST' END AS arm,
+ CASE WHEN missing THEN 'register_missing' WHEN n % 6 < 2 THEN 'register_empty_so_far' ELSE 'register_empty' END AS rule,
+ CASE WHEN empty AND n % 6 < 2 THEN 'note' ELSE 'error' END AS severity, 'sources.csv' AS subject_id, 0::BIGINT AS row_no, '' AS detail
+FROM s WHERE missing OR empty""")
+add("candidates_admitted", [], """SELECT p_partkey AS candidate_id, p_partkey % 6 = 0 AS eligible FROM part
+WHERE (p_partkey % 2 = 0 OR p_partkey % 3 = 0) AND p_partkey % 5 <> 0""")
+add("runner_measures", [], """SELECT user_id AS run_id, count(*) FILTER (event_type = 'click') AS interventions,
+ count(*) FILTER (event_type = 'purchase') AS corrections,
+ count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) AS unresolved_anchors FROM events GROUP BY user_id""")
+add("findings_landed", DEC + SRC, f" SELECT * FROM ({SQL['decision_findings_v03']}) UNION ALL {EARLY}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import fixed
@@ -80,7 +80,20 @@ def decision_diff_all_projects(spark, sf_dir):
     return diff.decision_diff(rows).select(
         "decision_id", "runs", "present", "status", F.col("question").alias("first_question"),
         F.col("first_seen.run_ord").alias("first_run"),
-        F.col("first_seen.row_no").alias("first_row"))
+        F.col("first_seen.first_row").alias("first_row"))
+
+
+@query
+def decision_diff_listed_runs(spark, sf_dir):
+    """Runs given as a list in an order of their own; one of them decided nothing."""
+    rows = view(spark, sf_dir, "fx_decisions").withColumns(
+        {"run_id": F.concat_ws("/", "project_id", "run_id"), "stage": F.lit(""), "question": F.lit("")})
+    listed = rows.filter("run_id < 'p5'").select("run_id").distinct()
+    listed = listed.unionByName(rows.select(F.lit("p0/none").alias("run_id")).distinct())
+    runs = listed.withColumn("run_ord", F.reverse("run_id"))
+    return diff.decision_diff(rows, runs=runs).select(
+        "decision_id", "runs", "present", "status", F.col("first_seen.run_ord").alias("first_ord"),
+        F.col("first_seen.first_row").alias("first_row"))
 
 
 @query
@@ -344,6 +357,24 @@ def _vocabulary(spark) -> DataFrame:
         "project_id string, column string, value string, definition string"), "v0.3")
 
 
+@query
+def vocabulary_findings(spark, sf_dir):
+    """Three projects of two contracts: domain columns, a column one register lacks, no vocabulary."""
+    order = F.col("row_no")
+    project = F.concat(F.lit("p"), order % 3).alias("project_id")
+    claims = view(spark, sf_dir, "fx_claims").select(
+        project, "row_no", "claim_id", "claim_basis", F.col("material_to_conclusion"), F.lit("").alias("load_bearing"),
+        F.lit("v0.3").alias("contract"), F.lit(5).alias("through_ord"),
+        F.array(*[F.lit(c) for c in ("claim_id", "claim_basis", "material_to_conclusion", "stance")]).alias("named"),
+        F.create_map(F.lit("stance"), F.when(order % 7 == 0, " BOGUS ").otherwise("for")).alias("extra"))
+    sources = view(spark, sf_dir, "fx_sources").select(project, "row_no", "source_id", "retrieval_status",
+                                                       F.lit("v0.2").alias("contract"), F.lit(5).alias("through_ord"))
+    rows = [("p0", "stance", "for"), ("p0", "load_bearing", "yes"), ("p0", "claim_basis", "reported"),
+            ("p1", "stance", "against"), ("p1", " retrieval_status ", "retrieved"), ("p1", "nowhere", "x"), ("p2", "  ", "x")]
+    vocabulary = reg.stamp(spark.createDataFrame(rows, "project_id string, column string, value string"), "v0.3")
+    return _flat(voc.vocabulary_findings(vocabulary, {"sources.csv": sources, "claims.csv": claims}))
+
+
 @query
 def vocab_undeclared(spark, sf_dir):
     registers = {"sources.csv": _sources(spark, sf_dir),
@@ -466,7 +497,7 @@ def document_number_grounding(spark, sf_dir):
 @query
 def missing_entities(spark, sf_dir):
     sentences = gro.sentence_table(_drafts(spark, sf_dir))
-    return gro.missing_entities(sentences, _evidence(spark, sf_dir))
+    return audit.missing_entities(sentences, _evidence(spark, sf_dir))
 
 
 @query
@@ -475,7 +506,7 @@ def document_missing_entities(spark, sf_dir):
     documents = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), "text")
     sources = documents.select((F.col("draft_id") - 1).alias("draft_id"),
                                F.lit(1).alias("source_ord"), "text")
-    return gro.missing_entities(gro.sentence_table(documents), sources)
+    return audit.missing_entities(gro.sentence_table(documents), sources)
 
 
 @query
@@ -708,30 +739,52 @@ def register_scan(spark, sf_dir):
     """The source register written as CSV, one folder per project, with line breaks and quotes
     inside fields, and read back by the register scan."""
     rows = view(spark, sf_dir, "fx_sources").select(
-        "project_id", "source_id", F.concat("title", F.lit('\n"x", y')).alias("title"),
+        _shelf(F.col("row_no")), "row_no", "source_id", F.concat("title", F.lit('\n"x", y')).alias("title"),
         "publisher", "notes")
-    root = f"{shared_dir(spark)}/registers-{uuid.uuid4().hex}"
-    (rows.repartition("project_id").write.partitionBy("project_id")
-     .options(header=True, escape='"').csv(root))
-    cells = registers.scan_cells(spark, root, "part-*.csv")
+    cells = registers.scan_cells(spark, _as_csv(spark, rows), "part-*.csv")
     return cells.select(
-        F.regexp_replace("project_id", "^project_id=", "").alias("project_id"),
-        F.array_join("header", ",").alias("header"),
+        _project(), "row_no", F.array_join("header", ",").alias("header"),
         F.get("cells", F.lit(0)).alias("source_id"), F.get("cells", F.lit(1)).alias("title"),
-        F.get("cells", F.lit(2)).alias("publisher"),
-        F.coalesce(F.get("cells", F.lit(3)), F.lit("")).alias("notes"))
+        F.get("cells", F.lit(2)).alias("publisher"), F.get("cells", F.lit(3)).alias("notes"))
+
+
+def _shelf(number) -> Column:
+    """A project for every 25 rows, so that there are more files where there is more data."""
+    return F.concat(F.lit("p"), F.floor(number / 25)).alias("project_id")
+
+
+def _project() -> Column:
+    return F.regexp_replace("project_id", "^project_id=", "").alias("project_id")
+
+
+def _as_csv(spark, rows: DataFrame) -> str:
+    """Write rows as one CSV file per project in the order of ``row_no``, which is not written."""
+    root = f"{shared_dir(spark)}/registers-{uuid.uuid4().hex}"
+    (rows.repartition("project_id").sortWithinPartitions("project_id", "row_no").drop("row_no")
+     .write.partitionBy("project_id").options(header=True, escape='"', emptyValue="").csv(root))
+    return root
+
+
+@query
+def register_rows_wide(spark, sf_dir):
+    """A register of 90 columns, with its record numbers and cells from both ends."""
+    number = F.col("row_no")
+    rows = view(spark, sf_dir, "fx_sources").select(
+        _shelf(number), "row_no", *[F.concat(F.lit(f"v{k},"), number + k).alias(f"c{k}") for k in range(90)])
+    cells = registers.scan_cells(spark, _as_csv(spark, rows), "part-*.csv")
+    return cells.select(_project(), "row_no", F.size("header").alias("columns"), F.size("cells").alias("cells"),
+                        registers.value_of("c0").alias("c0"), registers.value_of("c89").alias("c89"))
 
 
 @query
 def held_files(spark, sf_dir):
-    """The documents written as one text file per project and hashed by the held-file scan."""
+    """The documents written as text files, more with more documents, and hashed by the held-file scan."""
     root = f"{shared_dir(spark)}/held-{uuid.uuid4().hex}"
     documents = view(spark, sf_dir, "documents").select(
-        F.concat_ws("-", "source", F.col("doc_id") % 8).alias("project_id"), "doc_id", "text")
+        F.concat_ws("-", "source", F.floor(F.col("doc_id") / 400)).alias("project_id"), "doc_id", "text")
     (documents.repartition("project_id").sortWithinPartitions("project_id", "doc_id")
      .drop("doc_id").write.partitionBy("project_id").text(root))
-    return custody.scan_held(spark, root, "part-*").select(
-        F.regexp_replace("project_id", "^project_id=", "").alias("project_id"), "file_sha256")
+    return custody.scan_held(spark, root, "part-*").select(_project(), "file_sha256")
 
 
 @query
@@ -841,3 +894,68 @@ def diff_report(spark, sf_dir):
     rows = _decisions(spark, sf_dir)
     return reports.diff_report(rows).select(
         "decision_id", "stage", "question", "status", F.size("choices").alias("runs"), "markdown")
+
+
+@query
+def diff_lines(spark, sf_dir):
+    """The report of every (project, run) pair, one line per decision and run."""
+    rows = _decisions(spark, sf_dir).withColumn("run_id", F.concat_ws("/", "project_id", "run_id"))
+    return reports.diff_lines(rows).select("decision_id", "status", "run_id", "decided_by", "chosen", "alternatives",
+                                           "rationale")
+
+
+# ---- rules about whole registers, candidates and runs -------------------------------------------
+
+def _staged(rows: DataFrame) -> DataFrame:
+    """Projects at different stages: the number in the project's name decides."""
+    number = F.substring("project_id", 2, 9).cast("int")
+    return rows.withColumns({"contract": F.when(number % 2 == 0, "v0.2").otherwise("v0.3"), "through_ord": number % 6})
+
+
+@query
+def premature_rows(spark, sf_dir):
+    """Source and claim registers that were filled before their stage."""
+    claims = view(spark, sf_dir, "fx_claims").select(F.concat(F.lit("p"), F.col("row_no") % 16).alias("project_id"), "row_no")
+    return _flat(src.premature_rows(_staged(view(spark, sf_dir, "fx_sources")), "SOURCES", "data").unionByName(
+        src.premature_rows(_staged(claims), "CLAIMS", "digest")))
+
+
+@query
+def register_presence(spark, sf_dir):
+    """Registers that are missing, empty or refused, of projects with and without rows."""
+    number = F.col("c_custkey") % 40
+    projects = _staged(view(spark, sf_dir, "customer").select(F.concat(F.lit("p"), number).alias("project_id")).distinct())
+    sources = view(spark, sf_dir, "fx_sources").select("project_id", "row_no")
+    there = projects.filter("cast(substr(project_id, 2) as int) % 3 < 2").select("project_id", F.lit("sources.csv").alias("rel_path"))
+    refused = projects.filter("cast(substr(project_id, 2) as int) % 9 = 1").select("project_id", F.lit("sources.csv").alias("subject_id"))
+    return _flat(registers.presence_findings(projects, {"sources.csv": sources}, refused, there))
+
+
+@query
+def candidates_admitted(spark, sf_dir):
+    """Candidates made of parts: admitted by the data rule, and those that meet all conditions."""
+    part = F.col("p_partkey")
+    rows = view(spark, sf_dir, "part").select(
+        part.alias("candidate_id"), F.when(part % 2 == 0, " Yes").otherwise("no").alias("history_bulk"),
+        F.when(part % 3 == 0, "YES").otherwise("").alias("archive_fallback"),
+        F.when(part % 5 == 0, "unknown").otherwise("yes").alias("structured_bytes"))
+    both = prg.eligible(rows, ["history_bulk", "archive_fallback"]).select("candidate_id", F.lit(True).alias("eligible"))
+    return prg.admitted(rows).select("candidate_id").join(both, "candidate_id", "left").select(
+        "candidate_id", F.coalesce("eligible", F.lit(False)).alias("eligible"))
+
+
+@query
+def runner_measures(spark, sf_dir):
+    """Interventions, corrections and unresolved anchors per run, runs being users."""
+    kind = F.expr("CASE event_type WHEN 'view' THEN 'other' WHEN 'click' THEN 'intervention' WHEN 'purchase' THEN 'correction' ELSE 'unresolved_anchor' END")
+    return prg.runner_measures(view(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), kind.alias("kind")))
+
+
+@query
+def findings_landed(spark, sf_dir):
+    """Two arms written as findings folders and read back."""
+    path = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
+    found = dec.decision_findings(_decisions(spark, sf_dir)).unionByName(
+        src.premature_rows(_staged(view(spark, sf_dir, "fx_sources")), "SOURCES", "data"))
+    fnd.write_findings(found, path)
+    return _flat(spark.read.parquet(path))

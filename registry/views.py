@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.session import spread
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-SMALL = ["region", "nation"]
-
 VIEWS = {
     "decision_ids": """
 SELECT * FROM (VALUES (0,'Q1'),(1,'Q2'),(2,'Q3'),(3,'Q4'),(4,'S1'),(5,'S2'),(6,'S3'),(7,'S4'),(8,'S5'),(9,'S6'),(10,'D1'),(11,'D2'),(12,'D3'),(13,'D4'),(14,'G1'),(15,'G2'),(16,'G3'),(17,'G4'),(18,'G5'),(19,'R1'),(20,'R2'),(21,'R3'),(22,'R4'),(23,'M1'),(24,'M2'),(25,'M3'),(26,'M4')) AS t(idx, did)
@@ -104,7 +100,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for table in TABLES:
         if table == name or (name in VIEWS and table in VIEWS[name]):
             rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-            (rows if table in SMALL else spread(rows)).createOrReplaceTempView(table)
+            rows.createOrReplaceTempView(table)
     if name not in VIEWS:
         return spark.table(name)
     if "decision_ids" in VIEWS[name] and name != "decision_ids":

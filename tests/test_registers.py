@@ -28,12 +28,51 @@ def test_scan_counts_logical_records(spark, tmp_path):
     put(root, "p 1/vocabulary.csv", b'column,value,definition\na,"x\ny",\n\n"b ""q""",z\n')
     put(root, "p2/vocabulary.csv", b"value,column,definition\n1,2,3\n")
     rows = scans.scan_cells(spark, root, "vocabulary.csv")
-    got = {(r.project_id, r.row_no): (r.header, r.cells[:3]) for r in rows.collect()}
+    got = {(r.project_id, r.row_no): (r.header, r.cells) for r in rows.collect()}
     head = ["column", "value", "definition"]
-    assert got == {("p 1", 2): (head, ["a", "x\ny", None]), ("p 1", 3): (head, ['b "q"', "z", None]),
+    assert got == {("p 1", 2): (head, ["a", "x\ny", ""]), ("p 1", 3): (head, ['b "q"', "z"]),
                    ("p2", 2): (["value", "column", "definition"], ["1", "2", "3"])}
 
 
+def test_any_width_equal_names_and_long_rows(spark, tmp_path):
+    root, base = str(tmp_path), list(fixed.REGISTER_HEADERS["claims.csv", "v0.3"])
+    wide = [f"x{k}" for k in range(200)] + base
+    twice = base + ["note", "note"]
+    long_row = ",".join(["v"] * (len(base) + 1))
+    for project, header, row in (("wide", wide, ",".join(f"v{k}" for k in range(len(wide)))), ("clean", base, ",".join(["v"] * len(base))),
+                                 ("twice", twice, ",".join([*["v"] * len(base), "one", "two"])), ("long", base, long_row),
+                                 ("later", base, ",".join(["v"] * len(base)) + "\n" + long_row)):
+        put(root, f"{project}/claims.csv", f"{','.join(header)}\n{row}\n".encode())
+    projects = spark.createDataFrame([(p, "v0.3", 5) for p in ("wide", "clean", "twice", "long", "later")],
+                                     "project_id string, contract string, through_ord int")
+    rows, heads = scans.read_register(spark, root, "claims.csv", projects)
+    got = {r.project_id: r for r in rows.filter("row_no = 2").collect()}
+    assert set(got) == {"wide", "clean", "twice", "later"} and len(got["wide"].extra) == 200
+    assert got["wide"].extra["x199"] == "v199" and got["wide"].claim_id == f"v{200 + base.index('claim_id')}"
+    assert got["twice"].extra == {"note": "two"} and got["clean"].extra == {}
+    assert {(r.project_id, r.rule) for r in heads.collect()} == {
+        ("wide", "domain_columns"), ("twice", "domain_columns"), ("long", "header_differs")}
+
+
+def test_diff_of_folders_counts_empty_registers(spark, tmp_path):
+    root, head = str(tmp_path), ",".join(fixed.DECISION_COLUMNS)
+    legacy = ",".join(fixed.DECISION_COLUMNS_LEGACY)
+    row = {c: f"{c}-x" for c in fixed.DECISION_COLUMNS}
+
+    def line(columns, **changes):
+        return ",".join({**row, **changes}[c] for c in columns)
+
+    put(root, "a/decisions.csv", "\n".join([head, line(fixed.DECISION_COLUMNS, decision_id="Q1", chosen="one"),
+                                            line(fixed.DECISION_COLUMNS, decision_id="Q2", decided_by=""),
+                                            line(fixed.DECISION_COLUMNS, decision_id="Q1", chosen="two")]).encode())
+    put(root, "b/decisions.csv", head.encode())
+    put(root, "c/decisions.csv", "\n".join([legacy, line(fixed.DECISION_COLUMNS_LEGACY, decision_id="q2 ")]).encode())
+    got = [(r.decision_id, r.status, r.run_id, r.decided_by, r.chosen) for r in reports.diff_folders(spark, root).collect()]
+    assert got == [("Q1", "DIVERGENCE", "a", "decided_by-x", "two"), ("Q1", "DIVERGENCE", "b", "unspecified", "[empty]"),
+                   ("Q1", "DIVERGENCE", "c", "unspecified", "[empty]"), ("Q2", "DIVERGENCE", "a", "", "chosen-x"),
+                   ("Q2", "DIVERGENCE", "b", "unspecified", "[empty]"), ("Q2", "DIVERGENCE", "c", "unspecified", "chosen-x")]
+
+
 def test_drafts_are_top_level_markdown(spark, tmp_path):
     root = str(tmp_path)
     for path in ("p/a.md", "p/_b.md", "p/sub/c.md", "p/d.txt"):
