@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.chunks import BASE, OTHER, STEP, Words, dealt, mix, ordered, rows_of, runs, spec
 from auditloom.session import written
 
-CLASSES, SUFFIXES, FEATURES, KINDS = 32, 512, 1 << 14, 5
+CLASSES, SUFFIXES, FEATURES, KINDS = 32, 512, 1 << 14, 5  # FEATURES at most 2**16
 BATCH, SLICE_BYTES, RATE, BLOCK, LANES = 4096, 1 << 20, 0.3, 256, 64
 SMOOTH, BUCKET_TOKENS = 0.1, 8 << 20
 END, BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -73,7 +73,7 @@ class Tokens:
         one, two = self.before(1), self.before(2)
         seeds = (one, mix(one * np.uint64(BASE) + two), two * np.uint64(STEP), self.before(3) * np.uint64(OTHER),
                  self.before(4) * np.uint64(BASE ^ 2))
-        return np.stack([(mix(s + np.uint64(k)) % np.uint64(FEATURES)).astype(np.int32)
+        return np.stack([(mix(s + np.uint64(k)) % np.uint64(FEATURES)).astype(np.uint16)
                          for k, s in enumerate(seeds)], axis=1)
 
 
@@ -182,14 +182,25 @@ def suffix_classes(pairs: np.ndarray) -> np.ndarray:
     return nearest
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     logits = bias + weights[features[:, 0]]
     for k in range(1, KINDS):
         logits += weights[features[:, k]]
     logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    logits = _logits(weights, bias, features)
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    odds = np.exp(_logits(weights, bias, features))
+    odds /= odds.sum(axis=1, keepdims=True)
+    return odds
+
+
 def train(docs: DataFrame, classes: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Weights of all features after one pass over all training documents."""
     part = {"block": pa.int64(), "lane": pa.int64(), "weights": pa.binary(), "met": pa.binary()}
@@ -208,7 +219,7 @@ def train(docs: DataFrame, classes: np.ndarray, bias: np.ndarray) -> np.ndarray:
             for at in range(0, len(target), BATCH):
                 rows = shuffled[at:at + BATCH]
                 seen = features[rows]
-                slope = np.exp(log_softmax(weights, bias, seen))
+                slope = softmax(weights, bias, seen)
                 slope[np.arange(len(rows)), target[rows]] -= 1
                 flat = seen.ravel()
                 by_feature = np.argsort(flat, kind="stable")
