@@ -12,7 +12,6 @@ ids are packed like any others; an empty table gives no pieces; other columns ar
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -20,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +28,14 @@ from auditloom.session import written
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "open boolean")
-CACHED_WORDS, CACHED_BYTES, CODED_AT_ONCE = 1_200_000, 64, 1 << 18
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MERGED_PARTITIONS = 32  # partitions whose open windows are merged by one task
+CACHED_WORDS, CACHED_LENGTH, CODED_AT_ONCE = 400_000, 64, 1 << 22
+LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+MERGED_PARTITIONS = 8  # partitions whose open windows are merged by one task
 NEARLY_FULL, HELD = 0.99, "__held"
 
 
 class WordTokenizer:
-    """Token ids of whole texts as packed little-endian 32-bit integers.
+    """Token ids of whole texts as arrays of little-endian 32-bit integers.
 
     The tokenizer drops white space, lower-cases, and never joins a letter with a full stop or comma
     after it, so a text is the concatenation of its words' ids, and a word ending so is that of its
@@ -47,49 +47,73 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
         self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.marks = {mark: self._coded(self.tokenizer, [mark])[0] for mark in (".", ",")}
-
-    @staticmethod
-    def _coded(tokenizer, words: list[str]) -> list[bytes]:
-        coded = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in c.ids]) for c in coded]
-
-    def _learn(self, words: set[bytes]) -> None:
-        stems, others = {}, {}
-        for w in words:
-            text = w.decode()
-            mark = text[-1] if text[-1] in ".," else ""
-            core = text[:-1] if mark else text
-            if LATIN.fullmatch(core):
-                stems[w] = (core.lower().encode(), mark)
-            else:
-                others[w] = text
-        fresh = list({stem for stem, _ in stems.values()}.difference(self.known))
-        self.known.update(zip(fresh, self._coded(self.letters, [s.decode() for s in fresh]), strict=True))
-        self.known.update(zip(others, self._coded(self.tokenizer, list(others.values())), strict=True))
-        for w, (stem, mark) in stems.items():
-            self.known[w] = self.known[stem] + self.marks[mark] if mark else self.known[stem]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        coded = [list(map(self.known.get, words)) for words in split]
-        gaps = [[k for k, ids in enumerate(c) if ids is None] if None in c else () for c in coded]
-        new = {words[k] for words, at in zip(split, gaps, strict=True) for k in at}
-        if len(self.known) + len(new) > CACHED_WORDS:
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # the ids that end a word
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.marks = [b"", *self._coded([".", ","])]
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(c.ids, "<u4").tobytes() for c in coded]
+
+    def _coded_letters(self, words: list[str]) -> list[bytes]:
+        """Of words that are one piece each: coded as one text, cut after the ids that end a word."""
+        ids = np.array(self.letters.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+    def _ids(self, words: list[str], coder: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct words, new ones coded and kept while there is room.
+
+        The first met are mostly the frequent ones. Where texts have changed so much that nine in
+        ten distinct words are missed, keeping begins afresh.
+        """
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        learnt = dict(zip(new, coder(new), strict=True))
+        if len(self.known) >= CACHED_WORDS and 10 * len(new) > 9 * len(words):
             self.known.clear()
-        self._learn(new)
-        for words, c, at in zip(split, coded, gaps, strict=True):
-            for k in at:
-                c[k] = self.known[words[k]]
-        for w in new:
-            if len(w) > CACHED_BYTES:
-                del self.known[w]
-        return [b"".join(c) for c in coded]
+        if len(self.known) < CACHED_WORDS:
+            self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= CACHED_LENGTH)
+        return [learnt[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def _forms(self, forms: pa.Array) -> np.ndarray:
+        """The ids of distinct words as they stand in the text."""
+        letters = pc.match_substring_regex(forms, LATIN)
+        words = forms.filter(letters)
+        stems = pc.utf8_lower(pc.utf8_rtrim(words, ".,")).dictionary_encode()
+        ids = self._ids(_listed(stems.dictionary), self._coded_letters)
+        marks = np.where(pc.ends_with(words, ".").to_numpy(zero_copy_only=False), 1,
+                         np.where(pc.ends_with(words, ",").to_numpy(zero_copy_only=False), 2, 0))
+        out, mask = np.empty(len(forms), object), letters.to_numpy(zero_copy_only=False)
+        out[mask] = [ids[k] + self.marks[m] for k, m in zip(stems.indices.to_pylist(), marks.tolist(), strict=True)]
+        out[~mask] = self._ids(_listed(forms.filter(pc.invert(letters))), self._coded)
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Every distinct word is looked up once for all texts."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        coded = self._forms(words.dictionary)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, starts = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        places = words.indices.to_numpy()
+        lengths = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(starts[places] - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()]
+        return [ids[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
 
 def worker_tokenizer(path: str) -> WordTokenizer:
@@ -111,8 +135,8 @@ class Window:
         self.used += length
 
 
-def _packer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], size: int, windows: int, end_id: int) -> Callable:
-    end = end_id.to_bytes(4, "little")
+def _packer(encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], size: int, windows: int, end_id: int) -> Callable:
+    end = np.array(end_id, "<u4")
     names = [part.split()[0] for part in PIECES.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
@@ -121,7 +145,7 @@ def _packer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], size: int
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def coded(batch: pa.RecordBatch, encode: Callable) -> Iterator[tuple[int | None, bytes]]:
+    def coded(batch: pa.RecordBatch, encode: Callable) -> Iterator[tuple[int | None, np.ndarray]]:
         doc_ids, texts, length = [], [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             doc_ids.append(doc_id)
@@ -138,10 +162,10 @@ def _packer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], size: int
             closed: list[Window] = []
             waiting = 0
             for doc_id, ids in coded(batch, encode):
-                ids += end
-                total = len(ids) // 4
+                ids = np.append(ids, end)
+                total = len(ids)
                 for start in range(0, total, size):
-                    part = ids[4 * start:4 * (start + size)]
+                    part = ids[start:start + size].tobytes()
                     length = len(part) // 4
                     best = None
                     if length < size:
@@ -173,7 +197,7 @@ def _packer(encoder: Callable[[], Callable[[list[str]], list[bytes]]], size: int
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: int = 64, end_id: int = 1) -> DataFrame:
     """One row per piece with its token ids; ``open`` marks windows to be merged."""
-    def encoder() -> Callable[[list[str]], list[bytes]]:
+    def encoder() -> Callable[[list[str]], list[np.ndarray]]:
         return worker_tokenizer(tokenizer_path).encode
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -183,7 +207,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: i
 def merge_open(opened: DataFrame, size: int) -> DataFrame:
     """Open windows of neighbouring partitions laid end to end, cut where a sequence is full.
 
-    A task gets the open windows of 32 partitions, a fixed number. Nearly full ones stay as they are.
+    A task gets the open windows of eight partitions, a fixed number. Nearly full ones stay as they are.
     """
     def lay(group: pd.DataFrame) -> pd.DataFrame:
         used = group.groupby("sequence_id")["length"].transform("sum")
