@@ -11,13 +11,20 @@ first counts; an empty table gives an empty result; other columns are not carrie
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.llm.words import text_batches
+
 # What the canonical form removes and which spellings it unites.
 COPYRIGHT_MARKS = ("copyright", "(c)", "©", "all rights reserved")
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-PUNCTUATION = r"[\x00-/:-@\[-`{-\x7F“”‘’–—…©]+"
+COPYRIGHT_LINE = re.compile(r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*")
+ASCII_PUNCTUATION = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+OTHER_PUNCTUATION = dict.fromkeys(map(ord, "“”‘’–—…©"), " ")
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
              ("organisation", "organization"), ("non commercial", "noncommercial"), ("per cent", "percent"),
              ("copyright owner", "copyright holder"), ("fulfil ", "fulfill "), ("analyse", "analyze")]
@@ -53,21 +60,40 @@ THIS SOFTWARE."""],
 }
 
 
-def canonical(text: Column) -> Column:
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    marked = F.lit(False)
-    for mark in COPYRIGHT_MARKS:  # a plain search spares most texts the pattern
-        marked = marked | F.contains(lower, F.lit(mark))
-    plain = F.when(marked, F.regexp_replace(lower, COPYRIGHT_LINE, "\n")).otherwise(lower)
-    plain = F.concat(F.lit(" "), F.regexp_replace(plain, PUNCTUATION, " "), F.lit(" "))
+def canonical(text: str) -> bytes:
+    """The canonical form as UTF-8."""
+    plain = text.lower()
+    if any(mark in plain for mark in COPYRIGHT_MARKS):
+        plain = COPYRIGHT_LINE.sub("\n", plain)
+    if not plain.isascii():
+        plain = plain.translate(OTHER_PUNCTUATION)
+    plain = b" ".join([b"", *plain.encode().translate(ASCII_PUNCTUATION).split(), b""])
     for one, other in SPELLINGS:
-        plain = F.replace(plain, F.lit(one), F.lit(other))
-    return F.trim(plain)
+        plain = plain.replace(one.encode(), other.encode())
+    return plain.strip(b" ")
+
+
+def _digest(text: str) -> bytes | None:
+    plain = canonical(text)
+    return hashlib.sha256(plain).digest() if plain else None
 
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null where nothing is left."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+    @F.pandas_udf("binary")
+    def digests(texts: pd.Series) -> pd.Series:
+        return pd.Series([_digest(t) for t in texts], dtype=object)
+
+    return digests(F.coalesce(text, F.lit("")))
+
+
+def line_digests(text: Column) -> Column:
+    """The digests of a text's lines, those without any left out."""
+    @F.pandas_udf("array<binary>")
+    def digests(texts: pd.Series) -> pd.Series:
+        return pd.Series([[d for d in map(_digest, t.split("\n")) if d] for t in texts], dtype=object)
+
+    return digests(F.coalesce(text, F.lit("")))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -81,11 +107,12 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``known`` is joined by Spark's own choice of join, so it may have any size. Lines are cut to those with a
     known digest before they are gathered by document, and then to one row per document.
     """
+    text_batches(docs.sparkSession)
     ids = (known.where("license is not null").select(digest(F.col("text")).alias("text_digest"), "license")
            .where("text_digest is not null").groupBy("text_digest").agg(F.min("license").alias("license")))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    lines = rows.select("doc_id", "th", F.explode(F.split("text", "\n")).alias("line")).where("line != ''")
-    found = lines.select("doc_id", "th", digest(F.col("line")).alias("text_digest")).join(ids, "text_digest")
+    lines = rows.select("doc_id", "th", F.explode(line_digests(F.col("text"))).alias("text_digest"))
+    found = lines.join(ids, "text_digest")
     of_line = found.groupBy("doc_id", "th", "license").agg(F.count(F.lit(1)).alias("n"))
     notices = of_line.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.sum("n").alias("n"))
@@ -95,5 +122,5 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
         "id", "h", "notices", (F.col("n") / F.col("times")).cast("long").alias("n"))
     whole = rows.select("doc_id", "th", digest(F.col("text")).alias("text_digest")).join(ids, "text_digest", "left")
     met = whole.join(share, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left")
-    return met.select("doc_id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"),
+    return met.select("doc_id", F.lower(F.hex("text_digest")).alias("text_digest"), "license", F.coalesce("notices", F.lit("")).alias("notices"),
                       F.coalesce("n", F.lit(0)).cast("long").alias("notice_lines"))

@@ -46,10 +46,13 @@ SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score
 WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5"""
 
 
+_PUNCTUATION = r"[\x00-/:-@\[-`{-\x7F“”‘’–—…©]+"
+
+
 def _canonical(text: str) -> str:
     lower = f"lower(coalesce({text}, ''))"
-    plain = f"regexp_replace({lower}, '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
-    plain = f"' ' || regexp_replace({plain}, '{licenses.PUNCTUATION}', ' ', 'g') || ' '"
+    plain = f"regexp_replace({lower}, '{licenses.COPYRIGHT_LINE.pattern}', chr(10), 'g')"
+    plain = f"' ' || regexp_replace({plain}, '{_PUNCTUATION}', ' ', 'g') || ' '"
     for one, other in licenses.SPELLINGS:
         plain = f"replace({plain}, '{one}', '{other}')"
     return f"nullif(trim({plain}, ' '), '')"

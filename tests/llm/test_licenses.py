@@ -9,7 +9,7 @@ from tests.llm.tables import documents, nothing
 
 def plain(text):
     t = re.sub(licenses.COPYRIGHT_LINE, "\n", (text or "").lower())
-    t = " " + re.sub(licenses.PUNCTUATION, " ", t) + " "
+    t = " " + re.sub(r"[\x00-/:-@\[-`{-\x7F“”‘’–—…©]+", " ", t) + " "
     for a, b in licenses.SPELLINGS:
         t = t.replace(a, b)
     t = t.strip(" ")
