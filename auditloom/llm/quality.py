@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.words import SPACE_CHARACTERS, UPPER, let, words
+from auditloom.llm.words import let, words
 from auditloom.session import written
 
 SYMBOLS = "#*$%&|<>"
@@ -33,8 +33,9 @@ CUTOFFS = {
 }
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.char_length(F.translate(text, characters, ""))
+def _count(text: Column, characters: str) -> Column:
+    """How many of the text's characters are of this kind: the runs of all others are cut out."""
+    return F.char_length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
 
 
 def repeat_words(tokens: Column) -> Column:
@@ -78,11 +79,11 @@ def measures(text: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]"))
         return let(lines, lambda ls: F.struct(
             F.size(tokens).cast("long").alias("n_words"),
-            _without(text, SPACE_CHARACTERS).cast("long").alias("word_chars"),
-            (F.char_length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+            F.aggregate(tokens, F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
+            _count(text, SYMBOLS).alias("n_symbols"),
             (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
             F.size(ls).cast("long").alias("n_lines"),
-            (F.char_length(text) - _without(text, UPPER)).cast("long").alias("n_capitals"),
+            _count(text, "A-Z").alias("n_capitals"),
             repeat_words(tokens).alias("n_repeat_words")))
 
     return let(words(text), count)
@@ -121,7 +122,8 @@ def safe_cutoffs(held: DataFrame, labels: DataFrame, risk: float, error: float)
     """One row per stratum: ``cut``, a map from rule to the strictest allowed cutoff.
 
     ``held`` has doc_id, stratum and m (measures). One row per document is joined with its label;
-    after that there is one row per stratum.
+    after that there is one row per stratum. The result is landed, so that its size is known where
+    it meets the documents.
     """
     per_rule = risk / len(CUTOFFS)
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
@@ -142,8 +144,8 @@ def safe_cutoffs(held: DataFrame, labels: DataFrame, risk: float, error: float)
     so_far = Window.partitionBy("stratum", "rule").orderBy("k")
     allowed = tests.withColumn("passed", passed).withColumn("passed", F.min("passed").over(so_far)).where("passed")
     chosen = allowed.groupBy("stratum", "rule").agg(F.max_by("cutoff", "k").alias("cutoff"))
-    return chosen.groupBy("stratum").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "cutoff")))).alias("cut"))
+    return written(chosen.groupBy("stratum").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "cutoff")))).alias("cut")))[0]
 
 
 def measured(docs: DataFrame, stratum: str) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = r"[ \t\n\x0B\f\r]+"
-SPACE_CHARACTERS = " \t\n\x0b\f\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words(text: Column) -> Column:
@@ -26,8 +24,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand at most so many rows to Python at once: a row is a whole text, and batches are memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
