@@ -24,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm.words import text_batches
 from auditloom.session import written
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "open boolean")
-CACHED_WORDS, CACHED_LENGTH, CODED_AT_ONCE = 400_000, 64, 1 << 22
+CACHED_WORDS, CACHED_LENGTH, CODED_AT_ONCE = 400_000, 64, 1 << 21
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 MERGED_PARTITIONS = 8  # partitions whose open windows are merged by one task
 NEARLY_FULL, HELD = 0.99, "__held"
@@ -200,6 +201,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: i
     def encoder() -> Callable[[list[str]], list[np.ndarray]]:
         return worker_tokenizer(tokenizer_path).encode
 
+    text_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return narrow.mapInArrow(_packer(encoder, size, windows, end_id), PIECES)
 

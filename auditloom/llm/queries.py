@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from auditloom.llm import (licenses, maxent, mixing, packing, quality, secrets_scan, sharding, simhash, substrings, topk)
-from auditloom.llm.words import table
+from auditloom.llm.words import table, text_batches
 
 SHARDS = 16
 
@@ -29,6 +30,7 @@ def _joined(spans: Column) -> Column:
 
 def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    text_batches(spark)
     rows = docs.select("doc_id", secrets_scan.secret_spans(F.col("text")).alias("found"))
     spans = F.col("found")
 
@@ -98,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
     "op10_maxent": op10_maxent,
+    "pipeline": corpus_pipeline.run,
 }
