@@ -12,6 +12,7 @@ from auditloom import fixed
 from auditloom.operators import decisions, diff, programme, registers
 from auditloom.plans import reports
 from auditloom.sources import catalogue as cat
+from auditloom.sources import records as rec
 from auditloom.sources import registers as scans
 from auditloom.sources.texts import scan_drafts, scan_texts
 
@@ -83,6 +84,12 @@ def test_drafts_are_top_level_markdown(spark, tmp_path):
     assert scan_texts(spark, root).count() == 3
 
 
+def test_of_equal_keys_in_a_record_the_last_counts(spark):
+    rows = spark.createDataFrame([('{"a": 1, "a": "x"}',), ('{"a": 1, "a"',)], "value string")
+    got = rows.select(rec.state(F.col("value")), rec.string_part(rec.record(F.col("value")), "a")).collect()
+    assert [tuple(r) for r in got] == [("ok", "x"), ("malformed", None)]
+
+
 def run_rows(runs):
     out = []
     for run, rows in runs.items():
