@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import strip
+from auditloom.operators.findings import union_all
 from auditloom.operators.registers import last_rows
 from auditloom.session import written
 
 
 class Forest(NamedTuple):
-    """``levels[k]`` points 2**k steps up (columns project_id, v, up, steps, ended).
+    """``levels[k]`` points 2**k steps up (columns project_id, v, up, steps, ended), for the walks
+    that were still open before it.
 
     ``tops`` has project_id, v, root, depth for every source that names an origin. ``loops`` has
     project_id, v, loop, place, size for every source on a loop. ``parents`` are the edges.
@@ -66,7 +68,7 @@ def _label_loops(table: DataFrame, metrics: dict, reach: int) -> tuple[DataFrame
 def _double(edges: DataFrame) -> tuple[list[DataFrame], int]:
     """Pointer doubling until every walk has ended or is known to run into a loop.
 
-    Returns the pointer tables and the number of loops that were met.
+    A round reads and writes the walks still open; settled ones stay where they were written. Returns the pointer tables and the number of loops that were met.
     """
     starts = edges.select("project_id", F.col("v").alias("up"), F.lit(True).alias("goes_on"))
     first = edges.join(starts, ["project_id", "up"], "left").select(
@@ -78,29 +80,35 @@ def _double(edges: DataFrame) -> tuple[list[DataFrame], int]:
     table, metrics = _label_loops(table, metrics, 0)
     levels = [table]
     while metrics["open"]:
-        ahead = table.select(
+        going = levels[-1].filter(_is_open())
+        ahead = going.unionByName(_settled(levels)).select(
             "project_id", F.col("v").alias("up"), F.col("up").alias("next_up"),
             F.col("steps").alias("next_steps"), F.col("ended").alias("next_ended"),
             F.col("low").alias("next_low"), F.col("loop").alias("next_loop"))
-        moved = table.filter(_is_open()).join(ahead, ["project_id", "up"]).select(
+        moved = going.join(ahead, ["project_id", "up"]).select(
             "project_id", "v", F.col("next_up").alias("up"),
             (F.col("steps") + F.col("next_steps")).alias("steps"),
             F.col("next_ended").alias("ended"), F.least("low", "next_low").alias("low"),
             F.col("next_loop").alias("loop"), "found_at")
-        table, metrics = written(table.filter(~_is_open()).unionByName(moved), *_metrics())
+        table, metrics = written(moved, *_metrics())
         loops += metrics["heads"]
         table, metrics = _label_loops(table, metrics, len(levels))
         levels.append(table)
     return levels, loops
 
 
+def _settled(levels: list[DataFrame]) -> DataFrame:
+    """The rows of all walks that have ended or run into a loop, each from the level where it did."""
+    return union_all([level.filter(~_is_open()) for level in levels])
+
+
 def _loop_members(levels: list[DataFrame]) -> DataFrame:
     """Every vertex on a loop with its place, counted from the loop's smallest vertex.
 
     A loop seen closed at round r has at most 2**r members, so each head is lifted by every number
     below that; places beyond the loop's size only meet members again.
     """
-    heads = levels[-1].filter("found_at IS NOT NULL").select(
+    heads = _settled(levels).filter("found_at IS NOT NULL").select(
         "project_id", F.col("v").alias("loop"), "v",
         F.explode(F.sequence(F.lit(0).cast("bigint"),
                              F.pow(F.lit(2), F.col("found_at")).cast("bigint") - 1)).alias("place"))
@@ -120,7 +128,7 @@ def forest(parents: DataFrame) -> Forest:
         # loop members become roots, so what is left has no cycle
         levels, _ = _double(edges.join(loops.select("project_id", "v"), ["project_id", "v"],
                                        "left_anti"))
-    tops = levels[-1].select("project_id", "v", F.col("up").alias("root"),
+    tops = _settled(levels).select("project_id", "v", F.col("up").alias("root"),
                              F.col("steps").alias("depth"))
     return Forest(parents, levels, tops, loops)
 

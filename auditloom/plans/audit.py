@@ -22,12 +22,12 @@ class Sections(NamedTuple):
 
 
 def audit_sections(drafts: DataFrame, evidence: DataFrame) -> Sections:
-    """The six sections. Sentences, grounded numbers and what evidence contains are landed, since
+    """The six sections. Sentences, numbers, subjects and what evidence contains are landed, since
     several sections read each; evidence texts are searched for names and subjects in one pass.
     """
     sentences, _ = written(grounding.sentence_table(drafts))
     numbers, _ = written(grounding.number_grounding(drafts, evidence))
-    names, subjects = grounding.checked_names(sentences), attribution.attributions(drafts)
+    names, (subjects, _) = grounding.checked_names(sentences), written(attribution.attributions(drafts))
     wanted = grounding.wanted_names(names).unionByName(attribution.wanted_subjects(subjects))
     hits, _ = written(attribution.evidence_hits(wanted, evidence))
     return Sections(
