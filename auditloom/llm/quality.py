@@ -60,8 +60,9 @@ def repeat_words(tokens: Column) -> Column:
         return F.aggregate(let(ordered, starts), zero, add, lambda s: s["n"].cast("long"))
 
     def windows(hashed: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashed) - (WINDOW - 1)),
-                           lambda i: F.xxhash64(F.slice(hashed, i, WINDOW)))
+        # The eight values are taken one by one: a slice would be a new array for every word.
+        return F.transform(F.sequence(F.lit(0), F.size(hashed) - WINDOW),
+                           lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(WINDOW)]))
 
     def counted(hashed: Column) -> Column:
         return let(windows(hashed), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long"))
