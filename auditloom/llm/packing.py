@@ -29,7 +29,7 @@ from auditloom.session import written
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "open boolean")
-CACHED_WORDS, CACHED_LENGTH, CODED_AT_ONCE = 400_000, 64, 1 << 21
+CACHED_WORDS, CACHED_LENGTH, CODED_AT_ONCE = 250_000, 64, 1 << 20
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 MERGED_PARTITIONS = 8  # partitions whose open windows are merged by one task
 NEARLY_FULL, HELD = 0.99, "__held"
@@ -192,6 +192,7 @@ def _packer(encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], size
                     closed, waiting = [], 0
             yield batch_of(closed, False)
         yield batch_of(opened, True)
+        pa.default_memory_pool().release_unused()
 
     return pack
 
