@@ -29,7 +29,7 @@ from auditloom.session import written
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "open boolean")
-CACHED_WORDS, CACHED_LENGTH, CODED_AT_ONCE = 250_000, 64, 1 << 20
+CACHED_WORDS, CACHED_LENGTH, CODED_AT_ONCE = 300_000, 64, 1 << 21
 LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 MERGED_PARTITIONS = 8  # partitions whose open windows are merged by one task
 NEARLY_FULL, HELD = 0.99, "__held"
