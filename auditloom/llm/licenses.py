@@ -22,7 +22,9 @@ from auditloom.llm.words import text_batches
 
 # What the canonical form removes and which spellings it unites.
 COPYRIGHT_MARKS = ("copyright", "(c)", "©", "all rights reserved")
-COPYRIGHT_LINE = re.compile(r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*")
+# A notice names a sign, a year, 'by' or a blank to fill in; 'copyright holders' and list items '(c)' are text.
+COPYRIGHT_LINE = re.compile(r"(^|\n)[ \t]*(copyright[ \t:,]*(\(c\)|©|[0-9]{4}|by[ \t]|[<\[{])"
+                            r"|\(c\)[ \t]*(copyright|[0-9]{4}|by[ \t]|[<\[{])|©|all rights reserved)[^\n]*")
 ASCII_PUNCTUATION = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 OTHER_PUNCTUATION = dict.fromkeys(map(ord, "“”‘’–—…©"), " ")
 SPELLINGS = [("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"),
