@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditloom.llm.plain_words import PLAIN
+
 KINDS = ("assign", "access", "hex", "guess")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -33,7 +35,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 # Where a credential value is expected: an assignment, a header, the password of a URL.
 CONTEXT = re.compile(
     r"(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|credentials?|auth(?:orization)?)[\"'`]?"
-    r"[ \t]*(?::=|=>|[:=])[ \t]*(?:bearer[ \t]+|basic[ \t]+)?|\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:(?=[^\s/@]+@))"
+    r"[ \t]*(?::=|=>|[:=])[ \t]*(?:bearer[ \t]+|basic[ \t]+)?|\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:(?=[^\s/@]+@))"
     r"[\"'`]?([^\s\"'`]+)", re.IGNORECASE | re.ASCII)
 
 # Common passwords and common words of passwords, most frequent first.
@@ -46,7 +48,7 @@ computer internet network office school house family mother father friend happy
 flower cookie coffee chocolate banana apple orange cherry tiger lion eagle wolf bear horse dog cat
 mustang ferrari porsche london paris berlin madrid america freedom forever nothing something the and
 for you not with this that from your have are was one two three four five six seven eight nine zero
-red blue green black white silver gold""".split()
+red blue green black white silver gold""".split() + PLAIN
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 LOOK_ALIKE = str.maketrans("@4310$57!", "aaeiossti")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
@@ -124,7 +126,7 @@ def guess_spans(text: str, scorer: GuessCost, least_cost: float, least_length: i
     for m in CONTEXT.finditer(text):
         value = m[1].split("@")[0] if m[0].find("://") >= 0 else m[1]
         value = value.rstrip(".,;:!?)]}>")
-        if len(value) >= least_length and not value.isalpha() and scorer.cost(value) >= least_cost:
+        if len(value) >= least_length and scorer.cost(value) >= least_cost:
             spans.append(("guess", m.start(1), m.start(1) + len(value)))
     return spans
 
