@@ -108,4 +108,28 @@ bad AS (SELECT DISTINCT rid FROM f JOIN s USING (rid) JOIN cuts ON cuts.stratum
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM f"""
 
-SQL: dict[str, str] = {"op1_jump_shards": OP1, "op4_exact_topk": OP4, "op5_license_digests": OP5, "op6_anchor_dedup": OP6, "op9_quality": OP9}
+_PRINT_BITS = ", ".join(f"sum((h >> {k}) & 1)" for k in range(64))
+_PRINT_WIDE = ", ".join(f"sum(('0x' || substr(sha256('{salt}:' || p), {8 * k + 1}, 8))::BIGINT)" for salt in (0, 1) for k in range(8))
+_PRINT_ORDER = [f"b[{s + 1 + at}]" for at in (0, 32) for s in range(32)]
+_SIGNS = "list_transform({0}[18:81], lambda x: (2 * x - {0}[1])::DOUBLE)"
+OP11 = f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS r, doc_id, coalesce(text, '') AS text,
+  count(*) OVER () AS total FROM documents),
+e AS (SELECT a.r, b.r AS next, a.doc_id, length(a.text) AS n_chars, a.text,
+  left(a.text, length(a.text) - length(a.text) // 4) || left(b.text, length(a.text) // 4) AS edited FROM d a JOIN d b ON b.r = a.r % a.total + 1),
+p AS (SELECT r, edited, unnest(string_split(text, chr(10))) AS p FROM (SELECT r, false AS edited, text FROM e UNION ALL SELECT r, true, edited FROM e)),
+wide AS (SELECT r, edited, list_transform([{_PRINT_WIDE}], lambda x: x % 4294967296) AS w FROM p GROUP BY ALL),
+blocks AS (SELECT r, edited, ('0x' || left(md5(unnest(regexp_extract_all(p, '[^ \t\n\x0B\f\r]+([ \t\n\x0B\f\r]+[^ \t\n\x0B\f\r]+){{0,3}}'))), 16))::UBIGINT AS h FROM p),
+bits AS (SELECT r, edited, count(*) AS n, [{_PRINT_BITS}] AS b FROM blocks GROUP BY ALL),
+f AS (SELECT r, edited, [coalesce(n, 0)] || list_transform(w, lambda x: x::BIGINT) || CASE WHEN n IS NULL THEN list_resize([]::BIGINT[], 64, 0)
+  ELSE list_transform([{', '.join(_PRINT_ORDER)}], lambda x: x::BIGINT) END AS lanes FROM wide LEFT JOIN bits USING (r, edited)),
+s AS (SELECT r, edited, lanes, {_SIGNS.format('lanes')} AS v, array_to_string(list_transform(lanes, lambda x: printf('%08x', x)), '') AS hex FROM f),
+x AS (SELECT e.r, e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.hex AS fingerprint, b.hex AS edited_fingerprint, a.v, b.v AS ev, c.v AS nv, c.hex AS nhex
+  FROM e JOIN s a ON a.r = e.r AND NOT a.edited JOIN s b ON b.r = e.r AND b.edited JOIN s c ON c.r = e.next AND NOT c.edited),
+y AS (SELECT *, list_inner_product(v, v) AS vv, list_inner_product(ev, ev) AS ee, list_inner_product(nv, nv) AS nn,
+  list_sum(list_transform(list_zip(v, ev), lambda p: (p[1] - p[2]) ** 2)) AS de, list_sum(list_transform(list_zip(v, nv), lambda p: (p[1] - p[2]) ** 2)) AS dn FROM x)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+ CASE WHEN fingerprint = edited_fingerprint THEN 1.0 WHEN vv + ee = 0 THEN 0.0 ELSE greatest(1 - de / (vv + ee), 0.0) END AS near_edited,
+ CASE WHEN fingerprint = nhex THEN 1.0 WHEN vv + nn = 0 THEN 0.0 ELSE greatest(1 - dn / (vv + nn), 0.0) END AS near_next FROM y"""
+
+SQL: dict[str, str] = {"op1_jump_shards": OP1, "op4_exact_topk": OP4, "op5_license_digests": OP5, "op6_anchor_dedup": OP6, "op9_quality": OP9,
+                       "op11_multiset_print": OP11}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditloom.llm import (licenses, maxent, mixing, packing, quality, secrets_scan, sharding, simhash, substrings, topk)
+from auditloom.llm import (licenses, maxent, mixing, multiset, packing, quality, secrets_scan, sharding, simhash, substrings, topk)
 from auditloom.llm.words import table, text_batches
 
 SHARDS = 16
@@ -89,6 +89,12 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.language_model_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_multiset_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = multiset.compare_next(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", multiset.in_hex(F.col("print")).alias("fingerprint"),
+                       multiset.in_hex(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
     "op2_secret_spans": op2_secret_spans,
@@ -100,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_quality": op9_quality,
     "op10_maxent": op10_maxent,
+    "op11_multiset_print": op11_multiset_print,
     "pipeline": corpus_pipeline.run,
 }
