@@ -131,5 +131,22 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
  CASE WHEN fingerprint = edited_fingerprint THEN 1.0 WHEN vv + ee = 0 THEN 0.0 ELSE greatest(1 - de / (vv + ee), 0.0) END AS near_edited,
  CASE WHEN fingerprint = nhex THEN 1.0 WHEN vv + nn = 0 THEN 0.0 ELSE greatest(1 - dn / (vv + nn), 0.0) END AS near_next FROM y"""
 
+OP12 = f"""WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1)
+  + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1), lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]))) AS h FROM c, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pair AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM pair GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n,
+  (SELECT min(near) FROM pair p WHERE p.word = v.word AND p.near_n = best.near_n AND best.near_n >= 10 * v.n) AS form FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN f ON f.word = here WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY word) USING (word)"""
+
 SQL: dict[str, str] = {"op1_jump_shards": OP1, "op4_exact_topk": OP4, "op5_license_digests": OP5, "op6_anchor_dedup": OP6, "op9_quality": OP9,
-                       "op11_multiset_print": OP11}
+                       "op11_multiset_print": OP11, "op12_spelling_variants": OP12}

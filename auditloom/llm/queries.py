@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditloom.llm import (licenses, maxent, mixing, multiset, packing, quality, secrets_scan, sharding, simhash, substrings, topk)
+from auditloom.llm import (licenses, maxent, mixing, multiset, packing, quality, secrets_scan, sharding,
+                           simhash, spelling, substrings, topk)
 from auditloom.llm.words import table, text_batches
 
 SHARDS = 16
@@ -95,6 +96,11 @@ def op11_multiset_print(spark: SparkSession, sf_dir: str) -> DataFrame:
                        multiset.in_hex(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spelling.variants(table(spark, sf_dir, "documents"))
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
     "op2_secret_spans": op2_secret_spans,
@@ -107,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_maxent": op10_maxent,
     "op11_multiset_print": op11_multiset_print,
+    "op12_spelling_variants": op12_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
