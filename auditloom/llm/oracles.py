@@ -148,5 +148,31 @@ f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10
 walk AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN f ON f.word = here WHERE f.form IS NOT NULL)
 SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY word) USING (word)"""
 
+OP13 = f"""WITH {_CRC_TABLE},
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+  ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, count(*) AS n, hex(encode(conv_id::VARCHAR)) AS x FROM t GROUP BY conv_id),
+c AS (SELECT s.conv_id, s.n, s.conv_id - s.conv_id % 20 AS base, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i:
+  16 * (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1), lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]))) % 4 AS h FROM s, t_crc),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS kept FROM c LEFT JOIN s b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, p AS pos, role, text FROM k JOIN t ON t.conv_id = k.base AND p <= h
+  UNION ALL SELECT k.conv_id, kept + p - h, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND p > h),
+m AS (SELECT conv_id, 0 AS depth, '' AS node, NULL AS parent, 0 AS words FROM k UNION ALL
+  SELECT conv_id, pos, md5(string_agg(turn, ',') OVER w), CASE WHEN pos > 1 THEN md5(string_agg(turn, ',') OVER v) ELSE '' END, words FROM
+  (SELECT conv_id, pos, md5(length(role) || ':' || role || text) AS turn, len({_words('text')}) AS words FROM r) z
+  WINDOW w AS (PARTITION BY conv_id ORDER BY pos), v AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT node, depth, parent, min(conv_id) AS conv_id, count(*) AS n, max(words) AS words FROM m GROUP BY node, depth, parent),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+q AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node)),
+below AS (SELECT m.node, sum(CASE WHEN q.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((q.n - 1) * q.words) AS saved_tokens
+  FROM q JOIN m ON m.conv_id = q.conv_id AND m.depth <= q.depth GROUP BY m.node),
+ends AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM
+  (SELECT conv_id, node FROM m QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) z GROUP BY node)
+SELECT q.conv_id, q.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, q.n::BIGINT AS n_convs, q.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+ saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM q JOIN below USING (node) LEFT JOIN ends USING (node) LEFT JOIN q up ON up.node = q.parent""".replace(
+    "t AS (SELECT list(x", "t_crc AS (SELECT list(x")
+
 SQL: dict[str, str] = {"op1_jump_shards": OP1, "op4_exact_topk": OP4, "op5_license_digests": OP5, "op6_anchor_dedup": OP6, "op9_quality": OP9,
-                       "op11_multiset_print": OP11, "op12_spelling_variants": OP12}
+                       "op11_multiset_print": OP11, "op12_spelling_variants": OP12,
+                       "op13_prefix_trie": OP13}

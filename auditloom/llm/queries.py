@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditloom.llm import (licenses, maxent, mixing, multiset, packing, quality, secrets_scan, sharding,
-                           simhash, spelling, substrings, topk)
+                           simhash, spelling, substrings, topk, trie)
 from auditloom.llm.words import table, text_batches
 
 SHARDS = 16
@@ -101,6 +101,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_shards": op1_jump_shards,
     "op2_secret_spans": op2_secret_spans,
@@ -114,5 +118,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_maxent": op10_maxent,
     "op11_multiset_print": op11_multiset_print,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
