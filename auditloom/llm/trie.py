@@ -49,7 +49,8 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), "turn",
         F.md5(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text)).alias("digest"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
-    placed = running_totals(rows, ["conv_id"], ["turn", "digest"], F.lit(1), "before")
+    digests, _ = written(rows)  # texts are read once, not again to find the ranges
+    placed = running_totals(digests, ["conv_id"], ["turn", "digest"], F.lit(1), "before")
     return placed.select("conv_id", (F.col("before") + 1).alias("place"), "digest", "words")
 
 
@@ -79,6 +80,8 @@ def _limb(digest: Column, k: int) -> Column:
 
 def sharded(rows: DataFrame, family: int = FAMILY, conversations: int = CONVERSATIONS, positions: int = POSITIONS) -> DataFrame:
     """Rows of ``rebuilt`` dealt to shards; ``start`` rows hold the path of a conversation before the shard's stretch."""
+    if positions < 2:
+        raise ValueError("a stretch has two positions or more: its start must not be taken for the root")
     n = rows.where("pos = 0").count()
     shards = max(1, -(-n // conversations))
     path = F.md5(F.concat_ws(":", "pos", "digest"))
