@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.tables import SCHEMA, rows, words
 from tests.llm.test_quality import plain as measured
-from tests.llm.test_simhash import groups, plain
+from tests.llm.test_resemblance import stays
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -48,11 +48,8 @@ def test_quality_keeps_clean_documents(stages):
 
 def test_one_document_of_each_group_stays(stages):
     before, after = texts(stages["quality"]), texts(stages["near_duplicates"])
-    prints = {d: plain(t) for d, t in before.items()}
-    of, least = groups(list(prints.values())), {}
-    for d in sorted(prints):
-        least.setdefault(of[prints[d]], d)
-    assert after == {d: before[d] for d in least.values()}
+    assert sorted(after) == [d for _, d in stays([(d, t) for d, t in before.items()])]
+    assert all(before[d] == t for d, t in after.items())
 
 
 def test_secrets_are_masked_and_all_else_stays(stages):
