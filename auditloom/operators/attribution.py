@@ -9,12 +9,16 @@ from auditloom import fixed
 from auditloom.functions import prose
 from auditloom.functions.text import let
 from auditloom.operators.grounding import folded_evidence
+from auditloom.session import written
 
 MARK = "\x01"
 REACH = fixed.NEGATION_REACH
 # Sources of a draft are numbered in blocks so that a draft with a very long list is positioned by
 # many tasks; only one row per block is ordered over the whole draft.
 BLOCK = 4096
+# Characters of an index entry, and how many keys of a draft are tested one by one: a walk over a
+# source's grams costs as much as some hundred searches.
+GRAM, DIRECT = 4, 256
 
 
 def attributions(drafts: DataFrame) -> DataFrame:
@@ -117,26 +121,75 @@ def negation_nearby(evidence: DataFrame, block: int = BLOCK) -> DataFrame:
         .alias("right_at"))
 
 
-def evidence_hits(wanted: DataFrame, evidence: DataFrame, block: int = BLOCK) -> DataFrame:
+def _rarest(keys: DataFrame) -> DataFrame:
+    """(draft_id, kind, key, gram): every key with the one of its grams that the fewest keys have."""
+    grams = keys.select("draft_id", "kind", "key", F.explode(F.array_distinct(_grams(F.col("key")))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return (grams.join(counts, "gram").groupBy("draft_id", "kind", "key")
+            .agg(F.min(F.struct("n", "gram")).alias("g")).select("draft_id", "kind", "key", "g.gram"))
+
+
+def _grams(low: Column) -> Column:
+    """All overlapping pieces of a text of the gram's length, in one walk."""
+    return F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+
+
+def _in_blocks(evidence: DataFrame, lists: DataFrame, block: int) -> DataFrame:
+    """Evidence with its draft's list, which is repeated for every block of sources."""
+    place = F.floor(F.col("source_ord") / block).alias("block")
+    blocks = evidence.select("draft_id", place).distinct().join(lists, "draft_id")
+    return evidence.select("*", place).join(blocks, ["draft_id", "block"]).drop("block")
+
+
+def _named_directly(folded: DataFrame, lists: DataFrame, block: int) -> DataFrame:
+    """(draft_id, source_ord, low, k): every key of the draft is looked for in every source."""
+    return _in_blocks(folded, lists, block).select(
+        "draft_id", "source_ord", "low", F.explode(F.filter("keys", lambda k: F.contains(F.col("low"), k["key"]))).alias("k"))
+
+
+def _named_by_index(folded: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """The same through an inverted index of grams.
+
+    A key is entered under its rarest gram. A source sends on the grams it shares with its draft's
+    entries, whatever the number of keys; only keys whose gram it has are looked for in it.
+    """
+    entries, _ = written(_rarest(keys))
+    lists = entries.groupBy("draft_id").agg(F.collect_set("gram").alias("grams"))
+    shared = F.array_intersect(_grams(F.col("low")), F.col("grams"))
+    met = _in_blocks(folded, lists, block).select("draft_id", "source_ord", F.explode(shared).alias("gram"))
+    near = (met.join(entries, ["draft_id", "gram"]).groupBy("draft_id", "source_ord")
+            .agg(F.collect_set(F.struct("kind", "key")).alias("keys")))
+    return folded.join(near, ["draft_id", "source_ord"]).select(
+        "draft_id", "source_ord", "low", F.explode(F.filter("keys", lambda k: F.contains(F.col("low"), k["key"]))).alias("k"))
+
+
+def evidence_hits(wanted: DataFrame, evidence: DataFrame, block: int = BLOCK, direct: int = DIRECT) -> DataFrame:
     """(draft_id, source_ord, kind, key, clean, edges): which sources contain which folded keys.
 
     ``wanted`` has draft_id, kind ('name' or 'subject') and key. Evidence texts move once, on draft
-    and block of its sources, so a draft with a long list is searched by many tasks; the list of
-    keys, bounded by the draft's own text, is repeated per block. For subjects ``clean`` is decided
-    inside the source and ``edges`` lists occurrences whose window leaves it.
+    and block of its sources, so a draft with a long list is searched by many tasks. A draft with
+    few keys has them tested one by one. Where it has more than ``direct``, keys of a gram's length
+    or more are found through an index, and only the shorter ones, of which no alphabet has many,
+    are tested one by one; both ways find the same. For subjects ``clean`` is decided inside the
+    source and ``edges`` lists occurrences whose window leaves it.
     """
-    lists = wanted.groupBy("draft_id").agg(F.collect_set(F.struct("kind", "key")).alias("keys"))
-    place = F.floor(F.col("source_ord") / block).alias("block")
-    blocks = evidence.select("draft_id", place).distinct().join(lists, "draft_id")
+    many = F.size("keys") > direct
+    short = F.filter("keys", lambda k: F.length(k["key"]) < GRAM)
+    long = F.filter("keys", lambda k: F.length(k["key"]) >= GRAM)
+    lists, seen = written(wanted.groupBy("draft_id").agg(F.collect_set(F.struct("kind", "key")).alias("keys")),
+                          F.count_if(many).alias("many"))
     folded = folded_evidence(evidence).withColumn("low", F.translate("low", MARK, "\x02"))
-    met = folded.select("*", place).join(blocks, ["draft_id", "block"]).select(
-        "draft_id", "source_ord", "low", F.explode(F.filter(
-            "keys", lambda k: F.contains(F.col("low"), k["key"]))).alias("k"))
+    if not seen["many"]:
+        met = _named_directly(folded, lists, block)
+    else:
+        some = lists.select("draft_id", F.when(many, short).otherwise(F.col("keys")).alias("keys")).filter(F.size("keys") > 0)
+        keys = lists.filter(many).select("draft_id", F.explode(long).alias("k")).select("draft_id", "k.kind", "k.key")
+        met = _named_directly(folded, some, block).unionByName(_named_by_index(folded, keys, block))
     subject = F.col("k.kind") == "subject"
-    seen = met.select("draft_id", "source_ord", "k.kind", "k.key",
-                      F.when(subject, _occurrences(F.col("low"), F.col("k.key"))).alias("seen"))
+    seen_at = met.select("draft_id", "source_ord", "k.kind", "k.key",
+                         F.when(subject, _occurrences(F.col("low"), F.col("k.key"))).alias("seen"))
     inside = lambda o: (o["short_left"] == 0) & (o["short_right"] == 0)
-    return seen.select(
+    return seen_at.select(
         "draft_id", "source_ord", "kind", "key",
         F.exists("seen", lambda o: ~o["negated"] & inside(o)).alias("clean"),
         F.array_distinct(F.transform(
@@ -150,10 +203,10 @@ def wanted_subjects(subjects: DataFrame) -> DataFrame:
 
 
 def attribution_binding(drafts: DataFrame, evidence: DataFrame,
-                        block: int = BLOCK) -> DataFrame:
+                        block: int = BLOCK, direct: int = DIRECT) -> DataFrame:
     """(draft_id, key, subject, sentence, status): ABSENT, NEGATED or PRESENT per attribution."""
-    subjects = attributions(drafts)
-    return bound(subjects, evidence_hits(wanted_subjects(subjects), evidence, block), evidence, block)
+    subjects, _ = written(attributions(drafts))
+    return bound(subjects, evidence_hits(wanted_subjects(subjects), evidence, block, direct), evidence, block)
 
 
 def bound(subjects: DataFrame, hits: DataFrame, evidence: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 from auditloom.functions.digests import any_match
 from auditloom.functions.prose import digit_runs, prose_numbers
-from auditloom.functions.text import text
+from auditloom.functions.text import let, text
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import stage_order
 
 ARM = "DRAFT"
-KEY = 3  # a checked figure has more than two characters
+PART = 4096  # characters of a run cut into pieces at once
 
 
 def section_flags(drafts: DataFrame) -> DataFrame:
@@ -29,31 +29,36 @@ def section_flags(drafts: DataFrame) -> DataFrame:
     })
 
 
-def _heads(runs: DataFrame) -> DataFrame:
-    """The distinct first three characters of all pieces of a run: at most 12 ** 3, however long."""
-    places = F.sequence(F.lit(1), F.length("run") - KEY + 1)
-    heads = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("run"), i, KEY)))
-    return runs.select("project_id", "run", F.explode(heads).alias("head"))
+def _pieces(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(project_id, token): all pieces of the runs that have a wanted length.
+
+    A look-ahead yields the pieces of one length in a single walk along the run. A long run is cut
+    first, each part with the beginning of the next, so no row holds more than a part's pieces.
+    """
+    rows = runs.join(sizes, "project_id").filter(F.length("run") >= F.col("size"))
+    width = F.greatest(F.col("size"), F.lit(PART))
+    parts = F.regexp_extract_all("run", F.format_string("(?s).{1,%d}", width), F.lit(0))
+    cut = rows.select("project_id", "size", let(parts, lambda ps: F.transform(ps, lambda part, i: F.concat(
+        part, F.left(F.coalesce(F.get(ps, i + 1), F.lit("")), F.col("size") - 1)))).alias("parts"))
+    each = cut.select("project_id", "size", F.explode("parts").alias("part"))
+    found = F.regexp_extract_all("part", F.format_string("(?s)(?=(.{%d}))", "size"), F.lit(1))
+    return each.select("project_id", F.explode(F.array_distinct(found)).alias("token")).distinct()
 
 
 def loose_numbers(drafts: DataFrame, claims: DataFrame) -> DataFrame:
     """(project_id, name, token): draft figures contained in no claim text or uncertainty.
 
     A figure can only sit inside a run of digits, commas and dots. Claims are reduced to their
-    distinct runs; a run meets the figures that begin with three characters it holds, and is
-    searched for each. The same for runs of every length.
+    distinct runs, and the figures of a project have few different lengths: runs yield their pieces
+    of just these lengths, and figures meet equal pieces. The work is linear in the runs times the
+    lengths, however many figures begin alike.
     """
     tokens = drafts.select("project_id", "name", F.explode(prose_numbers(F.col("text")))
                            .alias("token"))
     said = F.concat_ws(" ", text(F.col("claim_text")), text(F.col("uncertainty")))
-    runs = claims.select("project_id", F.explode(digit_runs(said)).alias("run")).filter(
-        F.length("run") >= KEY).distinct()
-    wanted = tokens.select("project_id", "token").distinct().withColumn(
-        "head", F.substring("token", 1, KEY))
-    found = (wanted.join(_heads(runs), ["project_id", "head"]).filter(F.contains("run", "token"))
-             .select("project_id", "token").distinct())
-    return tokens.join(found, ["project_id", "token"], "left_anti").select(
-        "project_id", "name", "token")
+    runs = claims.select("project_id", F.explode(digit_runs(said)).alias("run")).distinct()
+    sizes = tokens.select("project_id", F.length("token").alias("size")).distinct()
+    return tokens.join(_pieces(runs, sizes), ["project_id", "token"], "left_anti")
 
 
 def loose_preview(loose: DataFrame) -> DataFrame:
