@@ -2,61 +2,57 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import sys
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import stage_order
-from auditloom.session import written
 from auditloom.sources.paths import below, project_of
 
-RECORD = "_record"
-CSV_OPTIONS = {"header": "false", "multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
-               "maxCharsPerColumn": "-1", "maxColumns": str(1 << 20)}
+# A quoted cell may hold anything and has its quotes doubled; what follows its closing quote, up to the next
+# comma, belongs to it too. A quote inside any other cell is an ordinary character. Repeats never give back
+# what they took, so cells and records of any length are matched without recursion.
+QUOTED = '"[^"]*+(?:""[^"]*+)*+'
+IN_RECORD = rf'(?:{QUOTED}(?:"[^,\r\n]*+)?+|[^",\r\n][^,\r\n]*+|)'
+ONE_RECORD = rf"({IN_RECORD}(?:,{IN_RECORD})*+)(?:\r\n|[\r\n]|\z)"
+ONE_CELL = rf',({QUOTED}(?:"[^,]*+)?+|[^",][^,]*+|)'
+CANDIDATE_OPTIONS = {"multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8", "maxCharsPerColumn": "-1"}
+
+
+def records_of(text: Column) -> Column:
+    """The records of a CSV text. Carriage return, line feed and both end one; blank lines are none."""
+    return F.filter(F.regexp_extract_all(text, F.lit(ONE_RECORD), F.lit(1)), lambda r: r != "")
 
 
-def _cells(first: Column, record: Column) -> Column:
-    """All cells of one record; one of a single cell comes parsed."""
-    @F.pandas_udf("array<string>")
-    def split(records: pd.Series) -> pd.Series:
-        csv.field_size_limit(sys.maxsize)
-        return pd.Series([None if r is None else next(csv.reader(io.StringIO(r, newline="")), []) for r in records])
+def cells_of(record: Column) -> Column:
+    """The cells of one record."""
+    def plain(cell: Column) -> Column:
+        inner = F.regexp_extract(cell, rf"^({QUOTED})", 1)
+        return F.when(F.startswith(cell, F.lit('"')), F.concat(
+            F.replace(F.substring(inner, F.lit(2), F.length(inner)), F.lit('""'), F.lit('"')),
+            F.substring(cell, F.length(inner) + 2, F.length(cell)))).otherwise(cell)
 
-    return F.coalesce(split(record), F.array(F.coalesce(first, F.lit(""))))
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(ONE_CELL), F.lit(1)), plain)
 
 
 def scan_cells(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(project_id, row_no, header, cells, surplus) of one register file name over all projects.
 
-    The header counts as record 1. Spark's reader cuts files to records, which a record with more
-    cells than its one-column schema hands over as it stands; the cells are then split without any
-    limit on their number. A file with quoted line breaks cannot be cut before it is read, so one
-    task reads it from the start and the running id of its records has no gaps: the record number is
-    the distance from the file's first id. No sort and no window over a file is needed. The text is
-    parsed once and landed; later steps read the landed copy. ``surplus`` marks files whose first
-    row has more cells than the header.
+    The header counts as record 1. A file with quoted line breaks cannot be cut before it is read,
+    so a file is one row, which Spark limits to 2 GB; built-in patterns cut it to records and these
+    to cells, whatever their number. Records keep their order in the row, so they are numbered and
+    get their header without a join, a sort or a shuffle. ``surplus`` marks files whose first row
+    has more cells than the header.
     """
-    raw = (spark.read.schema(f"first string, {RECORD} string")
-           .options(**CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
-           .csv(f"{root.rstrip('/')}/*/{name}"))
-    rows = written(raw.select(F.col("_metadata.file_path").alias("file"),
-                              F.monotonically_increasing_id().alias("id"),
-                              _cells(F.col("first"), F.col(RECORD)).alias("cells")))[0]
-    starts = rows.groupBy("file").agg(F.min("id").alias("first_id"))
-    numbered = rows.join(starts, "file").select(
-        "file", (F.col("id") - F.col("first_id") + 1).alias("row_no"), "cells")
-    top = numbered.filter("row_no <= 2").groupBy("file").agg(
-        F.max(F.when(F.col("row_no") == 1, F.col("cells"))).alias("header"),
-        F.max(F.when(F.col("row_no") == 2, F.size("cells"))).alias("width"))
-    heads = top.select("file", "header", (F.coalesce("width", F.lit(0)) > F.size("header")).alias("surplus"))
-    return numbered.filter("row_no > 1").join(heads, "file").select(
-        project_of(below(root, F.col("file"))).alias("project_id"), "row_no", "header", "cells", "surplus")
+    files = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True)
+    cut = files.select(F.col("_metadata.file_path").alias("file"), records_of(F.make_valid_utf8("value")).alias("records"))
+    headed = cut.select("file", "records", cells_of(F.get("records", F.lit(0))).alias("header"),
+                        F.coalesce(F.size(cells_of(F.get("records", F.lit(1)))), F.lit(0)).alias("width"))
+    rows = headed.select("file", "header", (F.col("width") > F.size("header")).alias("surplus"),
+                         F.posexplode(F.slice("records", F.lit(2), F.size("records"))).alias("place", "record"))
+    return rows.select(project_of(below(root, F.col("file"))).alias("project_id"), (F.col("place") + 2).cast("long").alias("row_no"),
+                       "header", cells_of(F.col("record")).alias("cells"), "surplus")
 
 
 def value_of(column: Column | str) -> Column:
@@ -185,5 +181,5 @@ def read_decision_runs(spark: SparkSession, root: str) -> DataFrame:
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """The candidate register: nineteen fixed string columns, blanks for nulls."""
     schema = ", ".join(f"{c} string" for c in fixed.CANDIDATE_COLUMNS)
-    rows = spark.read.schema(schema).options(**{**CSV_OPTIONS, "header": "true"}).csv(path)
+    rows = spark.read.schema(schema).options(**{**CANDIDATE_OPTIONS, "header": "true"}).csv(path)
     return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in fixed.CANDIDATE_COLUMNS])

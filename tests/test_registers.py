@@ -1,8 +1,11 @@
 """Register scans, the diff, the catalogue and the programme rules on small hand-made inputs."""
 
 import copy
+import csv
+import io
 import json
 import os
+import random
 
 import pytest
 from project_files import INSTRUMENT_BYTES, INSTRUMENTS, Project, catalogue
@@ -185,3 +188,33 @@ def test_programme_rules(spark):
                                    "run_id string, kind string")
     got = {r.run_id: tuple(r[1:]) for r in programme.runner_measures(events).collect()}
     assert got == {"r": (1, 1, 0), "s": (0, 1, 0)}
+
+
+def test_scan_reads_what_a_csv_reader_reads(spark, tmp_path):
+    """Random files: quotes in and around cells, every kind of line end alone and mixed, quotes never closed."""
+    rng, root, want = random.Random(1), str(tmp_path), {}
+    parts = ["a", "b", ",", ",", '"', '""', "\n", "\r", "\r\n", " ", "é", '"a"', 'x,"y\nz",', "\t", '"say ""x""\nmore"']
+    for k in range(300):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 60)))
+        put(root, f"p{k}/r.csv", text.encode())
+        rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+        want[f"p{k}"] = [(n, rows[0], r, len(rows[1]) > len(rows[0])) for n, r in enumerate(rows[1:], 2)]
+    got = {p: [] for p in want}
+    for r in scans.scan_cells(spark, root, "r.csv").collect():
+        got[r.project_id].append((r.row_no, r.header, r.cells, r.surplus))
+    assert {p: sorted(rows, key=lambda r: r[0]) for p, rows in got.items()} == want
+
+
+def test_scan_needs_no_python_no_join_and_no_shuffle(spark, tmp_path):
+    put(str(tmp_path), "p/r.csv", b"x,y\n1,a\rb\n2,c\n")
+    scan = scans.scan_cells(spark, str(tmp_path), "r.csv")
+    assert sorted((r.row_no, r.cells) for r in scan.collect()) == [(2, ["1", "a"]), (3, ["b"]), (4, ["2", "c"])]
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_long_cells_and_many_quotes_do_not_recurse(spark, tmp_path):
+    cell = '"' + '""x' * 60_000 + '"'
+    put(str(tmp_path), "p/r.csv", f"a,b\n{cell},{'y' * 300_000}\n{','.join(['z'] * 5000)}\n".encode())
+    rows = {r.row_no: r.cells for r in scans.scan_cells(spark, str(tmp_path), "r.csv").collect()}
+    assert rows[2] == ['"x' * 60_000, "y" * 300_000] and rows[3] == ["z"] * 5000
