@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 from auditloom.operators import (approval, binding, claims, decisions, derivation, drafts,
                                  feasibility, review, sources, vocabulary)
+from auditloom.functions.routes import held_path
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import stage_order
 from auditloom.session import configure, written
@@ -66,6 +67,16 @@ def register_findings(projects: DataFrame, registers: Registers, held: DataFrame
     ])
 
 
+def named_files(projects: DataFrame, registers: Registers) -> DataFrame:
+    """(project_id, rel_path) of every file a rule asks for: registers, records, and what register rows name."""
+    fixed_names = sorted({*fixed.REGISTER_NEEDED_AT, *fixed.APPROVAL_BOUND[1:], fixed.BINDING_FILE, fixed.REVIEW_FILE,
+                          fixed.APPROVAL_FILE, fixed.POLICY_FILE})
+    always = projects.select("project_id", F.explode(F.array(*[F.lit(n) for n in fixed_names])).alias("rel_path"))
+    rows = [r.select("project_id", held_path(F.col("local_path")).alias("rel_path"))
+            for r in (registers.sources, registers.probes)]
+    return always.unionByName(rows[0]).unionByName(rows[1]).filter("rel_path <> ''").distinct()
+
+
 def evaluate(spark: SparkSession, root: str, projects: DataFrame, release: Release,
              rules: approval.ApprovalRules) -> tuple[DataFrame, DataFrame]:
     """(projects with their contract, findings) for ``projects``: project_id, requested, through."""
@@ -80,8 +91,8 @@ def evaluate(spark: SparkSession, root: str, projects: DataFrame, release: Relea
     bound = written(binding.resolved(asked, bindings).drop("v"))[0].withColumn(
         "v", F.try_parse_json("value"))
     known = bound.select("project_id", "contract", "through_ord")
-    held = written(scan_held(spark, root))[0]
     registers, heads = read_registers(spark, root, known)
+    held = written(scan_held(spark, root, named=named_files(known, registers)))[0]
     heads = written(heads)[0]
     refused = heads.filter("rule = 'header_differs'").select("project_id", "subject_id")
 

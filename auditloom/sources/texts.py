@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from auditloom import fixed
 from auditloom.functions.routes import file_extension
+from auditloom.sources.custody import contents, list_held
 from auditloom.sources.paths import below, project_of, rel_path_of
 
 
@@ -24,10 +25,17 @@ def scan_texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def scan_drafts(spark: SparkSession, root: str) -> DataFrame:
-    """(project_id, name, text): Markdown files directly in a project whose name has no leading _."""
-    texts = scan_texts(spark, root, "*.md")
-    return texts.filter(~F.col("rel_path").contains("/") & ~F.col("rel_path").startswith("_")
-                        ).select("project_id", F.col("rel_path").alias("name"), "text")
+    """(project_id, name, text): Markdown files directly in a project whose name has no leading _.
+
+    Spark's reader leaves out names with a leading dot, and projects with a leading dot or _; these
+    few are listed and read apart.
+    """
+    own = ~F.col("rel_path").contains("/") & ~F.col("rel_path").startswith("_")
+    hidden = F.col("rel_path").startswith(".") | F.col("project_id").rlike("^[._]")
+    rest = contents(list_held(spark, root).filter(own & hidden & F.col("rel_path").endswith(".md")), root)
+    texts = scan_texts(spark, root, "*.md").filter(own & ~hidden).unionByName(
+        rest.select("project_id", "rel_path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
+    return texts.select("project_id", F.col("rel_path").alias("name"), "text")
 
 
 @F.pandas_udf(T.StringType())

@@ -90,7 +90,7 @@ FROM grid GROUP BY decision_id HAVING bool_or(chosen <> '')""")
 
 add("decision_diff_listed_runs", DEC, f"""
 , d AS (SELECT *, project_id || '/' || run_id AS run FROM fx_decisions),
-runs AS (SELECT DISTINCT run FROM d WHERE run < 'p5' UNION ALL SELECT 'p0/none'),
+runs AS (SELECT DISTINCT run FROM d UNION ALL SELECT 'p0/none'),
 last AS (SELECT run, decision_id, {strip('chosen')} AS chosen, min(row_no) OVER (PARTITION BY run, decision_id) AS row_no
   FROM d SEMI JOIN runs USING (run) QUALIFY row_number() OVER (PARTITION BY run, decision_id ORDER BY d.row_no DESC) = 1),
 grid AS (SELECT i.decision_id, r.run, coalesce(l.chosen, '') AS chosen, l.row_no
@@ -764,7 +764,7 @@ FROM all_findings GROUP BY project_id""")
 SHELF = """'p' || CAST(floor(row_no / 25) AS BIGINT) AS project_id,
  1 + row_number() OVER (PARTITION BY floor(row_no / 25) ORDER BY row_no) AS row_no"""
 add("register_scan", SRC, f""" SELECT {SHELF}, 'source_id,title,publisher,notes' AS header, source_id,
- title || chr(10) || '"x", y' AS title, publisher, notes FROM fx_sources""")
+ title || chr(13) || chr(10) || '"x", y' || chr(13) AS title, publisher, notes FROM fx_sources""")
 add("register_rows_wide", SRC, f""" SELECT {SHELF}, CAST(90 AS INTEGER) AS columns, CAST(90 AS INTEGER) AS cells,
  'v0,' || row_no AS c0, 'v89,' || (row_no + 89) AS c89 FROM fx_sources""")
 add("held_files", [], """SELECT source || '-' || CAST(floor(doc_id / 400) AS BIGINT) AS project_id,
@@ -856,7 +856,7 @@ _early = """SELECT project_id, '{arm}' AS arm, 'filled_too_early' AS rule, 'erro
 EARLY = _early.format(arm="SOURCES", rows="fx_sources", ord=2)
 add("premature_rows", CLM, f" {EARLY} UNION ALL " + _early.format(
     arm="CLAIMS", rows="(SELECT 'p' || row_no % 16 AS project_id FROM fx_claims)", ord=3))
-add("register_presence", SRC, """, p AS (SELECT DISTINCT c_custkey % 40 AS n, 'p' || c_custkey % 40 AS project_id FROM customer),
+add("register_presence", SRC, """, p AS (SELECT DISTINCT c_custkey AS n, 'p' || c_custkey AS project_id FROM customer),
 s AS (SELECT *, n % 3 = 2 AS missing, n % 3 < 2 AND n % 9 <> 1 AND project_id NOT IN (SELECT project_id FROM fx_sources) AS empty FROM p)
 SELECT project_id, CASE WHEN missing AND n % 2 = 1 THEN 'SOURCES' ELSE 'MANIFEST' END AS arm,
  CASE WHEN missing THEN 'register_missing' WHEN n % 6 < 2 THEN 'register_empty_so_far' ELSE 'register_empty' END AS rule,

@@ -7,7 +7,7 @@ import json
 
 import pytest
 from project_files import (AUTOMATIC, AUTHORITY, INSTRUMENT_BYTES, INSTRUMENTS, ON, RUNNER, Project,
-                           catalogue)
+                           catalogue, sha)
 
 from auditloom.operators.approval import ApprovalRules
 from auditloom.operators.findings import verdict
@@ -52,6 +52,20 @@ clean("clean_multiline", lambda: Project().set(
     "claims.csv", "C2", notes='two\nlines, "quoted"', claim_text="Mean is 247 MW,\nrounded."))
 
 
+def _held_under_hidden_names():
+    """Names Spark's own listing leaves out, and a file longer than the block it is read by."""
+    p = Project()
+    p.files |= {"_x/a.pdf": b"a", ".b/c": b"c", "long.bin": b"0123456789" * 600_000}
+    for key, path in zip(("filing", "release", "audit"), ("_x/a.pdf", ".b/c", "long.bin"), strict=True):
+        p.set("sources.csv", key, local_path=path, sha256=sha(p.files[path]))
+    return p
+
+
+clean("clean_hidden_and_long_files", _held_under_hidden_names)
+fault("SOURCES", "hash_mismatch", "hidden_file_changed", lambda p: (p.files.update({".b/c": b"c"}), p.set(
+    "sources.csv", "release", local_path=".b/c", sha256=sha(b"another"))))
+
+
 def _legacy_columns():
     p = Project("v0.2")
     p.headers["decisions.csv"].remove("decided_by")

@@ -2,6 +2,7 @@
 
 import copy
 import csv
+import hashlib
 import io
 import json
 import os
@@ -218,3 +219,33 @@ def test_long_cells_and_many_quotes_do_not_recurse(spark, tmp_path):
     put(str(tmp_path), "p/r.csv", f"a,b\n{cell},{'y' * 300_000}\n{','.join(['z'] * 5000)}\n".encode())
     rows = {r.row_no: r.cells for r in scans.scan_cells(spark, str(tmp_path), "r.csv").collect()}
     assert rows[2] == ['"x' * 60_000, "y" * 300_000] and rows[3] == ["z"] * 5000
+
+
+def test_held_files_of_any_name_and_size(spark, tmp_path, monkeypatch):
+    from auditloom.sources import custody
+
+    monkeypatch.setattr(custody, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(custody, "PROJECTS", 2)
+    monkeypatch.setattr(custody, "LISTED_AT_ONCE", 3)
+    files = {("p 1", "_x/a.pdf"): b"a", ("p 1", ".b/c"): b"", ("p 1", "_SUCCESS"): b"s", ("p2", "d/e/f/é +%.bin"): b"0123456789" * 1001,
+             ("_p3", ".hidden"): b"h", ("p4", "x.csv"): b"1", ("p4", "y.csv"): b"2", ("p4", "z.txt"): b"3", ("p4", "sub/x.csv"): b"4"}
+    for (project, path), data in files.items():
+        put(str(tmp_path), f"{project}/{path}", data)
+    put(str(tmp_path), "not in a project", b"n")
+    want = {k: hashlib.sha256(v).hexdigest() for k, v in files.items()}
+
+    def read(**args):
+        return {(r.project_id, r.rel_path): r.file_sha256 for r in custody.scan_held(spark, f"file:{tmp_path}", **args).collect()}
+
+    assert read() == want
+    assert read(glob="*.csv") == {k: v for k, v in want.items() if k[1].endswith(".csv")}
+    named = spark.createDataFrame([("p 1", ".b/c"), ("p 1", ".b/c"), ("p2", "x.csv"), ("_p3", ".hidden")], "project_id string, rel_path string")
+    assert set(read(named=named)) == {("p 1", ".b/c"), ("_p3", ".hidden")}
+    assert custody.scan_held(spark, str(tmp_path / "nothing")).collect() == []
+
+
+def test_drafts_of_any_name_but_a_leading_underscore(spark, tmp_path):
+    for path in ("p/a.md", "p/.x.md", "p/_no.md", "p/sub/no.md", "_q/b.md", ".r/.c.md", "p/.no.txt"):
+        put(str(tmp_path), path, path.encode() + b" \xff")
+    got = {(r.project_id, r.name): r.text for r in scan_drafts(spark, str(tmp_path)).collect()}
+    assert got == {tuple(p.split("/")): f"{p} \ufffd" for p in ("p/a.md", "p/.x.md", "_q/b.md", ".r/.c.md")}
