@@ -2,9 +2,10 @@
 
 P(token | before) = P(class | before) * P(token | class). The first factor is a softmax over classes; its
 weights sit in a table of hashed features of what came before: the last token, the last two, and
-the second, third and fourth last alone (skips). It is trained by gradient steps on mini-batches in
-every task over that task's share of all training documents; the tasks' weights are then averaged,
-feature by feature, by how often each task met the feature. The second factor is the
+the second, third and fourth last alone (skips). It is trained in rounds: shards of the training
+documents, made by a hash, take gradient steps on mini-batches from the weights of the round before,
+and what they arrive at is averaged, feature by feature, by how often each shard met the feature. All
+orders are fixed, so scores do not depend on how files are laid out. The second factor is the
 maximum-entropy model with one feature per token, whose fit has a closed form (relative counts,
 smoothed by 0.1, with room for unknown tokens), so both factors sum to one.
 
@@ -25,16 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.chunks import BASE, OTHER, STEP, Words, dealt, mix, ordered, rows_of, runs, spec
+from auditloom.llm.chunks import BASE, CHUNK_BYTES, OTHER, STEP, Words, dealt, mix, ordered, rows_of, runs, spec
 from auditloom.llm.words import text_batches
 from auditloom.session import written
 
 CLASSES, SUFFIXES, FEATURES, KINDS = 32, 512, 1 << 14, 5  # FEATURES at most 2**16
-BATCH, SLICE_BYTES, RATE, BLOCK, LANES = 4096, 1 << 20, 0.3, 256, 64
+BATCH, SLICE_BYTES, RATE, BLOCK = 4096, 1 << 20, 0.3, 256
+ROUNDS, SHARD_CHUNKS = 4, 4
 SMOOTH, BUCKET_TOKENS = 0.1, 8 << 20
 END, BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -202,57 +203,90 @@ def softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.n
     return odds
 
 
-def train(docs: DataFrame, classes: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Weights of all features after one pass over all training documents."""
-    part = {"block": pa.int64(), "lane": pa.int64(), "weights": pa.binary(), "met": pa.binary()}
-    shape = "block long, lane long, weights binary, met binary"
+def train(rows: DataFrame, chunks: int, classes: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights of all features after one pass over all training documents, in rounds.
+
+    ``rows`` has doc_id, text and chunk. Some chunks together are a shard; a round takes every shard of its turn
+    from the weights all earlier rounds have led to, and averages what the shards make of them. Shards are
+    made by a hash of the documents, read in a fixed order and added in a fixed order, so the weights do not
+    depend on how the documents are laid out in files or tasks.
+    """
+    part = {"block": pa.int64(), "shard": pa.int64(), "weights": pa.binary(), "squares": pa.binary(), "met": pa.binary()}
+    weights, squares = np.zeros((FEATURES, CLASSES), np.float32), np.full((FEATURES, CLASSES), 1e-2, np.float32)
+    shards = -(-chunks // SHARD_CHUNKS)
+    rounds = min(ROUNDS, shards)
+    dealt_rows = rows.withColumn("shard", F.floor(F.col("chunk") / SHARD_CHUNKS))
+    for turn in range(rounds):
+        def learn(table: pa.Table) -> pa.Table:
+            shard = table.column("shard")[0].as_py()
+            shuffle, own_weights, own_squares = np.random.default_rng(shard), weights.copy(), squares.copy()
+            met = np.zeros(FEATURES, np.int64)
+            for texts in _training_slices(*ordered(table)):
+                _step(own_weights, own_squares, met, texts, classes, bias, shuffle)
+            out = {name: [] for name in part}
+            for block in range(0, FEATURES, BLOCK):
+                n = met[block:block + BLOCK]
+                if n.any():
+                    for name, value in zip(part, (block, shard, own_weights[block:block + BLOCK].astype("<f4").tobytes(),
+                                                  own_squares[block:block + BLOCK].astype("<f4").tobytes(), n.astype("<i8").tobytes()), strict=True):
+                        out[name].append(value)
+            return rows_of(out, part)
+
+        def average(table: pa.Table) -> pa.Table:
+            """One block's mean over the shards, by how often each met a feature; shards in their order."""
+            order = np.argsort(table.column("shard").to_numpy(), kind="stable").tolist()
+            met = np.array([np.frombuffer(table.column("met")[k].as_py(), "<i8") for k in order]).astype(float)
+            means = []
+            for name in ("weights", "squares"):
+                total = np.zeros((met.shape[1], CLASSES))
+                for k, n in zip(order, met, strict=True):
+                    total += np.frombuffer(table.column(name)[k].as_py(), "<f4").reshape(-1, CLASSES) * n[:, None]
+                means.append((total / np.maximum(met.sum(axis=0), 1)[:, None]).astype("<f4").tobytes())
+            return rows_of({"block": [table.column("block")[0].as_py()], "shard": [-1], "weights": [means[0]], "squares": [means[1]],
+                            "met": [met.sum(axis=0).astype("<i8").tobytes()]}, part)
+
+        mine = dealt_rows.where(F.col("shard") % rounds == turn)
+        parts = mine.groupBy("shard").applyInArrow(learn, spec(part)).groupBy("block").applyInArrow(average, spec(part))
+        for row in parts.toArrow().to_pylist():  # FEATURES / BLOCK rows
+            seen = np.frombuffer(row["met"], "<i8") > 0
+            for into, name in ((weights, "weights"), (squares, "squares")):
+                into[row["block"]:row["block"] + BLOCK][seen] = np.frombuffer(row[name], "<f4").reshape(-1, CLASSES)[seen]
+    return weights
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        order = np.random.default_rng(task)
-        weights = np.zeros((FEATURES, CLASSES), np.float32)
-        squares = np.full((FEATURES, CLASSES), 1e-2, np.float32)
-        met = np.zeros(FEATURES, np.int64)
-        for texts in _slices(batches):
-            tokens = Tokens(texts)
-            features, target = tokens.features(), classes[tokens.suffix]
-            shuffled = order.permutation(len(target))
-            for at in range(0, len(target), BATCH):
-                rows = shuffled[at:at + BATCH]
-                seen = features[rows]
-                slope = softmax(weights, bias, seen)
-                slope[np.arange(len(rows)), target[rows]] -= 1
-                flat = seen.ravel()
-                by_feature = np.argsort(flat, kind="stable")
-                lines = flat[by_feature]
-                first = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
-                sums = np.add.reduceat(slope[by_feature // KINDS], first, axis=0)
-                own = lines[first]
-                squares[own] += sums * sums
-                weights[own] -= RATE * sums / np.sqrt(squares[own])
-                met[own] += np.diff(np.r_[first, len(lines)])
-        out = {name: [] for name in part}
-        for block in range(0, FEATURES, BLOCK):
-            n = met[block:block + BLOCK]
-            if n.any():
-                for name, value in zip(part, (block, task % LANES, (weights[block:block + BLOCK] * n[:, None])
-                                              .astype("<f8").tobytes(), n.astype("<i8").tobytes()), strict=True):
-                    out[name].append(value)
-        yield from rows_of(out, part).to_batches()
 
-    def add(table: pa.Table) -> pa.Table:
-        weights = sum(np.frombuffer(w.as_py(), "<f8") for w in table.column("weights"))
-        met = sum(np.frombuffer(m.as_py(), "<i8") for m in table.column("met"))
-        return rows_of({"block": [table.column("block")[0].as_py()], "lane": [table.column("lane")[0].as_py()],
-                        "weights": [weights.tobytes()], "met": [met.tobytes()]}, part)
-
-    parts = docs.mapInArrow(learn, shape).groupBy("block", "lane").applyInArrow(add, shape)
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
-    for row in parts.groupBy("block").applyInArrow(add, shape).toArrow().to_pylist():  # FEATURES / BLOCK rows
-        met = np.frombuffer(row["met"], "<i8")
-        sums = np.frombuffer(row["weights"], "<f8").reshape(-1, CLASSES)
-        weights[row["block"]:row["block"] + BLOCK] = sums / np.maximum(met, 1)[:, None]
-    return weights
+def _training_slices(doc_ids: list[int | None], texts: list[str]) -> Iterator[list[str]]:
+    some, size = [], 0
+    for doc_id, text in zip(doc_ids, texts, strict=True):
+        if not held_out(doc_id):
+            some.append(text)
+            size += len(text)
+            if size >= SLICE_BYTES:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def _step(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, texts: list[str], classes: np.ndarray, bias: np.ndarray,
+          shuffle: np.random.Generator) -> None:
+    """Gradient steps over the tokens of some texts, in mini-batches; the arrays are changed in place."""
+    tokens = Tokens(texts)
+    features, target = tokens.features(), classes[tokens.suffix]
+    shuffled = shuffle.permutation(len(target))
+    for at in range(0, len(target), BATCH):
+        rows = shuffled[at:at + BATCH]
+        seen = features[rows]
+        slope = softmax(weights, bias, seen)
+        slope[np.arange(len(rows)), target[rows]] -= 1
+        flat = seen.ravel()
+        by_feature = np.argsort(flat, kind="stable")
+        lines = flat[by_feature]
+        first = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
+        sums = np.add.reduceat(slope[by_feature // KINDS], first, axis=0)
+        own = lines[first]
+        squares[own] += sums * sums
+        weights[own] -= RATE * sums / np.sqrt(squares[own])
+        met[own] += np.diff(np.r_[first, len(lines)])
 
 
 def language_model_scores(docs: DataFrame) -> DataFrame:
@@ -271,7 +305,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     n = np.bincount(classes, weights=tokens_of, minlength=CLASSES)
     v = np.bincount(classes, weights=types_of, minlength=CLASSES)
     bias = np.log((n + 1) / (n.sum() + CLASSES)).astype(np.float32)
-    weights = train(narrow, classes, bias)
+    weights = train(rows, max(1, -(-size // CHUNK_BYTES)), classes, bias)
     total, types = float(n.sum()), float(v.sum())
     room = np.log10(n + SMOOTH * (v + 1))
     base_room = np.log10(total + SMOOTH * (types + 1))

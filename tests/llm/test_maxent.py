@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from auditloom.llm import maxent
+from auditloom.llm import chunks, maxent
 from tests.llm.tables import documents, nothing, rows, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,6 +51,42 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert len(got) > 50 and np.mean(gain) > 0.1 and np.mean([g > 0 for g in gain]) > 0.95
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch, tmp_path):
+    """The same documents as one file and as twelve, in other orders, with several shards and rounds."""
+    monkeypatch.setattr(maxent, "dealt", lambda docs: chunks.dealt(docs, 20_000))
+    monkeypatch.setattr(maxent, "CHUNK_BYTES", 20_000)
+    given, scores = speech(3, 300), []
+    for files in (1, 12):
+        path = str(tmp_path / str(files))
+        documents(spark, random.Random(files).sample(given, len(given))).select("doc_id", "text").repartition(files).write.parquet(path)
+        scores.append({r.doc_id: (r.base_score, r.score) for r in maxent.language_model_scores(spark.read.parquet(path)).collect()})
+    assert scores[0].keys() == scores[1].keys()
+    for d, pair in scores[0].items():
+        assert pair == pytest.approx(scores[1][d], abs=1e-6)
+
+
+def test_training_equals_a_plain_model(spark, monkeypatch):
+    """Weights of one shard and one batch against a softmax regression written out token by token."""
+    given = speech(5, 12)
+    docs = documents(spark, given)
+    rows, size = chunks.dealt(docs)
+    classes = np.arange(maxent.SUFFIXES) % maxent.CLASSES
+    bias = np.zeros(maxent.CLASSES, np.float32)
+    got = maxent.train(rows, 1, classes, bias)
+    texts = [t for d, t, *_ in sorted(given) if not maxent.held_out(d)]
+    seen = maxent.Tokens(texts)
+    features, target = seen.features(), classes[seen.suffix]
+    assert len(target) <= maxent.BATCH  # one step
+    slope = np.zeros((maxent.FEATURES, maxent.CLASSES))
+    for line, c in zip(features, target, strict=True):
+        wrong = np.full(maxent.CLASSES, 1 / maxent.CLASSES)  # all weights and the bias are zero
+        wrong[c] -= 1
+        for f in line:
+            slope[f] += wrong
+    want = -maxent.RATE * slope / np.sqrt(1e-2 + slope**2)
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     logs = maxent.log_softmax(rng.normal(size=(maxent.FEATURES, maxent.CLASSES)).astype(np.float32),
