@@ -90,7 +90,7 @@ def _rules() -> list[Rule]:
              F.col("cor")),
         Rule("corroborator_unreachable", open_pair & ~F.col("cor_reachable"), F.col("cor")),
         Rule("corroborator_not_independent", open_pair & F.col("relation").isNotNull(),
-             F.concat_ws(" ", "relation", "cor", "shared")),
+             F.concat(F.concat_ws(" ", "relation", "cor", "shared"), F.lit(": "), "route")),
     ]
 
 
@@ -115,9 +115,11 @@ def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None
     rows, _ = written(backed(cited(base.select(*needed), attributes), attributes))
     if graph is None:
         judged = rows.withColumns({"relation": F.lit(None).cast("string"),
-                                   "shared": F.lit(None).cast("string")})
+                                   "shared": F.lit(None).cast("string"),
+                                   "route": F.lit(None).cast("string")})
     else:
-        defects = derivation.independence_defects(corroborating_pairs(rows), graph)
+        defects = derivation.with_routes(
+            written(derivation.independence_defects(corroborating_pairs(rows), graph))[0], graph)
         judged = rows.join(defects.withColumnRenamed("other", "cor"),
                            ["project_id", "sid", "cor"], "left")
     folded = rows.withColumn("key", F.lower("cid"))

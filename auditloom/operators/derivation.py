@@ -102,20 +102,51 @@ def _settled(levels: list[DataFrame]) -> DataFrame:
     return union_all([level.filter(~_is_open()) for level in levels])
 
 
+def _hops(walks: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The walks (project_id, ..., v, hops) as one row per hop: v and hops give way to hop, ancestor.
+
+    A walk of more than 2**k hops is cut in two at its vertex 2**k steps up, level by level, so the
+    rows double towards the single hops: a list of n hops costs 2n rows in all, not n per level.
+    """
+    keys = [c for c in walks.columns if c not in ("v", "hops")]
+    parts = walks.withColumn("past", F.lit(0).cast("bigint"))
+    for k in reversed(range(len(levels))):
+        reach = F.lit(2 ** k).cast("bigint")
+        far = F.col("hops") > reach
+        parts = parts.join(_jump(levels, k, "_at", "_to"), (F.col("project_id") == F.col("_p"))
+                           & (F.col("v") == F.col("_at")) & far, "left")
+        near_part = F.struct("v", F.least("hops", reach).alias("hops"), "past")
+        far_part = F.when(far, F.struct(F.col("_to").alias("v"), (F.col("hops") - reach).alias("hops"),
+                                        (F.col("past") + reach).alias("past")))
+        parts = parts.select(*keys, F.explode(F.array_compact(F.array(near_part, far_part))).alias("part")
+                             ).select(*keys, "part.*")
+    first = _jump(levels, 0, "v", "ancestor").withColumnRenamed("_p", "project_id")
+    return parts.filter("hops = 1").join(first, ["project_id", "v"]).select(
+        *keys, (F.col("past") + 1).alias("hop"), "ancestor")
+
+
 def _loop_members(levels: list[DataFrame]) -> DataFrame:
     """Every vertex on a loop with its place, counted from the loop's smallest vertex.
 
-    A loop seen closed at round r has at most 2**r members, so each head is lifted by every number
-    below that; places beyond the loop's size only meet members again.
+    A loop is cut at that vertex, its head: the longest walk from the head that does not meet it again
+    is found digit by digit (the smallest id met on a stretch tells whether the head lies on it), and
+    its hops rank the other members. Until then each loop is one row.
     """
     heads = _settled(levels).filter("found_at IS NOT NULL").select(
-        "project_id", F.col("v").alias("loop"), "v",
-        F.explode(F.sequence(F.lit(0).cast("bigint"),
-                             F.pow(F.lit(2), F.col("found_at")).cast("bigint") - 1)).alias("place"))
-    members = lift(heads, levels, "v", "place").groupBy("project_id", "loop", "v").agg(
-        F.min("place").alias("place"))
-    sizes = members.groupBy("project_id", "loop").agg(F.count("*").alias("size"))
-    return written(members.join(sizes, ["project_id", "loop"]))[0]
+        "project_id", F.col("v").alias("loop"), "v", F.lit(0).cast("bigint").alias("hops"))
+    at = heads
+    for k in reversed(range(len(levels))):
+        stretch = levels[k].filter(F.col("steps") == 2 ** k).select(
+            F.col("project_id").alias("_p"), F.col("v").alias("_at"), F.col("up").alias("_to"), "low")
+        at = at.join(stretch, (F.col("project_id") == F.col("_p")) & (F.col("v") == F.col("_at")), "left")
+        free = F.coalesce(F.col("low") != F.col("loop"), F.lit(False))
+        at = at.select("project_id", "loop", F.when(free, F.col("_to")).otherwise(F.col("v")).alias("v"),
+                       (F.col("hops") + F.when(free, 2 ** k).otherwise(0)).alias("hops"))
+    sized, _ = written(at.withColumn("size", F.col("hops") + 1).withColumn("v", F.col("loop")))
+    others = _hops(sized, levels).select("project_id", "loop", F.col("ancestor").alias("v"),
+                                         F.col("hop").alias("place"), "size")
+    return written(sized.select("project_id", "loop", "v", F.lit(0).cast("bigint").alias("place"), "size")
+                   .unionByName(others))[0]
 
 
 def forest(parents: DataFrame) -> Forest:
@@ -170,10 +201,9 @@ def ancestors(graph: Forest, starts: DataFrame) -> DataFrame:
     A start is never its own ancestor; a walk that enters a loop lists each member once.
     """
     at = located(starts.select("project_id", "sid").distinct(), graph, "sid")
-    tree = at.filter("sid_depth > 0").withColumns({
-        "hop": F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("sid_depth"))),
-        "ancestor": F.col("sid")})
-    out = lift(tree, graph.levels, "ancestor", "hop").select("project_id", "sid", "hop", "ancestor")
+    tree = at.filter("sid_depth > 0").select("project_id", "sid", F.col("sid").alias("v"),
+                                             F.col("sid_depth").alias("hops"))
+    out = _hops(tree, graph.levels)
     if graph.loops is None:
         return out
     entry = graph.loops.select("project_id", F.col("v").alias("sid_root"), "loop",
@@ -245,12 +275,62 @@ def independence_defects(pairs: DataFrame, graph: Forest) -> DataFrame:
 
 
 def derivation_paths(pairs: DataFrame, graph: Forest) -> DataFrame:
-    """For (project_id, sid, target) where target is an origin of sid: the hops as text."""
-    walk = ancestors(graph, pairs.select("project_id", "sid"))
-    hit = pairs.join(walk.withColumnRenamed("ancestor", "target").withColumnRenamed("hop", "last"),
-                     ["project_id", "sid", "target"])
-    steps = hit.join(walk, ["project_id", "sid"]).filter("hop <= last")
-    hops = F.transform(F.array_sort(F.collect_list(F.struct("hop", "ancestor"))),
-                       lambda s: s["ancestor"])
-    return steps.groupBy("project_id", "sid", "target").agg(
-        F.array_join(F.concat(F.array("sid"), hops), " derives from ").alias("path"))
+    """For (project_id, sid, target) where target is an origin of sid: the hops as text.
+
+    A source on a loop is an origin of itself here; its path goes once round. Only the hops of the
+    wanted paths are made, and their number follows from depths and places.
+    """
+    ends = located(located(pairs.select("project_id", "sid", "target").distinct(), graph, "sid"),
+                   graph, "target").filter("sid_top = target_top")
+    if graph.loops is None:
+        ends = ends.withColumns({"tree": F.col("sid_depth") - F.col("target_depth"),
+                                 "turn": F.lit(0).cast("bigint"), "loop": F.lit(None).cast("string")})
+    else:
+        spots = graph.loops.select("project_id", F.col("v").alias("sid_root"), "loop",
+                                   F.col("place").alias("entry"), "size")
+        goals = graph.loops.select("project_id", F.col("v").alias("target"), F.col("place").alias("goal"))
+        ends = (ends.join(spots, ["project_id", "sid_root"], "left")
+                .join(goals, ["project_id", "target"], "left"))
+        round_ = F.pmod(F.col("goal") - F.col("entry"), F.col("size")) + F.when(
+            F.col("sid") == F.col("target"), F.col("size")).otherwise(0)
+        ends = ends.withColumns({
+            "tree": F.when(F.col("goal").isNotNull(), F.col("sid_depth"))
+            .otherwise(F.col("sid_depth") - F.col("target_depth")),
+            "turn": F.coalesce(round_, F.lit(0))})
+    keys = ["project_id", "sid", "target"]
+    steps = _hops(ends.filter("tree > 0 AND (sid_root = target_root OR loop IS NOT NULL)").select(
+        *keys, F.col("sid").alias("v"), F.col("tree").alias("hops")), graph.levels)
+    if graph.loops is not None:
+        turns = ends.filter("turn > 0").select(
+            *keys, "loop", "entry", "size", "tree",
+            F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("turn"))).alias("step")).withColumn(
+            "place", F.pmod(F.col("entry") + F.col("step"), F.col("size")))
+        steps = steps.unionByName(turns.drop("size").join(
+            graph.loops.select("project_id", "loop", "place", F.col("v").alias("ancestor")),
+            ["project_id", "loop", "place"]).select(*keys, (F.col("tree") + F.col("step")).alias("hop"), "ancestor"))
+    hops = F.transform(F.array_sort(F.collect_list(F.struct("hop", "ancestor"))), lambda s: s["ancestor"])
+    return steps.groupBy(*keys).agg(
+        F.array_join(F.concat(F.array("sid"), hops), " derives from ").alias("path"),
+        F.max_by("ancestor", "hop").alias("end")).filter("end = target").drop("end")
+
+
+def loop_paths(graph: Forest) -> DataFrame:
+    """(project_id, sid, path): once round the loop, from each member of a loop of several sources."""
+    members = loop_members(graph)
+    return derivation_paths(members.withColumn("target", F.col("sid")), graph).drop("target")
+
+
+def with_routes(defects: DataFrame, graph: Forest) -> DataFrame:
+    """Add ``route`` to independence defects: the path from each side to the shared origin."""
+    up = defects.filter("relation <> 'derivative'").select("project_id", "sid", F.col("shared").alias("target"))
+    down = defects.filter("relation <> 'origin'").select("project_id", F.col("other").alias("sid"),
+                                                         F.col("shared").alias("target"))
+    paths, _ = written(derivation_paths(up.unionByName(down), graph))
+    mine = paths.select("project_id", "sid", F.col("target").alias("shared"), F.col("path").alias("up_path"))
+    theirs = paths.select("project_id", F.col("sid").alias("other"), F.col("target").alias("shared"),
+                          F.col("path").alias("down_path"))
+    up_path = F.when(F.col("relation") != "derivative", F.col("up_path"))
+    down_path = F.when(F.col("relation") != "origin", F.col("down_path"))
+    return (defects.join(mine, ["project_id", "sid", "shared"], "left")
+            .join(theirs, ["project_id", "other", "shared"], "left")
+            .withColumn("route", F.concat_ws(", and ", up_path, down_path)).drop("up_path", "down_path"))

@@ -11,6 +11,7 @@ from auditloom.functions.text import blank, empty_under, iso_date, strip, unusab
 from auditloom.operators import derivation
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import repeats, with_columns
+from auditloom.session import written
 
 ARM = "SOURCES"
 
@@ -110,10 +111,13 @@ def source_coverage(rows: DataFrame) -> DataFrame:
 
 
 def derivation_findings(rows: DataFrame, graph: derivation.Forest) -> DataFrame:
-    """The v0.3 rules on origins and second sources."""
+    """The v0.3 rules on origins and second sources.
+
+    Loop and independence findings carry the recorded route, as long as the derivation itself.
+    """
     ids = rows.filter("sid <> ''").select("project_id", F.col("sid").alias("id")).distinct()
     v03 = rows.filter(F.col("contract") == "v0.3").select("project_id", "row_no", "sid", "second")
-    loops = derivation.loop_members(graph).withColumn("looped", F.lit(True))
+    loops = derivation.loop_paths(graph)
     origins = (v03.join(graph.parents, ["project_id", "sid"]).filter("origin <> ''")
                .join(ids.withColumnRenamed("id", "origin").withColumn("known", F.lit(True)),
                      ["project_id", "origin"], "left")
@@ -123,12 +127,12 @@ def derivation_findings(rows: DataFrame, graph: derivation.Forest) -> DataFrame:
         ["project_id", "second"], "left")
     pairs = seconds.filter("known AND second <> sid").select(
         "project_id", "row_no", "sid", F.col("second").alias("other"))
-    defects = derivation.independence_defects(pairs, graph)
+    defects = derivation.with_routes(written(derivation.independence_defects(pairs, graph))[0], graph)
     return union_all([
         apply_rules(origins, ARM, [
             Rule("origin_unregistered", F.col("known").isNull(), F.col("origin")),
             Rule("derives_from_itself", F.col("origin") == F.col("sid"), F.col("origin")),
-            Rule("derivation_loop", F.col("looped"), F.col("origin")),
+            Rule("derivation_loop", F.col("path").isNotNull(), F.col("path")),
         ], F.col("sid"), F.col("row_no")),
         apply_rules(seconds, ARM, [
             Rule("second_unregistered", F.col("known").isNull(), F.col("second")),
@@ -136,7 +140,7 @@ def derivation_findings(rows: DataFrame, graph: derivation.Forest) -> DataFrame:
         ], F.col("sid"), F.col("row_no")),
         apply_rules(pairs.join(defects, ["project_id", "sid", "other"]), ARM, [
             Rule("second_not_independent", F.lit(True),
-                 F.concat_ws(" ", "relation", "other", "shared")),
+                 F.concat(F.concat_ws(" ", "relation", "other", "shared"), F.lit(": "), "route")),
         ], F.col("sid"), F.col("row_no")),
     ])
 

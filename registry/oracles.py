@@ -300,9 +300,13 @@ met AS (SELECT p.sid, p.other, arg_min(a.ancestor, a.hop) AS near FROM pairs p
  GROUP BY p.sid, p.other),
 defects AS (SELECT m.sid, m.other,
  CASE WHEN u.hop IS NOT NULL THEN 'origin' WHEN d.hop IS NOT NULL THEN 'derivative' ELSE 'shared' END AS relation,
- CASE WHEN u.hop IS NOT NULL THEN m.other WHEN d.hop IS NOT NULL THEN m.sid ELSE near END AS shared
+ CASE WHEN u.hop IS NOT NULL THEN m.other WHEN d.hop IS NOT NULL THEN m.sid ELSE near END AS shared,
+ CASE WHEN u.hop IS NOT NULL THEN array_to_string(u.seen, ' derives from ')
+  WHEN d.hop IS NOT NULL THEN array_to_string(d.seen, ' derives from ')
+  ELSE array_to_string(e.seen, ' derives from ') || ', and ' || array_to_string(f.seen, ' derives from ') END AS route
  FROM met m LEFT JOIN walk u ON u.sid = m.sid AND u.ancestor = m.other
- LEFT JOIN walk d ON d.sid = m.other AND d.ancestor = m.sid)"""
+ LEFT JOIN walk d ON d.sid = m.other AND d.ancestor = m.sid
+ LEFT JOIN walk e ON e.sid = m.sid AND e.ancestor = near LEFT JOIN walk f ON f.sid = m.other AND f.ancestor = near)"""
 add("independence_defects", SRC, f""", {WALK},
 pairs AS (SELECT DISTINCT sid, other FROM (
  SELECT source_id AS sid, second_source_id AS other FROM fx_sources
@@ -315,18 +319,20 @@ pairs AS (SELECT DISTINCT s.source_id AS sid, t.source_id AS other FROM fx_sourc
 {INDEPENDENCE},
 s AS (SELECT 'all' AS project_id, x.* EXCLUDE (project_id), o.source_id IS NOT NULL AS origin_known,
  t.source_id IS NOT NULL AS second_known, EXISTS (SELECT 1 FROM walk w WHERE w.sid = x.derived_from
-  AND w.ancestor = x.source_id) AND x.derived_from <> x.source_id AS looped, d.relation, d.shared
+  AND w.ancestor = x.source_id) AND x.derived_from <> x.source_id AS looped, d.relation, d.shared, d.route,
+ (SELECT arg_max(array_to_string(w.seen, ' derives from '), w.hop) FROM walk w WHERE w.sid = x.source_id)
+  || ' derives from ' || x.source_id AS round
  FROM fx_sources x LEFT JOIN fx_sources o ON o.source_id = x.derived_from
  LEFT JOIN fx_sources t ON t.source_id = x.second_source_id
  LEFT JOIN defects d ON d.sid = x.source_id AND d.other = x.second_source_id)
 {findings('SOURCES', [
     ('origin_unregistered', "derived_from <> '' AND NOT origin_known", 'derived_from'),
     ('derives_from_itself', "derived_from = source_id", 'derived_from'),
-    ('derivation_loop', "looped", 'derived_from'),
+    ('derivation_loop', "looped", 'round'),
     ('second_unregistered', "second_source_id <> '' AND NOT second_known", 'second_source_id'),
     ('second_is_itself', "second_known AND second_source_id = source_id", "''"),
     ('second_not_independent', "relation IS NOT NULL",
-     "relation || ' ' || second_source_id || ' ' || shared"),
+     "relation || ' ' || second_source_id || ' ' || shared || ': ' || route"),
 ], 'source_id', 's')}""")
 
 # ---- claims and vocabulary ----------------------------------------------------------------------
@@ -353,7 +359,7 @@ pairs AS (SELECT DISTINCT c.source_id AS sid, c.corroborating_source_id AS other
  WHERE c.source_id <> c.corroborating_source_id),
 {INDEPENDENCE},
 c AS (SELECT 'all' AS project_id, c.*, c.corroborating_source_id AS cor, a.tier, a.status,
- b.tier AS cor_tier, b.status AS cor_status, b.reach AS cor_reach, d.relation, d.shared
+ b.tier AS cor_tier, b.status AS cor_status, b.reach AS cor_reach, d.relation, d.shared, d.route
  FROM fx_claims c LEFT JOIN s a ON a.sid = c.source_id
  LEFT JOIN s b ON b.sid = c.corroborating_source_id
  LEFT JOIN defects d ON d.sid = c.source_id AND d.other = c.corroborating_source_id)
@@ -368,7 +374,7 @@ c AS (SELECT 'all' AS project_id, c.*, c.corroborating_source_id AS cor, a.tier,
     ('corroborator_interested', f"{_pair} AND cor_tier IN ('4', '5')", 'cor'),
     ('corroborator_unreachable', f"{_pair} AND NOT cor_reach", 'cor'),
     ('corroborator_not_independent', f"{_pair} AND relation IS NOT NULL",
-     "relation || ' ' || cor || ' ' || shared"),
+     "relation || ' ' || cor || ' ' || shared || ': ' || route"),
 ], 'claim_id', 'c')}
 UNION ALL SELECT 'all', 'CLAIMS', 'counts', 'note', '', 0, 'claims=' || count(*) || ' material='
  || count(*) FILTER (tier IS NOT NULL AND material_to_conclusion = 'yes') FROM c""")

@@ -30,6 +30,18 @@ def relation(sid, other, parents):
     return None
 
 
+def said(hops):
+    return " derives from ".join(hops)
+
+
+def route(sid, other, kind, shared, parents):
+    def leg(start):
+        hops = chain(start, parents)
+        return said([start, *hops[:hops.index(shared) + 1]])
+
+    return ", and ".join(leg(s) for s, but in ((sid, "derivative"), (other, "origin")) if kind != but)
+
+
 def graph_of(kind, rng):
     if kind == "chain":
         return {f"c{i}": f"c{i + 1}" for i in range(70)}
@@ -58,15 +70,38 @@ def test_closure_loops_and_independence(spark, kind):
         assert [h for h, _ in sorted(walk.get(s, []))] == list(range(1, len(chain(s, parents)) + 1))
     looped = {r.sid for r in derivation.loop_members(graph).collect()}
     assert looped == {s for s, o in parents.items() if o and o != s and s in chain(o, parents)}
+    rounds = {r.sid: r.path for r in derivation.loop_paths(graph).collect()}
+    assert rounds == {s: said([s, *chain(s, parents), s]) for s in looped}
     ids = sorted(parents)
     pairs = [(s, o) for s in ids for o in ids if s != o]
     if len(pairs) > 900:
         pairs = rng.sample(pairs, 900)
     frame = spark.createDataFrame([("p", s, o) for s, o in pairs],
                                   "project_id string, sid string, other string")
-    got = {(r.sid, r.other): (r.relation, r.shared)
-           for r in derivation.independence_defects(frame, graph).collect()}
+    defects = derivation.with_routes(derivation.independence_defects(frame, graph), graph).collect()
+    got = {(r.sid, r.other): (r.relation, r.shared) for r in defects}
     assert got == {k: v for k in pairs if (v := relation(*k, parents))}
+    assert {(r.sid, r.other): r.route for r in defects} == {
+        k: route(*k, *got[k], parents) for k in got}
+
+
+def test_paths_of_a_long_chain_and_a_large_loop(spark):
+    """A chain of 4096 hops and a loop of 700 with a tail; targets that are no origins give no path."""
+    rows = spark.range(4096).selectExpr("'p' AS project_id", "concat('c', id) AS sid", "concat('c', id + 1) AS origin")
+    ring = spark.range(700).selectExpr("'q'", "concat('c', id)", "concat('c', (id * 1 + 1) % 700)").union(
+        spark.createDataFrame([("q", "t0", "c350"), ("q", "t1", "t0")]))
+    graph = derivation.forest(rows.union(ring))
+    wanted = [("p", "c0", "c4096"), ("p", "c7", "c8"), ("p", "c9", "c9"), ("p", "c9", "c4"), ("q", "t1", "c349"),
+              ("q", "c5", "c5"), ("q", "c5", "t0"), ("q", "t1", "t0"), ("q", "t1", "c350")]
+    got = {(r.project_id, r.sid, r.target): r.path for r in derivation.derivation_paths(
+        spark.createDataFrame(wanted, "project_id string, sid string, target string"), graph).collect()}
+    ring_from = lambda a, n: [f"c{(a + i) % 700}" for i in range(n)]
+    assert got == {
+        ("p", "c0", "c4096"): said([f"c{i}" for i in range(4097)]), ("p", "c7", "c8"): said(["c7", "c8"]),
+        ("q", "t1", "c349"): said(["t1", "t0", *ring_from(350, 700)]), ("q", "c5", "c5"): said(ring_from(5, 701)),
+        ("q", "t1", "t0"): said(["t1", "t0"]), ("q", "t1", "c350"): said(["t1", "t0", "c350"])}
+    places = {r.v: r.place for r in graph.loops.collect()}
+    assert places == {f"c{i}": i for i in range(700)} and {r.size for r in graph.loops.collect()} == {700}
 
 
 def test_projects_do_not_mix_and_last_row_counts(spark):
