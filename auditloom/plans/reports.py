@@ -76,7 +76,7 @@ def diff_lines(decisions: DataFrame, runs: DataFrame | None = None) -> DataFrame
                        text(F.col("rationale")).alias("rationale"))
 
 
-def diff_folders(spark: SparkSession, root: str) -> DataFrame:
+def diff_folders(spark: SparkSession, root: str, files: str = "decisions.csv") -> DataFrame:
     """The report, line by line, over one folder per run below ``root``; empty registers count."""
-    runs = list_runs(spark, root, "decisions.csv")
-    return diff_lines(read_decision_runs(spark, root), runs).orderBy("first_seen", "run_ord")
+    runs = list_runs(spark, root, files)
+    return diff_lines(read_decision_runs(spark, root, files), runs).orderBy("first_seen", "run_ord")

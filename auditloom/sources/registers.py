@@ -127,10 +127,13 @@ def register_rows(judged: DataFrame, name: str) -> DataFrame:
     return judged.filter("fits").select("project_id", "row_no", "contract", "through_ord", *fields)
 
 
-def read_register(spark: SparkSession, root: str, name: str,
-                  projects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, header findings) of one register for ``projects`` (contract and through_ord)."""
-    judged = _judged(scan_cells(spark, root, name), projects, name)
+def read_register(spark: SparkSession, root: str, name: str, projects: DataFrame,
+                  files: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, header findings) of one register for ``projects`` (contract and through_ord).
+
+    ``files`` is the pattern of the file names where they are not the register's own.
+    """
+    judged = _judged(scan_cells(spark, root, files or name), projects, name)
     return register_rows(judged, name), header_findings(judged, name)
 
 
@@ -168,12 +171,12 @@ def presence_findings(projects: DataFrame, rows: dict[str, DataFrame], refused:
     return union_all(frames)
 
 
-def read_decision_runs(spark: SparkSession, root: str) -> DataFrame:
+def read_decision_runs(spark: SparkSession, root: str, files: str = "decisions.csv") -> DataFrame:
     """Decision registers of several runs, one folder per run, for the diff: any header fits.
 
     A column the register does not have is null, unlike an empty cell.
     """
-    cells = scan_cells(spark, root, "decisions.csv")
+    cells = scan_cells(spark, root, files)
     return cells.select(F.col("project_id").alias("run_id"), "row_no",
                         *[value_of(c).alias(c) for c in fixed.DECISION_COLUMNS])
 

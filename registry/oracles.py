@@ -773,6 +773,30 @@ add("register_scan", SRC, f""" SELECT {SHELF}, 'source_id,title,publisher,notes'
  title || chr(13) || chr(10) || '"x", y' || chr(13) AS title, publisher, notes FROM fx_sources""")
 add("register_rows_wide", SRC, f""" SELECT {SHELF}, CAST(90 AS INTEGER) AS columns, CAST(90 AS INTEGER) AS cells,
  'v0,' || row_no AS c0, 'v89,' || (row_no + 89) AS c89 FROM fx_sources""")
+add("register_headers", [], """WITH p AS (SELECT DISTINCT CAST(floor(c_custkey / 25) AS BIGINT) AS n FROM customer),
+k AS (SELECT 'c' || n AS project_id, n % 6 AS kind, CAST(floor(n / 6) AS BIGINT) % 2 = 0 AS older FROM p),
+f AS (SELECT project_id, 'header_differs' AS rule, 'error' AS severity,
+  'claim_id,claim_text,source_id,claim_basis,material_to_conclusion,' || CASE WHEN kind = 5 THEN 'uncertainty,' ELSE '' END
+  || 'corroborating_source_id,notes' AS detail FROM k WHERE kind IN (3, 5)
+ UNION ALL SELECT project_id, 'domain_columns', 'note', concat_ws(', ', CASE WHEN older THEN 'corroborating_source_id' END,
+  CASE WHEN kind = 1 THEN 'grid, zone, east' END) FROM k WHERE kind IN (0, 1, 2, 4) AND (older OR kind = 1))
+SELECT project_id, 'MANIFEST' AS arm, rule, severity, 'claims.csv' AS subject_id, 0::BIGINT AS row_no, detail FROM f""")
+add("candidate_register", [], """SELECT CAST(p_partkey AS VARCHAR) AS candidate_id, p_name || ', "as' || chr(10) || 'named"' AS subject,
+ p_brand AS family, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS record,
+ CASE WHEN p_partkey % 2 = 0 THEN ' Yes' ELSE 'no' END AS history_bulk,
+ CASE WHEN p_partkey % 3 = 0 THEN 'YES' ELSE '' END AS archive_fallback, CAST(p_size AS VARCHAR) AS byte_count,
+ '-' AS publication_status, (p_partkey % 2 = 0 OR p_partkey % 3 = 0) AND p_partkey % 5 <> 0 AS admitted FROM part""")
+add("catalogue_rules", [], """WITH v(contract, stops, full_list) AS (VALUES ('v0.1', false, false), ('v0.2', true, true), ('v0.3', true, true)),
+c AS (SELECT c_custkey AS k, v.*, k % 19 = 0 AND k % 4 <> 0 AS bare FROM customer, v),
+f AS (SELECT 'catalogue_type' AS rule, '' AS subject_id, '' AS detail FROM customer WHERE c_custkey % 7 = 0
+ UNION ALL SELECT 'catalogue_default', '', '' FROM customer WHERE c_custkey % 5 = 0
+ UNION ALL SELECT 'contract_required', contract, '' FROM c WHERE full_list AND k % 3 = 0
+ UNION ALL SELECT 'contract_stages', contract, '' FROM c WHERE stops AND k % 13 = 0
+ UNION ALL SELECT 'contract_root', contract, '' FROM c WHERE contract = 'v0.3' AND k % 17 = 0
+ UNION ALL SELECT 'hashes_missing', contract, 'gate.bin' FROM c WHERE bare
+ UNION ALL SELECT 'hash_form', contract, 'gate.bin' FROM c WHERE k % 4 = 0
+ UNION ALL SELECT 'released_bytes_unrecognised', contract, 'gate.bin' FROM c WHERE NOT bare AND k % 2 = 1)
+SELECT 'MANIFEST' AS arm, rule, 'error' AS severity, subject_id, detail, count(*) AS n FROM f GROUP BY ALL""")
 add("held_files", [], """SELECT source || '-' || CAST(floor(doc_id / 400) AS BIGINT) AS project_id,
  sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS file_sha256 FROM documents GROUP BY ALL""")
 add("source_specs", [], """WITH s AS (SELECT url || ':' || CASE WHEN page_id % 3 = 0 THEN 'x'
@@ -855,6 +879,8 @@ SELECT decision_id, CASE WHEN low = high THEN 'CONSENSUS' ELSE 'DIVERGENCE' END
  coalesce(decided_by, 'unspecified') AS decided_by, coalesce(chosen, '[empty]') AS chosen,
  coalesce(alternatives, '') AS alternatives, coalesce(rationale, '') AS rationale FROM s WHERE high <> ''""")
 
+SQL["diff_run_folders"] = SQL["diff_lines"].replace("project_id || '/' || run_id", "project_id || '-' || run_id")
+
 # ---- rules about whole registers, candidates and runs -------------------------------------------
 
 _early = """SELECT project_id, '{arm}' AS arm, 'filled_too_early' AS rule, 'error' AS severity, '' AS subject_id, 0::BIGINT AS row_no,
@@ -874,3 +900,10 @@ add("runner_measures", [], """SELECT user_id AS run_id, count(*) FILTER (event_t
  count(*) FILTER (event_type = 'purchase') AS corrections,
  count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) AS unresolved_anchors FROM events GROUP BY user_id""")
 add("findings_landed", DEC + SRC, f" SELECT * FROM ({SQL['decision_findings_v03']}) UNION ALL {EARLY}")
+_arms = "\nUNION ALL ".join(f"SELECT project_id, severity FROM ({SQL[name]})" for name in (
+    "contract_resolution_findings", "decision_findings_v03", "source_findings_v03", "source_derivation_findings",
+    "claim_findings_v03", "vocabulary_findings", "feasibility_findings", "review_record_findings", "approval_findings",
+    "draft_findings"))
+add("gate_verdict", [], f"""SELECT project_id, count(*) FILTER (severity = 'error') AS errors,
+ count(*) FILTER (severity = 'note') AS notes, count(*) FILTER (severity = 'error') = 0 AS passed
+FROM ({_arms}) GROUP BY project_id""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -30,9 +31,15 @@ from auditloom.operators import sources as src
 from auditloom.operators import vocabulary as voc
 from auditloom.plans import audit, reports
 from auditloom.session import configure, shared_dir
+from auditloom.sources import catalogue as cat
 from auditloom.sources import custody, registers, texts
 from registry.views import view
 
+# One query for each arm of the gate, in the gate's order; sources have two.
+GATE_ARMS = ["contract_resolution_findings", "decision_findings_v03", "source_findings_v03", "source_derivation_findings",
+             "claim_findings_v03", "vocabulary_findings", "feasibility_findings", "review_record_findings",
+             "approval_findings", "draft_findings"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -762,11 +769,15 @@ def _project() -> Column:
     return F.regexp_replace("project_id", "^project_id=", "").alias("project_id")
 
 
+CSV_FORM = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False,
+            "ignoreTrailingWhiteSpace": False}
+
+
 def _as_csv(spark, rows: DataFrame) -> str:
     """Write rows as one CSV file per project in the order of ``row_no``, which is not written."""
     root = f"{shared_dir(spark)}/registers-{uuid.uuid4().hex}"
     (rows.repartition("project_id").sortWithinPartitions("project_id", "row_no").drop("row_no")
-     .write.partitionBy("project_id").options(header=True, escape='"', emptyValue="").csv(root))
+     .write.partitionBy("project_id").options(**CSV_FORM).csv(root))
     return root
 
 
@@ -781,6 +792,89 @@ def register_rows_wide(spark, sf_dir):
                         registers.value_of("c0").alias("c0"), registers.value_of("c89").alias("c89"))
 
 
+@query
+def register_headers(spark, sf_dir):
+    """Claim registers of customers with exact, wider, turned, shorter and doubled headers and long rows."""
+    base = fixed.REGISTER_HEADERS["claims.csv", "v0.3"]
+    number = F.floor(F.col("c_custkey") / 25)
+    headers = [base, [*base, "grid", '"zone, east"'], base[::-1], [c for c in base if c != "uncertainty"],
+               [*base, "notes"], base]
+    header = F.element_at(F.array(*[F.lit(",".join(h)) for h in headers]), (F.col("n") % 6 + 1).cast("int"))
+    line = F.concat(F.col("c_custkey"), F.when(F.col("n") % 6 == 5, F.repeat(F.lit(",x"), F.lit(len(base))))
+                    .otherwise(F.concat(F.lit(","), "c_name")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda r: r["line"])
+    customers = view(spark, sf_dir, "customer").select("c_custkey", "c_name", number.alias("n"))
+    root = f"{shared_dir(spark)}/registers-{uuid.uuid4().hex}"
+    (customers.groupBy("n").agg(lines.alias("lines"))
+     .select(F.concat(F.lit("c"), "n").alias("project_id"), F.concat_ws("\n", header, "lines").alias("value"))
+     .write.partitionBy("project_id").text(root))
+    projects = customers.select(
+        F.concat(F.lit("project_id=c"), "n").alias("project_id"), F.lit(5).alias("through_ord"),
+        F.when(F.floor(F.col("n") / 6) % 2 == 0, "v0.2").otherwise("v0.3").alias("contract")).distinct()
+    _, found = registers.read_register(spark, root, "claims.csv", projects, "part-*.txt")
+    return _flat(found.withColumn("project_id", _project()))
+
+
+@query
+def diff_run_folders(spark, sf_dir):
+    """Every run of every project written as a register in a folder of its own, and compared line by line."""
+    rows = _decisions(spark, sf_dir).select(F.concat_ws("-", "project_id", "run_id").alias("project_id"), "row_no",
+                                            *fixed.DECISION_COLUMNS)
+    return reports.diff_folders(spark, _as_csv(spark, rows), "part-*.csv").select(
+        "decision_id", "status", F.regexp_replace("run_id", "^project_id=", "").alias("run_id"), "decided_by", "chosen",
+        "alternatives", "rationale")
+
+
+@query
+def candidate_register(spark, sf_dir):
+    """Parts written as the candidate register, with quotes and line breaks in cells, read and admitted."""
+    part, path = F.col("p_partkey"), f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
+    told = {"candidate_id": part, "subject": F.concat("p_name", F.lit(', "as\nnamed"')), "family": F.col("p_brand"),
+            "record": F.when(part % 4 != 0, F.col("p_type")), "history_bulk": F.when(part % 2 == 0, " Yes").otherwise("no"),
+            "archive_fallback": F.when(part % 3 == 0, "YES").otherwise(""), "byte_count": F.col("p_size"),
+            "structured_bytes": F.when(part % 5 == 0, "unknown").otherwise("yes")}
+    rows = view(spark, sf_dir, "part").select(
+        *[told.get(c, F.lit("-")).cast("string").alias(c) for c in fixed.CANDIDATE_COLUMNS])
+    rows.write.options(**CSV_FORM).csv(path)
+    read = registers.read_candidates(spark, path)
+    let_in = prg.admitted(read).select("candidate_id", F.lit(True).alias("admitted"))
+    return read.join(let_in, "candidate_id", "left").select(
+        "candidate_id", "subject", "family", "record", "history_bulk", "archive_fallback", "byte_count",
+        "publication_status", F.coalesce("admitted", F.lit(False)).alias("admitted"))
+
+
+def _catalogue_text() -> str:
+    """A clean release catalogue; its hash lists name GOOD, which every customer's copy replaces."""
+    contracts = {}
+    for name in fixed.CONTRACTS:
+        changed, stages = fixed.CONTRACT_EXCEPTIONS.get(name, {}), {}
+        for stage, did, question in fixed.REQUIRED_DECISIONS:
+            if changed.get(did, question) is not None:
+                stages.setdefault(stage, {})[did] = changed.get(did, question)
+        contracts[name] = {fixed.CONTRACT_VERSION_FIELDS[name]: fixed.CONTRACT_VERSIONS[name], "instrument_root": "at/" + name,
+                           "required_decisions": sum(map(len, stages.values())), "stages": stages, "hashes": {"gate.bin": ["GOOD"]}}
+    return json.dumps({"manifest_type": fixed.CATALOGUE_TYPE, "schema_version": fixed.CATALOGUE_SCHEMA_VERSION,
+                       "default_contract": fixed.DEFAULT_CONTRACT, "contracts": contracts})
+
+
+@query
+def catalogue_rules(spark, sf_dir):
+    """A release catalogue for every customer, each with its own faults, and how often each rule fired."""
+    key, released = F.col("c_custkey"), "ab" * 32
+    value = F.lit(_catalogue_text())
+    for every, old, new in ((7, fixed.CATALOGUE_TYPE, "other"), (5, '"default_contract": "v0.2"', '"default_contract": "v9"'),
+                            (3, '"required_decisions": 27', '"required_decisions": 28'), (13, "stop criterion", "stop"),
+                            (4, "GOOD", "GOODE"), (17, "at/v0.3", "at/v0.1"), (19, '["GOOD"]', "[]")):
+        value = F.when(key % every == 0, F.replace(value, F.lit(old), F.lit(new))).otherwise(value)
+    value = F.replace(value, F.lit("GOOD"), F.when(key % 2 == 0, F.lit(released)).otherwise(F.sha2("c_name", 256)))
+    rows = view(spark, sf_dir, "customer").select(value.alias("value"))
+    each = [(c, "gate.bin", released, "at/" + c) for c in fixed.CONTRACTS]
+    known = spark.createDataFrame(each, "contract string, file string, file_sha256 string, root string")
+    found = cat.catalogue_findings(rows, known.select("contract", "file", F.lit("gate").alias("key")),
+                                   known.select("contract", "root"), known.select("contract", "file", "file_sha256"))
+    return _flat(found).groupBy("arm", "rule", "severity", "subject_id", "detail").agg(F.count("*").alias("n"))
+
+
 @query
 def held_files(spark, sf_dir):
     """The documents written as text files, more with more documents, and hashed by the held-file scan."""
@@ -965,3 +1059,10 @@ def findings_landed(spark, sf_dir):
         src.premature_rows(_staged(view(spark, sf_dir, "fx_sources")), "SOURCES", "data"))
     fnd.write_findings(found, path)
     return _flat(spark.read.parquet(path))
+
+
+@query
+def gate_verdict(spark, sf_dir):
+    """Errors and notes per project over all arms together, each over its own registers."""
+    found = fnd.union_all([QUERIES[name](spark, sf_dir).select("project_id", "severity") for name in GATE_ARMS])
+    return fnd.verdict(found, found)
