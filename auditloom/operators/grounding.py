@@ -55,12 +55,14 @@ def low_trust_numbers(grounding: DataFrame) -> DataFrame:
 def contradictions(sentences: DataFrame) -> DataFrame:
     """(draft_id, entity, nums): names that stand beside two or more different figures.
 
-    A sentence contributes its figures once per name as one array, not as name-figure pairs.
+    Name and figure pairs are made distinct where they are and again by pair, so a name in very many
+    sentences is spread over its figures and only its different figures are ever listed.
     """
     named = sentences.filter(F.size("figures") > 0).select(
         "draft_id", F.explode(F.array_distinct("names")).alias("entity"), "figures")
-    nums = F.array_sort(F.array_distinct(F.flatten(F.collect_set("figures"))))
-    return named.groupBy("draft_id", "entity").agg(nums.alias("nums")).filter(F.size("nums") > 1)
+    pairs = named.select("draft_id", "entity", F.explode(F.array_distinct("figures")).alias("num")).distinct()
+    return pairs.groupBy("draft_id", "entity").agg(
+        F.array_sort(F.collect_list("num")).alias("nums")).filter(F.size("nums") > 1)
 
 
 def folded_evidence(evidence: DataFrame) -> DataFrame:

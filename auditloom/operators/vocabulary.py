@@ -13,32 +13,33 @@ ARM = "VOCAB"
 KEYS = ["project_id", "row_no", "contract", "through_ord", "named", "extra"]
 
 
-def _fields(rows: DataFrame) -> Column:
-    """All fields of a row as (column, value), those its file does not have left out."""
-    columns = [c for c in rows.columns if c not in KEYS]
-    fields = F.array(*[F.struct(F.lit(c).alias("column"), text(F.col(c)).alias("value")) for c in columns])
+def _cell(rows: DataFrame, name: Column) -> Column:
+    """The cell of the column called ``name``; null where the row's file has no such column."""
+    cell = F.lit(None).cast("string")
+    for column in rows.columns:
+        if column not in KEYS:
+            cell = F.when(name == column, text(F.col(column))).otherwise(cell)
     if "named" in rows.columns:
-        fields = F.filter(fields, lambda f: F.array_contains("named", f["column"]))
+        cell = F.when(F.array_contains("named", name), cell)
     if "extra" in rows.columns:
-        more = F.transform(F.map_entries("extra"), lambda e: F.struct(
-            e["key"].alias("column"), text(e["value"]).alias("value")))
-        fields = F.concat(fields, F.coalesce(more, F.array().cast("array<struct<column:string,value:string>>")))
-    return fields
+        cell = F.coalesce(cell, F.when(F.map_contains_key("extra", name), text(F.try_element_at("extra", name))))
+    return cell
 
 
 def melted(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:
     """(project_id, register, row_no, column, value) for every field its project controls.
 
-    A row meets the list of its project's controlled columns, at most as many as it has columns,
-    and is cut to them before its fields become rows, so free text is never melted.
+    A row meets the list of its project's controlled columns and reads these cells alone; other cells
+    are never copied into a list.
     """
     lists = declared(vocabulary).groupBy("project_id").agg(F.collect_set("column").alias("controlled"))
     frames = []
     for name, rows in registers.items():
-        met = rows.join(lists, "project_id")
-        wanted = F.filter(_fields(rows), lambda f: F.array_contains("controlled", f["column"]))
-        frames.append(met.select("project_id", F.lit(name).alias("register"), "row_no", F.explode(wanted).alias("f"))
-                      .select("project_id", "register", "row_no", "f.column", strip(F.col("f.value")).alias("value")))
+        wanted = F.transform("controlled", lambda c: F.struct(c.alias("column"), _cell(rows, c).alias("value")))
+        met = rows.join(lists, "project_id").select(
+            "project_id", F.lit(name).alias("register"), "row_no", F.explode(wanted).alias("f"))
+        frames.append(met.filter("f.value IS NOT NULL").select(
+            "project_id", "register", "row_no", "f.column", strip(F.col("f.value")).alias("value")))
     return union_all(frames)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.operators import attribution, grounding
+from auditloom.operators.findings import union_all
 from auditloom.session import written
 
 
@@ -62,40 +63,56 @@ def hard_flags(sections: Sections) -> DataFrame:
 
 
 def audit_verdict(drafts: DataFrame, flags: DataFrame) -> DataFrame:
-    """(draft_id, hard_flags, clean) for every draft, flagged or not."""
-    counts = flags.groupBy("draft_id").agg(F.count("*").alias("n"))
-    total = F.coalesce("n", F.lit(0).cast("bigint"))
-    return drafts.select("draft_id").join(counts, "draft_id", "left").select(
-        "draft_id", total.alias("hard_flags"), (total == 0).alias("clean"))
+    """(draft_id, hard_flags, clean) for every draft id, flagged or not; drafts count as no flag."""
+    tagged = drafts.select("draft_id", F.lit(0).alias("flag")).unionByName(
+        flags.select("draft_id", F.lit(1).alias("flag")))
+    total = F.sum("flag")
+    return tagged.groupBy("draft_id").agg(total.alias("hard_flags"), (total == 0).alias("clean"))
+
+
+def _tagged(rows: DataFrame, section: str, text: str | None = None, more: str | None = None,
+            number: str | None = None, listed: str | None = None) -> DataFrame:
+    """The rows of one section in the form all sections share."""
+    def named(column, kind, name):
+        return (F.lit(None) if column is None else F.col(column)).cast(kind).alias(name)
+
+    return rows.select("draft_id", F.lit(section).alias("section"), named(text, "string", "text"),
+                       named(more, "string", "more"), named(number, "int", "number"),
+                       named(listed, "array<string>", "listed"))
 
 
 def audit_report(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row per draft: the six sections as arrays in report order, and the verdict.
+    """One row per draft id: the six sections as arrays in report order, and the verdict.
 
-    A section's array is bounded by the draft's own text, whatever the number of its sources.
+    A section's array is bounded by the draft's own text, whatever the number of its sources. The
+    sections and the drafts are one tagged table, grouped by draft once.
     """
     s = audit_sections(drafts, evidence)
-
-    def listed(rows: DataFrame, name: str, items) -> DataFrame:
-        return rows.groupBy("draft_id").agg(items.alias(name))
-
-    in_order = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
-    parts = [
-        listed(s.ungrounded, "numbers_missing", grounding.by_length(F.collect_list("num"))),
-        listed(s.missing, "entities_missing", F.array_sort(F.collect_list("entity"))),
-        listed(s.contradictions, "contradictions", in_order("entity", "nums")),
-        listed(s.low_trust, "low_trust", in_order((-F.length("num")).alias("k"), "num",
-                                                  "best_tier")),
-        listed(s.attributions, "attributions", in_order("key", "subject", "status")),
-        listed(s.triage, "triage", in_order("sent_no", F.substring(
-            "sentence", 1, fixed.PREVIEW_SENTENCE_CHARS).alias("sentence"), "reasons")),
-    ]
-    report = drafts.select("draft_id")
-    for part in parts:
-        report = report.join(part, "draft_id", "left")
-    for part in parts:
-        name = part.columns[-1]
-        report = report.withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    preview = s.triage.withColumn("preview", F.substring("sentence", 1, fixed.PREVIEW_SENTENCE_CHARS))
+    rows = union_all([
+        _tagged(drafts, "draft"),
+        _tagged(s.ungrounded, "number", "num"),
+        _tagged(s.missing, "entity", "entity"),
+        _tagged(s.contradictions, "contradiction", "entity", listed="nums"),
+        _tagged(s.low_trust, "low_trust", "num", number="best_tier"),
+        _tagged(s.attributions.withColumn("keys", F.array(F.col("key").cast("string"))), "attribution", "subject", "status",
+                listed="keys"),
+        _tagged(preview, "triage", "preview", number="sent_no", listed="reasons")])
+
+    def of(section: str, *item):
+        return F.collect_list(F.when(F.col("section") == section, F.struct(*item) if len(item) > 1 else item[0]))
+
+    text, number, listed = F.col("text"), F.col("number"), F.col("listed")
+    report = rows.groupBy("draft_id").agg(
+        grounding.by_length(of("number", text)).alias("numbers_missing"),
+        F.array_sort(of("entity", text)).alias("entities_missing"),
+        F.array_sort(of("contradiction", text.alias("entity"), listed.alias("nums"))).alias("contradictions"),
+        F.array_sort(of("low_trust", (-F.length("text")).alias("k"), text.alias("num"),
+                        number.alias("best_tier"))).alias("low_trust"),
+        F.array_sort(of("attribution", F.get("listed", F.lit(0)).alias("key"), text.alias("subject"),
+                        F.col("more").alias("status"))).alias("attributions"),
+        F.array_sort(of("triage", number.alias("sent_no"), text.alias("sentence"),
+                        listed.alias("reasons"))).alias("triage"))
     hard = F.filter("attributions", lambda a: a["status"] != "PRESENT")
     total = (F.size("numbers_missing") + F.size("entities_missing") + F.size("contradictions")
              + F.size("low_trust") + F.size(hard))
