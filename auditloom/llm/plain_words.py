@@ -1,6 +1,6 @@
-"""Plain words of English prose by frequency (the texts of Python's manual), which make a value cheap to guess."""
+"""Words of the texts of Python's manual by frequency there: English prose with many words of programming."""
 
-PLAIN = """remember ing tion ment ness class object value type function method name statement exception self used other list
+PLAIN = """class object value type function method name statement exception self used other list
 attribute instance module will expression when string which return also only defined same code version should objects
 sequence except argument arguments values built must dictionary using types following clause pattern called suite
 methods number tuple they such first then parameter within given namespace names block case than call identifier does

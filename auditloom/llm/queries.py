@@ -32,7 +32,8 @@ def _joined(spans: Column) -> Column:
 def op2_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text_batches(spark)
-    rows = docs.select("doc_id", secrets_scan.secret_spans(F.col("text")).alias("found"))
+    triples = secrets_scan.learnt_triples(docs)
+    rows = docs.select("doc_id", secrets_scan.secret_spans(F.col("text"), triples=triples).alias("found"))
     spans = F.col("found")
 
     def count(kind: str) -> Column:

@@ -29,13 +29,14 @@ def test_base_spans_equal_plain(text):
 def every_cut(cost: GuessCost, value: str) -> float:
     """The least cost by trying all segmentations."""
     found = [*cost._words(value), *cost._walks(value), *cost._dates(value)]
-    found += [(m.start(), m.end(), cost.cost(m[1], True) + __import__("math").log10((m.end() - m.start()) / len(m[1])))
+    found += [(m.start(), m.end(), cost.cost(m[1], inner=True) + __import__("math").log10((m.end() - m.start()) / len(m[1])))
               for m in secrets_scan.REPEAT.finditer(value)]
 
     def best(at: int) -> float:
         if at == len(value):
             return 0.0
-        return min([1 + best(at + 1), *(c + best(e) for s, e, c in found if s == at)])
+        each = secrets_scan.LETTER if value[at].isalpha() else secrets_scan.OTHER
+        return min([each + best(at + 1), *(c + best(e) for s, e, c in found if s == at)])
 
     return best(0)
 
