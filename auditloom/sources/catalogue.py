@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom import fixed
-from auditloom.functions.text import sha256_form
+from auditloom.functions.text import let, sha256_form
 from auditloom.operators.findings import Rule, apply_rules, union_all
 from auditloom.operators.registers import contract_decisions
 from auditloom.sources import records as rec
@@ -19,32 +19,38 @@ ARM = "MANIFEST"
 
 
 def _contract_parts(catalogue: DataFrame) -> DataFrame:
-    """One row per known contract with its part of the catalogue (absent where not listed)."""
-    contracts = rec.entries(rec.part(rec.record(F.col("value")), "contracts"))
-    names = F.explode(F.array(*[F.lit(c) for c in fixed.CONTRACTS]))
-    return (catalogue.select(contracts.alias("listed"), names.alias("contract"))
-            .filter("listed IS NOT NULL")
-            .select("contract", F.try_element_at("listed", F.col("contract")).alias("part")))
+    """One row per known contract with its part of the catalogue (absent where not listed).
+
+    The contracts are read once and taken apart inside the generator: a filter on them would be
+    pushed below it and parse every catalogue again.
+    """
+    def parts(listed: Column) -> Column:
+        return F.when(listed.isNotNull(), F.array(*[
+            F.struct(F.lit(c).alias("contract"), F.try_element_at(listed, F.lit(c)).alias("part"))
+            for c in fixed.CONTRACTS]))
+
+    listed = rec.entries(rec.record(F.col("value")), "contracts")
+    return catalogue.select(F.explode(let(listed, parts)).alias("c")).select("c.contract", "c.part")
 
 
 def expected_stages(spark) -> DataFrame:
     """Per contract the sorted (stage, id, question) list, and how many decisions it requires."""
     return contract_decisions(spark).groupBy("contract").agg(
-        F.array_sort(F.collect_list(F.struct("stage", F.col("decision_id").alias("id"), "question")))
+        F.sort_array(F.collect_list(F.struct("stage", F.col("decision_id").alias("id"), "question")))
         .alias("stages"), F.count("*").alias("required"))
 
 
 def _stages(part: Column) -> Column:
-    mapped = F.try_variant_get(rec.part(part, "stages"), "$", "map<string,map<string,string>>")
+    mapped = F.try_variant_get(part, "$.stages", "map<string,map<string,string>>")
     lists = F.transform(F.map_entries(mapped), lambda s: F.transform(
         F.map_entries(s["value"]), lambda d: F.struct(
             s["key"].alias("stage"), d["key"].alias("id"), d["value"].alias("question"))))
-    return F.array_sort(F.flatten(lists))
+    return F.sort_array(F.flatten(lists))
 
 
 def recognised_hashes(catalogue: DataFrame) -> DataFrame:
     """(contract, file, sha256): the exploded allow-lists."""
-    lists = rec.entries(rec.part(F.col("part"), "hashes"))
+    lists = rec.entries(F.col("part"), "hashes")
     files = _contract_parts(catalogue).select("contract", F.explode(lists).alias("file", "hashes"))
     return files.select("contract", "file", F.explode(rec.strings(F.col("hashes"))).alias("sha256"))
 
@@ -55,11 +61,11 @@ def catalogue_findings(catalogue: DataFrame, instruments: DataFrame, roots: Data
 
     ``observed`` (contract, file, file_sha256) adds the check of the released bytes.
     """
-    rows = catalogue.select(F.lit("").alias("project_id"), "value",
-                            rec.state(F.col("value")).alias("state"),
-                            rec.record(F.col("value")).alias("v"))
+    rows = catalogue.select(F.lit("").alias("project_id"), "value", rec.record(F.col("value")).alias("v"))
+    rows = rows.withColumn("state", rec.state(F.col("value"), F.col("v")))
     v, ok = F.col("v"), F.col("state") == "ok"
-    names = F.map_keys(rec.entries(rec.part(v, "contracts")))
+    rows = rows.withColumn("names", F.map_keys(rec.entries(v, "contracts")))
+    names = F.col("names")
     known = F.array(*[F.lit(c) for c in fixed.CONTRACTS])
     root_rules = apply_rules(rows, ARM, [
         Rule("catalogue_unreadable", ~ok, F.col("state")),
@@ -90,11 +96,12 @@ def catalogue_findings(catalogue: DataFrame, instruments: DataFrame, roots: Data
              .eqNullSafe(F.col("root"))),
         Rule("contract_required", listed & ~count.eqNullSafe(F.col("required"))),
         Rule("contract_stages", listed & ~_stages(part).eqNullSafe(F.col("stages"))),
-        Rule("contract_hashes", listed & rec.entries(rec.part(part, "hashes")).isNull()),
+        Rule("contract_hashes", listed & rec.entries(part, "hashes").isNull()),
     ], F.col("contract"))
-    lists = rec.entries(rec.part(part, "hashes"))
-    files = (parts.filter(listed & lists.isNotNull()).join(instruments, "contract")
-             .withColumn("allowed", F.try_element_at(lists, F.col("file"))))
+    lists = rec.entries(part, "hashes")
+    files = (parts.select("project_id", "contract", lists.alias("lists")).filter("lists IS NOT NULL")
+             .join(instruments, "contract")
+             .withColumn("allowed", F.try_element_at("lists", F.col("file"))).drop("lists"))
     if observed is None:
         files = files.withColumn("file_sha256", F.lit(None).cast("string"))
     else:

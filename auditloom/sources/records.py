@@ -12,11 +12,11 @@ def record(value: Column) -> Column:
     return F.try_parse_json(value)
 
 
-def state(value: Column) -> Column:
-    """'missing', 'malformed', 'not_object' or 'ok'."""
-    parsed = record(value)
+def state(value: Column, parsed: Column | None = None) -> Column:
+    """'missing', 'malformed', 'not_object' or 'ok'; ``parsed`` is the record, where it is at hand."""
+    parsed = record(value) if parsed is None else parsed
     return (F.when(value.isNull(), "missing").when(parsed.isNull(), "malformed")
-            .when(~kind(parsed).startswith("OBJECT"), "not_object").otherwise("ok"))
+            .when(~is_object(parsed), "not_object").otherwise("ok"))
 
 
 def kind(variant: Column) -> Column:
@@ -38,16 +38,20 @@ def string_part(variant: Column, key: str) -> Column:
 
 
 def is_object(variant: Column) -> Column:
-    return kind(variant).startswith("OBJECT")
+    """Whether the variant is an object; what it holds is not looked at, unlike in its type name."""
+    return F.try_variant_get(variant, "$", "struct<>").isNotNull()
 
 
 def is_list(variant: Column) -> Column:
     return kind(variant).startswith("ARRAY")
 
 
-def entries(variant: Column) -> Column:
-    """map<string, variant> of an object; null for every other type."""
-    return F.when(is_object(variant), F.try_variant_get(variant, "$", "map<string,variant>"))
+def entries(variant: Column, key: str | None = None) -> Column:
+    """map<string, variant> of an object, or of the part called ``key``; null for every other type.
+
+    A part is read straight into the map: as a variant of its own it would be built anew first.
+    """
+    return F.try_variant_get(variant, "$" if key is None else f"$.{key}", "map<string,variant>")
 
 
 def items(variant: Column) -> Column:

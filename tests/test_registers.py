@@ -249,3 +249,29 @@ def test_drafts_of_any_name_but_a_leading_underscore(spark, tmp_path):
         put(str(tmp_path), path, path.encode() + b" \xff")
     got = {(r.project_id, r.name): r.text for r in scan_drafts(spark, str(tmp_path)).collect()}
     assert got == {tuple(p.split("/")): f"{p} \ufffd" for p in ("p/a.md", "p/.x.md", "_q/b.md", ".r/.c.md")}
+
+
+def test_object_state_reads_no_deeper_than_the_top(spark):
+    """Every JSON kind, and a record that nests objects; types are not worked out to the last leaf."""
+    rows = {"{}": "ok", '{"a": {"b": [1, {"c": null}]}}': "ok", "null": "not_object", "[{}]": "not_object",
+            '"{}"': "not_object", "3": "not_object", "{bad": "malformed", None: "missing"}
+    frame = spark.createDataFrame([(k,) for k in rows], "value string")
+    state = rec.state(F.col("value"))
+    got = {r.value: (r.s, r.e) for r in frame.select("value", state.alias("s"), rec.entries(rec.record(F.col("value"))).isNotNull().alias("e")).collect()}
+    assert got == {k: (v, v == "ok") for k, v in rows.items()}
+    assert "schema_of_variant" not in frame.select(state)._jdf.queryExecution().analyzed().toString()
+
+
+def test_contracts_of_a_catalogue_are_parsed_once(spark):
+    frame = spark.createDataFrame([('{"contracts": {"v0.1": {"hashes": {}}}}',), ('{"contracts": []}',), ("{bad",), (None,)], "value string")
+    parts = cat._contract_parts(frame)
+    assert sorted((r.contract, r.p) for r in parts.selectExpr("contract", "part IS NOT NULL AS p").collect()) == [
+        ("v0.1", True), ("v0.2", False), ("v0.3", False)]
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+
+
+def test_catalogues_of_a_query_are_dealt_out(spark):
+    from registry.queries import QUERIES
+    plan = QUERIES["catalogue_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "Repartition" in plan.optimizedPlan().toString()
+    assert len(plan.analyzed().toString()) < 200_000  # every fault once held its predecessor twice
