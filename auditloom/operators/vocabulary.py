@@ -11,6 +11,7 @@ from auditloom.operators.registers import projects_of
 
 ARM = "VOCAB"
 KEYS = ["project_id", "row_no", "contract", "through_ord", "named", "extra"]
+SHARES = 256  # into which the rows of a project are dealt: one project may hold them all
 
 
 def _cell(rows: DataFrame, name: Column) -> Column:
@@ -26,20 +27,31 @@ def _cell(rows: DataFrame, name: Column) -> Column:
     return cell
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Add ``share``, told by the whole row, so that no project and no frequent value is one task's."""
+    plain = [F.to_json("extra") if c == "extra" else F.col(c) for c in rows.columns]
+    return rows.withColumn("share", F.pmod(F.xxhash64(*plain), F.lit(SHARES)).cast("int"))
+
+
+def _in_every_share(declarations: DataFrame) -> DataFrame:
+    """Declarations, small beside the rows they are met by, once for each share."""
+    return declarations.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+
+
 def melted(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:
-    """(project_id, register, row_no, column, value) for every field its project controls.
+    """(project_id, register, row_no, column, value, share) for every field its project controls.
 
     A row meets the list of its project's controlled columns and reads these cells alone; other cells
     are never copied into a list.
     """
-    lists = declared(vocabulary).groupBy("project_id").agg(F.collect_set("column").alias("controlled"))
+    lists = _in_every_share(declared(vocabulary).groupBy("project_id").agg(F.collect_set("column").alias("controlled")))
     frames = []
     for name, rows in registers.items():
         wanted = F.transform("controlled", lambda c: F.struct(c.alias("column"), _cell(rows, c).alias("value")))
-        met = rows.join(lists, "project_id").select(
-            "project_id", F.lit(name).alias("register"), "row_no", F.explode(wanted).alias("f"))
+        met = _dealt(rows).join(lists, ["project_id", "share"]).select(
+            "project_id", F.lit(name).alias("register"), "row_no", "share", F.explode(wanted).alias("f"))
         frames.append(met.filter("f.value IS NOT NULL").select(
-            "project_id", "register", "row_no", "f.column", strip(F.col("f.value")).alias("value")))
+            "project_id", "register", "row_no", "f.column", strip(F.col("f.value")).alias("value"), "share"))
     return union_all(frames)
 
 
@@ -51,8 +63,8 @@ def declared(vocabulary: DataFrame) -> DataFrame:
 
 def undeclared_values(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:
     """Register fields in a controlled column whose value the project does not declare."""
-    allowed = declared(vocabulary)
-    return melted(vocabulary, registers).join(allowed, ["project_id", "column", "value"], "left_anti")
+    allowed = _in_every_share(declared(vocabulary))
+    return melted(vocabulary, registers).join(allowed, ["project_id", "column", "value", "share"], "left_anti").drop("share")
 
 
 def checked_counts(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:

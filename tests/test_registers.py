@@ -275,3 +275,21 @@ def test_catalogues_of_a_query_are_dealt_out(spark):
     plan = QUERIES["catalogue_rules"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
     assert "Repartition" in plan.optimizedPlan().toString()
     assert len(plan.analyzed().toString()) < 200_000  # every fault once held its predecessor twice
+
+
+def test_rows_of_one_project_and_one_value_are_dealt_out(spark):
+    """One project, one value: its rows meet their vocabulary in many shares, each row in one, none lost."""
+    from auditloom.operators import vocabulary as voc
+    rows = spark.range(2000).select(
+        F.lit("all").alias("project_id"), F.col("id").alias("row_no"), F.lit("odd").alias("claim_basis"), F.lit("v0.3").alias("contract"),
+        F.lit(5).alias("through_ord"), F.array(F.lit("claim_basis"), F.lit("stance")).alias("named"),
+        F.create_map(F.lit("stance"), F.lit("for")).alias("extra"))
+    vocabulary = spark.createDataFrame([("all", "claim_basis", "reported"), ("all", "stance", "for")], "project_id string, column string, value string")
+    cells = voc.melted(vocabulary, {"claims.csv": rows})
+    per_share = [r["count"] for r in cells.groupBy("project_id", "column", "value", "share").count().collect()]
+    assert sum(per_share) == 4000 and max(per_share) < 50
+    found = voc.undeclared_values(vocabulary, {"claims.csv": rows})
+    assert found.columns == ["project_id", "column", "value", "register", "row_no"]
+    assert sorted(r.row_no for r in found.where("column = 'claim_basis'").collect()) == list(range(2000))
+    assert found.where("column = 'stance'").count() == 0
+    assert [(r.checked, r.columns) for r in voc.checked_counts(vocabulary, {"claims.csv": rows}).collect()] == [(4000, "claim_basis, stance")]
