@@ -8,6 +8,11 @@ Candidates come from two searches, neither of which forms all pairs of a group:
   that share one leader. Inside a block all signatures are compared with numpy, and only a spanning forest of the
   pairs that look similar leaves it, the most similar first. So a tree gives fewer pairs than it has texts.
 
+That leaves out pairs of a large group, so a last pass compares them: texts that meet in a tree and lie in different
+components by then are laid out in tiles, and all tiles of a group are compared with each other, the whole sets of
+pairs from two components included (``missed_links``). So every pair that meets in a tree is either connected
+or compared. The work of this pass is quadratic in the components of a group only; a tile is bounded in texts and bytes.
+
 A pair is a link if the whole sets reach the similarity, in exact whole numbers. Links are never wrong; a pair
 at the similarity may be missed if it meets in no tree: ``recall`` gives the chance of one tree's first
 min-hashes, and the tests and the README the share of linked texts that is found.
@@ -40,6 +45,7 @@ RADIUS = 2  # of the fingerprints
 BATCH_ROWS = 200  # handed to Python at once: two whole sets are a row of the last check
 TREES, LEVELS = 14, (4, 6, 8)  # min-hashes of a tree that must be equal, level by level
 SIGNATURE, BLOCK, LOOKS = 128, 64, 0.68  # bytes compared, texts of a block, share of them that must be equal
+TILE, TILE_BYTES, FAR = 32, 1 << 17, 0.6  # of the last pass: texts and bytes of a tile, share equal below which no pair at the similarity lies (1e-7)
 
 
 def recall(similarity: float, level: int = LEVELS[0], trees: int = TREES) -> float:
@@ -201,8 +207,13 @@ def candidates(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     return blocks.select("r.node", "r.signature").mapInArrow(compared, "a long, b long")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The pairs whose whole sets reach the similarity; sets come from the first document of each node."""
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
+def whole_sets(docs: DataFrame, nodes: DataFrame, used: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(node, hashes): the whole sets of the ``used`` nodes, from the first document of each."""
     @F.pandas_udf("node long, hashes binary")
     def whole(texts: pd.Series) -> pd.DataFrame:
         nodes, sets = [np.zeros(0, np.int64)], []
@@ -212,23 +223,24 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = S
             sets += [p.astype("<u8").tobytes() for p in np.split(hashes, np.cumsum(np.bincount(doc, minlength=len(some)))[:-1])]
         return pd.DataFrame({"node": np.concatenate(nodes), "hashes": sets})
 
+    wanted = used.join(nodes, "node").select("node", F.col("first.doc_id").alias("id"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = texts.join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    of = found.select(whole(F.col("text")).alias("s")).select("s.*")
+    return of.join(used, "node", "left_semi").dropDuplicates(["node"])
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The pairs whose whole sets reach the similarity."""
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"))
+                          for x, y in zip(left, right, strict=True)], dtype=bool)
 
     some = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     narrow, _ = written(some)
     used = narrow.select(F.col("a").alias("node")).union(narrow.select("b")).distinct()
-    wanted = used.join(nodes, "node").select("node", F.col("first.doc_id").alias("id"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    of = found.select(whole(F.col("text")).alias("s")).select("s.*")
-    sets = of.join(used, "node", "left_semi").dropDuplicates(["node"])
+    sets = whole_sets(docs, nodes, used, width)
     own = narrow.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = own.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return both.where(alike("x", "y")).select("a", "b")
@@ -250,12 +262,85 @@ def links(docs: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataFrame:
     return verified(docs, nodes, candidates(nodes).unionByName(of_prints).unionByName(same), width)
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members (group, node, root, bytes, ...) with their tile: (whose, tile), ``whose`` being the one component of its texts.
+
+    Components too large for a tile get tiles of their own, the others of a group share some; null ``whose`` marks these.
+    """
+    def count(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES), F.lit(1).cast("long"))
+
+    roots = members.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    roots = roots.withColumn("own", count(F.col("n"), F.col("size")))
+    small = F.col("own") == 1
+    shared = roots.groupBy("group").agg(count(F.sum(F.when(small, F.col("n")).otherwise(0)), F.sum(F.when(small, F.col("size")).otherwise(0))).alias("shared"))
+    dealt = members.join(roots.select("group", "root", "own"), ["group", "root"]).join(shared, "group")
+    return dealt.select("*", F.when(~small, F.col("root")).alias("whose"),
+                        F.when(small, F.pmod(F.xxhash64("root"), F.col("shared"))).otherwise(F.pmod(F.xxhash64("node"), F.col("own"))).alias("tile")).drop("own", "shared")
+
+
+def missed_links(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between nodes of different components (``roots``: node, root) that meet in some tree, however large the group.
+
+    A pair is compared in the first tree in which it meets.
+    """
+    size = len(LEVELS)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arrays(texts: list[dict]) -> tuple:
+            return (np.array([t["node"] for t in texts], np.int64), np.array([t["root"] for t in texts], np.int64),
+                    np.frombuffer(b"".join(t["signature"] for t in texts), np.uint8).reshape(len(texts), -1),
+                    np.array([t["firsts"] for t in texts], np.int64), [np.frombuffer(t["hashes"], "<u8") for t in texts])
+
+        for batch in batches:
+            out = []
+            for tree, mine, theirs in zip(*batch.columns, strict=True):
+                x = arrays(mine.as_py())
+                y = arrays(theirs.as_py()) if theirs.is_valid else x
+                near = (x[2][:, None, :] == y[2][None, :, :]).mean(axis=2) >= FAR
+                here = (x[3][:, None, :] == y[3][None, :, :]).argmax(axis=2) == tree.as_py()
+                for a, b in zip(*np.nonzero(near & here & (x[1][:, None] != y[1][None, :])), strict=True):
+                    if (theirs.is_valid or a < b) and _alike(x[4][a], y[4][b]):
+                        out.append((x[0][a], y[0][b]))
+            found = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
+
+    firsts = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.get("keys", t * size))
+    placed = nodes.select("node", "signature", firsts.alias("firsts")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = placed.select("node", "root", F.posexplode("firsts").alias("tree", "group"))
+    mixed = keyed.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("group")
+    members, seen = written(keyed.join(mixed, "group"), F.count(F.lit(1)).alias("n"))
+    if not seen["n"]:
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    sets, _ = written(whole_sets(docs, nodes, members.select("node").distinct(), width))
+    dealt, _ = written(_tiles(members.join(sets.select("node", F.length("hashes").alias("bytes")), "node")))
+    place = F.struct("whose", "tile")
+    tiles = dealt.groupBy("group", "tree", place.alias("place")).agg(F.count(F.lit(1)).alias("n")).drop("n")
+    pairs = tiles.withColumnRenamed("place", "one").join(tiles.select("group", F.col("place").alias("other")), "group").where(
+        (F.col("one") <= F.col("other")) & F.coalesce(F.col("one.whose") != F.col("other.whose"), F.lit(True)))
+    held = (dealt.select("group", place.alias("place"), "node").join(placed, "node").join(sets, "node")
+            .groupBy("group", "place").agg(F.collect_list(F.struct("node", "root", "signature", "firsts", "hashes")).alias("texts")))
+    landed, _ = written(held)
+    met = pairs.join(landed.select("group", F.col("place").alias("one"), F.col("texts").alias("mine")), ["group", "one"])
+    both = met.join(landed.select("group", F.col("place").alias("other"), F.col("texts").alias("theirs")), ["group", "other"])
+    work = both.select(F.col("tree").cast("long").alias("tree"), "mine", F.when(F.col("one") != F.col("other"), F.col("theirs")).alias("theirs"))
+    return work.mapInArrow(compared, "a long, b long")
+
+
+def classes(docs: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """(node, root) of every node that has a link: what the searches connect, and what they left apart though it is linked."""
+    found, _ = written(links(docs, nodes, width))
+    roots, _ = written(components(found).distinct())
+    more, seen = written(missed_links(docs, nodes, roots, width), F.count(F.lit(1)).alias("n"))
+    return components(found.unionByName(more)).distinct() if seen["n"] else roots
+
+
 def one_of_each(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: of every component the one with the smallest doc_id."""
     text_batches(docs.sparkSession, BATCH_ROWS)
     marks, _ = written(_marks(docs, width))
     nodes, _ = written(_nodes(marks))
-    roots = components(links(docs, nodes, width)).distinct()
+    roots = classes(docs, nodes, width)
     rooted = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     key = ["__none", "__id", "__node"]
     stays = rooted.groupBy("root").agg(F.min(F.struct("first", "node")).alias("s")).select(

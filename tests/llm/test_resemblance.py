@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from auditloom.llm import resemblance
@@ -137,3 +138,28 @@ def test_shingles_are_sets_of_five_words():
 
 def test_no_rows(spark):
     assert corpus_pipeline.near_duplicates(spark, nothing(spark), "").collect() == []
+
+
+def test_pairs_a_block_leaves_out_are_compared(spark, monkeypatch):
+    """A group far larger than a block whose links lie in few pairs: no component of pairs that meet is left apart."""
+    monkeypatch.setattr(resemblance, "TILE", 5)
+    rng, given = random.Random(21), []
+    common = prose(rng, 60)
+    for k in range(150):  # pairs of one k are linked, others share most words and are not
+        own = " ".join(f"w{k}x{i}" for i in range(12))
+        given += [(2 * k, f"{common} {own}", "en", "s", 1), (2 * k + 1, f"{common} {own} last{k}", "en", "s", 1)]
+    docs = documents(spark, given).select("doc_id", "text")
+    nodes, _ = resemblance.written(resemblance._nodes(resemblance._marks(docs, 5)))
+    none = nodes.select("node", F.col("node").alias("root")).limit(0)
+    of = {r.node: r["first"].doc_id for r in nodes.collect()}
+    firsts = {of[r.node]: {r["keys"][t * len(resemblance.LEVELS)] for t in range(resemblance.TREES)} for r in nodes.collect()}
+    sets = {d: plain_set(t) for d, t, *_ in given}
+    want = {(x, y) for x in sets for y in sets if x < y and firsts[x] & firsts[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])}
+    assert len(want) >= 100
+    got = [tuple(sorted((of[r.a], of[r.b]))) for r in resemblance.missed_links(docs, nodes, none).collect()]
+    assert set(got) == want and len(got) == len(want)
+    monkeypatch.setattr(resemblance, "links", lambda docs, nodes, width: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    roots = {of[r.node]: r.root for r in resemblance.classes(docs, nodes).collect()}
+    assert all(roots[x] == roots[y] for x, y in want)
+    joined = resemblance.components(nodes.select(F.lit(nodes.first().node).alias("a"), F.col("node").alias("b")))
+    assert resemblance.missed_links(docs, nodes, joined).count() == 0
