@@ -33,17 +33,20 @@ def apply_rules(rows: DataFrame, arm: str, rules: list[Rule], subject: Column |
                 row_no: Column | None = None, more: Column | None = None) -> DataFrame:
     """Test every rule on every row in one pass and keep one output row per rule that fired.
 
-    ``more`` may add an array<struct<rule, severity, detail>> for rules that fire several times.
+    ``more`` may add an array<struct<rule, severity, detail>> for rules that fire several times. Rules
+    that did not fire leave null in the array and are dropped after the explode: a filter over the array
+    would have every rule interpreted, and what rules share worked out again for each. An outer explode
+    has no filter put in front of it, for which all rules would be tested once more.
     """
-    fired = F.array_compact(F.array(*[_fired(rule) for rule in rules]))
+    fired = F.array(*[_fired(rule) for rule in rules])
     if more is not None:
         fired = F.concat(fired, more)
-    return rows.select(
+    tested = rows.select(
         "project_id", F.lit(arm).alias("arm"),
         (F.lit("") if subject is None else subject).alias("subject_id"),
-        (F.lit(None) if row_no is None else row_no).cast("bigint").alias("row_no"),
-        F.explode(fired).alias("f"),
-    ).select("project_id", "arm", "f.rule", "f.severity", "subject_id", "row_no", "f.detail")
+        (F.lit(None) if row_no is None else row_no).cast("bigint").alias("row_no"), fired.alias("fired"))
+    found = tested.select("project_id", "arm", "subject_id", "row_no", F.explode_outer("fired").alias("f")).filter("f IS NOT NULL")
+    return found.select("project_id", "arm", "f.rule", "f.severity", "subject_id", "row_no", "f.detail")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

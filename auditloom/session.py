@@ -16,12 +16,18 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Spark puts "the array is there and not empty" in front of every explode, which works out the array two
+    # times more; here arrays come from patterns over whole texts, and few are empty.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     "spark.sql.variant.allowDuplicateKeys": "true",  # of equal keys in a JSON record the last counts
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_OPTIONS.items():
+        if key.endswith("excludedRules"):  # those of the session stay excluded
+            named = [r for r in spark.conf.get(key, "").split(",") if r and r != value]
+            value = ",".join([*named, value])
         spark.conf.set(key, value)
     return spark
 
