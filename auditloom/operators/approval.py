@@ -96,9 +96,9 @@ def parsed(projects: DataFrame, approvals: DataFrame, policies: DataFrame, revie
             .join(digests.groupBy("project_id").agg(F.map_from_entries(
                 F.collect_list(F.struct("name", "digest"))).alias("current")),
                 "project_id", "left"))
-    rows = rows.withColumns({"state": rec.state(F.col("value")), "v": rec.record(F.col("value")),
-                             "policy_state": rec.state(F.col("policy_value")),
-                             "p": rec.record(F.col("policy_value"))})
+    rows = rows.withColumns({"v": rec.record(F.col("value")), "p": rec.record(F.col("policy_value"))})
+    rows = rows.withColumns({"state": rec.state(F.col("value"), F.col("v")),
+                             "policy_state": rec.state(F.col("policy_value"), F.col("p"))})
     approver = F.coalesce(rec.string_part(F.col("v"), "approved_by"), F.lit(""))
     rows = rows.withColumns({"approved_by": approver, "approver": actor_identity(approver)})
     makers = (keyed(decisions).filter(F.col("did").isin(fixed.QUESTION_SCOPE_IDS))
