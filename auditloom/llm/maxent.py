@@ -35,7 +35,7 @@ from auditloom.session import written
 
 CLASSES, SUFFIXES, FEATURES, KINDS = 32, 512, 1 << 14, 5  # FEATURES at most 2**16
 BATCH, SLICE_BYTES, RATE, BLOCK = 4096, 1 << 20, 0.3, 256
-ROUNDS, SHARD_CHUNKS = 4, 4
+ROUNDS, SHARD_CHUNKS, FEW = 4, 4, 8
 SMOOTH, BUCKET_TOKENS = 0.1, 8 << 20
 END, BEFORE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -185,20 +185,25 @@ def suffix_classes(pairs: np.ndarray) -> np.ndarray:
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    logits = bias + weights[features[:, 0]]
-    for k in range(1, KINDS):
-        logits += weights[features[:, k]]
+    lines = features.T.astype(np.intp)
+    logits = weights.take(lines[0], axis=0)
+    logits += bias
+    found = np.empty_like(logits)
+    for line in lines[1:]:
+        logits += weights.take(line, axis=0, out=found, mode="clip")  # without a mode, take copies what it writes to
     logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
 def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     logits = _logits(weights, bias, features)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
 
 
 def softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    odds = np.exp(_logits(weights, bias, features))
+    odds = _logits(weights, bias, features)
+    np.exp(odds, out=odds)
     odds /= odds.sum(axis=1, keepdims=True)
     return odds
 
@@ -267,6 +272,34 @@ def _training_slices(doc_ids: list[int | None], texts: list[str]) -> Iterator[li
         yield some
 
 
+def _sums_by_feature(slope: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features met, how often, and the slopes of their tokens summed; those met most often come first.
+
+    Most features are met once or a few times in a batch: their first tokens are added for all at once, then their
+    second ones, and so on. Only the others are summed feature by feature. The order within a sum is that of reduceat.
+    """
+    flat = features.ravel()
+    by_feature = np.argsort(flat, kind="stable")
+    lines, token = flat[by_feature], by_feature // features.shape[1]
+    first = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
+    n = np.diff(np.r_[first, len(lines)])
+    falling = np.argsort((FEW + 1 - np.minimum(n, FEW + 1)).astype(np.uint8), kind="stable")
+    first, n = first[falling], n[falling]
+    above = len(n) - np.cumsum(np.bincount(np.minimum(n, FEW + 1), minlength=FEW + 2))  # above[k]: met more than k times
+    own, sums = lines[first].astype(np.intp), slope.take(token[first], axis=0)
+    often, twice = int(above[FEW]), int(above[1])
+    if often:
+        start = np.cumsum(n[:often]) - n[:often]
+        places = np.repeat(first[:often] - start, n[:often]) + np.arange(n[:often].sum())
+        sums[:often] = np.add.reduceat(slope.take(token[places], axis=0), start, axis=0)
+    more = slope.take(token[first[often:twice] + 1], axis=0)
+    for k in range(2, FEW):
+        last = int(above[k])
+        more[:last - often] += slope.take(token[first[often:last] + k], axis=0)
+    sums[often:twice] += more
+    return own, n, sums
+
+
 def _step(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, texts: list[str], classes: np.ndarray, bias: np.ndarray,
           shuffle: np.random.Generator) -> None:
     """Gradient steps over the tokens of some texts, in mini-batches; the arrays are changed in place."""
@@ -275,18 +308,17 @@ def _step(weights: np.ndarray, squares: np.ndarray, met: np.ndarray, texts: list
     shuffled = shuffle.permutation(len(target))
     for at in range(0, len(target), BATCH):
         rows = shuffled[at:at + BATCH]
-        seen = features[rows]
+        seen = features.take(rows, axis=0)
         slope = softmax(weights, bias, seen)
         slope[np.arange(len(rows)), target[rows]] -= 1
-        flat = seen.ravel()
-        by_feature = np.argsort(flat, kind="stable")
-        lines = flat[by_feature]
-        first = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
-        sums = np.add.reduceat(slope[by_feature // KINDS], first, axis=0)
-        own = lines[first]
-        squares[own] += sums * sums
-        weights[own] -= RATE * sums / np.sqrt(squares[own])
-        met[own] += np.diff(np.r_[first, len(lines)])
+        own, n, sums = _sums_by_feature(slope, seen)
+        square = squares.take(own, axis=0)
+        square += sums * sums
+        squares[own] = square
+        sums *= RATE
+        sums /= np.sqrt(square, out=square)
+        weights[own] = weights.take(own, axis=0) - sums
+        met[own] += n
 
 
 def language_model_scores(docs: DataFrame) -> DataFrame:
