@@ -218,7 +218,7 @@ ATTRIBUTIONS = [
 NEGATION = f"(?iu)(?=[{''.join(sorted({c[0] for c in NEGATION_CUES}))}])(" + "|".join(NEGATION_CUES) + ")"
 
 # Draft sections. (?d) keeps line ends at \n only.
-DRAFT_FALSIFIER = r"(?d)falsif|would prove .{0,20}wrong|kill(s|ed)? the claim"
+DRAFT_FALSIFIER = r"(?d)(?=[fwk])(?:falsif|would prove .{0,20}wrong|kill(s|ed)? the claim)"
 DRAFT_VERIFICATION = [
     rf"(?dimu)^#{{1,6}}{WS}*(?:{DIGIT}+(?:\.{DIGIT}+)*[.)]?{WS}+)?verification{EDGE_AFTER_WORD}",
     rf"(?dimu)^{WS}*\*?\*?verification:",
@@ -226,7 +226,7 @@ DRAFT_VERIFICATION = [
 DRAFT_COI = ["conflict of interest", rf"{EDGE_BEFORE_WORD}coi{EDGE_AFTER_WORD}"]
 _b, _e = EDGE_BEFORE_WORD, EDGE_AFTER_WORD
 DRAFT_NEGATIVE = [
-    rf"(?dimu)^#{{1,6}}[^\n]*(?:{_b}negative{_e}[^\n]*{_b}results?{_e}|{_b}null results?{_e}"
+    rf"(?dimu)^#{{1,6}}[^\n]*(?=[nlrc])(?:{_b}negative{_e}[^\n]*{_b}results?{_e}|{_b}null results?{_e}"
     rf"|{_b}limitations?{_e}|{_b}retained limits?{_e}|{_b}caveats?{_e})",
     rf"(?dimu)^{WS}*\*?\*?(?:negative results?|limitations?){_e}{WS}*:",
 ]

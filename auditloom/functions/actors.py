@@ -15,7 +15,10 @@ def normalise_actor(value: Column) -> Column:
 
 
 def actor_identity(value: Column) -> Column:
-    """struct(model, harness, run) of normalised parts, or null when it cannot be compared."""
+    """struct(model, harness, run) of normalised parts, or null when it cannot be compared.
+
+    A value without a separator cannot hold the three fields and is not taken apart.
+    """
     allowed = fixed.ACTOR_FIELDS + fixed.ACTOR_OPTIONAL_FIELDS
 
     def pair(segment: Column) -> Column:
@@ -38,7 +41,7 @@ def actor_identity(value: Column) -> Column:
 
         return F.when(well_formed, F.struct(*[part(key) for key in fixed.ACTOR_FIELDS]))
 
-    return let(F.transform(F.split(text(value), ";"), pair), identity)
+    return F.when(F.contains(text(value), F.lit(";")), let(F.transform(F.split(text(value), ";"), pair), identity))
 
 
 def name_tokens(value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 from auditloom.functions.actors import actor_identity, is_recorded_authority, name_tokens
 from auditloom.functions.routes import reference_defect
-from auditloom.functions.text import blank, iso_date, sha256_form, strip, unusable
+from auditloom.functions.text import blank, iso_date, let, sha256_form, strip, unusable
 from auditloom.operators.decisions import keyed, scope_digests
 from auditloom.operators.findings import Rule, apply_rules
 from auditloom.operators.registers import stage_order
@@ -47,27 +47,49 @@ def digest_block(digests: DataFrame) -> DataFrame:
             order, lambda n: F.col("found")[n])).alias("bound_files")))).alias("block"))
 
 
-def _policy_defect(policy: Column, state: Column, permission: str, rules: ApprovalRules) -> Column:
-    """First reason the policy does not grant ``permission``."""
-    granted = rec.items(rec.part(policy, "delegated_permissions"))
+def _policy_defect(permission: str) -> Column:
+    """First reason the policy, read by ``_read``, does not grant ``permission``."""
+    state, granted = F.col("policy_state"), F.col("granted")
     return (F.when(state == "missing", "policy_missing")
             .when(state == "malformed", "policy_malformed")
             .when(state == "not_object", "policy_not_object")
-            .when(~rec.string_part(policy, "record_type").eqNullSafe(fixed.POLICY_RECORD_TYPE),
-                  "policy_type_invalid")
-            .when(~rec.string_part(policy, "schema_version").eqNullSafe(fixed.POLICY_SCHEMA_VERSION)
-                  | ~rec.string_part(policy, "contract").eqNullSafe(fixed.POLICY_CONTRACT),
+            .when(~F.col("policy_type").eqNullSafe(fixed.POLICY_RECORD_TYPE), "policy_type_invalid")
+            .when(~F.col("policy_schema").eqNullSafe(fixed.POLICY_SCHEMA_VERSION)
+                  | ~F.col("policy_contract").eqNullSafe(fixed.POLICY_CONTRACT),
                   "policy_version_invalid")
-            .when(~is_recorded_authority(rec.string_part(policy, "policy_owner"),
-                                         rules.authorities), "policy_owner_invalid")
-            .when(granted.isNull() | ~F.exists(
-                granted, lambda g: rec.as_string(g).eqNullSafe(permission)), "not_delegated"))
+            .when(~F.col("policy_owned"), "policy_owner_invalid")
+            .when(granted.isNull() | ~F.exists(granted, lambda g: g.eqNullSafe(permission)), "not_delegated"))
 
 
 def _families(policy: Column, key: str) -> Column:
     """array<array<string>>: name tokens of a family list; null where the list is not valid."""
-    names = rec.strings(rec.part(policy, key))
-    return F.when(F.forall(names, lambda n: ~unusable(n)), F.transform(names, name_tokens))
+    return let(rec.strings(rec.part(policy, key)), lambda names: F.when(
+        F.forall(names, lambda n: ~unusable(n)), F.transform(names, name_tokens)))
+
+
+def _read(rows: DataFrame, rules: ApprovalRules) -> DataFrame:
+    """Add what the rules look at, each part of a record read into a column of its own once.
+
+    Several rules test each part; as expressions inside them the parts would be read for every test.
+    """
+    v, p = F.col("v"), F.col("p")
+    held = rows.withColumns({
+        "policy_type": rec.string_part(p, "record_type"), "policy_schema": rec.string_part(p, "schema_version"),
+        "policy_contract": rec.string_part(p, "contract"), "policy_owner": rec.string_part(p, "policy_owner"),
+        "granted": F.transform(rec.items(rec.part(p, "delegated_permissions")), rec.as_string),
+        "allowed": _families(p, "allowed_model_families"), "denied": _families(p, "excluded_model_families"),
+        "human": is_recorded_authority(F.col("approved_by"), rules.authorities),
+        "raw_date": rec.string_part(v, "approval_date"),
+        "decision": F.lower(strip(rec.string_part(v, "decision"))),
+        "reference": rec.string_part(v, "approval_reference"),
+        "bound": rec.entries(v, "bound_files"),
+        "accepted_part": rec.part(v, "accepted_checks"),
+        "policy_digest": rec.string_part(v, "authority_policy_sha256")})
+    held = held.withColumns({
+        "policy_owned": is_recorded_authority(F.col("policy_owner"), rules.authorities),
+        "approved": iso_date(F.col("raw_date")), "reference_defect": reference_defect(F.col("reference")),
+        "accepted": rec.strings(F.col("accepted_part"))})
+    return held.withColumn("named", F.transform("accepted", strip))
 
 
 def _matches(families: Column, tokens: Column) -> Column:
@@ -102,22 +124,22 @@ def parsed(projects: DataFrame, approvals: DataFrame, policies: DataFrame, revie
     approver = F.coalesce(rec.string_part(F.col("v"), "approved_by"), F.lit(""))
     rows = rows.withColumns({"approved_by": approver, "approver": actor_identity(approver)})
     makers = (keyed(decisions).filter(F.col("did").isin(fixed.QUESTION_SCOPE_IDS))
-              .select("project_id", actor_identity(F.col("decided_by")).alias("approver"))
+              # behind an explode, so that the test for null does not take every actor apart once more
+              .select("project_id", F.explode(F.array(actor_identity(F.col("decided_by")))).alias("approver"))
               .filter("approver IS NOT NULL").distinct().withColumn("made_scope", F.lit(True)))
     return rows.join(makers, ["project_id", "approver"], "left")
 
 
 def _approver_defect(rules: ApprovalRules) -> tuple[Column, Column, Column]:
-    """(human, automatic form, first defect of a policy-based approver)."""
-    p, state = F.col("p"), F.col("policy_state")
-    human = is_recorded_authority(F.col("approved_by"), rules.authorities)
+    """(human, automatic form, first defect of a policy-based approver), after ``_read``."""
+    human = F.col("human")
     automatic = strip(F.col("approved_by")) == rules.automatic_approver
     exceptions = F.coalesce(F.size("exceptional") > 0, F.lit(False))
     tokens = F.split(F.col("approver")["model"], " ")
-    allowed, denied = _families(p, "allowed_model_families"), _families(p, "excluded_model_families")
+    allowed, denied = F.col("allowed"), F.col("denied")
     delegated = F.coalesce(
         F.when(exceptions, "exceptions_present"),
-        _policy_defect(p, state, fixed.DELEGATED_PERMISSION, rules),
+        _policy_defect(fixed.DELEGATED_PERMISSION),
         F.when(allowed.isNull() | (F.size(allowed) == 0) | denied.isNull(), "families_invalid")
         .when(F.col("approver").isNull(), "approver_not_comparable")
         .when(_matches(denied, tokens), "family_excluded")
@@ -127,7 +149,7 @@ def _approver_defect(rules: ApprovalRules) -> tuple[Column, Column, Column]:
         .when(F.col("reviewer_key") == F.col("approver"), "approver_is_reviewer")
         .when(F.col("made_scope"), "approver_made_scope"))
     clean_open = F.coalesce(F.when(exceptions, "exceptions_present"),
-                            _policy_defect(p, state, fixed.AUTOMATIC_PERMISSION, rules))
+                            _policy_defect(fixed.AUTOMATIC_PERMISSION))
     defect = F.when(automatic, clean_open).when(~human, delegated)
     return human, automatic, defect
 
@@ -136,22 +158,18 @@ def approval_findings(rows: DataFrame, rules: ApprovalRules) -> DataFrame:
     """All rules of the approval record. ``rows`` come from ``parsed``."""
     v, ok = F.col("v"), F.col("state") == "ok"
     human, automatic, defect = _approver_defect(rules)
-    rows = rows.withColumns({"approver_defect": defect, "by_policy": (automatic | ~human)})
-    raw_date = rec.string_part(v, "approval_date")
+    rows = _read(rows, rules).withColumns({"approver_defect": defect, "by_policy": (automatic | ~human)})
+    raw_date, approved, decision = F.col("raw_date"), F.col("approved"), F.col("decision")
     dated = raw_date.isNotNull() & ~blank(raw_date)
-    approved = iso_date(raw_date)
-    decision = F.lower(strip(rec.string_part(v, "decision")))
     decided = decision.isin(fixed.APPROVAL_DECISIONS)
-    reference = rec.string_part(v, "approval_reference")
-    bound = rec.entries(rec.part(v, "bound_files"))
+    reference, bound = F.col("reference"), F.col("bound")
     wanted = F.array(*[F.lit(n) for n in fixed.APPROVAL_BOUND])
     complete = (F.size(bound) == len(fixed.APPROVAL_BOUND)) & (
         F.size(F.array_except(wanted, F.map_keys(bound))) == 0)
-    accepted = rec.strings(rec.part(v, "accepted_checks"))
-    named = F.transform(accepted, strip)
+    accepted, named = F.col("accepted"), F.col("named")
     unknown = F.array_sort(F.array_except(named, F.array(*[F.lit(c) for c in
                                                            fixed.REVIEW_CHECKS])))
-    policy_digest = rec.string_part(v, "authority_policy_sha256")
+    policy_digest = F.col("policy_digest")
     granted = F.col("by_policy") & F.col("approver_defect").isNull()
     differs = (F.size(F.array_except(named, F.col("exceptional")))
                + F.size(F.array_except(F.col("exceptional"), named))) > 0
@@ -172,7 +190,7 @@ def approval_findings(rows: DataFrame, rules: ApprovalRules) -> DataFrame:
         Rule("not_proceeding", ok & decided & (decision != fixed.APPROVAL_OPENS), decision),
         Rule("reference_not_string", ok & reference.isNull()),
         Rule("reference_untraceable", ok & reference.isNotNull()
-             & reference_defect(reference).isNotNull(), reference_defect(reference)),
+             & F.col("reference_defect").isNotNull(), F.col("reference_defect")),
         Rule("bound_not_object", ok & bound.isNull()),
         Rule("bound_set_differs", ok & bound.isNotNull() & ~complete,
              F.array_join(F.array_sort(F.map_keys(bound)), ", ")),
@@ -185,15 +203,15 @@ def approval_findings(rows: DataFrame, rules: ApprovalRules) -> DataFrame:
              F.array_join(F.col("exceptional"), ", ")),
         Rule("approval_before_review", ok & (approved < F.col("review_date")), approved),
         Rule("recorded", ok, F.format_string("decision=%s accepted=%d", decision, F.coalesce(
-            F.size(rec.items(rec.part(v, "accepted_checks"))), F.lit(0))), "note"),
+            F.size(rec.items(F.col("accepted_part"))), F.lit(0))), "note"),
     ]
 
     def bound_defect(name: Column) -> Column:
-        recorded = rec.as_string(F.try_element_at(bound, name))
         current = F.try_element_at(F.col("current"), name)
-        rule = (F.when(recorded.isNull() | ~sha256_form(strip(recorded)), "bound_digest_form")
-                .when(current.isNull(), "bound_unresolved")
-                .when(strip(recorded) != current, "bound_stale"))
+        rule = let(rec.as_string(F.try_element_at(bound, name)), lambda recorded: (
+            F.when(recorded.isNull() | ~sha256_form(strip(recorded)), "bound_digest_form")
+            .when(current.isNull(), "bound_unresolved")
+            .when(strip(recorded) != current, "bound_stale")))
         return F.struct(rule.alias("rule"), F.lit("error").alias("severity"), name.alias("detail"))
 
     each = F.filter(F.transform(wanted, bound_defect), lambda d: d["rule"].isNotNull())

@@ -19,8 +19,8 @@ def resolved(projects: DataFrame, bindings: DataFrame) -> DataFrame:
     ``projects`` has project_id, requested (a contract name or null) and through_ord; ``bindings``
     has project_id and value.
     """
-    rows = projects.join(bindings, "project_id", "left").withColumns({
-        "v": rec.record(F.col("value")), "state": rec.state(F.col("value"))})
+    rows = projects.join(bindings, "project_id", "left").withColumn("v", rec.record(F.col("value")))
+    rows = rows.withColumn("state", rec.state(F.col("value"), F.col("v")))
     wrong_type = (F.col("state") == "ok") & ~rec.string_part(F.col("v"), "manifest_type").eqNullSafe(
         fixed.BINDING_TYPE)
     rows = rows.withColumns({

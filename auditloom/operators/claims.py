@@ -64,7 +64,7 @@ def corroborating_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _rules() -> list[Rule]:
-    contract, v03 = F.col("contract"), F.col("contract") == "v0.3"
+    v03 = F.col("contract") == "v0.3"
     known = F.coalesce("registered", F.lit(False))
     needs = v03 & needs_corroboration()
     none_named = needs & blank(F.col("cor"))
@@ -72,11 +72,11 @@ def _rules() -> list[Rule]:
     own = needs & ~none_named & ~unregistered & (F.col("cor") == F.col("sid"))
     open_pair = needs & ~none_named & ~unregistered & ~own
     return [
-        Rule("id_unusable", v03 & unusable(F.col("cid")), F.col("cid")),
-        Rule("text_unusable", v03 & unusable(F.col("claim_text"))),
+        Rule("id_unusable", v03 & F.col("bad_id"), F.col("cid")),
+        Rule("text_unusable", v03 & F.col("bad_text")),
         Rule("cites_nothing", F.col("sid") == ""),
         Rule("cites_unregistered", (F.col("sid") != "") & ~known, F.col("sid")),
-        Rule("uncertainty_empty", known & empty_under(contract, F.col("uncertainty"))),
+        Rule("uncertainty_empty", known & F.col("no_uncertainty")),
         Rule("source_not_obtained", v03 & known & (F.col("status") == fixed.NOT_RETRIEVED),
              F.col("sid")),
         Rule("second_source_missing", ~v03 & needs_corroboration() & blank(F.col("second")),
@@ -106,26 +106,28 @@ def claim_findings(claims: DataFrame, sources: DataFrame, held: DataFrame | None
     """All claim rules, for the projects that have both claims and sources.
 
     Claims meet their sources once; the joined rows are landed, since pairs, counts, repeats and
-    rules all read them.
+    rules all read them. Of the texts only the tests on them are landed. Defects and repeated ids are
+    landed too: where they are few, the claims meet them without being shuffled.
     """
     with_sources = sources.select("project_id").distinct()
     attributes = source_attributes(sources, held)
     base = prepared(claims.join(with_sources, "project_id", "left_semi"))
-    needed = ["project_id", "row_no", "contract", "cid", "sid", "cor", "material", "claim_text", "uncertainty"]
-    rows, _ = written(backed(cited(base.select(*needed), attributes), attributes))
+    tests = [unusable(F.col("cid")).alias("bad_id"), unusable(F.col("claim_text")).alias("bad_text"),
+             empty_under(F.col("contract"), F.col("uncertainty")).alias("no_uncertainty")]
+    base = base.select("project_id", "row_no", "contract", "cid", "sid", "cor", "material", *tests)
+    rows, _ = written(backed(cited(base, attributes), attributes))
     if graph is None:
         judged = rows.withColumns({"relation": F.lit(None).cast("string"),
                                    "shared": F.lit(None).cast("string"),
                                    "route": F.lit(None).cast("string")})
     else:
-        defects = derivation.with_routes(
-            written(derivation.independence_defects(corroborating_pairs(rows), graph))[0], graph)
+        defects, _ = written(derivation.with_routes(
+            written(derivation.independence_defects(corroborating_pairs(rows), graph))[0], graph))
         judged = rows.join(defects.withColumnRenamed("other", "cor"),
                            ["project_id", "sid", "cor"], "left")
     folded = rows.withColumn("key", F.lower("cid"))
-    again = repeats(folded.select("project_id", "row_no", "cid", "key", "contract"),
-                    ["project_id", "key"],
-                    among=(F.col("contract") == "v0.3") & ~unusable(F.col("cid")))
+    again = repeats(folded.select("project_id", "row_no", "cid", "key", "contract", "bad_id"),
+                    ["project_id", "key"], among=(F.col("contract") == "v0.3") & ~F.col("bad_id"), landed=True)
     note = F.format_string("claims=%d material=%d", "claims", "material")
     return union_all([
         apply_rules(judged, ARM, _rules(), F.col("cid"), F.col("row_no")),

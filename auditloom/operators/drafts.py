@@ -60,11 +60,12 @@ def loose_numbers(drafts: DataFrame, claims: DataFrame) -> DataFrame:
     distinct runs, and the figures of a project have few different lengths: runs yield their pieces
     of just these lengths, and figures meet equal pieces. The work is linear in the runs times the
     lengths, however many figures begin alike. Figures are landed, since drafts would be read twice.
+    They have more than two characters, so runs of fewer hold none.
     """
     tokens, _ = written(drafts.select("project_id", "name", F.explode(prose_numbers(F.col("text")))
                                       .alias("token")))
     said = F.concat_ws(" ", text(F.col("claim_text")), text(F.col("uncertainty")))
-    runs = claims.select("project_id", F.explode(digit_runs(said)).alias("run")).distinct()
+    runs = claims.select("project_id", F.explode(digit_runs(said)).alias("run")).filter(F.length("run") > 2).distinct()
     sizes = tokens.select("project_id", F.length("token").alias("size")).distinct()
     return tokens.join(_pieces(runs, sizes), ["project_id", "token"], "left_anti")
 

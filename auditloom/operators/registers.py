@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import fixed
+from auditloom.session import written
 
 
 def contract_decisions(spark: SparkSession) -> DataFrame:
@@ -60,12 +61,16 @@ def _pick(rows: DataFrame, keys: list[str], pick) -> DataFrame:
             .select(*keys, "r.*"))
 
 
-def repeats(rows: DataFrame, keys: list[str], among: Column | None = None) -> DataFrame:
+def repeats(rows: DataFrame, keys: list[str], among: Column | None = None, landed: bool = False) -> DataFrame:
     """The rows whose key an earlier row already used.
 
-    Only keys seen twice or more are joined back, so the join side stays as small as the defect.
+    Only keys seen twice or more are joined back, so the join side stays as small as the defect. With
+    ``landed`` these keys are written first: where they are few, their known size saves the rows a
+    shuffle and a sort. It pays where the rows are at hand and not worked out anew for it.
     """
     pool = rows if among is None else rows.filter(among)
     twice = (pool.groupBy(*keys).agg(F.min("row_no").alias("first_row"), F.count("*").alias("n"))
              .filter("n > 1").drop("n"))
+    if landed:
+        twice, _ = written(twice)
     return pool.join(twice, keys).filter("row_no > first_row").drop("first_row")

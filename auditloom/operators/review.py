@@ -21,12 +21,18 @@ def _listed(names: list[str]) -> Column:
 
 
 def _check(entries: Column, name: Column) -> Column:
-    """struct of one required check: its result, note and any in-record acceptance."""
-    def judged(item: Column) -> Column:
-        result = F.lower(strip(rec.string_part(item, "result")))
-        note = rec.string_part(item, "note")
-        accepted = rec.string_part(item, "exception_accepted_by")
-        is_object = rec.is_object(item)
+    """struct of one required check: its result, note and any in-record acceptance.
+
+    The fields are read from the record once, since several tests look at each.
+    """
+    def read(item: Column) -> Column:
+        return F.struct(rec.is_object(item).alias("is_object"),
+                        F.lower(strip(rec.string_part(item, "result"))).alias("result"),
+                        rec.string_part(item, "note").alias("note"),
+                        rec.string_part(item, "exception_accepted_by").alias("accepted"))
+
+    def judged(fields: Column) -> Column:
+        is_object, result, note, accepted = (fields[n] for n in ("is_object", "result", "note", "accepted"))
         return F.struct(
             name.alias("check"), is_object.alias("is_object"),
             (is_object & ~result.isin(fixed.REVIEW_RESULTS)).alias("bad_result"),
@@ -34,7 +40,7 @@ def _check(entries: Column, name: Column) -> Column:
             (is_object & result.isin("fail", "unresolved")).alias("exceptional"),
             (is_object & accepted.isNotNull() & ~blank(accepted)).alias("accepted"))
 
-    return let(F.try_element_at(entries, name), judged)
+    return let(let(F.try_element_at(entries, name), read), judged)
 
 
 def parsed(projects: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -46,17 +52,18 @@ def parsed(projects: DataFrame, reviews: DataFrame) -> DataFrame:
     due = projects.filter((F.col("contract") == "v0.3")
                           & (F.col("through_ord") >= stage_order("data")))
     rows = due.join(reviews, "project_id", "left")
-    rows = rows.withColumns({"state": rec.state(F.col("value")), "v": rec.record(F.col("value"))})
-    v, checks = F.col("v"), rec.entries(rec.part(F.col("v"), "checks"))
-    reviewer = rec.string_part(v, "reviewer")
+    rows = rows.withColumn("v", rec.record(F.col("value")))
+    v, checks, reviewer = F.col("v"), F.col("given_checks"), F.col("reviewer")
+    rows = rows.withColumns({"state": rec.state(F.col("value"), v), "given_checks": rec.entries(v, "checks"),
+                             "reviewer": rec.string_part(v, "reviewer")})
     required = _listed(sorted(fixed.REVIEW_CHECKS))
     rows = rows.select(
         "project_id", "state", rec.string_part(v, "record_type").alias("record_type"),
         rec.string_part(v, "schema_version").alias("schema_version"),
         F.lower(strip(rec.string_part(v, "contract"))).alias("record_contract"),
-        reviewer.alias("reviewer"), actor_identity(reviewer).alias("reviewer_key"),
+        "reviewer", actor_identity(reviewer).alias("reviewer_key"),
         rec.string_part(v, "review_date").alias("raw_date"),
-        rec.entries(rec.part(v, "reviewed_decisions")).alias("reviewed"),
+        rec.entries(v, "reviewed_decisions").alias("reviewed"),
         F.map_keys(checks).alias("check_names"),
         let(checks, lambda c: F.when(c.isNotNull(), F.transform(required, lambda n: _check(c, n))))
         .alias("checks"))

@@ -16,10 +16,10 @@ SHARES = 256  # into which the rows of a project are dealt: one project may hold
 
 def _cell(rows: DataFrame, name: Column) -> Column:
     """The cell of the column called ``name``; null where the row's file has no such column."""
-    cell = F.lit(None).cast("string")
+    cell = F.when(F.lit(False), F.lit(None).cast("string"))
     for column in rows.columns:
         if column not in KEYS:
-            cell = F.when(name == column, text(F.col(column))).otherwise(cell)
+            cell = cell.when(name == column, text(F.col(column)))
     if "named" in rows.columns:
         cell = F.when(F.array_contains("named", name), cell)
     if "extra" in rows.columns:
@@ -42,16 +42,15 @@ def melted(vocabulary: DataFrame, registers: dict[str, DataFrame]) -> DataFrame:
     """(project_id, register, row_no, column, value, share) for every field its project controls.
 
     A row meets the list of its project's controlled columns and reads these cells alone; other cells
-    are never copied into a list.
+    are never copied into a list. Columns are exploded before their cells are read, in compiled code.
     """
     lists = _in_every_share(declared(vocabulary).groupBy("project_id").agg(F.collect_set("column").alias("controlled")))
     frames = []
     for name, rows in registers.items():
-        wanted = F.transform("controlled", lambda c: F.struct(c.alias("column"), _cell(rows, c).alias("value")))
-        met = _dealt(rows).join(lists, ["project_id", "share"]).select(
-            "project_id", F.lit(name).alias("register"), "row_no", "share", F.explode(wanted).alias("f"))
-        frames.append(met.filter("f.value IS NOT NULL").select(
-            "project_id", "register", "row_no", "f.column", strip(F.col("f.value")).alias("value"), "share"))
+        met = _dealt(rows).join(lists, ["project_id", "share"]).withColumn("_column", F.explode("controlled"))
+        cells = met.select("project_id", F.lit(name).alias("register"), "row_no", F.col("_column").alias("column"),
+                           _cell(rows, F.col("_column")).alias("value"), "share")
+        frames.append(cells.filter("value IS NOT NULL").withColumn("value", strip(F.col("value"))))
     return union_all(frames)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import text
+from auditloom.functions.text import let, text
 
 
 def record(value: Column) -> Column:
@@ -34,7 +34,8 @@ def as_string(variant: Column) -> Column:
 
 
 def string_part(variant: Column, key: str) -> Column:
-    return as_string(part(variant, key))
+    """The text of the JSON string called ``key``, read by its path; null for every other type."""
+    return F.when(kind(part(variant, key)) == "STRING", F.try_variant_get(variant, f"$.{key}", "string"))
 
 
 def is_object(variant: Column) -> Column:
@@ -61,8 +62,8 @@ def items(variant: Column) -> Column:
 
 def strings(variant: Column) -> Column:
     """array<string> of a list that holds strings only; null otherwise."""
-    held = items(variant)
-    return F.when(F.forall(held, lambda v: kind(v) == "STRING"), F.transform(held, as_string))
+    return let(items(variant), lambda held: F.when(
+        F.forall(held, lambda v: kind(v) == "STRING"), F.transform(held, as_string)))
 
 
 def project_records(texts: DataFrame, file_name: str) -> DataFrame:
