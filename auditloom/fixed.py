@@ -188,8 +188,8 @@ URL_AUTHORITY = r"(?i)^https?://([^/?#]*)"
 ROUTE_TAIL = ".,;:)]}"
 ISO_DATE_IN_TEXT = (rf"{EDGE_BEFORE_WORD}{DIGIT}{{4}}-{DIGIT}{{2}}-{DIGIT}{{2}}{EDGE_AFTER_WORD}")
 
-NUMBER = (rf"(?:0|[1-9]{DIGIT}{{0,2}})(?:,{DIGIT}{{3}})+(?:\.{DIGIT}+)?(?![{DIGIT},])"
-          rf"|{DIGIT}+(?:\.{DIGIT}+)?")
+NUMBER = (rf"(?={DIGIT})(?:(?:0|[1-9]{DIGIT}{{0,2}})(?:,{DIGIT}{{3}})+(?:\.{DIGIT}+)?(?![{DIGIT},])"
+          rf"|{DIGIT}+(?:\.{DIGIT}+)?)")
 HEX_DIGEST = (rf"{EDGE_BEFORE_WORD}[0-9a-fA-F]{{40}}(?:[0-9a-fA-F]{{24}})?{EDGE_AFTER_WORD}")
 BARE_NUMBER = (r"(?<![\p{L}\p{N}_./-])" + rf"{DIGIT}[{DIGIT},]*(?:\.{DIGIT}+)?"
                + r"(?![\p{L}\p{N}_./-])")
@@ -210,11 +210,14 @@ DATE_IN_SENTENCE = (rf"(?={DIGIT})(?:{EDGE_BEFORE_WORD}(19|20){DIGIT}{{2}}{EDGE_
                     rf"{EDGE_AFTER_WORD})")
 AGENT = r"[A-Z][\p{L}\p{N}_.&'-]+"
 AGENTS = rf"({AGENT}(?:{WS}+{AGENT}){{0,3}})"
+# In front of a verb only a blank can follow a name, so a name gives back no character there (possessive ++).
+WHOLE_AGENTS = rf"({AGENT}+(?:{WS}++{AGENT}+){{0,3}})"
 ATTRIBUTIONS = [
-    rf"(?=[A-Z]){EDGE_BEFORE_WORD}{AGENTS}{WS}+(?:{'|'.join(ATTRIBUTION_VERBS)}){EDGE_AFTER_WORD}",
-    rf"{EDGE_BEFORE_WORD}(?:{'|'.join(ATTRIBUTION_LEADS)}){WS}+{AGENTS}{EDGE}",
+    rf"(?=[A-Z]){EDGE_BEFORE_WORD}{WHOLE_AGENTS}{WS}++(?:{'|'.join(ATTRIBUTION_VERBS)}){EDGE_AFTER_WORD}",
+    rf"(?=[{''.join(sorted({lead[0] for lead in ATTRIBUTION_LEADS}))}]){EDGE_BEFORE_WORD}(?:{'|'.join(ATTRIBUTION_LEADS)}){WS}+{AGENTS}{EDGE}",
     rf"(?=[A-Z]){EDGE_BEFORE_WORD}{AGENTS}'s{WS}+(?:{'|'.join(ATTRIBUTION_WORKS)}){EDGE_AFTER_WORD}",
 ]
+ATTRIBUTION_HOLDS = ["", "", "'s"]  # what every match of a pattern holds; texts without it are not searched
 NEGATION = f"(?iu)(?=[{''.join(sorted({c[0] for c in NEGATION_CUES}))}])(" + "|".join(NEGATION_CUES) + ")"
 
 # Draft sections. (?d) keeps line ends at \n only.

@@ -23,16 +23,24 @@ def numbers(value: Column) -> Column:
 
 
 def sentences(value: Column) -> Column:
-    """Non-empty sentences in order; a line break counts as a space."""
-    parts = F.split(F.translate(text(value), "\n", " "), fixed.SENTENCE_BREAK)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    """Non-empty sentences in order; a line break counts as a space.
+
+    Blanks are taken off the ends of the whole text. A break takes all blanks behind its mark, so no
+    sentence begins or ends with one, and only a text without any character leaves an empty part.
+    """
+    whole = strip(F.replace(text(value), F.lit("\n"), F.lit(" ")))
+    return F.array_remove(F.split(whole, fixed.SENTENCE_BREAK), "")
 
 
 def entities(sentence: Column) -> Column:
-    """Capitalised spans of one to four words, repeats kept, a lone opening word left out."""
+    """Capitalised spans of one to four words, repeats kept, a lone opening word left out.
+
+    The place of the first span is looked for only where the sentence begins with that span's words.
+    """
     found = _all(sentence, fixed.ENTITY, 1)
-    lone_opening = ((F.regexp_instr(sentence, F.lit(fixed.ENTITY)) == 1)
-                    & ~F.contains(F.get(found, F.lit(0)), F.lit(" ")))
+    first = F.get(found, F.lit(0))
+    lone_opening = (F.startswith(sentence, first) & ~F.contains(first, F.lit(" "))
+                    & (F.regexp_instr(sentence, F.lit(fixed.ENTITY)) == 1))
     return F.when(lone_opening, F.slice(found, F.lit(2), F.size(found))).otherwise(found)
 
 
@@ -50,24 +58,22 @@ def dated(sentence: Column) -> Column:
 
 
 def triage_reasons(sentence: Column, names: Column, figures: Column) -> Column:
-    """Why a sentence needs a second look; an empty array when it does not."""
+    """Why a sentence needs a second look; an empty array when it does not.
+
+    At most one of two reasons stands behind the density, so there are six lists, and one is picked.
+    """
     has_figures = F.size(figures) > 0
     dense = (F.size(names) > 1) | has_figures
-    return F.array_compact(F.array(
-        F.when((F.size(names) > 2) | has_figures | dated(sentence), "density"),
-        F.when(hedged(sentence) & dense, "hedged"),
-        F.when(~hedged(sentence) & ~cited(sentence) & dense, "uncited")))
-
+    second = F.when(dense & hedged(sentence), 1).when(dense & ~cited(sentence), 2).otherwise(0)
+    density = F.when((F.size(names) > 2) | has_figures | dated(sentence), 3).otherwise(0)
+    lists = [first + then for first in ([], ["density"]) for then in ([], ["hedged"], ["uncited"])]
+    return F.get(F.array(*[F.array(*map(F.lit, one)).cast("array<string>") for one in lists]), density + second)
 
-def attributed_subjects(sentence: Column) -> Column:
-    """array<struct<pattern, match, subject>> of who-said / according-to / whose-report spans."""
-    def spans(pattern: int) -> Column:
-        return F.transform(_all(sentence, fixed.ATTRIBUTIONS[pattern], 1), lambda s, i: F.struct(
-            F.lit(pattern).alias("pattern"), i.alias("match"), strip(s).alias("subject")))
 
-    found = [spans(n) for n in range(len(fixed.ATTRIBUTIONS))]
-    return F.filter(F.concat(*found),
-                    lambda a: ~F.lower(a["subject"]).isin(fixed.ATTRIBUTION_STOP_SUBJECTS))
+def attribution_spans(sentence: Column) -> Column:
+    """array<array<string>>: the who-said, according-to and whose-report spans, as they stand."""
+    return F.array(*[F.when(F.contains(sentence, F.lit(held)), _all(sentence, pattern, 1))
+                     for pattern, held in zip(fixed.ATTRIBUTIONS, fixed.ATTRIBUTION_HOLDS, strict=True)])
 
 
 def bare_numbers(value: Column) -> Column:

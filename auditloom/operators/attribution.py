@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from auditloom import fixed
 from auditloom.functions import prose
-from auditloom.functions.text import let
+from auditloom.functions.text import let, strip
 from auditloom.operators.grounding import folded_evidence
+from auditloom.operators.registers import gathered
 from auditloom.session import written
 
 MARK = "\x01"
@@ -23,12 +24,22 @@ GRAM, DIRECT = 4, 256
 
 def attributions(drafts: DataFrame) -> DataFrame:
     """(draft_id, key, subject, sentence): the first sentence that attributes to each subject."""
-    sentences = drafts.select("draft_id", F.posexplode(prose.sentences(F.col("text")))
-                              .alias("sent_no", "sentence"))
-    found = sentences.select("draft_id", "sent_no", "sentence", F.explode(
-        prose.attributed_subjects(F.col("sentence"))).alias("a"))
-    first = F.min(F.struct("sent_no", "a.pattern", "a.match", "a.subject", "sentence"))
-    return (found.groupBy("draft_id", F.lower("a.subject").alias("key")).agg(first.alias("f"))
+    return first_attributions(drafts.select("draft_id", F.posexplode(prose.sentences(F.col("text")))
+                                            .alias("sent_no", "sentence")))
+
+
+def first_attributions(sentences: DataFrame) -> DataFrame:
+    """The same from a table of sentences (draft_id, sent_no, sentence).
+
+    Spans are exploded as they are found, so a sentence that attributes nothing leaves no row behind.
+    """
+    spans = sentences.select("draft_id", "sent_no", "sentence", F.posexplode(
+        prose.attribution_spans(F.col("sentence"))).alias("pattern", "spans"))
+    found = (spans.select("draft_id", "sent_no", "sentence", "pattern", F.posexplode("spans").alias("match", "span"))
+             .withColumn("subject", strip(F.col("span")))
+             .filter(~F.lower("subject").isin(fixed.ATTRIBUTION_STOP_SUBJECTS)))
+    first = F.min(F.struct("sent_no", "pattern", "match", "subject", "sentence"))
+    return (found.groupBy("draft_id", F.lower("subject").alias("key")).agg(first.alias("f"))
             .select("draft_id", "key", "f.subject", "f.sentence"))
 
 
@@ -143,8 +154,8 @@ def _in_blocks(evidence: DataFrame, lists: DataFrame, block: int) -> DataFrame:
 
 def _named_directly(folded: DataFrame, lists: DataFrame, block: int) -> DataFrame:
     """(draft_id, source_ord, low, k): every key of the draft is looked for in every source."""
-    return _in_blocks(folded, lists, block).select(
-        "draft_id", "source_ord", "low", F.explode(F.filter("keys", lambda k: F.contains(F.col("low"), k["key"]))).alias("k"))
+    met = _in_blocks(folded, lists, block).select("draft_id", "source_ord", "low", F.explode("keys").alias("k"))
+    return met.filter(F.contains(F.col("low"), F.col("k.key")))
 
 
 def _named_by_index(folded: DataFrame, keys: DataFrame, block: int) -> DataFrame:
@@ -176,9 +187,9 @@ def evidence_hits(wanted: DataFrame, evidence: DataFrame, block: int = BLOCK, di
     many = F.size("keys") > direct
     short = F.filter("keys", lambda k: F.length(k["key"]) < GRAM)
     long = F.filter("keys", lambda k: F.length(k["key"]) >= GRAM)
-    lists, seen = written(wanted.groupBy("draft_id").agg(F.collect_set(F.struct("kind", "key")).alias("keys")),
+    lists, seen = written(gathered(wanted, "draft_id").agg(F.collect_set(F.struct("kind", "key")).alias("keys")),
                           F.count_if(many).alias("many"))
-    folded = folded_evidence(evidence).withColumn("low", F.translate("low", MARK, "\x02"))
+    folded = folded_evidence(evidence).withColumn("low", F.replace("low", F.lit(MARK), F.lit("\x02")))
     if not seen["many"]:
         met = _named_directly(folded, lists, block)
     else:
@@ -209,13 +220,19 @@ def attribution_binding(drafts: DataFrame, evidence: DataFrame,
     return bound(subjects, evidence_hits(wanted_subjects(subjects), evidence, block, direct), evidence, block)
 
 
-def bound(subjects: DataFrame, hits: DataFrame, evidence: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The status of every subject, given the places where sources name it."""
-    nearby = negation_nearby(evidence, block)
-    free = (lambda e: (F.col("left_at").isNull() | (e["l"] < F.col("left_at")))
-            & (F.col("right_at").isNull() | (e["r"] < F.col("right_at"))))
-    judged = hits.filter("kind = 'subject'").join(nearby, ["draft_id", "source_ord"], "left").select(
-        "draft_id", "key", (F.col("clean") | F.exists("edges", free)).alias("clean"))
+def bound(subjects: DataFrame, hits: DataFrame, evidence: DataFrame, block: int = BLOCK,
+          open_ends: bool = True) -> DataFrame:
+    """The status of every subject, given the places where sources name it.
+
+    ``open_ends`` says whether any hit has edges; without them no hit asks what stands beside its source.
+    """
+    named = hits.filter("kind = 'subject'")
+    if open_ends:
+        free = (lambda e: (F.col("left_at").isNull() | (e["l"] < F.col("left_at")))
+                & (F.col("right_at").isNull() | (e["r"] < F.col("right_at"))))
+        named = named.join(negation_nearby(evidence, block), ["draft_id", "source_ord"], "left").withColumn(
+            "clean", F.col("clean") | F.exists("edges", free))
+    judged = named.select("draft_id", "key", "clean")
     found = judged.groupBy("draft_id", "key").agg(F.max("clean").alias("clean"))
     status = (F.when(F.col("clean").isNull(), "ABSENT").when(F.col("clean"), "PRESENT")
               .otherwise("NEGATED"))

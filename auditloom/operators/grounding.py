@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from auditloom import fixed
 from auditloom.functions import prose
 from auditloom.functions.text import text
+from auditloom.operators.registers import gathered
 
 
 def sentence_table(drafts: DataFrame) -> DataFrame:
@@ -24,10 +25,14 @@ def sentence_table(drafts: DataFrame) -> DataFrame:
                        prose.numbers(F.col("sentence")).alias("figures"))
 
 
+def with_reasons(sentences: DataFrame) -> DataFrame:
+    """Add why a sentence needs a second look, for tables that are landed and read by several sections."""
+    return sentences.withColumn("reasons", prose.triage_reasons(F.col("sentence"), F.col("names"), F.col("figures")))
+
+
 def triaged(sentences: DataFrame) -> DataFrame:
     """The sentences worth a second look, with their reasons."""
-    reasons = prose.triage_reasons(F.col("sentence"), F.col("names"), F.col("figures"))
-    return sentences.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+    return (sentences if "reasons" in sentences.columns else with_reasons(sentences)).filter(F.size("reasons") > 0)
 
 
 def number_grounding(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -56,13 +61,14 @@ def contradictions(sentences: DataFrame) -> DataFrame:
     """(draft_id, entity, nums): names that stand beside two or more different figures.
 
     Name and figure pairs are made distinct where they are and again by pair, so a name in very many
-    sentences is spread over its figures and only its different figures are ever listed.
+    sentences is spread over its figures and only its different figures are ever listed. They are
+    listed from sorted rows, in one pass.
     """
     named = sentences.filter(F.size("figures") > 0).select(
         "draft_id", F.explode(F.array_distinct("names")).alias("entity"), "figures")
     pairs = named.select("draft_id", "entity", F.explode(F.array_distinct("figures")).alias("num")).distinct()
-    return pairs.groupBy("draft_id", "entity").agg(
-        F.array_sort(F.collect_list("num")).alias("nums")).filter(F.size("nums") > 1)
+    return gathered(pairs, "draft_id", "entity").agg(
+        F.sort_array(F.collect_list("num")).alias("nums")).filter(F.size("nums") > 1)
 
 
 def folded_evidence(evidence: DataFrame) -> DataFrame:
@@ -76,7 +82,8 @@ def checked_names(sentences: DataFrame) -> DataFrame:
 
 
 def wanted_names(names: DataFrame) -> DataFrame:
-    return names.select("draft_id", F.lit("name").alias("kind"), F.lower("entity").alias("key")).distinct()
+    """(draft_id, kind, key): what to look for; names that fold alike are made one where they are listed."""
+    return names.select("draft_id", F.lit("name").alias("kind"), F.lower("entity").alias("key"))
 
 
 def unmet_names(names: DataFrame, hits: DataFrame) -> DataFrame:
@@ -88,5 +95,4 @@ def unmet_names(names: DataFrame, hits: DataFrame) -> DataFrame:
 
 def by_length(numbers: Column) -> Column:
     """Report order of figures: longest first, then by text."""
-    keyed = F.transform(numbers, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n")))
-    return F.transform(F.array_sort(keyed), lambda s: s["n"])
+    return F.sort_array(F.transform(numbers, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n"))))["n"]

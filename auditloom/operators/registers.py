@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import fixed
@@ -45,6 +45,14 @@ def projects_of(rows: DataFrame) -> DataFrame:
         F.max("contract").alias("contract"), F.max("through_ord").alias("through_ord"))
 
 
+def gathered(rows: DataFrame, *keys: str) -> GroupedData:
+    """Rows grouped after one shuffle and one sort, for lists that hold nearly all of their rows.
+
+    Each row moves as it is, and ``session.configure`` has lists made in one pass over the sorted rows.
+    """
+    return rows.repartition(*keys).sortWithinPartitions(*keys).groupBy(*keys)
+
+
 def first_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key, the earliest: an aggregate, so a hot key is reduced before the shuffle."""
     return _pick(rows, keys, F.min_by)

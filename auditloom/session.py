@@ -19,6 +19,9 @@ RUNTIME_OPTIONS = {
     # Spark puts "the array is there and not empty" in front of every explode, which works out the array two
     # times more; here arrays come from patterns over whole texts, and few are empty.
     "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
+    # Rows that already lie sorted by their group are gathered in one streaming pass. Object hash aggregates give up
+    # after 128 groups and sort all rows, once before and once after their shuffle.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",  # of equal keys in a JSON record the last counts
 }
 
